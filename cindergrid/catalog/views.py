@@ -62,8 +62,8 @@ _VIEWS = {
             "n_name",
             "100.3E0 + CAST(n_nationkey % 5 AS DOUBLE)*0.6E0 AS cx",
             "50.2E0 + FLOOR(CAST(n_nationkey AS DOUBLE)/5)*0.45E0 AS cy",
-            "0.3E0 AS hx",
-            "0.25E0 AS hy",
+            "0.3003E0 AS hx",
+            "0.2507E0 AS hy",
         ],
         "",
     ),
