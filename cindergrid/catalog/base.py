@@ -43,8 +43,8 @@ def _spark_column(name, kind):
 
 def _duck_column(name, kind):
     if kind.startswith("d"):
-        return f"ROUND(CAST({name} AS DOUBLE), {int(kind[1:] or 6)}) + 0.0E0 AS {name}"
-    return f"CAST({name} AS {_DUCK[kind]}) AS {name}"
+        return f'ROUND(CAST("{name}" AS DOUBLE), {int(kind[1:] or 6)}) + 0.0E0 AS "{name}"'
+    return f'CAST("{name}" AS {_DUCK[kind]}) AS "{name}"'
 
 
 def query(name: str, shape: str, sql: str | None = None, uses: str = ""):

@@ -259,8 +259,10 @@ def distance_to_source(grid, res_r=1.0, res_c=1.0, value="src", out="distance",
     g = list(group)
     up = Window.partitionBy(*g, "c").orderBy("r")
     is_src = F.when(F.col(value) > 0, F.col("r"))
-    before = F.last(is_src, ignorenulls=True).over(up.rowsBetween(Window.unboundedPreceding, 0))
-    after = F.first(is_src, ignorenulls=True).over(up.rowsBetween(0, Window.unboundedFollowing))
+    down = Window.partitionBy(*g, "c").orderBy(F.col("r").desc())
+    so_far = (Window.unboundedPreceding, 0)
+    before = F.last(is_src, ignorenulls=True).over(up.rowsBetween(*so_far))
+    after = F.last(is_src, ignorenulls=True).over(down.rowsBetween(*so_far))
     gap = F.least(F.col("r") - before, after - F.col("r")).cast("double") * res_r
     cols = grid.select(*g, F.col("r").cast("long"), F.col("c").cast("long"), gap.alias("_d"))
 

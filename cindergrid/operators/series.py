@@ -36,12 +36,16 @@ def daily_spine(cube, cell=CELL, date="date", value="v") -> DataFrame:
     full = full.withColumn("_p", point)
     w = Window.partitionBy(*cell).orderBy(date)
     past = w.rowsBetween(Window.unboundedPreceding, 0)
-    future = w.rowsBetween(0, Window.unboundedFollowing)
+    # looking ahead is looking back in reverse order; a frame that ends at the
+    # partition end would rescan the rest of the series for every day
+    ahead = Window.partitionBy(*cell).orderBy(F.col(date).desc()).rowsBetween(
+        Window.unboundedPreceding, 0
+    )
     # the known points behind and ahead of every day
     seen = full.withColumns(
         {
             "_p1": F.last("_p", ignorenulls=True).over(past),
-            "_n1": F.first("_p", ignorenulls=True).over(future),
+            "_n1": F.last("_p", ignorenulls=True).over(ahead),
         }
     )
     known = full.filter(F.col(value).isNotNull())
@@ -115,8 +119,16 @@ def mean(s, w):
 
 
 def std(s, w):
-    m = mean(s, w)
-    return F.sqrt(_sum(F.transform(_tail(s, w), lambda x: (x - m) * (x - m))) / w)
+    # one pass, shifted by the newest value so that large levels do not cancel
+    x0 = lag(s, 1)
+    t = F.aggregate(
+        _tail(s, w), F.struct(F.lit(0.0).alias("a"), F.lit(0.0).alias("b")),
+        lambda acc, x: F.struct(
+            (acc["a"] + (x - x0)).alias("a"), (acc["b"] + (x - x0) * (x - x0)).alias("b")
+        ),
+        lambda acc: acc["b"] / w - (acc["a"] / w) * (acc["a"] / w),
+    )
+    return F.sqrt(F.greatest(t, F.lit(0.0)))
 
 
 def minimum(s, w):
@@ -154,14 +166,27 @@ def pct_change(s, k):
 def autocorr(s, k):
     """Pearson correlation of the series with itself k days earlier."""
     n = F.size(s) - k
-    pairs = F.arrays_zip(F.slice(s, F.lit(1), F.greatest(n, F.lit(0))).alias("a"),
-                         F.slice(s, F.lit(k + 1), F.greatest(n, F.lit(0))).alias("b"))
-    ma = F.aggregate(pairs, F.lit(0.0), lambda t, p: t + p["0"]) / n
-    mb = F.aggregate(pairs, F.lit(0.0), lambda t, p: t + p["1"]) / n
-    cov = F.aggregate(pairs, F.lit(0.0), lambda t, p: t + (p["0"] - ma) * (p["1"] - mb))
-    va = F.aggregate(pairs, F.lit(0.0), lambda t, p: t + (p["0"] - ma) * (p["0"] - ma))
-    vb = F.aggregate(pairs, F.lit(0.0), lambda t, p: t + (p["1"] - mb) * (p["1"] - mb))
-    return F.when((n > 1) & (va > 0) & (vb > 0), cov / F.sqrt(va * vb))
+    x0 = lag(s, 1)
+    names = ("a", "b", "aa", "bb", "ab")
+    zero = F.struct(*[F.lit(0.0).alias(c) for c in names])
+    pairs = F.zip_with(
+        F.slice(s, F.lit(1), F.greatest(n, F.lit(0))),
+        F.slice(s, F.lit(k + 1), F.greatest(n, F.lit(0))),
+        lambda a, b: F.struct((a - x0).alias("a"), (b - x0).alias("b")),
+    )
+
+    def add(t, p):
+        a, b = p["a"], p["b"]
+        step = {"a": a, "b": b, "aa": a * a, "bb": b * b, "ab": a * b}
+        return F.struct(*[(t[c] + step[c]).alias(c) for c in names])
+
+    def finish(t):
+        va, vb = n * t["aa"] - t["a"] * t["a"], n * t["bb"] - t["b"] * t["b"]
+        return F.when(
+            (n > 1) & (va > 1e-9) & (vb > 1e-9), (n * t["ab"] - t["a"] * t["b"]) / F.sqrt(va * vb)
+        )
+
+    return F.aggregate(pairs, zero, add, finish)
 
 
 def cumprod(s):

@@ -32,3 +32,22 @@ def region_month_counts(
         period_start("acq_date", "month").alias("month_start"),
         period_end("acq_date", "month").alias("month_end"),
     ).agg(F.count(F.lit(1)).alias("cell_days"), F.sum("_n").alias("detections"))
+
+
+def scoring_history(
+    rows, raw, start, end, lookback_days, radii, windows, days_since_radii=(), min_lag=30, cap=365
+) -> DataFrame:
+    """Event history for rows to be scored; only detections of the lookback are read.
+
+    Scoring rows may not know their country, so history is by cell alone.
+    """
+    from datetime import timedelta
+
+    from cindergrid.operators.series import event_history
+    from cindergrid.sources.detections import select_detections
+
+    seen = select_detections(raw, None, start - timedelta(days=lookback_days), end)
+    events = det.expand_positives(det.cell_days(seen)).withColumnRenamed("acq_date", "date")
+    return event_history(
+        rows, events, radii, windows, days_since_radii, min_lag, cap, key=("lat_key", "lon_key")
+    )
