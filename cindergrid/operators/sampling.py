@@ -8,6 +8,8 @@ are taken, and only inside a slice are rows numbered.
 
 from __future__ import annotations
 
+from datetime import date, timedelta
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -189,8 +191,7 @@ def matched_candidates(
     free = F.date_add(first, F.pmod(v, span).cast("int"))
     day = free
     if use_month:
-        # days of the positive's calendar month inside the period, as one small array
-        days = F.filter(F.sequence(first, last), lambda x: F.month(x) == F.month("date"))
+        days = F.element_at(_days_by_month(start, end), F.month("date"))
         day = F.when(
             F.size(days) > 0,
             F.element_at(days, (F.pmod(v, F.greatest(F.size(days), F.lit(1))) + 1).cast("int")),
@@ -202,6 +203,19 @@ def matched_candidates(
     return out.withColumn("_h", hash_of(f"{name}:order", *CELL_DAY))
 
 
+def _days_by_month(start, end) -> Column:
+    """The period's days per calendar month: twelve constant arrays."""
+    a, b = (date.fromisoformat(str(x)) for x in (start, end))
+    days = [a + timedelta(days=i) for i in range((b - a).days + 1)]
+    months = []
+    for m in range(1, 13):
+        # one text literal per month stays small in the plan
+        text = ",".join(d.isoformat() for d in days if d.month == m)
+        whole = F.split(F.lit(text), ",").cast("array<date>")
+        months.append(whole if text else F.array().cast("array<date>"))
+    return F.array(*months)
+
+
 def stratum_quotas(positives, positive_fraction=0.10, weights=None) -> DataFrame:
     """Whole-number quota of every stratum; remainders go by fraction, then weight."""
     chosen = {k: max(0.0, float((weights or STRATA).get(k, 0.0))) for k in STRATA}

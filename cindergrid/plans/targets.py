@@ -51,3 +51,94 @@ def scoring_history(
     return event_history(
         rows, events, radii, windows, days_since_radii, min_lag, cap, key=("lat_key", "lon_key")
     )
+
+
+def cell_strata(cells, ecoregions, layer, settings, landcover, attr="name", resolution=0.1,
+                cell=("lat_key", "lon_key")) -> DataFrame:
+    """Static strata of candidate cells: ecoregion, burnable, large city, land-cover key."""
+    from cindergrid.functions.cells import cell_coord
+    from cindergrid.functions.labels import burnable_mask, large_city_mask
+    from cindergrid.operators.spatial import tag_points
+
+    spots = cells.withColumns(
+        {
+            "latitude": cell_coord("lat_key", resolution),
+            "longitude": cell_coord("lon_key", resolution),
+        }
+    )
+    named = tag_points(spots, ecoregions, "country", [attr]).drop("latitude", "longitude")
+    joined = named.join(layer, list(cell), "left")
+    key = F.concat_ws(
+        "|", *[F.coalesce(F.col(c).cast("string"), F.lit("missing")) for c in landcover]
+    )
+    cols = joined.columns
+    return joined.select(
+        *cells.columns, F.col(attr).alias("ecoregion_name"),
+        burnable_mask(cols, settings).alias("burnable"),
+        large_city_mask(cols, settings).alias("large_city_hard"), key.alias("landcover_key"),
+    )
+
+
+def deployment_grid(
+    polygons, raw, start, end, bounds=None, fraction=None, expand=True, resolution=0.1, seed=42
+) -> DataFrame:
+    """Labelled cell-days of all countries over a period, whole or as a weighted sample.
+
+    Labels are by cell and day; a cell belongs to one country.
+    """
+    from cindergrid.operators import grids, sampling
+
+    cells = grids.candidate_cells(polygons, bounds, resolution)
+    found = det.positive_labels(raw, resolution, expand=expand).select(
+        "lat_key", "lon_key", F.col("acq_date").alias("date")
+    ).distinct()
+    if fraction is None:
+        return grids.label_grid(
+            grids.cell_dates(cells, start, end), found, on=("lat_key", "lon_key", "date")
+        )
+    labels = found.join(cells, ["lat_key", "lon_key"])
+    return sampling.lazy_sample(cells, labels, start, end, fraction, seed)
+
+
+def build_target(
+    raw, cells, start, end, thresholds=DetectionThresholds(brightness=420, confidence=85),
+    boxes=(), positive_fraction=0.2, radii=(0, 1), windows=None, seed=42, checkpoint=True,
+) -> DataFrame:
+    """The full target job: positives, matched negatives, soft labels and history.
+
+    The labelled rows are checkpointed once (if the session has a checkpoint
+    folder) because both the history spread and the final join read them.
+    """
+    from cindergrid.functions.labels import soft_label
+    from cindergrid.operators.sampling import stratified_negatives
+    from cindergrid.operators.series import event_history
+
+    kept = raw.filter(detection_filter(thresholds)).filter(
+        F.col("acq_date").between(F.lit(start).cast("date"), F.lit(end).cast("date"))
+    )
+    found = det.expand_positives(det.cell_days(kept, boxes=boxes)).withColumnRenamed(
+        "acq_date", "date"
+    )
+    inside = found.join(
+        cells.select("country", "lat_key", "lon_key"), ["country", "lat_key", "lon_key"], "left_semi"
+    )
+    static = cells.select(
+        "country", "lat_key", "lon_key", "ecoregion_name", "burnable", "landcover_key"
+    )
+    positives = inside.select("country", "lat_key", "lon_key", "date").distinct().join(
+        static, ["country", "lat_key", "lon_key"], "left"
+    )
+    negatives = stratified_negatives(positives, cells, start, end, positive_fraction, seed=seed)
+    none = F.lit(None).cast("double")
+    rows = inside.select(
+        "country", "lat_key", "lon_key", "date", F.col("count").cast("int").alias("count"),
+        F.lit("positive").alias("negative_stratum"), none.alias("nearest_positive_distance_cells"),
+        none.alias("nearest_positive_delta_days"), F.lit(1.0).alias("sample_weight"),
+    ).unionByName(
+        negatives.withColumnRenamed("stratum", "negative_stratum").drop("sampling_probability")
+    )
+    labelled = rows.withColumn("soft_label", soft_label())
+    if checkpoint and raw.sparkSession.sparkContext.getCheckpointDir():
+        labelled = labelled.checkpoint()
+    spans = windows or {"30_365d": (30, 365)}
+    return event_history(labelled, inside, list(radii), spans, list(radii), 30, 365)
