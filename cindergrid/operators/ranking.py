@@ -64,15 +64,16 @@ def with_score_bucket(df, value: str, bits: int = BUCKET_BITS) -> DataFrame:
     # one foldable text literal: a literal per cut point would bloat the plan
     at = F.split(F.lit(",".join(str(i / size) for i in range(1, size))), ",").cast("array<double>")
     cuts = df.agg(F.percentile_approx(value, at, F.lit(size * 20)).alias("cuts")).scalar()
-    steps = F.array(*[F.lit(1 << b) for b in reversed(range(bits))])
-    placed = df.withColumn("_cuts", cuts)
-    search = F.aggregate(
-        steps,
-        F.lit(0),
-        lambda at, step: at
-        + F.when(F.element_at("_cuts", at + step) < F.col(value), step).otherwise(0),
-    )
-    return placed.withColumn("_bucket", search).drop("_cuts")
+    # one projection per halving keeps every step a generated array read; written
+    # as one expression the steps would nest into each other
+    placed = df.withColumns({"_cuts": cuts, "_bucket": F.lit(0)})
+    for bit in reversed(range(bits)):
+        probe = F.get("_cuts", F.col("_bucket") + ((1 << bit) - 1))
+        placed = placed.withColumn(
+            "_bucket",
+            F.col("_bucket") + F.when(probe < F.col(value), 1 << bit).otherwise(0),
+        )
+    return placed.drop("_cuts")
 
 
 def running_sums(df, order: str, measures, group=(), descending=True, totals=True) -> DataFrame:
