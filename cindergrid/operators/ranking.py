@@ -21,6 +21,7 @@ from cindergrid.functions.labels import finite
 from cindergrid.functions.probability import EPS, clip_probability, logit, ratio, ratio_or_zero
 
 BUCKET_BITS = 10
+ROWS_PER_BUCKET = 250_000
 TIE_DIGITS = 2
 
 
@@ -54,26 +55,35 @@ def collapse(df, y="is_fire", p="prob", w="eval_weight", group=()) -> DataFrame:
     )
 
 
-def with_score_bucket(df, value: str, bits: int = BUCKET_BITS) -> DataFrame:
+def with_score_bucket(df, value: str, bits: int = BUCKET_BITS, rows_per_bucket=None) -> DataFrame:
     """Add _bucket, an order-preserving balanced bucket of a numeric column.
 
     The 2**bits - 1 cut points are one scalar sub-query of approximate
-    quantiles; a row finds its bucket by binary search over them.
+    quantiles; a row finds its bucket by binary search over them. Neighbouring
+    buckets are then merged until they are worth a task: a small table has one.
     """
     size = 1 << bits
     # one foldable text literal: a literal per cut point would bloat the plan
     at = F.split(F.lit(",".join(str(i / size) for i in range(1, size))), ",").cast("array<double>")
-    cuts = df.agg(F.percentile_approx(value, at, F.lit(size * 20)).alias("cuts")).scalar()
+    wanted = F.ceil(F.count(value) / (rows_per_bucket or ROWS_PER_BUCKET))
+    wanted = F.least(F.greatest(wanted, F.lit(1)), F.lit(size))
+    cuts = df.agg(
+        F.struct(
+            F.percentile_approx(value, at, F.lit(size * 20)).alias("at"),
+            F.ceil(F.lit(size) / wanted).alias("merge"),
+        ).alias("cuts")
+    ).scalar()
     # one projection per halving keeps every step a generated array read; written
     # as one expression the steps would nest into each other
     placed = df.withColumns({"_cuts": cuts, "_bucket": F.lit(0)})
     for bit in reversed(range(bits)):
-        probe = F.get("_cuts", F.col("_bucket") + ((1 << bit) - 1))
+        probe = F.get("_cuts.at", F.col("_bucket") + ((1 << bit) - 1))
         placed = placed.withColumn(
             "_bucket",
             F.col("_bucket") + F.when(probe < F.col(value), 1 << bit).otherwise(0),
         )
-    return placed.drop("_cuts")
+    merged = F.floor(F.col("_bucket") / F.col("_cuts.merge")).cast("int")
+    return placed.withColumn("_bucket", F.coalesce(merged, F.lit(0))).drop("_cuts")
 
 
 def running_sums(df, order: str, measures, group=(), descending=True, totals=True) -> DataFrame:
