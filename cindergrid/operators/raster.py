@@ -282,7 +282,7 @@ def distance_to_source(grid, res_r=1.0, res_c=1.0, value="src", out="distance",
         d = np.sqrt(best[at])
         return pdf.drop(columns="_d").assign(**{out: np.where(np.isfinite(d), d, np.nan)})
 
-    schema = cols.drop("_d").withColumn(out, F.lit(0.0)).schema
+    schema = cols.drop("_d").withColumn(out, F.lit(None).cast("double")).schema
     done = cols.groupBy(*g, "r").applyInPandas(lower, schema)
     return done.withColumn(out, F.when(~F.isnan(out), F.col(out)))
 
