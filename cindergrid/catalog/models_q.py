@@ -507,7 +507,7 @@ def m30_lead(t):
     )
     # the columns each lead time may use, decided by the feature catalogue
     known = ["t2m_mean_7", "t2m_mean_30", "elevation"]
-    table = rows.limit(1).select(F.explode(F.array(*[F.lit(c) for c in known])).alias("feature"))
+    table = t.spark.createDataFrame([(c,) for c in known], "feature string")
     catalogue = names.feature_catalogue(table)
     by_lead = {
         lead: [r["feature"] for r in names.lead_limited(catalogue, lead).select("feature").collect()]

@@ -539,7 +539,7 @@ def d26_categorical(t):
 
 
 def _importance(t):
-    """Importance of the two drift features: their correlation with the label, in size."""
+    """Importance weights of the two drift features: how often each is known."""
     rows = _psi_rows(t)
     wide = rows.agg(F.count("f1").alias("f1"), F.count("f2").alias("f2"))
     return wide.unpivot([], ["f1", "f2"], "feature", "importance_weight").withColumn(

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from cindergrid.functions.labels import finite
 from cindergrid.operators.ranking import exact_quantiles
+from cindergrid.session import cut
 
 DIGITS = 3
 
@@ -253,7 +254,8 @@ def stratified_negatives(
     """Matched negatives: all strata at once, a cell-day belongs to its first stratum.
 
     Candidates inside the positive buffer are removed, quotas are filled in hash
-    order, and what a stratum could not fill comes from the background.
+    order, and what a stratum could not fill comes from the background. The
+    candidates are written once to the checkpoint folder.
     """
     from cindergrid.operators.grids import drop_buffered
 
@@ -281,7 +283,8 @@ def stratified_negatives(
     # a cell-day drawn by several strata stays with the first of them
     row = F.struct("_p", "_h", "stratum", "distance", "gap_days")
     one = pool.groupBy(*CELL_DAY).agg(F.min(row).alias("_r")).select(*CELL_DAY, "_r.*")
-    free = drop_buffered(one, positives, buffer_cells, buffer_days)
+    # both the quota table and the draw read the candidates
+    free = cut(drop_buffered(one, positives, buffer_cells, buffer_days))
 
     quotas = stratum_quotas(positives, positive_fraction, weights)
     have = free.groupBy("stratum").agg(F.count(F.lit(1)).alias("_have"))

@@ -376,7 +376,7 @@ def counts_within(
     return out.select(x, y, *cols)
 
 
-LEVELS = 12  # 360 degrees / 2**12 is the finest bucket
+LEVELS = 16  # 360 degrees / 2**16 (about 600 m) is the finest bucket
 
 
 def nearest_event_km(points, events, x=XY[0], y=XY[1], out="nearest_km") -> DataFrame:

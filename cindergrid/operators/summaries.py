@@ -78,22 +78,20 @@ def dataset_statistics(df, regions=None, split="split", date="date", label="is_f
 
     The year NULL row of each (split, region) covers all its years.
     """
-    rows = df
-    if regions is not None:
-        rows = region_rows(df, regions, include_global=True)
-    rows = rows.withColumn("_years", F.explode(F.array(F.year(date), F.lit(None).cast("int"))))
-    group = [split, *(["region"] if regions is not None else []), F.col("_years").alias("year")]
-    n = F.count(F.lit(1))
-    pos = F.sum(label)
-    # distinct cells and cell-days first, so that no task holds one group's keys
-    cell_day = rows.groupBy(*group, "lat_key", "lon_key", date).agg(
-        n.alias("_n"), pos.alias("_p")
-    )
-    cell = cell_day.groupBy(*[_name(g) for g in group], "lat_key", "lon_key").agg(
+    # cell-days and then cells first: repeated rows shrink before they are copied
+    # into regions and years, and no task holds one group's distinct keys
+    cell_day = df.groupBy(split, "lat_key", "lon_key", date).agg(
+        F.count(F.lit(1)).alias("_n"), F.sum(label).alias("_p")
+    ).withColumn("year", F.explode(F.array(F.year(date), F.lit(None).cast("int"))))
+    cell = cell_day.groupBy(split, "year", "lat_key", "lon_key").agg(
         F.sum("_n").alias("_n"), F.sum("_p").alias("_p"), F.count(F.lit(1)).alias("_days"),
         F.min(date).alias("_d0"), F.max(date).alias("_d1"),
     )
-    return cell.groupBy(*[_name(g) for g in group]).agg(
+    group = [split, "year"]
+    if regions is not None:
+        cell = region_rows(cell, regions, include_global=True)
+        group.append("region")
+    return cell.groupBy(*group).agg(
         F.sum("_n").alias("rows"),
         F.count(F.lit(1)).alias("unique_cells"),
         F.sum("_days").alias("cell_days"),
@@ -106,10 +104,6 @@ def dataset_statistics(df, regions=None, split="split", date="date", label="is_f
     )
 
 
-def _name(g):
-    return g if isinstance(g, str) else "year"
-
-
 def count_calibration(df, group, p="prob", w="eval_weight", y="is_fire") -> DataFrame:
     return df.groupBy(*group).agg(
         expected(p, w).alias("expected"), observed(y, w).alias("observed")

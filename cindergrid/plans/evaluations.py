@@ -12,6 +12,7 @@ from cindergrid.operators import (
     calibrate, columns, evaluation, grids, models, periods, ranking, sampling, series, spatial,
     summaries,
 )
+from cindergrid.session import cut
 from cindergrid.sources import cubes
 
 
@@ -20,13 +21,11 @@ def calibrated_evaluation(
 ) -> dict[str, DataFrame]:
     """Score the calibration grid, fit the calibrator, score the test grid, report.
 
-    Scored grids are what is read several times; they are checkpointed when the
-    session has a checkpoint folder.
+    The scored test grid feeds every table, so it is written once to the
+    checkpoint folder.
     """
     scored_cal = model.score(calibration)
-    scored = model.score(test)
-    if scored.sparkSession.sparkContext.getCheckpointDir():
-        scored = scored.checkpoint()
+    scored = cut(model.score(test))
     if method == "platt":
         calibrated = calibrate.PlattCalibrator(group).fit(scored_cal).apply(scored)
     else:
@@ -183,8 +182,7 @@ def source_comparison(rows, cube_a, cube_b, n_days, features, numeric, train, te
     both = b.filter(F.col("series").isNotNull()).select("row_id")
     a = a.filter(F.col("series").isNotNull()).join(both, "row_id", "left_semi").drop("series")
     b = grids.replace_block(a, b.select("row_id", *features), features, ["row_id"])
-    if rows.sparkSession.sparkContext.getCheckpointDir():
-        a, b = a.checkpoint(), b.checkpoint()
+    a, b = cut(a), cut(b)
     tables = []
     for fit_name, fit_rows in (("a", a), ("b", b)):
         model = models.fit_logistic(fit_rows.filter(train), [*numeric, *features])
@@ -204,9 +202,7 @@ def source_comparison(rows, cube_a, cube_b, n_days, features, numeric, train, te
 
 def timelines(df, regions, window_days=7, radius_deg=0.0, top=2, p="prob_raw") -> dict:
     """Period metrics, activity shape, centred selection and the daily series of the picks."""
-    metrics = periods.period_metrics(df, regions, window_days, radius_deg, p=p)
-    if df.sparkSession.sparkContext.getCheckpointDir():
-        metrics = metrics.checkpoint()
+    metrics = cut(periods.period_metrics(df, regions, window_days, radius_deg, p=p))
     shaped = periods.activity_shape(metrics, df, regions)
     picks = periods.select_centered_periods(shaped, "average_precision", top=top)
     return {

@@ -9,6 +9,7 @@ from cindergrid.functions.calendar import period_end, period_start
 from cindergrid.functions.labels import DetectionThresholds, detection_filter
 from cindergrid.operators import detections as det
 from cindergrid.operators.regions import region_rows
+from cindergrid.session import cut
 
 
 def region_month_counts(
@@ -102,12 +103,12 @@ def deployment_grid(
 
 def build_target(
     raw, cells, start, end, thresholds=DetectionThresholds(brightness=420, confidence=85),
-    boxes=(), positive_fraction=0.2, radii=(0, 1), windows=None, seed=42, checkpoint=True,
+    boxes=(), positive_fraction=0.2, radii=(0, 1), windows=None, seed=42,
 ) -> DataFrame:
     """The full target job: positives, matched negatives, soft labels and history.
 
-    The labelled rows are checkpointed once (if the session has a checkpoint
-    folder) because both the history spread and the final join read them.
+    The positives and the labelled rows are each read several times further on,
+    so they are written once to the checkpoint folder.
     """
     from cindergrid.functions.labels import soft_label
     from cindergrid.operators.sampling import stratified_negatives
@@ -119,8 +120,11 @@ def build_target(
     found = det.expand_positives(det.cell_days(kept, boxes=boxes)).withColumnRenamed(
         "acq_date", "date"
     )
-    inside = found.join(
-        cells.select("country", "lat_key", "lon_key"), ["country", "lat_key", "lon_key"], "left_semi"
+    inside = cut(
+        found.join(
+            cells.select("country", "lat_key", "lon_key"), ["country", "lat_key", "lon_key"],
+            "left_semi",
+        )
     )
     static = cells.select(
         "country", "lat_key", "lon_key", "ecoregion_name", "burnable", "landcover_key"
@@ -137,8 +141,6 @@ def build_target(
     ).unionByName(
         negatives.withColumnRenamed("stratum", "negative_stratum").drop("sampling_probability")
     )
-    labelled = rows.withColumn("soft_label", soft_label())
-    if checkpoint and raw.sparkSession.sparkContext.getCheckpointDir():
-        labelled = labelled.checkpoint()
+    labelled = cut(rows.withColumn("soft_label", soft_label()))
     spans = windows or {"30_365d": (30, 365)}
     return event_history(labelled, inside, list(radii), spans, list(radii), 30, 365)
