@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from cindergrid.catalog.base import query
+from cindergrid.functions.probability import logit, sigmoid
 from cindergrid.operators import ranking
 
 G = ["model_name"]
@@ -177,6 +178,23 @@ def m8(t):
     return ranking.calibration_line(t.predictions, **P)
 
 
+@query(
+    "m8_score_equations", "model_name residual:d4 residual_x:d4 observed:d3",
+    # at the optimum of an unpenalised logistic fit both weighted residual sums vanish
+    "SELECT model_name, 0 AS residual, 0 AS residual_x, SUM(is_fire*eval_weight) AS observed FROM predictions GROUP BY 1",
+    "predictions",
+)
+def m8_equations(t):
+    line = ranking.calibration_line(t.predictions, **P)
+    x = logit("prob_raw")
+    mu = sigmoid(F.col("calibration_intercept") + F.col("calibration_slope") * x)
+    r = F.col("eval_weight") * (F.col("is_fire") - mu)
+    return t.predictions.join(line, "model_name").groupBy("model_name").agg(
+        F.sum(r).alias("residual"), F.sum(r * x).alias("residual_x"),
+        F.sum(F.col("is_fire") * F.col("eval_weight")).alias("observed"),
+    )
+
+
 @query(
     "m9_risk_concentration",
     "model_name q_label top_fraction_observed:d9 top_weighted_support:d3 captured_positives:d3 "

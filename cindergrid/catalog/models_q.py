@@ -325,7 +325,11 @@ def _balance(df, p="prob_calibrated"):
     )
 
 
-@query("m23_platt", "month:i gap:d3 observed:d3")
+@query(
+    "m23_platt", "month:i gap:d3 observed:d3",
+    # an unpenalised fit with month dummies balances every month
+    "SELECT MONTH(date) AS month, 0 AS gap, SUM(is_fire*eval_weight) AS observed FROM predictions GROUP BY 1", "predictions",
+)
 def m23(t):
     rows = _monthly(t)
     return _balance(calibrate.PlattCalibrator(["month", "country"]).fit(rows).apply(rows))
@@ -544,7 +548,21 @@ def n6(t):
     return evaluations.forecast(model, cells, t.cube, static, "1999-06-30", 5, 30, names_, numeric)
 
 
-@query("n7_diagnostics", "model_name region period_start:t weighted_support:d3 expected:d4 observed:d3 error:d4")
+@query(
+    "n7_diagnostics", "model_name region period_start:t weighted_support:d3 expected:d4 observed:d3 error:d4",
+    MEMBERS + """, d AS (SELECT DISTINCT date, date_trunc('month',date) AS m FROM predictions),
+      i AS (SELECT *, ROW_NUMBER() OVER (PARTITION BY m ORDER BY date)-1 AS i, COUNT(*) OVER (PARTITION BY m) AS n FROM d),
+      k AS (SELECT * FROM i WHERE n<=10 OR list_contains(list_transform(range(0,10), lambda j: CAST(round_even(j*(n-1)/9.0E0,0) AS BIGINT)), i)),
+      f AS (SELECT date, n/COUNT(*) OVER (PARTITION BY m) AS f FROM k),
+      se AS (SELECT MONTH(date) AS month, SUM(prob_raw*eval_weight*f) AS e FROM predictions JOIN f USING (date) GROUP BY 1),
+      sm AS (SELECT MONTH(date) AS month, SUM(is_fire*eval_weight) AS o FROM predictions GROUP BY 1),
+      sc AS (SELECT month, o/e AS scale FROM sm JOIN se USING (month)),
+      pe AS (SELECT model_name, region, date_trunc('month',date) AS ps, SUM(prob_raw*eval_weight*f) AS e FROM rg JOIN f USING (date) GROUP BY 1,2,3),
+      po AS (SELECT model_name, region, date_trunc('month',date) AS ps, SUM(eval_weight) AS w, SUM(is_fire*eval_weight) AS o FROM rg GROUP BY 1,2,3),
+      x AS (SELECT po.*, LEAST(COALESCE(e,0)*scale, w) AS e FROM po LEFT JOIN pe USING (model_name, region, ps) JOIN sc ON sc.month=MONTH(ps))
+      SELECT model_name, region, ps AS period_start, w AS weighted_support, e AS expected, o AS observed, e-o AS error FROM x""",
+    "predictions regions",
+)
 def n7(t):
     return evaluations.diagnostics(t.predictions, t.regions, days_per_month=10)["series"]
 
@@ -558,6 +576,18 @@ def n8(t):
     )
 
 
-@query("n9_timelines", "region date:t expected:d4 observed:d3 area_kha:d6")
+@query(
+    "n9_timelines", "region date:t expected:d4 observed:d3 area_kha:d6",
+    _SHAPE + """, ok AS (SELECT * FROM ac WHERE observed_positive_locations>=1 AND average_precision IS NOT NULL AND observed_peak_day BETWEEN 1 AND 5
+        AND first_quarter_fraction<=0.45E0 AND middle_half_fraction>=0.35E0),""" + _GREEDY.format(
+        src="ok", order="ROUND(average_precision,9) DESC, ROUND(centered_activity_score,9) DESC, ROUND(count_abs_error,9), ROUND(brier_score,9)"
+    ) + """, da AS (SELECT region, period_start+CAST(i AS INT) AS date FROM gp, range(0,7) AS r(i) WHERE period_rank<=2),
+      ex AS (SELECT region, date, SUM(p*w) AS e, SUM(y*w) AS o FROM al GROUP BY 1,2),
+      ar AS (SELECT region, date, SUM(6371.0088E0*6371.0088E0*RADIANS(0.1E0)*(SIN(RADIANS(lat_key*0.1E0)+RADIANS(0.05E0))-SIN(RADIANS(lat_key*0.1E0)-RADIANS(0.05E0)))/10) AS a
+        FROM (SELECT DISTINCT region, date, lat_key, lon_key FROM al WHERE y=1) GROUP BY 1,2)
+      SELECT da.region, da.date, COALESCE(e,0) AS expected, COALESCE(o,0) AS observed, COALESCE(a,0) AS area_kha
+      FROM da LEFT JOIN ex USING (region, date) LEFT JOIN ar USING (region, date)""",
+    "predictions regions",
+)
 def n9(t):
     return evaluations.timelines(t.predictions, t.regions)["series"]

@@ -234,15 +234,20 @@ def f9(t):
     )
 
 
-@query("f10_area_negatives", "country rows:i cells:i first_date:t last_date:t")
+@query(
+    "f10_area_negatives", "country rows:i blocked:i",
+    # the number is fixed by polygon area and time; no drawn row may be buffered
+    """SELECT n_name AS country, ROUND(2*hx*hy*POWER(PI()*6371.0E0/180,2)*COS(RADIANS(cy))/10*0.2E0*(1095/365.25E0),0) AS rows, 0 AS blocked FROM polygons""",
+    "polygons",
+)
 def f10(t):
     pos = t.predictions.filter("is_fire = 1 AND prob_raw > 0.9").withColumn(
         "country", F.concat(F.lit("NATION_"), F.pmod("lat_key", F.lit(25)).cast("string"))
     )
     out = sampling.area_negatives(t.polygons, pos, 0.2, START, END)
-    return out.groupBy("country").agg(
-        F.count(F.lit(1)).alias("rows"), F.count_distinct("lat_key", "lon_key").alias("cells"),
-        F.min("date").alias("first_date"), F.max("date").alias("last_date"),
+    bad = grids.blocked_keys(pos).withColumn("_bad", F.lit(1))
+    return out.join(bad, list(sampling.CELL_DAY), "left").groupBy("country").agg(
+        F.count(F.lit(1)).alias("rows"), F.count("_bad").alias("blocked")
     )
 
 

@@ -13,6 +13,8 @@ many tasks.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -545,11 +547,11 @@ def calibration_line(
         [*base.select(*g).schema.fields, T.StructField("b0", T.DoubleType()),
          T.StructField("b1", T.DoubleType())]
     )
-    one_class = base.groupBy(*g).agg(
-        ((F.sum("pos") > 0) & (F.sum("neg") > 0)).alias("both")
-    ).collect()
-    state = {tuple(r[k] for k in g): (0.0, 1.0) for r in one_class if r["both"]}
-    skipped = [tuple(r[k] for k in g) for r in one_class if not r["both"]]
+    sizes = base.groupBy(*g).agg(F.sum("pos").alias("p"), F.sum("neg").alias("n")).collect()
+    both = [r for r in sizes if r["p"] > 0 and r["n"] > 0]
+    # the flat fit is a safe start: Newton from a steep line can run away
+    state = {tuple(r[k] for k in g): (math.log(r["p"] / r["n"]), 0.0) for r in both}
+    skipped = [tuple(r[k] for k in g) for r in sizes if r not in both]
     live = dict(state)
     for _ in range(steps):
         if not live:
@@ -573,7 +575,8 @@ def calibration_line(
                 continue
             d0 = (row["h11"] * row["g0"] - row["h01"] * row["g1"]) / det
             d1 = (row["h00"] * row["g1"] - row["h01"] * row["g0"]) / det
-            state[k] = (live[k][0] + d0, live[k][1] + d1)
+            damp = min(1.0, 2.0 / max(abs(d0), abs(d1), 1e-300))
+            state[k] = (live[k][0] + damp * d0, live[k][1] + damp * d1)
             if abs(d0) + abs(d1) > tolerance:
                 after[k] = state[k]
         live = after

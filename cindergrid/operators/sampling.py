@@ -319,7 +319,7 @@ def stratified_negatives(
 
 def area_negatives(
     polygons, positives, rate_per_kha_year, start, end, buffer_cells=1, buffer_days=1,
-    resolution=0.1, oversample=2.5, seed=42, chunk=20_000, name="n_name",
+    resolution=0.1, oversample=4.0, seed=42, chunk=20_000, name="n_name",
 ) -> DataFrame:
     """Uniform negatives in proportion to polygon area and time, outside the buffer.
 

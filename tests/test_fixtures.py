@@ -242,3 +242,13 @@ def test_series_engines_agree(spark):
     assert got["v_fft_peak_1"] == pytest.approx(np.sort(np.abs(np.fft.rfft(x))[1:])[-1])
     assert got["v_cumprod"] == pytest.approx(x.prod())
     assert got["v_mean_99"] is None
+
+
+def test_calibration_line_solves_the_score_equations(spark):
+    data = [(i % 2, 1 / (1 + 2.718281828 ** (-(i % 19 - 9) * 0.9)), 1.0 + i % 3) for i in range(400)]
+    df = spark.createDataFrame(data, "is_fire int, prob double, eval_weight double")
+    a, b = ranking.calibration_line(df).select("calibration_intercept", "calibration_slope").first()
+    r = df.withColumn("x", probability.logit("prob")).withColumn(
+        "r", F.col("eval_weight") * (F.col("is_fire") - probability.sigmoid(F.lit(a) + F.lit(b) * F.col("x")))
+    ).agg(F.sum("r"), F.sum(F.col("r") * F.col("x"))).first()
+    assert r[0] == pytest.approx(0, abs=1e-6) and r[1] == pytest.approx(0, abs=1e-6)
