@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cindergrid.llm import bestfit, common, matroska, packing
+from cindergrid.llm import bestfit, common, language, matroska, packing, quality
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -24,12 +24,26 @@ def op2_order_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(common.read(spark, sf_dir, "documents"))
 
 
+@query
+def op3_byte_gru_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language of every text, learned from the texts that are not held out."""
+    docs = common.read(spark, sf_dir, "documents")
+    return language.detect(docs, language.train(docs))
+
+
 @query
 def op6_matroska_packets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every text stored as sound in a Matroska file and read back through its packet table."""
     return matroska.media_features(matroska.text_media(common.read(spark, sf_dir, "documents")))
 
 
+@query
+def op8_factorisation_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality score of every text, learned from the labels that are not held out."""
+    docs = common.read(spark, sf_dir, "documents")
+    return quality.score_texts(docs, quality.train(docs, common.read(spark, sf_dir, "labels")))
+
+
 @query
 def op9_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every packed sequence: its documents, segments and checksums of its id and position rows."""
