@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cindergrid.llm import bestfit, common, language, matroska, packing, quality
+from cindergrid.llm import bestfit, common, language, matroska, orderhash, packing, quality
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -31,6 +31,12 @@ def op3_byte_gru_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.detect(docs, language.train(docs))
 
 
+@query
+def op5_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The class of near-duplicates of every document."""
+    return orderhash.near_duplicates(common.read(spark, sf_dir, "documents"))
+
+
 @query
 def op6_matroska_packets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every text stored as sound in a Matroska file and read back through its packet table."""
