@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cindergrid.llm import bestfit, common, language, matroska, orderhash, packing, quality
+from cindergrid.llm import bestfit, common, language, matroska, orderhash, packing, passages, quality
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -58,3 +58,9 @@ def op9_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
         "sequence_id", "n_tokens", F.size("doc_ids").alias("n_segments"), "doc_ids", "starts", "cu_seqlens",
         F.crc32("input_ids").alias("input_ids_crc32"), F.crc32("position_ids").alias("position_ids_crc32"),
     )
+
+
+@query
+def op10_paragraph_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every passage that repeats a passage of an earlier document."""
+    return passages.repeated_passages(common.read(spark, sf_dir, "documents"))
