@@ -16,8 +16,8 @@ from cindergrid.llm.components import components
 
 WIDTH, SIMILARITY = 5, 0.8
 PARAGRAPH_WORDS = 50  # shorter paragraphs are compared sentence by sentence only
-RUN_WORDS = 40  # words in whole shared sentences that make a passage; its ends may lie inside sentences
-PART_WORDS = 20  # words of a passage that come from one place
+RUN_WORDS = 35  # words in whole shared sentences that make a passage; its ends may lie inside sentences
+PART_WORDS = 18  # words of a passage that come from one place
 SENTENCE_WORDS = 5  # shorter sentences are shared if those around them are
 LONG_SENTENCE = 48
 
@@ -260,7 +260,7 @@ def repeated_passages(docs: DataFrame, key: str = "doc_id", text: str = "text")
     components; the least document of a cluster keeps its paragraph. Passages that begin or
     end inside paragraphs are found by their sentences: paragraphs of one band whose key is
     the whole sentence. Sentences in the same order as in the first document that has them
-    make a passage of 40 words or more, less than the 50 that a passage has when its ends
+    make a passage of 35 words or more, less than the 50 that a passage has when its ends
     are cut. Overlapping finds are joined. A key may be shared by any number of documents:
     each is compared with the key's least document only.
 

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cindergrid.llm import bestfit, common, language, matroska, orderhash, packing, passages, quality
+from cindergrid.llm import bestfit, common, fixity, language, matroska, mixing, multiindex, orderhash, packing, passages, quality
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -18,6 +18,32 @@ def query(build: Callable[[SparkSession, str], DataFrame]) -> Callable:
     return build
 
 
+@query
+def op1_merkle_fixity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Records of a WARC replica of all pages that no longer match the original."""
+    records = fixity.warc_records(common.read(spark, sf_dir, "pages"))
+    return fixity.audit(records, fixity.decayed(records))
+
+
+SQL["op1_merkle_fixity"] = """
+WITH made AS (
+  SELECT page_id, url, CAST(FLOOR(page_id / 512) AS BIGINT) AS file,
+    'WARC/1.1\r\nWARC-Type: response\r\nWARC-Record-ID: <urn:page:' || page_id || '>\r\nWARC-Target-URI: ' || COALESCE(url, '')
+    || '\r\nContent-Type: application/http\r\nContent-Length: '
+    || strlen('HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n\r\n' || COALESCE(html, ''))
+    || '\r\n\r\n' || 'HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n\r\n' || COALESCE(html, '') || '\r\n\r\n' AS record
+  FROM (SELECT page_id, url, html FROM pages WHERE page_id IS NOT NULL)
+), lined AS (
+  SELECT *, ROW_NUMBER() OVER (PARTITION BY file ORDER BY page_id, url) - 1 AS number, strlen(record) AS length,
+    SUM(strlen(record)) OVER (PARTITION BY file ORDER BY page_id, url ROWS UNBOUNDED PRECEDING) - strlen(record) AS place
+  FROM made
+)
+SELECT file, CAST(number AS BIGINT) AS number, CAST(place AS BIGINT) AS "offset", CAST(length AS BIGINT) AS length, page_id,
+  sha256(record) AS sha256_one, sha256(left(record, length(record) - 5) || '~\r\n\r\n') AS sha256_two
+FROM lined WHERE page_id % 97 = 13
+"""
+
+
 @query
 def op2_order_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every piece of every document in its sequence of at most 4096 tokens."""
@@ -31,6 +57,14 @@ def op3_byte_gru_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.detect(docs, language.train(docs))
 
 
+@query
+def op4_soft_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Domain posteriors and rate of every document, fitted to the target weights."""
+    found = mixing.fit(common.read(spark, sf_dir, "documents"), common.read(spark, sf_dir, "labels"))
+    shares = [F.col("p")[i].alias(f"p_{domain}") for i, domain in enumerate(mixing.DOMAINS)]
+    return found.select(F.col("k").alias("doc_id"), "tokens", *shares, "rate")
+
+
 @query
 def op5_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The class of near-duplicates of every document."""
@@ -43,6 +77,12 @@ def op6_matroska_packets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return matroska.media_features(matroska.text_media(common.read(spark, sf_dir, "documents")))
 
 
+@query
+def op7_multi_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 nearest vectors of every query vector."""
+    return multiindex.search(common.read(spark, sf_dir, "embeddings"))
+
+
 @query
 def op8_factorisation_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Quality score of every text, learned from the labels that are not held out."""
