@@ -111,8 +111,11 @@ def number_at(data: bytes, at: int, keep: bool) -> tuple[int, int]:
     return value, width
 
 
-def elements(data: bytes, at: int, end: int, stop: tuple[int, ...] = ()) -> Iterator[tuple[int, int, int]]:
-    """(identifier, body start, body end) of the elements in a range; stops at an identifier in `stop`."""
+def elements(data: bytes, at: int, end: int, stop: tuple[int, ...] = (), whole: bool = True) -> Iterator[tuple[int, int, int]]:
+    """(identifier, body start, body end) of the elements in a range; stops at an identifier in `stop`.
+
+    An element that goes beyond the range is given up to there unless only `whole` ones count.
+    """
     while at < end:
         number, a = number_at(data, at, True)
         if number in stop:
@@ -121,6 +124,8 @@ def elements(data: bytes, at: int, end: int, stop: tuple[int, ...] = ()) -> Iter
         body = at + a + b
         last = end if size < 0 else body + size
         if last > end:
+            if not whole:
+                yield number, body, end
             raise Broken("cut element")
         yield number, body, last
         at = last
@@ -171,7 +176,7 @@ def packets_of(data: bytes | None) -> list[tuple]:
     cued: set[int] = set()
     base = 0
     try:
-        for number, body, end in elements(data or b"", 0, len(data or b"")):
+        for number, body, end in elements(data or b"", 0, len(data or b""), whole=False):
             if number == EBML:
                 kinds = [data[a:b] for n, a, b in elements(data, body, end) if n == DOC_TYPE]
                 if kinds and kinds[0].rstrip(b"\0") not in (b"matroska", b"webm"):
