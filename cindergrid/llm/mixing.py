@@ -79,15 +79,16 @@ def _log(x: float) -> float:
     return math.log(x)
 
 
-def rates(members: DataFrame, targets: dict[str, float], domains: tuple[str, ...] = DOMAINS, keep_all: bool = False) -> DataFrame:
+def rates(members: DataFrame, targets: dict[str, float], domains: tuple[str, ...] = DOMAINS, floor: float = 0.0) -> DataFrame:
     """members with a column rate, zero or more: expected domain token totals then match the targets.
 
     Projected-gradient least squares, sum over domains of (total - target)^2 / target, from
     rate 1 for every document: each step is one aggregation over all documents and moves
-    rates along the posteriors, cut at zero. Targets are shares of the present total; with
-    `keep_all`, of the least total at which no domain has to shrink, so that rates stay at
-    or above 1 but for the tolerance. Shares need not add up to one. Domains without any
-    expected tokens, or with a target of zero or less, are left out of the fit.
+    rates along the posteriors, then back to `floor` where they fall below it. Targets are
+    shares of the present total; with a floor, of the least total at which no domain has to
+    shrink below it. Targets out of reach are met as closely as the floor and the soft
+    memberships allow. Shares need not add up to one. Domains without any expected tokens,
+    or with a target of zero or less, are left out of the fit.
     """
     table = common.stage(members.withColumn("rate", F.lit(1.0)), "rates")
     n = len(domains)
@@ -103,8 +104,8 @@ def rates(members: DataFrame, targets: dict[str, float], domains: tuple[str, ...
     share = sum(targets[domains[i]] for i in used)
     goal = {i: targets[domains[i]] / share for i in used}
     now = {i: first[f"t{i}"] / total for i in used}
-    if keep_all:
-        grow = max(now[i] / goal[i] for i in used)
+    if floor > 0:
+        grow = floor * max(now[i] / goal[i] for i in used)
         goal = {i: g * grow for i, g in goal.items()}
     # step length: the largest eigenvalue of the scaled Gram matrix, by power iteration
     gram = {(i, j): first[f"g{i}_{j}"] / total / (goal[i] * goal[j]) ** 0.5 for i in used for j in used}
@@ -117,11 +118,11 @@ def rates(members: DataFrame, targets: dict[str, float], domains: tuple[str, ...
     rate, best = F.col("rate"), float("inf")
     for number in range(1, ROUNDS + 1):
         slope = {i: (now[i] - goal[i]) / goal[i] for i in used}
-        worst = max(abs(s) for s in slope.values())
-        if worst <= TOLERANCE or worst > 0.9999 * best and number > BLOCK:
+        loss = sum(s * s * goal[i] for i, s in slope.items())
+        if max(abs(s) for s in slope.values()) <= TOLERANCE or loss > 0.9999 * best:
             break
-        best = min(best, worst)
-        rate = F.greatest(F.lit(0.0), rate - F.lit(step) * sum((p[i] * F.lit(slope[i]) for i in used), F.lit(0.0)))
+        best = loss
+        rate = F.greatest(F.lit(float(floor)), rate - F.lit(step) * sum((p[i] * F.lit(slope[i]) for i in used), F.lit(0.0)))
         if number % BLOCK == 0:
             table, rate = common.stage(table.withColumn("rate", rate), "rates"), F.col("rate")
         sums = table.agg(*[F.sum(F.col("tokens") * p[i] * rate).alias(f"t{i}") for i in used]).first()
@@ -129,7 +130,7 @@ def rates(members: DataFrame, targets: dict[str, float], domains: tuple[str, ...
     return table.withColumn("rate", rate)
 
 
-def fit(docs: DataFrame, labels: DataFrame, targets: dict[str, float] | None = None, key: str = "doc_id", text: str = "text", keep_all: bool = False) -> DataFrame:
+def fit(docs: DataFrame, labels: DataFrame, targets: dict[str, float] | None = None, key: str = "doc_id", text: str = "text", floor: float = 0.0) -> DataFrame:
     """k, h1, h2, tokens, p, rate of every row; see posteriors and rates.
 
     `labels` has the columns quality and toxic. Null keys have no label but are mixed like
@@ -138,7 +139,7 @@ def fit(docs: DataFrame, labels: DataFrame, targets: dict[str, float] | None = N
     """
     labelled = labels.select(F.col("doc_id").alias("k"), label_domain().alias("domain")).where("domain is not null and k is not null")
     members = posteriors(docs, labelled, DOMAINS, key, text)
-    return rates(members, targets or TARGETS, DOMAINS, keep_all)
+    return rates(members, targets or TARGETS, DOMAINS, floor)
 
 
 def mix(docs: DataFrame, labels: DataFrame, targets: dict[str, float] | None = None, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -147,13 +148,13 @@ def mix(docs: DataFrame, labels: DataFrame, targets: dict[str, float] | None = N
     Targets are reached by repeating, not by dropping. A rate's fraction decides by a hash
     of key and text whether the row comes once more, so a run can be repeated exactly.
     """
-    found = fit(docs, labels, targets, key, text, keep_all=True)
+    found = fit(docs, labels, targets, key, text, floor=1.0)
     # the rate depends on the text alone
     chosen = common.stage(found.groupBy("h1", "h2").agg(F.max("rate").alias("__rate")), "chosen")
     t = F.coalesce(F.col(text).cast("string"), F.lit(""))
     keyed = docs.withColumns({"__h1": F.xxhash64(t), "__h2": F.xxhash64(F.lit(7), t)})
     joined = keyed.join(chosen.select(F.col("h1").alias("__h1"), F.col("h2").alias("__h2"), "__rate"), ["__h1", "__h2"], "left")
-    rate = F.greatest(F.lit(1.0), F.coalesce("__rate", F.lit(1.0)))
+    rate = F.coalesce("__rate", F.lit(1.0))
     part = F.pmod(F.xxhash64(F.col(key).cast("bigint"), "__h1"), F.lit(1_000_003)) / 1_000_003
     times = (F.floor(rate) + (part < rate - F.floor(rate)).cast("int")).cast("int")
     return joined.withColumn("__copy", F.explode(F.sequence(F.lit(1), times))).select(*docs.columns)

@@ -32,12 +32,14 @@ def unite(nodes, links):
     return {n: find(n) for n in nodes}
 
 
-@pytest.mark.parametrize("seed", range(3))
-def test_components_are_union_find(spark, seed):
+@pytest.mark.parametrize(("seed", "most"), [(0, 20), (1, 1_000_000), (2, 50)])
+def test_components_are_union_find(spark, seed, most):
     draw = random.Random(seed)
     links = [(draw.randint(0, 60), draw.randint(0, 60)) for _ in range(40)] + [(100 + i, 101 + i) for i in range(30)] + [(200, i) for i in range(201, 240)]
     frame = spark.createDataFrame([*links, (None, 3), (7, 7)], "a bigint, b bigint")
-    found = {r.node: r.root for r in components(frame).collect()}
+    rows = components(frame, links_per_task=most).collect()
+    found = {r.node: r.root for r in rows}
+    assert len(rows) == len(found)
     wanted = unite({n for link in links for n in link}, links)
     assert found == {n: r for n, r in wanted.items() if n != r}
     assert components(frame.where("false")).count() == 0

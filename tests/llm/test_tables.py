@@ -91,28 +91,38 @@ def test_posteriors_against_counts(spark):
         assert found[key].p == pytest.approx(share.tolist()) and found[key].tokens == len(words)
 
 
-@pytest.mark.parametrize("keep_all", [False, True])
-def test_rates_against_numpy(spark, keep_all):
+@pytest.mark.parametrize("floor", [0.0, 1.0])
+def test_rates_against_numpy(spark, floor):
     draw = np.random.default_rng(3)
     p = draw.dirichlet([0.4, 0.3, 0.3], 300)
     tokens = draw.integers(0, 500, 300)
     members = spark.createDataFrame([(i, int(t), q.tolist()) for i, (t, q) in enumerate(zip(tokens, p, strict=True))], "k bigint, tokens bigint, p array<double>")
-    targets = {"a": 0.7, "b": 0.28, "c": 0.02}
-    rows = sorted(M.rates(members, targets, ("a", "b", "c"), keep_all).collect(), key=lambda r: r.k)
+    targets = {"a": 0.45, "b": 0.35, "c": 0.2}
+    rows = sorted(M.rates(members, targets, ("a", "b", "c"), floor).collect(), key=lambda r: r.k)
     rate = np.array([r.rate for r in rows])
     total = tokens.sum()
     now = p.T @ tokens / total
     goal = np.array(list(targets.values()))
-    goal = goal * (now / goal).max() if keep_all else goal
+    goal = goal * (now / goal).max() if floor else goal
     # the same descent in numpy
     gram = (p * tokens[:, None]).T @ p / total / np.sqrt(np.outer(goal, goal))
     step, mine = 1 / np.linalg.eigvalsh(gram).max(), np.ones(300)
-    for _ in range(5000):
-        mine = np.maximum(0, mine - step * (p @ ((p.T @ (tokens * mine) / total - goal) / goal)))
-    assert (rate >= 0).all() and np.abs(p.T @ (tokens * rate) / total / goal - 1).max() <= 2e-3
-    assert np.abs(rate - mine).max() < 0.05
-    if keep_all:
-        assert rate.min() > 0.99
+    for _ in range(2000):
+        mine = np.maximum(floor, mine - step * (p @ ((p.T @ (tokens * mine) / total - goal) / goal)))
+    loss = [((p.T @ (tokens * r) / total - goal) ** 2 / goal).sum() for r in (np.ones(300), rate, mine)]
+    assert (rate >= floor).all() and np.abs(rate - mine).max() < 0.1 and loss[1] <= loss[2] + 1e-3 * loss[0]
+    if not floor:
+        assert np.abs(p.T @ (tokens * rate) / total / goal - 1).max() <= 2e-3
+
+
+def test_targets_out_of_reach_end_at_the_least_squares(spark):
+    # both documents are half one domain, so nine tenths of one cannot be reached
+    members = spark.createDataFrame([(1, 10, [0.5, 0.5]), (2, 30, [0.5, 0.5])], "k bigint, tokens bigint, p array<double>")
+    rows = M.rates(members, {"a": 0.9, "b": 0.1}, ("a", "b")).collect()
+    share = sum(r.tokens * r.rate for r in rows) / 80
+    loss = lambda x: (x - 0.9) ** 2 / 0.9 + (x - 0.1) ** 2 / 0.1
+    assert loss(share) == pytest.approx(min(loss(x) for x in np.linspace(0, 1, 10_001)), rel=1e-3)
+    assert {r.rate for r in M.rates(members, {"a": 0.0, "x": 1.0}, ("a", "b")).collect()} == {1.0}
 
 
 def test_mixing_of_edge_documents(edge_docs, no_docs, labels):
