@@ -10,8 +10,8 @@ from cindergrid.llm import common
 BUCKETS = 1 << 14  # of hashed words
 EVIDENCE = 64.0  # words of a text that count as independent
 TOLERANCE = 1e-3  # relative distance from every target
-ROUNDS = 200  # gradient steps at most; infeasible targets end sooner, when steps no longer help
-BLOCK = 8  # steps between two writes of the rates
+ROUNDS = 200  # gradient steps at most; they end sooner when BLOCK of them no longer save a hundredth
+BLOCK = 8  # also the steps between two writes of the rates
 
 DOMAINS = ("clean", "low", "toxic")
 TARGETS = {"clean": 0.85, "low": 0.05, "toxic": 0.10}
@@ -119,9 +119,12 @@ def rates(members: DataFrame, targets: dict[str, float], domains: tuple[str, ...
     for number in range(1, ROUNDS + 1):
         slope = {i: (now[i] - goal[i]) / goal[i] for i in used}
         loss = sum(s * s * goal[i] for i, s in slope.items())
-        if max(abs(s) for s in slope.values()) <= TOLERANCE or loss > 0.9999 * best:
+        if max(abs(s) for s in slope.values()) <= TOLERANCE:
             break
-        best = loss
+        if number % BLOCK == 1:
+            if loss > 0.99 * best:
+                break
+            best = loss
         rate = F.greatest(F.lit(float(floor)), rate - F.lit(step) * sum((p[i] * F.lit(slope[i]) for i in used), F.lit(0.0)))
         if number % BLOCK == 0:
             table, rate = common.stage(table.withColumn("rate", rate), "rates"), F.col("rate")

