@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import os
-import tempfile
 from dataclasses import dataclass
 from typing import Callable
 
@@ -11,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cindergrid.catalog import views
+from cindergrid.session import shared_folder
 
 
 @dataclass
@@ -74,7 +74,4 @@ def run(entry: Entry, spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def scratch(spark: SparkSession, label: str) -> str:
     """A fresh folder under the cluster's shared checkpoint folder."""
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if root:
-        return f"{root.rstrip('/')}/{label}-{os.urandom(6).hex()}"
-    return tempfile.mkdtemp(prefix=f"spark-{label}-", dir="/tmp")
+    return f"{shared_folder(spark)}/{label}-{os.urandom(6).hex()}"

@@ -71,6 +71,47 @@ def m3(t):
     return ranking.ranking_metrics(t.predictions, **P)
 
 
+# scores and weights that are missing or not a number in some rows
+_GAPS = """, CASE WHEN lat_key % 7 = 0 THEN NULL WHEN lon_key % 11 = 0 THEN CAST('NaN' AS DOUBLE) ELSE prob_raw END AS p,
+    CASE WHEN lat_key % 5 = 0 AND lon_key % 3 = 0 THEN NULL ELSE eval_weight END AS w FROM predictions"""
+_VALID = "WHERE p IS NOT NULL AND NOT ISNAN(p) AND w IS NOT NULL"
+
+
+def _gaps(t):
+    c = F.col
+    return t.predictions.withColumns(
+        {
+            "p": F.when(c("lat_key") % 7 == 0, None).when(c("lon_key") % 11 == 0, float("nan")).otherwise(c("prob_raw")),
+            "w": F.when((c("lat_key") % 5 == 0) & (c("lon_key") % 3 == 0), None).otherwise(c("eval_weight")),
+        }
+    )
+
+
+@query(
+    "m1_missing_scores",
+    "model_name support:i weighted_support:d4 brier_score:d9 log_loss:d9 mean_probability:d9 prevalence:d9",
+    f"""g AS (SELECT model_name, is_fire{_GAPS})
+       SELECT model_name, COUNT(*) AS support, SUM(w) AS weighted_support, SUM(w*POWER(p-is_fire,2))/SUM(w) AS brier_score,
+       -SUM(w*(is_fire*LN(p)+(1-is_fire)*LN(1-p)))/SUM(w) AS log_loss, SUM(w*p)/SUM(w) AS mean_probability,
+       SUM(w*is_fire)/SUM(w) AS prevalence FROM g {_VALID} GROUP BY 1""",
+    "predictions",
+)
+def m1_missing(t):
+    return ranking.weighted_scores(_gaps(t), p="p", w="w", group=G)
+
+
+@query(
+    "m3_missing_scores", "model_name average_precision:d9 roc_auc:d9",
+    f"""g AS (SELECT model_name, is_fire{_GAPS}),
+      """ + RANKED.replace("FROM predictions", f"FROM g {_VALID}").replace("prob_raw", "p").replace("eval_weight", "w")
+    + """SELECT model_name, SUM(pos*tp/(tp+fp))/MAX(tot) AS average_precision,
+        SUM(neg*(tp-pos/2))/(MAX(tot)*MAX(totn)) AS roc_auc FROM rk GROUP BY 1""",
+    "predictions",
+)
+def m3_missing(t):
+    return ranking.ranking_metrics(_gaps(t), p="p", w="w", group=G)
+
+
 @query(
     "m4_threshold_metrics",
     "model_name tp:d1 fp:d1 fn:d1 tn:d1 precision:d9 recall:d9 f1:d9 accuracy:d9 fpr:d9 fnr:d9",
@@ -243,11 +284,20 @@ def m11(t):
     return ranking.best_f1(ranked, G, "lowest", min_precision=0.2, min_recall=0.4)
 
 
-@query("m12_f1_threshold_highest", _F1_SHAPE, _f1_sql(UNWEIGHTED, "DESC"), "predictions")
+@query(
+    "m12_f1_threshold_highest", _F1_SHAPE,
+    UNWEIGHTED + """, f AS (SELECT model_name, s AS threshold, 2*tp/(tp+fp+tot) AS f1,
+        tp/(tp+fp) AS precision, tp/tot AS recall, tp+fp AS predicted_weight FROM rk),
+      b AS (SELECT model_name, MAX(f1) AS top FROM f GROUP BY 1),
+      p AS (SELECT f.*, ROW_NUMBER() OVER (PARTITION BY model_name ORDER BY threshold DESC) AS k
+            FROM f JOIN b USING (model_name) WHERE ABS(f1-top) <= 1e-8 + 1e-5*top)
+      SELECT model_name, threshold, f1, precision, recall, predicted_weight FROM p WHERE k=1""",
+    "predictions",
+)
 def m12(t):
     ranked = ranking.ranked_scores(t.predictions, p="prob_raw", w=None, group=G)
     # no score reaches this precision, so the constraint is ignored
-    return ranking.best_f1(ranked, G, "highest", min_precision=1.1, unsatisfied="ignore")
+    return ranking.best_f1(ranked, G, "highest", min_precision=1.1, unsatisfied="ignore", close=True)
 
 
 @query(

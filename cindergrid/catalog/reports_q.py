@@ -612,8 +612,8 @@ def _metric_table(t):
 
 
 @query(
-    "d28_ablation_deltas", "variant region period mean_prob:d9 brier_score:d9 delta_mean_prob:d9 delta_brier_score:d9",
-    _METRICS_SQL + """SELECT a.*, a.mean_prob-f.mean_prob AS delta_mean_prob, a.brier_score-f.brier_score AS delta_brier_score
+    "d28_ablation_deltas", "variant region period mean_prob:d9 brier_score:d9 delta_mean_prob_vs_full:d9 delta_brier_score_vs_full:d9",
+    _METRICS_SQL + """SELECT a.*, f.mean_prob-a.mean_prob AS delta_mean_prob_vs_full, f.brier_score-a.brier_score AS delta_brier_score_vs_full
       FROM mt a LEFT JOIN mt f ON f.variant='v0' AND f.region=a.region AND f.period=a.period""",
     "predictions",
 )

@@ -92,8 +92,8 @@ def a6(t):
 
 @query(
     "a7_deaccumulate", "date:t lat_key:i lon_key:i v:d3",
-    """SELECT date, lat_key, lon_key, COALESCE(GREATEST(v - LAG(v) OVER (PARTITION BY lat_key,
-         lon_key ORDER BY date), 0), v) AS v FROM cube""",
+    """SELECT date, lat_key, lon_key, CASE WHEN b IS NULL THEN v WHEN v > b THEN v - b ELSE 0 END AS v
+       FROM (SELECT *, LAG(v) OVER (PARTITION BY lat_key, lon_key ORDER BY date) AS b FROM cube)""",
     "cube",
 )
 def a7(t):

@@ -10,8 +10,16 @@ from pyspark.sql import functions as F
 EPS = 1e-12
 
 
+def clip(x, low=None, high=None) -> Column:
+    """x held between two bounds; NULL and NaN give NULL (greatest and least would skip them)."""
+    v = _c(x)
+    kept = v if low is None else F.greatest(v, F.lit(low))
+    kept = kept if high is None else F.least(kept, F.lit(high))
+    return F.when(v.isNotNull() & ~F.isnan(v.cast("double")), kept)
+
+
 def clip_probability(p, eps: float = EPS) -> Column:
-    return F.least(F.greatest(_c(p), F.lit(eps)), F.lit(1.0 - eps))
+    return clip(p, eps, 1.0 - eps)
 
 
 def logit(p) -> Column:
@@ -27,8 +35,7 @@ def sigmoid(x) -> Column:
 
 
 def intensity_to_probability(rate) -> Column:
-    lam = F.least(F.greatest(_c(rate), F.lit(0.0)), F.lit(50.0))
-    return -F.expm1(-lam)
+    return -F.expm1(-clip(rate, 0.0, 50.0))
 
 
 def prior_shift(p, train_prior: float, deploy_prior: float, is_logit: bool = False) -> Column:

@@ -9,12 +9,15 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from cindergrid.functions.labels import finite
-from cindergrid.functions.probability import EPS, logit, ratio, sigmoid
+from cindergrid.functions.probability import EPS, clip, logit, ratio, sigmoid
 from cindergrid.operators.ranking import best_f1, exact_quantiles, row_positions, running_sums
 
 # --- Platt ----------------------------------------------------------------------
 
 
+MAX_LEVELS = 1000  # dummy levels that one fit takes
+
+
 class PlattCalibrator:
     """Weighted unpenalised logistic fit of the label on logit(score) and dummies.
 
@@ -34,26 +37,23 @@ class PlattCalibrator:
     def _terms(self):
         terms = [logit(self.score)]
         for c in self.dummies:
-            # the first level is the base
-            terms += [
-                (F.col(c).cast("string") == v).cast("double") for v in self.levels[c][1:]
-            ]
+            # every level has a term, so that an unknown one gets no other level's effect
+            terms += [(F.col(c).cast("string") == v).cast("double") for v in self.levels[c]]
         return terms
 
     def fit(self, df) -> "PlattCalibrator":
-        y, w = F.col(self.label).cast("double"), F.col(self.weight).cast("double")
-        clean = df.filter(
-            finite(self.score).isNotNull() & finite(self.weight).isNotNull() & (w > 0)
-        )
+        y, w = F.col(self.label).cast("double"), F.coalesce(finite(self.weight), F.lit(1.0))
+        clean = df.filter(finite(self.score).isNotNull() & y.isNotNull() & (w > 0))
         row = clean.agg(F.sum(y * w).alias("p"), F.sum((1 - y) * w).alias("n")).first()
         pos, neg = row["p"] or 0.0, row["n"] or 0.0
         if pos <= 0 or neg <= 0:
             self.constant = pos / (pos + neg) if pos + neg > 0 else 0.0
             return self
         for c in self.dummies:
-            self.levels[c] = sorted(
-                r[0] for r in clean.select(F.col(c).cast("string")).distinct().collect()
-            )
+            found = clean.select(F.col(c).cast("string").alias("v")).dropna().distinct().limit(MAX_LEVELS + 1).collect()
+            if len(found) > MAX_LEVELS:
+                raise ValueError(f"{c} has more than {MAX_LEVELS} levels")
+            self.levels[c] = sorted(r["v"] for r in found)
         names = [f"_x{i}" for i in range(len(self._terms()))]
         # equal inputs are merged first: the fit depends on weight sums only
         table = (
@@ -206,7 +206,7 @@ def platt_with_prevalence(df, score="prob_raw", label="is_fire", weight="eval_we
         )
     ).scalar()
     scaled = fitted.withColumn("_k", scale).withColumn(
-        out, F.least(F.greatest(F.col(out) * F.col("_k.k"), F.lit(0.0)), F.lit(1.0))
+        out, clip(F.col(out) * F.col("_k.k"), 0.0, 1.0)
     ).drop("_k")
     method = "platt" if model.constant is None else "count_ratio"
     return scaled, calibration_metadata(scaled, method, score, label, weight, out)

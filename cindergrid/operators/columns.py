@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cindergrid.functions.labels import finite
+from cindergrid.functions.probability import clip
 
 
 def drop_sea_rows(df, threshold=70.0, column="landseamask") -> DataFrame:
@@ -15,7 +16,7 @@ def drop_sea_rows(df, threshold=70.0, column="landseamask") -> DataFrame:
 
 
 def clip_unit(x):
-    return F.least(F.greatest(x, F.lit(0.0)), F.lit(1.0))
+    return clip(x, 0.0, 1.0)
 
 
 def minmax_scores(df, column, out) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cindergrid.functions.probability import logit, ratio
+from cindergrid.functions.probability import clip, logit, ratio
 from cindergrid.operators import ranking, sampling, spatial, summaries
 from cindergrid.operators.columns import minmax_scores
 from cindergrid.operators.regions import region_rows
@@ -56,7 +56,6 @@ def yearly_summary(df, threshold, key, group=("split", "year"), y="is_fire", p="
     t = _join([scores.drop("weighted_support"), hit, rank, best, top, ece, means, quantiles], g)
     ap, pi = F.col("average_precision"), F.col("prevalence")
     norm = F.when(pi < 1, (ap - pi) / (1 - pi))
-    bound = lambda x, lo, hi: F.least(F.greatest(x, F.lit(lo)), F.lit(hi))
     return t.withColumns(
         {
             "average_precision_lift": ratio(ap, pi),
@@ -65,8 +64,8 @@ def yearly_summary(df, threshold, key, group=("split", "year"), y="is_fire", p="
             "f1_gap": F.col("best_f1") - F.col("f1"),
             "threshold_logit_delta": logit("best_f1_threshold") - logit(F.lit(float(threshold))),
             "score_gap": F.col("pos_mean") - F.col("neg_mean"),
-            "ranking_difficulty": 100.0 * (1 - bound(norm, 0.0, 1.0)),
-            "auc_difficulty": 100.0 * (1 - bound(F.col("roc_auc"), 0.5, 1.0)) / 0.5,
+            "ranking_difficulty": 100.0 * (1 - clip(norm, 0.0, 1.0)),
+            "auc_difficulty": 100.0 * (1 - clip(F.col("roc_auc"), 0.5, 1.0)) / 0.5,
             "operational_difficulty": 100.0 * (1 - F.col("f1")),
         }
     )

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from cindergrid.functions.labels import finite
-from cindergrid.functions.probability import ratio
+from cindergrid.functions.probability import clip, ratio
 from cindergrid.operators.ranking import exact_quantiles
 
 
@@ -168,7 +168,7 @@ def weighted_statistics(df, columns, weight="eval_weight") -> DataFrame:
     )
     return wide.select(rows.alias("x")).select(
         "x.column", F.col("x.mean").alias("mean"),
-        F.sqrt(F.greatest(F.col("x.square") - F.col("x.mean") * F.col("x.mean"), F.lit(0.0)))
+        F.sqrt(clip(F.col("x.square") - F.col("x.mean") * F.col("x.mean"), 0.0))
         .alias("std"),
     )
 
@@ -185,7 +185,7 @@ def back_transform(coefficients, stats, intercept: float) -> DataFrame:
 
 
 def log_population(df, column="population") -> DataFrame:
-    return df.withColumn(column, F.log1p(F.greatest(finite(column), F.lit(0.0))))
+    return df.withColumn(column, F.log1p(clip(finite(column), 0.0)))
 
 
 def column_union(frames) -> DataFrame:

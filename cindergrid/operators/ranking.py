@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from cindergrid.functions.labels import finite
-from cindergrid.functions.probability import EPS, clip_probability, logit, ratio, ratio_or_zero
+from cindergrid.functions.probability import EPS, clip, clip_probability, logit, ratio, ratio_or_zero
 
 BUCKET_BITS = 10
 ROWS_PER_BUCKET = 250_000
@@ -285,11 +285,12 @@ def pr_curve_sampled(curve: DataFrame, max_points: int) -> DataFrame:
 
 
 def best_f1(ranked: DataFrame, group=(), ties="highest", min_precision=None, min_recall=None,
-            unsatisfied="default", epsilon=0.0) -> DataFrame:
+            unsatisfied="default", epsilon=0.0, close=False) -> DataFrame:
     """F1-optimal score per group from a ranked table.
 
     ties: which score wins equal F1 ("highest" or "lowest"). If no score meets
     the constraints, "default" yields threshold 0.5 and "ignore" drops them.
+    close: F1 values within 1e-5 of the best, relatively, count as equal to it.
     """
     tp, fp = F.col("cum_pos"), F.col("cum_neg")
     prec, rec = ratio_or_zero(tp, tp + fp), ratio_or_zero(tp, F.col("tot_pos"))
@@ -305,7 +306,16 @@ def best_f1(ranked: DataFrame, group=(), ties="highest", min_precision=None, min
         ok = ok & (rec >= min_recall)
     s = F.col("score")
     # 12 decimals stand for "equal" F1, so ties do not hang on float noise
-    order = F.struct(F.round(f1, 12).alias("f"), (s if ties == "highest" else -s).alias("s"))
+    level = F.round(f1, 12)
+    if close:
+        key = list(group) or ["_all"]
+        ranked = ranked if group else ranked.withColumn("_all", F.lit(1))
+        tops = ranked.groupBy(*key).agg(F.max(F.when(ok, f1)).alias("_top"), F.max(f1).alias("_top_any"))
+        ranked = ranked.join(tops, key)
+        top = F.col("_top") if unsatisfied == "default" else F.coalesce("_top", "_top_any")
+        # whoever is near enough shares the first place
+        level = F.when(f1 >= top * (1 - 1e-5) - 1e-8, F.lit(2.0)).otherwise(F.round(f1, 12) - 1)
+    order = F.struct(level.alias("f"), (s if ties == "highest" else -s).alias("s"))
     pick = F.struct(
         s.alias("threshold"), f1.alias("f1"), prec.alias("precision"), rec.alias("recall"),
         (tp + fp).alias("predicted_weight"),
@@ -523,7 +533,7 @@ def reliability_summary(bins: DataFrame, group=()) -> DataFrame:
 
 def ece_uniform(df, bins=10, y="is_fire", p="prob", group=()) -> DataFrame:
     """Unweighted ECE over equal-width bins, the last one closed on the right."""
-    b = F.least(F.floor(F.col(p) * bins), F.lit(bins - 1))
+    b = clip(F.floor(F.col(p) * bins), None, bins - 1)
     t = df.groupBy(*group, b.alias("bin")).agg(
         F.count(F.lit(1)).alias("n"), F.avg(p).alias("mp"), F.avg(y).alias("my")
     )

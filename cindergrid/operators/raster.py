@@ -14,6 +14,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from cindergrid.functions.probability import clip
+
 
 def _line(axis, order, lo, hi, group=()):
     return Window.partitionBy(*group, axis).orderBy(order).rangeBetween(lo, hi)
@@ -60,7 +62,7 @@ _STATS = ("n", "s", "q", "lo", "hi")
 
 def _finish(prefix="") -> dict[str, Column]:
     n, s, q = F.col("n"), F.col("s"), F.col("q")
-    var = F.greatest(q / n - (s / n) * (s / n), F.lit(0.0))
+    var = clip(q / n - (s / n) * (s / n), 0.0)
     return {
         f"{prefix}min": F.col("lo"),
         f"{prefix}max": F.col("hi"),
@@ -149,7 +151,7 @@ def gradient_statistics(grid, h: int, res_r: float, res_c: float, value="v", gro
 def insertion_index(x, start: float, step: float, size: int) -> Column:
     """First axis position whose coordinate is >= the value, clamped (ascending axis)."""
     v = F.col(x) if isinstance(x, str) else x
-    return F.least(F.greatest(F.ceil((v - start) / step), F.lit(0)), F.lit(size - 1)).cast("long")
+    return clip(F.ceil((v - start) / step), 0, size - 1).cast("long")
 
 
 def attach_box_statistics(points, stats, axis_r, axis_c, lat="latitude", lon="longitude") -> DataFrame:

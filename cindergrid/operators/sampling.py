@@ -247,16 +247,8 @@ def stratum_quotas(positives, positive_fraction=0.10, weights=None) -> DataFrame
     ).drop("_floor", "_frac")
 
 
-def stratified_negatives(
-    positives, cells, start, end, positive_fraction=0.10, weights=None, buffer_cells=1,
-    buffer_days=1, draws=8, near=(2, 5, 7), per_city_cell=1, seed=42,
-) -> DataFrame:
-    """Matched negatives: all strata at once, a cell-day belongs to its first stratum.
-
-    Candidates inside the positive buffer are removed, quotas are filled in hash
-    order, and what a stratum could not fill comes from the background. The
-    candidates are written once to the checkpoint folder.
-    """
+def _candidates(positives, cells, start, end, buffer_cells, buffer_days, draws, near, per_city_cell, seed) -> DataFrame:
+    """Free candidate cell-days of all strata, each with the first stratum that drew it."""
     from cindergrid.operators.grids import drop_buffered
 
     parts = []
@@ -284,9 +276,32 @@ def stratified_negatives(
     row = F.struct("_p", "_h", "stratum", "distance", "gap_days")
     one = pool.groupBy(*CELL_DAY).agg(F.min(row).alias("_r")).select(*CELL_DAY, "_r.*")
     # both the quota table and the draw read the candidates
-    free = cut(drop_buffered(one, positives, buffer_cells, buffer_days))
+    return cut(drop_buffered(one, positives, buffer_cells, buffer_days))
+
 
+def stratified_negatives(
+    positives, cells, start, end, positive_fraction=0.10, weights=None, buffer_cells=1,
+    buffer_days=1, draws=8, near=(2, 5, 7), per_city_cell=1, seed=42,
+) -> DataFrame:
+    """Matched negatives: all strata at once, a cell-day belongs to its first stratum.
+
+    Candidates inside the positive buffer are removed, quotas are filled in hash
+    order, and what a stratum could not fill comes from the background. The
+    candidates are written once to the checkpoint folder.
+    """
     quotas = stratum_quotas(positives, positive_fraction, weights)
+    want = quotas.agg(F.max("target")).first()[0] or 0
+    before = -1
+    while True:
+        free = _candidates(positives, cells, start, end, buffer_cells, buffer_days, draws, near, per_city_cell, seed)
+        counts = {r["stratum"]: r["_have"] for r in free.groupBy("stratum").agg(F.count(F.lit(1)).alias("_have")).collect()}
+        asked = {r["stratum"]: r["quota"] for r in quotas.collect()}
+        held = sum(min(n, asked.get(s, 0)) for s, n in counts.items() if s != "random_background")
+        # more draws, until the target is met or they find no further cell-day
+        if held + counts.get("random_background", 0) >= want or sum(counts.values()) <= before:
+            break
+        before, draws = sum(counts.values()), draws * 4
+
     have = free.groupBy("stratum").agg(F.count(F.lit(1)).alias("_have"))
     plan = quotas.join(have, "stratum", "left").withColumn("_have", F.coalesce("_have", F.lit(0)))
     filled = F.least("quota", "_have")
@@ -344,8 +359,10 @@ def area_negatives(
         F.col(name).alias("country"), F.array_min(xs).alias("x0"), F.array_max(xs).alias("x1"),
         F.array_min(ys).alias("y0"), F.array_max(ys).alias("y1"),
         F.round(kha * rate_per_kha_year * years).cast("long").alias("want"),
+        ((F.array_max(xs) - F.array_min(xs)) * (F.array_max(ys) - F.array_min(ys)) / (F.abs(cross) / 2)).alias("spread"),
     ).filter("want > 0")
-    draws = F.ceil(F.col("want") * oversample + 10)
+    # narrow polygons fill little of their box and need more draws
+    draws = F.ceil(F.col("want") * F.greatest(F.lit(oversample), 2 * F.col("spread")) + 10)
     parts = boxes.withColumn("_n", draws).withColumn(
         "_k", F.explode(F.sequence(F.lit(0), F.floor((F.col("_n") - 1) / chunk)))
     ).repartition("country", "_k")
@@ -405,30 +422,18 @@ def weighted_sample(grid, fraction, group, key, label="is_fire", keep_positives=
     return kept.unionByName(positives.select(*kept.columns))
 
 
-def lazy_sample(cells, labels, start, end, fraction, seed=42, slack=1.5) -> DataFrame:
+def lazy_sample(cells, labels, start, end, fraction, seed=42) -> DataFrame:
     """Weighted negatives of cells x days without building the cross product.
 
-    For every cell only the days whose hash falls under the (slightly enlarged)
-    fraction are produced; the exact number is then taken per country and month.
-    If the enlarged share ever held too few rows, the weight still uses the
-    number really taken, so weights keep adding up to the universe.
+    For every cell only the days whose hash falls under a share are produced, and
+    the exact number is then taken per country and month. The share exceeds what is
+    wanted by eight standard deviations and 40 rows, so a small country's month is
+    produced whole and a large one is never short.
     """
     first, last = F.lit(start).cast("date"), F.lit(end).cast("date")
-    limit = int(min(1.0, fraction * slack + 0.02) * 2**32)
-    days = F.filter(
-        F.sequence(first, last),
-        lambda d: F.conv(
-            F.substring(F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("country"), F.col("lat_key"),
-                                          F.col("lon_key"), d)), 1, 8), 16, 10
-        ).cast("long") < limit,
-    )
-    drawn = cells.select("country", "lat_key", "lon_key", F.explode(days).alias("date"))
     pos = labels.select(*CELL_DAY).distinct().join(
         cells.select("country", "lat_key", "lon_key"), ["country", "lat_key", "lon_key"], "left_semi"
     ).filter(F.col("date").between(first, last))
-    negatives = drawn.join(pos, list(CELL_DAY), "left_anti").withColumns(
-        {"month": F.trunc("date", "month"), "_h": hash_of(seed, *CELL_DAY)}
-    )
     months = F.transform(
         F.sequence(F.trunc(first, "month"), last, F.expr("interval 1 month")), lambda m: m
     )
@@ -443,6 +448,22 @@ def lazy_sample(cells, labels, start, end, fraction, seed=42, slack=1.5) -> Data
         F.datediff(F.least(F.last_day("month"), last), F.greatest(F.col("month"), first)) + 1,
     ).withColumn("_neg", F.col("_c") * F.col("_days") - F.coalesce("_pos", F.lit(0)))
     want = F.greatest(half_even(F.col("_neg") * F.lit(float(fraction))), F.lit(1))
+    share = (want + 8 * F.sqrt(want) + 40) / F.greatest(F.col("_neg"), F.lit(1))
+    # one small map of months for each country
+    limits = size.groupBy("country").agg(
+        F.map_from_entries(F.collect_list(F.struct("month", (share * 2.0**32).alias("limit")))).alias("_limits")
+    )
+    days = F.filter(
+        F.sequence(first, last),
+        lambda d: F.conv(
+            F.substring(F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("country"), F.col("lat_key"),
+                                          F.col("lon_key"), d)), 1, 8), 16, 10
+        ).cast("long") < F.element_at("_limits", F.trunc(d, "month")),
+    )
+    drawn = cells.join(limits, "country").select("country", "lat_key", "lon_key", F.explode(days).alias("date"))
+    negatives = drawn.join(pos, list(CELL_DAY), "left_anti").withColumns(
+        {"month": F.trunc("date", "month"), "_h": hash_of(seed, *CELL_DAY)}
+    )
     kept = take_by_hash(
         negatives, ["country", "month"], F.col("_want"),
         quotas=size.select("country", "month", "_neg", want.alias("_want")),

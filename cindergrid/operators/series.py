@@ -14,6 +14,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from cindergrid.functions.probability import clip
+
 CELL = ("lat_key", "lon_key")
 
 # --- lookback -------------------------------------------------------------------
@@ -128,7 +130,7 @@ def std(s, w):
         ),
         lambda acc: acc["b"] / w - (acc["a"] / w) * (acc["a"] / w),
     )
-    return F.sqrt(F.greatest(t, F.lit(0.0)))
+    return F.sqrt(clip(t, 0.0))
 
 
 def minimum(s, w):
@@ -182,9 +184,9 @@ def autocorr(s, k):
 
     def finish(t):
         va, vb = n * t["aa"] - t["a"] * t["a"], n * t["bb"] - t["b"] * t["b"]
-        return F.when(
-            (n > 1) & (va > 1e-9) & (vb > 1e-9), (n * t["ab"] - t["a"] * t["b"]) / F.sqrt(va * vb)
-        )
+        # relative to the squares, so that the unit of the series does not matter
+        varies = (va > 1e-12 * n * t["aa"]) & (vb > 1e-12 * n * t["bb"])
+        return F.when((n > 1) & varies, (n * t["ab"] - t["a"] * t["b"]) / (F.sqrt(va) * F.sqrt(vb)))
 
     return F.aggregate(pairs, zero, add, finish)
 

@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cindergrid.functions.cells import EARTH_RADIUS_KM, haversine_km
+from cindergrid.functions.probability import clip
 
 XY = ("longitude", "latitude")
 
@@ -182,7 +183,7 @@ def nearest_index(x, start: float, step: float, size: int) -> Column:
     t = (v - F.lit(start)) / F.lit(step)
     # the upper neighbour in coordinate order is the lower index on a descending axis
     near = F.floor(t + 0.5) if step > 0 else F.ceil(t - 0.5)
-    return F.least(F.greatest(near, F.lit(0)), F.lit(size - 1)).cast("long")
+    return clip(near, 0, size - 1).cast("long")
 
 
 def nearest_on_axis(rows, x, axis, value="axis_value", out="nearest", size=None) -> DataFrame:
@@ -319,26 +320,31 @@ def counts_within(
 
     Buckets wholly inside a radius add their pre-summed count; only buckets cut
     by a circle compare single event positions. Neither side is ever paired
-    with itself: positions and events are collapsed first.
+    with itself: positions and events are collapsed first. Buckets meet across 180
+    degrees, and near a pole a position looks all the way round.
     """
     top = max(radii_km)
     per_deg = math.pi * EARTH_RADIUS_KM / 180.0
+    ring = round(360 / size)
+    around = lambda b: F.pmod(b + ring // 2, F.lit(ring)) - ring // 2
     w = F.sum(weight) if weight else F.count(F.lit(1))
     spots_ev = events.groupBy(F.col(x).alias("_ex"), F.col(y).alias("_ey")).agg(
         w.cast("double").alias("_n")
-    ).withColumns({"_bx": _bucket(F.col("_ex"), size), "_by": _bucket(F.col("_ey"), size)})
+    ).withColumns({"_bx": around(_bucket(F.col("_ex"), size)), "_by": _bucket(F.col("_ey"), size)})
     totals = spots_ev.groupBy("_bx", "_by").agg(F.sum("_n").alias("_total"))
 
     spots = points.select(x, y).distinct()
     pad_lat = top / per_deg
-    lim = F.least(F.abs(F.col(y)) + pad_lat, F.lit(89.0))
-    pad_lon = F.lit(pad_lat) / F.cos(F.radians(lim))
-    reach = spots.withColumn(
+    lim = F.abs(F.col(y)) + pad_lat
+    pad_lon = F.when(lim >= 89.0, 180.0).otherwise(clip(F.lit(pad_lat) / F.cos(F.radians(lim)), None, 180.0))
+    west = _bucket(F.col(x) - pad_lon, size)
+    east = F.least(_bucket(F.col(x) + pad_lon, size), west + (ring - 1))
+    reach = spots.filter(F.col(x).isNotNull() & F.col(y).isNotNull()).withColumn(
         "_by",
         F.explode(F.sequence(_bucket(F.col(y) - pad_lat, size), _bucket(F.col(y) + pad_lat, size))),
     ).withColumn(
         "_bx",
-        F.explode(F.sequence(_bucket(F.col(x) - pad_lon, size), _bucket(F.col(x) + pad_lon, size))),
+        F.explode(F.transform(F.sequence(west, east), around)),
     )
     hd = _half_diagonal_km(size)
     centre = haversine_km(y, x, (F.col("_by") + 0.5) * size, (F.col("_bx") + 0.5) * size)

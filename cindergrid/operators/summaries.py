@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from cindergrid.functions.calendar import period_end, period_start
 from cindergrid.functions.labels import finite
-from cindergrid.functions.probability import ratio
+from cindergrid.functions.probability import clip, ratio
 from cindergrid.operators.raster import gaussian_smooth
 from cindergrid.operators.regions import region_rows
 
@@ -241,7 +241,7 @@ def monthly_scales(monthly, enabled=True) -> DataFrame:
     return monthly.withColumn("probability_scale", scale).withColumns(
         {
             "mean_before": before,
-            "mean_after": F.least(before * F.col("probability_scale"), F.lit(1.0)),
+            "mean_after": clip(before * F.col("probability_scale"), None, 1.0),
             "observed_prevalence": F.when(s > 0, o / s).otherwise(0.0),
         }
     )
@@ -360,13 +360,13 @@ def best_rows(long, group=("metric", "region", "split"), model="model_name") ->
 
 
 def ablation_deltas(table, metrics, keys=("region", "period"), variant="variant", full="full"):
-    """Difference of each variant's metrics to the `full` variant of the same row."""
+    """What the `full` variant of the same row has more of each metric than the variant."""
     base = table.filter(F.col(variant) == full).select(
         *keys, *[F.col(m).alias(f"_f_{m}") for m in metrics]
     )
     out = table.join(base, list(keys), "left")
     return out.withColumns(
-        {f"delta_{m}": F.col(m) - F.col(f"_f_{m}") for m in metrics}
+        {f"delta_{m}_vs_full": F.col(f"_f_{m}") - F.col(m) for m in metrics}
     ).drop(*[f"_f_{m}" for m in metrics])
 
 
@@ -403,7 +403,7 @@ def importance_table(raw, method="method", group_of=None) -> DataFrame:
         {
             "group": group_of if group_of is not None else model_group("feature"),
             "importance_abs": F.abs(v),
-            "importance_positive": F.greatest(v, F.lit(0.0)),
+            "importance_positive": clip(v, 0.0),
         }
     )
     w = Window.partitionBy(method)

@@ -3,27 +3,30 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
 
-def checkpoint_folder(spark: SparkSession) -> str | None:
-    """The cluster's checkpoint folder; on a single machine a fresh local one.
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that driver and executors share, named by spark.checkpoint.dir.
 
-    A cluster that names no folder gets none: a machine-local path would be lost
-    with its executor.
+    A session on one machine that names none gets a fresh local folder. A cluster that
+    names none is refused: a machine-local path would be lost with its executor.
     """
-    sc = spark.sparkContext
-    if sc.getCheckpointDir():
-        return sc.getCheckpointDir()
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    if not named and sc.master.startswith("local"):
+    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not named:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         named = tempfile.mkdtemp(prefix="spark-ck-", dir="/tmp")
-    if named:
-        sc.setCheckpointDir(named)
-    return named
+        spark.conf.set("spark.checkpoint.dir", named)
+    return named.rstrip("/")
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Write an intermediate result that is read several times; no-op without a folder."""
-    return df.checkpoint() if checkpoint_folder(df.sparkSession) else df
+def cut(df: DataFrame, *columns: str) -> DataFrame:
+    """Write an intermediate result that is read several times, and read it again."""
+    spark = df.sparkSession
+    kept = df.select(*columns) if columns else df
+    path = f"{shared_folder(spark)}/stage-{uuid.uuid4().hex}"
+    kept.write.parquet(path)
+    return spark.read.schema(kept.schema).parquet(path)

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from cindergrid.functions.cells import in_box, wrap_longitude
 from cindergrid.functions.labels import finite
+from cindergrid.functions.probability import clip
 
 CELL = ("lat_key", "lon_key")
 
@@ -28,7 +29,7 @@ def deaccumulate(df, value="v", cell=CELL, time="date") -> DataFrame:
     """Daily amounts of a running total: the first value, then non-negative steps."""
     w = Window.partitionBy(*cell).orderBy(time)
     step = F.col(value) - F.lag(value).over(w)
-    return df.withColumn(value, F.coalesce(F.greatest(step, F.lit(0.0)), F.col(value)))
+    return df.withColumn(value, F.coalesce(clip(step, 0.0), F.col(value)))
 
 
 def magnitude(u, v, keys=("date", *CELL), value="v", out="speed") -> DataFrame:
@@ -100,10 +101,13 @@ def coverage_audit(fragments, variables, years, area, min_days_share=1.0) -> Dat
         (F.col("lat_min") <= lat0) & (F.col("lat_max") >= lat1)
         & (F.col("lon_min") <= lon0) & (F.col("lon_max") >= lon1)
     )
-    got = fragments.groupBy("variable", "year").agg(
-        F.max("days").alias("days"), F.bool_or(covers).alias("covers_area")
-    )
     expected = F.dayofyear(F.make_date("year", F.lit(12), F.lit(31)))
+    # both conditions must hold for one fragment; of several, the best one is reported
+    enough = F.coalesce(covers, F.lit(False)) & (F.col("days") >= expected * min_days_share)
+    order = F.struct(enough.alias("e"), F.coalesce(covers, F.lit(False)).alias("c"), F.col("days").alias("d"))
+    got = fragments.groupBy("variable", "year").agg(F.max(order).alias("_best")).select(
+        "variable", "year", F.col("_best.d").alias("days"), F.col("_best.c").alias("covers_area")
+    )
     plan = want.join(got, ["variable", "year"], "left").withColumn("expected_days", expected)
     reason = (
         F.when(F.col("days").isNull(), "missing_file")
