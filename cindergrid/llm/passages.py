@@ -200,7 +200,8 @@ def _exact(table: DataFrame) -> DataFrame:
                 )
 
     enough = lists.where(F.size("shared") >= 1)
-    joined = table.select("k", "keys", "starts", "ends", "counts").join(enough, "k")
+    # the lists grow with the corpus, so they are merged, not broadcast
+    joined = table.select("k", "keys", "starts", "ends", "counts").join(enough.hint("merge"), "k")
     return joined.mapInArrow(run, "k bigint, a int, b int, words int, keeper bigint").distinct()
 
 
@@ -230,7 +231,7 @@ def _near(docs: DataFrame, table: DataFrame, key: str, text: str) -> DataFrame:
                 types = ("int64", "int32", "int32", "int32", "int32", "binary")
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), types, strict=True)], ["k", "i", "a", "b", "words", "w"])
 
-    texts = docs.select(F.col(key).cast("bigint").alias("k"), F.col(text).cast("string").alias("t")).join(places, "k")
+    texts = docs.select(F.col(key).cast("bigint").alias("k"), F.col(text).cast("string").alias("t")).join(places.hint("merge"), "k")
     lines = texts.mapInArrow(cut, "k bigint, i int, a int, b int, words int, w binary").dropDuplicates(["k", "i"])
     lines = common.stage(lines, "paragraphs")
 
