@@ -480,7 +480,7 @@ def _model_query(name, fit):
 _model_query("n1_logistic", lambda d: models.fit_logistic(d, NUMERIC, ["country"], weight="eval_weight"))
 _model_query("n2_poisson_rate", lambda d: models.fit_poisson(d, NUMERIC))
 _model_query("n3_random_forest", lambda d: models.fit_forest(d, NUMERIC, ["country"]))
-_model_query("n4_boosted_trees", lambda d: models.fit_boosted(d, NUMERIC, ["country"]))
+_model_query("n4_boosted_trees", lambda d: models.fit_boosted(d, NUMERIC, ["country"], weight="eval_weight"))
 
 
 @query("m29_permutation_importance", "feature_group mean_drop:d6 std_drop:d6 trials:i")

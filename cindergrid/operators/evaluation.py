@@ -89,31 +89,49 @@ def metric_table(
 ) -> DataFrame:
     """Weighted metrics per model, region and scope, with bootstrap errors if asked."""
     g = [model, "region", "scope"]
-    # scores collapse per cell before rows are copied into regions and scopes
-    lean = df.groupBy(model, "lat_key", "lon_key", "date", y, p).agg(F.sum(w).alias(w))
-    rows = scoped_rows(lean, regions, periods)
-    collapsed = ranking.collapse(rows, y, p, w, g)
+    flags = {
+        f"_in_{i}": F.coalesce(F.col("date").between(F.lit(a).cast("date"), F.lit(b).cast("date")), F.lit(False))
+        for i, (a, b) in enumerate((periods or {}).values())
+    }
+    # scores collapse per cell, then per region and year, before they are copied into scopes
+    parts = ["_year", *flags]
+    dated = df.withColumns({"_year": F.year("date").cast("string"), **flags})
+    lean = dated.groupBy(model, "lat_key", "lon_key", *parts, y, p).agg(F.sum(w).alias(w))
+    inside = region_rows(lean, regions, include_global=True)
+    yearly = ranking.collapse(inside, y, p, w, [model, "region", *parts])
+    scopes = [F.lit("all"), F.col("_year")]
+    scopes += [F.when(F.col(f), name) for f, name in zip(flags, periods or {}, strict=True)]
+    scoped = yearly.withColumn("scope", F.explode(F.array_compact(F.array(*scopes))))
+    collapsed = scoped.groupBy(*g, "score").agg(*[F.sum(c).alias(c) for c in ("pos", "neg", "n")])
     ranked = ranking.running_sums(collapsed, "score", ["pos", "neg", "n"], g)
-    score = F.col("score")
+    score, tp, fp = F.col("score"), F.col("cum_pos"), F.col("cum_neg")
     n_w = F.col("pos") + F.col("neg")
-    sums = collapsed.groupBy(*g).agg(
+    f1 = F.coalesce(ratio(2 * tp, tp + fp + F.col("tot_pos")), F.lit(0.0))
+    # every metric is a sum or a best row of the one ranked table
+    table = ranked.groupBy(*g).agg(
         F.sum(n_w).alias("weighted_support"), F.sum("pos").alias("observed"),
         F.sum(score * n_w).alias("expected"),
         F.sum(F.col("pos") * (1 - score) * (1 - score) + F.col("neg") * score * score).alias("_b"),
         F.sum(-(F.col("pos") * F.log(score) + F.col("neg") * F.log1p(-score))).alias("_l"),
-    ).select(
+        F.sum(F.col("pos") * tp / (tp + fp)).alias("_step"),
+        F.sum(F.col("neg") * (tp - F.col("pos") / 2)).alias("_above"),
+        F.max("tot_pos").alias("_pos"), F.max("tot_neg").alias("_neg"),
+        F.max_by(F.struct(score.alias("s"), f1.alias("f")), F.struct(F.round(f1, 12).alias("f"), score.alias("s"))).alias("_best"),
+    )
+    both = (F.col("_pos") > 0) & (F.col("_neg") > 0)
+    out = table.select(
         *g, "weighted_support", "observed", "expected", ratio("_b", "weighted_support").alias("brier_score"),
         ratio("_l", "weighted_support").alias("log_loss"),
         ratio("expected", F.nullif("observed", F.lit(0.0))).alias("count_ratio"),
+        F.when(both, F.col("_step") / F.col("_pos")).alias("average_precision"),
+        F.when(both, F.col("_above") / (F.col("_pos") * F.col("_neg"))).alias("roc_auc"),
+        F.when(both, F.col("_best.f")).alias("max_f1"),
+        F.coalesce(F.when(both, F.col("_best.s")), F.lit(0.5)).alias("max_f1_threshold"),
     )
-    f1 = ranking.best_f1(ranked, g).select(
-        *g, F.col("f1").alias("max_f1"), F.col("threshold").alias("max_f1_threshold")
-    )
-    out = _join([sums, ranking.ranking_from_prefix(ranked, g), f1], g)
     if trials > 1:
-        scoped = scoped_rows(df, regions, periods)
+        copies = scoped_rows(df, regions, periods)
         errors = sampling.bootstrap_error(
-            scoped, key, lambda r, k: ranking.ranking_metrics(r, y, p, w, k), trials,
+            copies, key, lambda r, k: ranking.ranking_metrics(r, y, p, w, k), trials,
             group=g, label=y, p=p, w=w,
         )
         out = out.join(errors, g, "left")

@@ -285,37 +285,42 @@ def event_history(rows, events, radii, windows, days_since_radii=(), min_lag=30,
     has more than one record per calendar day in its window, however many rows
     or events it holds. windows: name -> (start lag, end lag), both included.
     """
-    from cindergrid.functions.cells import spread_to_neighbours
-
+    every = sorted({*radii, *days_since_radii})
     cell_day = events.groupBy(*key, date).agg(
         F.sum(F.greatest(F.col(weight), F.lit(1))).alias("_w")
     )
     wanted = rows.select(*key, date).distinct()
-    out = wanted
-    for r in sorted({*radii, *days_since_radii}):
-        near = spread_to_neighbours(cell_day, r).groupBy(*key, date).agg(F.sum("_w").alias("_w"))
-        both = near.withColumn("_row", F.lit(False)).unionByName(
-            wanted.withColumns({"_w": F.lit(0).cast("bigint"), "_row": F.lit(True)})
-        )
-        daily = both.groupBy(*key, date).agg(
-            F.sum("_w").alias("_w"), F.bool_or("_row").alias("_row")
-        ).withColumn("_t", F.datediff(date, F.lit("1970-01-01")))
-        w = Window.partitionBy(*key).orderBy("_t")
-        cols = {}
-        if r in radii:
-            for name, (start, end) in windows.items():
-                span = w.rangeBetween(-end, -start)
-                cols[f"past_event_count_r{r}_{name}"] = F.coalesce(
-                    F.sum("_w").over(span), F.lit(0)
-                )
-        if r in days_since_radii:
-            before = w.rangeBetween(Window.unboundedPreceding, -max(0, min_lag))
-            last = F.max(F.when(F.col("_w") > 0, F.col("_t"))).over(before)
-            gap = F.least(F.col("_t") - last, F.lit(cap + 1))
-            cols[f"days_since_event_r{r}"] = F.coalesce(gap, F.lit(cap + 1))
-        found = daily.withColumns(cols).filter("_row").select(*key, date, *cols)
-        out = out.join(found, [*key, date], "left")
-    return rows.join(out, [*key, date], "left")
+    # one spread to the widest radius; the distance says which radii see the event
+    widest = max(every)
+    span = range(-widest, widest + 1)
+    offsets = F.array(*[
+        F.struct(F.lit(i).alias("i"), F.lit(j).alias("j"), F.lit(max(abs(i), abs(j))).alias("d"))
+        for i in span for j in span
+    ])
+    lat, lon = key[-2:]
+    near = cell_day.withColumn("_o", F.explode(offsets)).withColumns(
+        {lat: F.col(lat) + F.col("_o.i"), lon: F.col(lon) + F.col("_o.j"), "_d": F.col("_o.d")}
+    )
+    both = near.select(*key, date, "_w", "_d", F.lit(False).alias("_row")).unionByName(
+        wanted.withColumns({"_w": F.lit(0).cast("bigint"), "_d": F.lit(0), "_row": F.lit(True)})
+    )
+    daily = both.groupBy(*key, date).agg(
+        *[F.sum(F.when(F.col("_d") <= r, F.col("_w")).otherwise(0)).alias(f"_w{r}") for r in every],
+        F.bool_or("_row").alias("_row"),
+    ).withColumn("_t", F.datediff(date, F.lit("1970-01-01")))
+    w = Window.partitionBy(*key).orderBy("_t")
+    cols = {}
+    for r in radii:
+        for name, (start, end) in windows.items():
+            total = F.sum(f"_w{r}").over(w.rangeBetween(-end, -start))
+            cols[f"past_event_count_r{r}_{name}"] = F.coalesce(total, F.lit(0))
+    for r in days_since_radii:
+        before = w.rangeBetween(Window.unboundedPreceding, -max(0, min_lag))
+        last = F.max(F.when(F.col(f"_w{r}") > 0, F.col("_t"))).over(before)
+        gap = F.least(F.col("_t") - last, F.lit(cap + 1))
+        cols[f"days_since_event_r{r}"] = F.coalesce(gap, F.lit(cap + 1))
+    found = daily.withColumns(cols).filter("_row").select(*key, date, *cols)
+    return rows.join(found, [*key, date], "left")
 
 
 # --- tensors --------------------------------------------------------------------
