@@ -151,7 +151,7 @@ def gradient_statistics(grid, h: int, res_r: float, res_c: float, value="v", gro
 def insertion_index(x, start: float, step: float, size: int) -> Column:
     """First axis position whose coordinate is >= the value, clamped (ascending axis)."""
     v = F.col(x) if isinstance(x, str) else x
-    return clip(F.ceil((v - start) / step), 0, size - 1).cast("long")
+    return clip(F.ceil(clip((v - start) / step)), 0, size - 1).cast("long")
 
 
 def attach_box_statistics(points, stats, axis_r, axis_c, lat="latitude", lon="longitude") -> DataFrame:

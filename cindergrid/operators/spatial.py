@@ -180,7 +180,7 @@ def _with_id(polygons) -> DataFrame:
 def nearest_index(x, start: float, step: float, size: int) -> Column:
     """Index of the nearest axis value; halves go up; ends clamp. step may be negative."""
     v = (F.col(x) if isinstance(x, str) else x).cast("double")
-    t = (v - F.lit(start)) / F.lit(step)
+    t = clip((v - F.lit(start)) / F.lit(step))
     # the upper neighbour in coordinate order is the lower index on a descending axis
     near = F.floor(t + 0.5) if step > 0 else F.ceil(t - 0.5)
     return clip(near, 0, size - 1).cast("long")
