@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from cindergrid.llm import common
 
 BUCKETS = 1 << 14  # of hashed words
+LABELLED_KEYS = 20_000  # most labelled keys that the classifier is counted on
 EVIDENCE = 64.0  # words of a text that count as independent
 TOLERANCE = 1e-3  # relative distance from every target
 ROUNDS = 200  # gradient steps at most; they end sooner when BLOCK of them no longer save a hundredth
@@ -39,17 +40,20 @@ def _bucket(word: Column) -> Column:
     return F.pmod(F.xxhash64(word), F.lit(BUCKETS)).cast("int")
 
 
-def posteriors(docs: DataFrame, labelled: DataFrame, domains: tuple[str, ...] = DOMAINS, key: str = "doc_id", text: str = "text") -> DataFrame:
+def posteriors(docs: DataFrame, labelled: DataFrame, domains: tuple[str, ...] = DOMAINS, key: str = "doc_id", text: str = "text", most: int = LABELLED_KEYS) -> DataFrame:
     """k, h1, h2, tokens and an array p of domain probabilities for every row.
 
-    A multinomial classifier over hashed words, counted over all labelled texts.
+    A multinomial classifier over hashed words, counted over the texts of at most `most`
+    labelled keys, those with the least hashes.
     `labelled` has the columns k and domain; a key with several domains counts for each.
     Long texts count as EVIDENCE words, which keeps memberships soft. Texts without words
     have the shares of the labelled words. Domains without labels get smoothed counts.
     """
     rows = _keyed(docs, key, text)
     own = labelled.where(F.col("domain").isin(*domains)).select(F.col("k").cast("bigint").alias("k"), "domain").distinct()
-    words = rows.join(own, "k").select("domain", F.explode(_words("t")).alias("w")).select("domain", _bucket(F.col("w")).alias("bucket"))
+    # at most `most` pairs of a number and a word are sent to every executor
+    own = own.orderBy(F.xxhash64("k"), "k", "domain").limit(most)
+    words = rows.join(F.broadcast(own), "k").select("domain", F.explode(_words("t")).alias("w")).select("domain", _bucket(F.col("w")).alias("bucket"))
     counts = common.stage(words.groupBy("bucket", "domain").agg(F.count("*").alias("n")), "counts")
     # one number for each domain
     totals = {r["domain"]: r["n"] for r in counts.groupBy("domain").agg(F.sum("n").alias("n")).collect()}
