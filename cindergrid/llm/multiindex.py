@@ -16,7 +16,7 @@ NEAREST = 20
 CODES = 32  # centroids of each half, so at most CODES * CODES cells
 SAMPLE = 20_000  # vectors that the centroids are fitted on
 TRIALS = 300  # of them, searched to learn how far cells must be followed
-RECALL = 0.98  # share of true neighbours that must lie in the cells followed
+RECALL = 0.97  # share of true neighbours that must lie in the cells followed
 BLOCK = 1000  # vectors, and queries, compared at once
 LEAST = 2000  # candidates of a query at least
 
@@ -159,32 +159,49 @@ def search(table: DataFrame, key: str = "vec_id", vector: str = "embedding", eve
     sized = spark.sparkContext.broadcast(model)
 
     def probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        width = len(sized.value.books[1])
+        kind = pa.list_(pa.struct([("line", pa.int32()), ("columns", pa.list_(pa.int32()))]))
         for batch in batches:
-            data = _matrix(batch.column("v"), batch.num_rows)
-            cells = [sized.value.follow(q) for q in data]
-            yield pa.RecordBatch.from_arrays([batch.column("vec_id"), batch.column("v"), pa.array(cells, pa.list_(pa.int32()))], ["query_id", "v", "cells"])
-
+            followed = []
+            for query in _matrix(batch.column("v"), batch.num_rows):
+                lines: dict[int, list[int]] = {}
+                for cell in sized.value.follow(query):
+                    lines.setdefault(cell // width, []).append(cell % width)
+                followed.append([{"line": line, "columns": columns} for line, columns in lines.items()])
+            yield pa.RecordBatch.from_arrays([batch.column("vec_id"), batch.column("v"), pa.array(followed, kind)], ["query_id", "v", "lines"])
+
+    width = len(model.books[1])
     queries = index.where(F.col("vec_id") % every == 0).select("vec_id", "v")
-    probes = common.stage(queries.mapInArrow(probe, "query_id bigint, v array<double>, cells array<int>"), "probes")
-    asked = {r["cell"]: r["count"] for r in probes.select(F.explode("cells").alias("cell")).groupBy("cell").count().collect()}
+    probes = common.stage(queries.mapInArrow(probe, "query_id bigint, v array<double>, lines array<struct<line:int,columns:array<int>>>"), "probes")
+    # at most CODES rows
+    asked = {r["line"]: r["count"] for r in probes.select(F.explode("lines.line").alias("line")).groupBy("line").count().collect()}
 
     def blocks(counts: dict[int, int]) -> list[int]:
-        return [-(-counts.get(cell, 0) // BLOCK) or 1 for cell in range(model.cells)]
-
-    held = blocks(dict(enumerate(model.sizes.tolist())))
-    of = lambda sizes: F.element_at(F.lit(sizes), F.col("cell") + 1)
-    entries = index.groupBy("cell", F.pmod(F.xxhash64("vec_id"), of(held)).cast("int").alias("part")).agg(F.collect_list(F.struct("vec_id", "v")).alias("entries"))
-    each = probes.select("query_id", "v", F.explode("cells").alias("cell"))
-    groups = each.groupBy("cell", F.pmod(F.xxhash64("query_id"), of(blocks(asked))).alias("group")).agg(F.collect_list(F.struct("query_id", "v")).alias("queries"))
-    spread = groups.select("cell", "queries", F.explode(F.sequence(F.lit(0), of(held) - 1)).alias("part"))
-    met = spread.join(entries, ["cell", "part"]).select("queries", "entries")
+        return [-(-counts.get(line, 0) // BLOCK) or 1 for line in range(len(model.books[0]))]
+
+    # cells with one first centroid travel together, so a query's vector is sent once for all of them
+    line = F.floor(F.col("cell") / width).cast("int")
+    held = blocks(dict(enumerate(model.sizes.reshape(-1, width).sum(1).tolist())))
+    of = lambda sizes: F.element_at(F.lit(sizes), F.col("line") + 1)
+    lined = index.select("vec_id", "v", line.alias("line"), (F.col("cell") % width).alias("column"))
+    entries = lined.groupBy("line", F.pmod(F.xxhash64("vec_id"), of(held)).cast("int").alias("part")).agg(F.collect_list(F.struct("vec_id", "column", "v")).alias("entries"))
+    each = probes.select("query_id", "v", F.explode("lines").alias("l")).select("query_id", "v", F.col("l.line").alias("line"), F.col("l.columns").alias("columns"))
+    groups = each.groupBy("line", F.pmod(F.xxhash64("query_id"), of(blocks(asked))).alias("group")).agg(F.collect_list(F.struct("query_id", "columns", "v")).alias("queries"))
+    spread = groups.select("line", "queries", F.explode(F.sequence(F.lit(0), of(held) - 1)).alias("part"))
+    met = spread.join(entries, ["line", "part"]).select("queries", "entries")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kind = pa.list_(pa.struct([("minus", pa.float64()), ("vec_id", pa.int64())]))
         for batch in batches:
             for i in range(batch.num_rows):
-                (asks, one), (ids, two) = (_block(batch.column(c)[i].values, n) for c, n in (("queries", "query_id"), ("entries", "vec_id")))
-                best = [_best(q, a, ids, two, k) for q, a in zip(asks, one, strict=True)]
-                kind = pa.list_(pa.struct([("minus", pa.float64()), ("vec_id", pa.int64())]))
+                queries, entries = (batch.column(c)[i].values for c in ("queries", "entries"))
+                ids, place = (entries.field(c).to_numpy(zero_copy_only=False) for c in ("vec_id", "column"))
+                data, best = _matrix(entries.field("v"), len(entries)), []
+                asks = queries.field("query_id").to_pylist()
+                for ask, columns, vector in zip(asks, queries.field("columns"), _matrix(queries.field("v"), len(queries)), strict=True):
+                    open_cells = np.zeros(width, bool)
+                    open_cells[columns.values.to_numpy()] = True
+                    best.append(_best(ask, vector, ids, data, open_cells[place], k))
                 yield pa.RecordBatch.from_arrays([pa.array(asks), pa.array(best, kind)], ["query_id", "best"])
 
     found = met.mapInArrow(compare, "query_id bigint, best array<struct<minus:double,vec_id:bigint>>")
@@ -199,20 +216,15 @@ def _matrix(column: pa.Array, rows: int) -> np.ndarray:
     return column.flatten().to_numpy(zero_copy_only=False).reshape(rows, -1)
 
 
-def _block(values: pa.StructArray, name: str) -> tuple[np.ndarray, np.ndarray]:
-    return values.field(name).to_numpy(zero_copy_only=False), _matrix(values.field("v"), len(values))
-
-
-def _best(query: int, vector: np.ndarray, ids: np.ndarray, data: np.ndarray, k: int) -> list[dict]:
-    """The k best of a block, scores summed in one fixed order so that equal vectors tie exactly."""
+def _best(query: int, vector: np.ndarray, ids: np.ndarray, data: np.ndarray, allowed: np.ndarray, k: int) -> list[dict]:
+    """The k best of a block's allowed rows, scores summed in one fixed order so that equal vectors tie exactly."""
     rough = data @ vector
-    rough[ids == query] = -np.inf
-    if len(rough) > k:
-        least = np.partition(rough, len(rough) - k)[len(rough) - k]
-        near = np.flatnonzero(rough >= least - 1e-9 * (1 + abs(least)))
-    else:
-        near = np.arange(len(rough))
-    near = near[ids[near] != query]
+    allowed = allowed & (ids != query)
+    if allowed.sum() > k:
+        kept = rough[allowed]
+        least = np.partition(kept, len(kept) - k)[len(kept) - k]
+        allowed &= rough >= least - 1e-9 * (1 + abs(least))
+    near = np.flatnonzero(allowed)
     exact = (np.ascontiguousarray(data[near]) * vector).sum(1)
     order = np.lexsort((ids[near], -exact))[:k]
     return [{"minus": -float(exact[i]), "vec_id": int(ids[near][i])} for i in order]
