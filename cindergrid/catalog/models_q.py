@@ -483,6 +483,34 @@ _model_query("n3_random_forest", lambda d: models.fit_forest(d, NUMERIC, ["count
 _model_query("n4_boosted_trees", lambda d: models.fit_boosted(d, NUMERIC, ["country"], weight="eval_weight"))
 
 
+def _equations(rows, residual):
+    """Weighted sums of residual times input, relative to the input's; zero for a fitted model."""
+    inputs = {"one": F.lit(1.0), **{c: F.col(c).cast("double") for c in ("lat_key", "month", "hint")}}
+    w = F.col("eval_weight") * residual
+    sums = rows.agg(*[(F.sum(w * x) / F.sum(F.col("eval_weight") * x)).alias(n) for n, x in inputs.items()])
+    return sums.select(F.explode(F.map_from_arrays(F.array(*map(F.lit, inputs)), F.array(*map(F.col, inputs)))).alias("input", "gap"))
+
+
+_ZERO = "SELECT input, 0 AS gap FROM (VALUES ('one'), ('lat_key'), ('month'), ('hint')) AS v(input)"
+
+
+@query("n1_score_equations", "input gap:d3", _ZERO)
+def n1_equations(t):
+    rows = _features(t).filter(TRAIN)
+    scored = models.fit_logistic(rows, NUMERIC, ["country"], weight="eval_weight").score(rows)
+    return _equations(scored, F.col("prob_raw") - F.col("is_fire"))
+
+
+@query("n2_score_equations", "input gap:d3", _ZERO)
+def n2_equations(t):
+    rows = _features(t).filter(TRAIN)
+    scored = models.fit_poisson(rows, NUMERIC, weight="eval_weight").score(rows)
+    # the rate behind the probability; positives weigh more in the fit
+    rate = -F.log1p(-F.col("prob_raw"))
+    boost = F.when(F.col("is_fire") > 0, models.POISSON_POSITIVE_WEIGHT).otherwise(1.0)
+    return _equations(scored, boost * (rate - F.col("is_fire")))
+
+
 @query("m29_permutation_importance", "feature_group mean_drop:d6 std_drop:d6 trials:i")
 def m29(t):
     rows = _features(t)
@@ -504,6 +532,16 @@ def m30(t):
     return evaluations.label_sensitivity(rows, labels, NUMERIC, TRAIN, TEST, ratios=(None, 1.0))
 
 
+@query(
+    "m30_label_support", "variant support:i",
+    """SELECT l||':'||r AS variant, (SELECT COUNT(*) FROM predictions WHERE date >= DATE '1999-01-01') AS support
+       FROM (VALUES ('standard'), ('strict')) AS a(l), (VALUES ('all'), ('1.0')) AS b(r)""",
+    "predictions",
+)
+def m30_support(t):
+    return m30(t).select("variant", "support")
+
+
 @query("m30_lead_sensitivity", "lead_days:i support:i average_precision:d6 roc_auc:d6")
 def m30_lead(t):
     rows = _features(t).withColumns(
@@ -548,6 +586,17 @@ def n6(t):
     return evaluations.forecast(model, cells, t.cube, static, "1999-06-30", 5, 30, names_, numeric)
 
 
+@query(
+    "n6_forecast_days", "lat_key:i lon_key:i date:t scored:i",
+    """SELECT lat_key, lon_key, DATE '1999-06-30' + CAST(i AS INT) AS date, 1 AS scored
+       FROM (SELECT DISTINCT lat_key, lon_key FROM cube), range(1, 6) AS r(i)""",
+    "cube",
+)
+def n6_days(t):
+    inside = F.col("score").between(0.0, 1.0)
+    return n6(t).groupBy("lat_key", "lon_key", "date").agg(F.sum(F.when(inside, 1).otherwise(0)).alias("scored"))
+
+
 @query(
     "n7_diagnostics", "model_name region period_start:t weighted_support:d3 expected:d4 observed:d3 error:d4",
     MEMBERS + """, d AS (SELECT DISTINCT date, date_trunc('month',date) AS m FROM predictions),

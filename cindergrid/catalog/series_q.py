@@ -136,11 +136,10 @@ def e8(t):
 
 @query(
     "e9_trend", f"{KEY} v_trend_slope_7:d6 v_trend_intercept_7:d6 v_trend_slope_30:d6 v_trend_intercept_30:d6",
-    BACK + """, ex AS (SELECT lat_key, lon_key, date, UNNEST(s) AS x, UNNEST(range(30)) AS i FROM bk),
-      tr AS (SELECT lat_key, lon_key, date, REGR_SLOPE(x,i) AS a, REGR_INTERCEPT(x,i) AS b,
-        REGR_SLOPE(x,i-23) FILTER (i>=23) AS c, REGR_INTERCEPT(x,i-23) FILTER (i>=23) AS d FROM ex GROUP BY 1,2,3)
-      SELECT bk.lat_key, bk.lon_key, bk.date, c AS v_trend_slope_7, d AS v_trend_intercept_7, a AS v_trend_slope_30,
-       b AS v_trend_intercept_30 FROM bk LEFT JOIN tr USING (lat_key, lon_key, date)""",
+    BACK + """, tr AS (SELECT lat_key, lon_key, date, list_sum(list_transform(s[24:30], lambda x, i: x*(i-4)))/28.0E0 AS c,
+        list_sum(list_transform(s, lambda x, i: x*(i-15.5E0)))/2247.5E0 AS a, list_avg(s[24:30]) AS m, list_avg(s) AS n FROM bk)
+      SELECT lat_key, lon_key, date, c AS v_trend_slope_7, m-3*c AS v_trend_intercept_7, a AS v_trend_slope_30,
+       n-14.5E0*a AS v_trend_intercept_30 FROM tr""",
     "cube",
 )
 def e9(t):

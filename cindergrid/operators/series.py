@@ -6,13 +6,11 @@ columns, so only the requested families are computed.
 
 from __future__ import annotations
 
+import math
 import re
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from cindergrid.functions.probability import clip
 
@@ -210,21 +208,19 @@ def trend_intercept(s, w):
 
 def fft_peaks(s: Column) -> Column:
     """Three largest non-constant magnitudes of the real Fourier transform."""
-
-    # a nested function travels to the workers by value, without this package
-    def peaks(series: pd.Series) -> pd.Series:
-        out = pd.Series([None] * len(series), index=series.index, dtype=object)
-        full = series.map(lambda a: a is not None and len(a) > 1 and not any(v is None for v in a))
-        lengths = series[full].map(len)
-        for _, at in lengths.groupby(lengths).groups.items():
-            block = np.stack([np.asarray(series[i], dtype=float) for i in at])
-            sizes = np.sort(np.abs(np.fft.rfft(block, axis=1))[:, 1:], axis=1)[:, ::-1][:, :3]
-            for i, row in zip(at, sizes):
-                out[i] = [float(v) for v in row]
-        return out
-
-    peaks.__annotations__ = {"series": pd.Series, "return": pd.Series}
-    return F.pandas_udf(peaks, T.ArrayType(T.DoubleType()))(s)
+    n = F.size(s)
+
+    def magnitude(k):
+        turn = F.lit(2.0 * math.pi) * k / n
+        waves = F.transform(s, lambda v, i: F.struct((v * F.cos(turn * i)).alias("a"), (v * F.sin(turn * i)).alias("b")))
+        zero = F.struct(F.lit(0.0).alias("a"), F.lit(0.0).alias("b"))
+        add = lambda t, x: F.struct((t["a"] + x["a"]).alias("a"), (t["b"] + x["b"]).alias("b"))
+        return F.aggregate(waves, zero, add, lambda t: F.hypot(t["a"], t["b"]))
+
+    whole = s.isNotNull() & (n > 1) & ~F.exists(s, lambda x: x.isNull())
+    # a range that is empty for short series would count down
+    steps = F.sequence(F.lit(1), F.greatest(F.floor(n / 2), F.lit(1)).cast("int"))
+    return F.when(whole, F.slice(F.reverse(F.array_sort(F.transform(steps, magnitude))), 1, 3))
 
 
 FAMILIES = {
