@@ -24,6 +24,24 @@ def a1(t):
     return detections.select_detections(t.detections, ["C0", "C2", "C9"], LO, HI)
 
 
+@query(
+    "a1_file_scan", "country year:i acq_date:t latitude:d6 longitude:d6 brightness:d3 confidence:d3",
+    """SELECT country, YEAR(acq_date) AS year, acq_date, latitude, longitude, brightness, confidence FROM detections
+       WHERE country IN ('C0','C2') AND acq_date BETWEEN DATE '1997-06-01' AND DATE '1998-05-31'""",
+    "detections",
+)
+def a1_files(t):
+    root = scratch(t.spark, "detections")
+    # files of more years and countries than the scan wants
+    for year in (1996, 1997, 1998):
+        for country in ("C0", "C1", "C2"):
+            own = t.detections.filter((F.year("acq_date") == year) & (F.col("country") == country))
+            own.select(*detections.REQUIRED).write.option("header", True).csv(
+                f"{root}/modis/{year}/modis_{year}_{country}.csv"
+            )
+    return detections.scan_detections(t.spark, root, ["C0", "C2", "C9"], date(1997, 6, 1), date(1998, 5, 31))
+
+
 @query(
     "a3_country_tagging", "n_name year:i detections:i",
     """m AS (SELECT detection_id, acq_date, MIN(n_name) AS n_name FROM detections, polygons

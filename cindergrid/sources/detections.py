@@ -39,21 +39,21 @@ def scan_detections(
 ) -> DataFrame:
     """Read <root>/<prefix>/<year>/<prefix>_<year>_<country>.csv for the wanted files.
 
-    The file-name filter prunes other years and countries before anything is
-    read; files that do not exist are simply not listed.
+    Only the wanted paths are looked at, so the cost does not grow with the tree; those
+    that do not exist are left out. A path may be a file or a folder of part files.
     """
-    years = ",".join(str(y) for y in range(start.year, end.year + 1))
-    names = ",".join(countries)
-    raw = (
-        spark.read.schema(schema)
-        .option("header", True)
-        .option("enforceSchema", False)
-        .option("recursiveFileLookup", True)
-        .option("pathGlobFilter", f"{prefix}_{{{years}}}_{{{names}}}.csv")
-        .csv(root)
-    )
-    file = F.element_at(F.split(F.input_file_name(), "/"), -1)
-    pattern = rf"{prefix}_(\d{{4}})_(.+)\.csv$"
+    wanted = [
+        f"{root}/{prefix}/{year}/{prefix}_{year}_{country}.csv"
+        for year in range(start.year, end.year + 1) for country in dict.fromkeys(countries)
+    ]
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs
+    setup = spark.sparkContext._jsc.hadoopConfiguration()
+    places = [(p, hadoop.Path(p)) for p in wanted]
+    there = [p for p, place in places if place.getFileSystem(setup).exists(place)]
+    reader = spark.read.schema(schema).option("header", True).option("enforceSchema", False)
+    raw = reader.csv(there) if there else spark.createDataFrame([], schema)
+    file = F.input_file_name()
+    pattern = rf"/{prefix}_(\d{{4}})_([^/]+)\.csv(/|$)"
     tagged = raw.withColumns(
         {
             "year": F.regexp_extract(file, pattern, 1).cast("int"),
