@@ -613,7 +613,8 @@ def bootstrap_weights(df, key, trials, label="is_fire", sample_size=None, seed=4
     )
     u = F.pmod(F.xxhash64(F.lit(seed), "trial", key), F.lit(2**53)) / float(2**53)
     k, p, c = F.lit(0), F.exp(-F.col("_rate")), F.exp(-F.col("_rate"))
-    for j in range(1, 9):
+    # rates are at most 1, so the chance of more than 18 draws is below the hash's resolution
+    for j in range(1, 19):
         k = k + (u > c).cast("int")
         p = p * F.col("_rate") / j
         c = c + p
