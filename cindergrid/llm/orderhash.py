@@ -154,44 +154,29 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
         rows.join(copies, ["high", "low"]).select("k", "rep", F.when(F.col("k") == F.col("rep"), F.col("keys")).alias("keys")),
         "members",
     )
-    keyed = own.where("keys is not null").select(F.col("k").alias("id"), F.explode("keys").alias("key")).distinct()
+    kept = common.stage(own.where("keys is not null").select("k", "keys").dropDuplicates(["k"]), "representatives")
+    keyed = kept.select(F.col("k").alias("id"), F.explode("keys").alias("key"))
     sizes = common.stage(keyed.groupBy("key").agg(F.count("*").alias("size")).where("size > 1"), "buckets")
     shared = common.stage(keyed.join(sizes, "key"), "shared")
     degree = common.stage(shared.groupBy("id").agg(F.sum("size").alias("degree")), "degree")
-    open_rows = common.stage(shared.join(degree, "id").select("key", "id", "degree"), "open")
     words = common.stage(_words(docs, key, text, degree.select("id")), "words")
-    links, tested = None, None
-    roots = None
+    # every member starts as the root of its own component
+    members = common.stage(shared.join(degree, "id").select("key", "id", "degree", F.col("id").alias("root")), "open")
+    links, roots = None, None
     while True:
-        pivots = common.stage(
-            open_rows.groupBy("key").agg(F.max(F.struct("degree", (-F.col("id")).alias("minus"))).alias("top"))
-            .select("key", (-F.col("top.minus")).alias("pivot")),
-            "pivots",
-        )
-        met = common.stage(open_rows.join(pivots, "key").where("id <> pivot"), "met")
-        pairs = met.select(F.least("id", "pivot").alias("a"), F.greatest("id", "pivot").alias("b"))
-        if roots is not None:
-            # pairs inside a component are settled
-            at = met.select("id", "pivot").distinct()
-            at = at.join(roots.select(F.col("node").alias("id"), F.col("root").alias("r1")), "id", "left")
-            at = at.join(roots.select(F.col("node").alias("pivot"), F.col("root").alias("r2")), "pivot", "left")
-            at = at.where(F.coalesce("r1", "id") != F.coalesce("r2", "pivot"))
-            pairs = at.select(F.least("id", "pivot").alias("a"), F.greatest("id", "pivot").alias("b"))
-        pairs = pairs.distinct()
-        if tested is not None:
-            pairs = pairs.join(tested, ["a", "b"], "left_anti")
-        pairs = common.stage(pairs, "pairs")
+        top = F.max(F.struct("degree", (-F.col("id")).alias("minus"), "root")).alias("top")
+        pivots = members.groupBy("key").agg(top, F.min("root").alias("x"), F.max("root").alias("y")).where("x <> y")
+        pivots = common.stage(pivots.select("key", (-F.col("top.minus")).alias("pivot"), F.col("top.root").alias("pivot_root")), "pivots")
+        # a bucket whose members are all in one component is settled and has no pivot
+        met = common.stage(members.join(pivots, "key").where("id <> pivot"), "met")
+        pairs = met.where("root <> pivot_root").select(F.least("id", "pivot").alias("a"), F.greatest("id", "pivot").alias("b")).distinct()
         found = common.stage(_verified(pairs, words), "verified")
         if found.isEmpty():
             break
         links = found if links is None else links.union(found)
-        tested = pairs if tested is None else tested.union(pairs)
         roots = components(links)
-        # buckets whose members are not all in one component go on, without their last pivot
         placed = met.select("key", "id", "degree").join(roots.select(F.col("node").alias("id"), "root"), "id", "left")
-        placed = common.stage(placed.select("key", "id", "degree", F.coalesce("root", "id").alias("root")), "placed")
-        mixed = placed.groupBy("key").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x <> y").select("key")
-        open_rows = placed.join(common.stage(mixed, "mixed"), "key").select("key", "id", "degree")
+        members = common.stage(placed.select("key", "id", "degree", F.coalesce("root", "id").alias("root")), "placed")
     place = F.col("rep")
     members = own.select("k", "rep")
     if roots is not None:
