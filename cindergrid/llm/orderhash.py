@@ -137,9 +137,9 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     Texts with the same words in the same order (case and outer punctuation ignored) are
     copies and are represented by the least id. Representatives that share an order-MinHash
     key are compared with the bucket's pivot, the member that shares most keys with others:
-    of copies of one original, the original itself. Members outside the pivot's component
-    are then compared with the next pivot, until a round finds no link; no bucket is capped
-    and none is expanded into all pairs. Links are pairs whose banded alignment keeps at
+    of copies of one original, the original itself. In buckets that then hold several
+    components, members outside the next pivot's, drawn by hash, are compared with it, until
+    a round finds no link; no bucket is capped and none is expanded into all pairs. Links are pairs whose banded alignment keeps at
     least 0.8 of their five-word shingles; classes are their connected components.
 
     A null text is a class of its own, as is a text with fewer than five words but for equal
@@ -158,25 +158,27 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     keyed = kept.select(F.col("k").alias("id"), F.explode("keys").alias("key"))
     sizes = common.stage(keyed.groupBy("key").agg(F.count("*").alias("size")).where("size > 1"), "buckets")
     shared = common.stage(keyed.join(sizes, "key"), "shared")
-    degree = common.stage(shared.groupBy("id").agg(F.sum("size").alias("degree")), "degree")
-    words = common.stage(_words(docs, key, text, degree.select("id")), "words")
-    # every member starts as the root of its own component
-    members = common.stage(shared.join(degree, "id").select("key", "id", "degree", F.col("id").alias("root")), "open")
-    links, roots = None, None
+    # a member has at most SKETCHES keys; every member starts as the root of its own component
+    members = shared.groupBy("id").agg(F.sum("size").alias("degree"), F.collect_list("key").alias("keys"))
+    members = common.stage(members.withColumn("root", F.col("id")), "open")
+    words = common.stage(_words(docs, key, text, members.select("id")), "words")
+    links, roots, number = None, None, 0
     while True:
-        top = F.max(F.struct("degree", (-F.col("id")).alias("minus"), "root")).alias("top")
-        pivots = members.groupBy("key").agg(top, F.min("root").alias("x"), F.max("root").alias("y")).where("x <> y")
-        pivots = common.stage(pivots.select("key", (-F.col("top.minus")).alias("pivot"), F.col("top.root").alias("pivot_root")), "pivots")
+        each = members.select("id", "degree", "root", F.explode("keys").alias("key"))
+        rank = F.col("degree") if number == 0 else F.xxhash64("id", "key", F.lit(number))
+        top = F.max(F.struct(rank.alias("rank"), (-F.col("id")).alias("minus"), "root")).alias("top")
         # a bucket whose members are all in one component is settled and has no pivot
-        met = common.stage(members.join(pivots, "key").where("id <> pivot"), "met")
-        pairs = met.where("root <> pivot_root").select(F.least("id", "pivot").alias("a"), F.greatest("id", "pivot").alias("b")).distinct()
+        pivots = each.groupBy("key").agg(top, F.min("root").alias("x"), F.max("root").alias("y")).where("x <> y")
+        pivots = common.stage(pivots.select("key", (-F.col("top.minus")).alias("pivot"), F.col("top.root").alias("pivot_root")), "pivots")
+        met = each.join(pivots, "key").where("root <> pivot_root")
+        pairs = met.select(F.least("id", "pivot").alias("a"), F.greatest("id", "pivot").alias("b")).distinct()
         found = common.stage(_verified(pairs, words), "verified")
         if found.isEmpty():
             break
         links = found if links is None else links.union(found)
-        roots = components(links)
-        placed = met.select("key", "id", "degree").join(roots.select(F.col("node").alias("id"), "root"), "id", "left")
-        members = common.stage(placed.select("key", "id", "degree", F.coalesce("root", "id").alias("root")), "placed")
+        roots, number = components(links), number + 1
+        members = members.drop("root").join(roots.select(F.col("node").alias("id"), "root"), "id", "left")
+        members = common.stage(members.withColumn("root", F.coalesce("root", "id")), "placed")
     place = F.col("rep")
     members = own.select("k", "rep")
     if roots is not None:
