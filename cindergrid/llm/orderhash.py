@@ -139,8 +139,9 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     key are compared with the bucket's pivot, the member that shares most keys with others:
     of copies of one original, the original itself. In buckets that then hold several
     components, members outside the next pivot's, drawn by hash, are compared with it, until
-    a round finds no link; no bucket is capped and none is expanded into all pairs. Links are pairs whose banded alignment keeps at
-    least 0.8 of their five-word shingles; classes are their connected components.
+    a round finds no link; no bucket is capped and none is expanded into all pairs. Links
+    are pairs whose banded alignment keeps at least 0.8 of their five-word shingles; classes
+    are their connected components.
 
     A null text is a class of its own, as is a text with fewer than five words but for equal
     ones; texts without words are copies only if equal. Rows with a null key are left out.
