@@ -116,7 +116,8 @@ def _words(docs: DataFrame, key: str, text: str, wanted: DataFrame) -> DataFrame
             yield pa.RecordBatch.from_arrays([part.column("id"), pa.array(found, "binary")], ["id", "words"])
 
     texts = docs.select(F.col(key).cast("bigint").alias("id"), F.col(text).cast("string").alias("t"))
-    return texts.join(wanted, "id", "left_semi").mapInArrow(run, "id bigint, words binary").dropDuplicates(["id"])
+    # the list grows with the corpus, so it is merged, not broadcast
+    return texts.join(wanted.hint("merge"), "id", "left_semi").mapInArrow(run, "id bigint, words binary").dropDuplicates(["id"])
 
 
 def _verified(pairs: DataFrame, words: DataFrame) -> DataFrame:
