@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cindergrid.llm import common
+from cindergrid.llm import blocks, common
 from cindergrid.llm.components import components
 
 WIDTH, SIMILARITY = 5, 0.8
@@ -209,12 +209,10 @@ def _near(docs: DataFrame, table: DataFrame, key: str, text: str) -> DataFrame:
     """The same columns for paragraphs whose exact Jaccard similarity to another is high enough."""
     each = table.select("k", F.explode(F.arrays_zip("bands", "lines")).alias("u")).select("k", F.col("u.lines").alias("i"), F.col("u.bands").alias("key"))
     leaders = common.stage(_leaders(each), "bands")
-    pairs = (
-        each.join(leaders, "key").where("k <> keeper")
-        .select("k", "i", "keeper", F.col("place").alias("j")).distinct()
-    )
+    met = common.stage(each.join(leaders, "key"), "met")
+    pairs = met.where("k <> keeper").select("k", "i", "keeper", F.col("place").alias("j")).distinct()
     pairs = common.stage(pairs, "paragraph-pairs")
-    places = pairs.select("k", "i").union(pairs.select("keeper", "j")).groupBy("k").agg(F.collect_set("i").alias("wanted"))
+    places = met.groupBy("k").agg(F.collect_set("i").alias("wanted"))
     places = common.stage(places, "places")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -244,7 +242,13 @@ def _near(docs: DataFrame, table: DataFrame, key: str, text: str) -> DataFrame:
     both = pairs.join(lines.select("k", "i", "w"), ["k", "i"]).join(lines.select(F.col("k").alias("keeper"), F.col("i").alias("j"), F.col("w").alias("x")), ["keeper", "j"])
     links = common.stage(both.select("k", "i", "keeper", "j", "w", "x").mapInArrow(verify, "k bigint, i int, keeper bigint, j int"), "paragraph-links")
     node = F.xxhash64("k", "i")
-    roots = components(links.select(node.alias("a"), F.xxhash64("keeper", "j").alias("b")))
+    links = links.select(node.alias("a"), F.xxhash64("keeper", "j").alias("b"))
+    # the leader has met all others of its bucket; those are compared with each other where they are not joined
+    rest = met.where("k <> keeper or i <> place").select("key", node.alias("id"), F.col("k").alias("part"))
+    rest = rest.join(components(links).withColumnRenamed("node", "id"), "id", "left").withColumn("root", F.coalesce("root", "id"))
+    rest = common.stage(rest, "unsettled")
+    more = blocks.settled(rest, lines.select(node.alias("id"), "w"), lambda words: common.shingles(words, WIDTH), SIMILARITY)
+    roots = components(links.union(common.stage(more, "settled")))
     named = lines.drop("w").withColumn("node", node)
     # the roots themselves are members of their components too
     held = named.join(roots, "node").unionByName(named.join(roots.select(F.col("root").alias("node")).distinct(), "node").withColumn("root", F.col("node")))
@@ -263,7 +267,8 @@ def repeated_passages(docs: DataFrame, key: str = "doc_id", text: str = "text")
     the whole sentence. Sentences in the same order as in the first document that has them
     make a passage of 35 words or more, less than the 50 that a passage has when its ends
     are cut. Overlapping finds are joined. A key may be shared by any number of documents:
-    each is compared with the key's least document only.
+    each is compared with the key's least document, and paragraphs of a band that are then
+    in several components are all compared with each other.
 
     Null, empty and short texts have no passages, and rows with a null key are left out.
     Rows that repeat a key count as one document; repeats inside a document stay. No rows

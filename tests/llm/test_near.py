@@ -170,3 +170,32 @@ def test_passage_query_leaves_no_long_repeat(spark):
         assert (gone & kept) - {0} or len(np.intersect1d(a, b)) >= 0.5 * len(a)
     text = "Inner words are here. " + " ".join(WORDS)
     assert [text[a:b] for a, b in zip(*P.sentences(text)[:2], strict=True)] == ["Inner words are here.", " ".join(WORDS)]
+
+
+def test_paragraph_families_against_all_pairs(spark):
+    draw = random.Random(5)
+    base = prose(900, 100).split()
+
+    def changed(words, number, mark):
+        out = list(words)
+        for start in draw.sample(range(0, 100, 5), number):
+            out[start + 2] = f"{mark}{start}"
+        return out
+
+    # paragraphs of one template at about 0.75, some with a copy at about 0.88 of their own
+    texts = {}
+    for i in range(60):
+        own = changed(base, 2, f"v{i}x")
+        texts[2 * i + 1] = " ".join(own)
+        if i % 2:
+            texts[2 * i + 2] = " ".join(changed(own, 1, f"c{i}x"))
+    docs = spark.createDataFrame([row(k, t) for k, t in texts.items()], DOCS)
+    hashes = common.WordHashes()
+    words = {k: hashes.of(t) for k, t in texts.items()}
+    bands = {k: set(P.band_keys(w)) for k, w in words.items()}
+    links = [(a, b) for a, b in combinations(texts, 2) if bands[a] & bands[b] and P.jaccard(words[a], words[b]) >= 0.8]
+    wanted = unite(texts, links)
+    table = common.stage(P._table(docs, "doc_id", "text"), "sentences")
+    found = {r.k: r.keeper for r in P._near(docs, table, "doc_id", "text").collect()}
+    assert found == {k: r for k, r in wanted.items() if k != r}
+    assert 25 <= len(found) < 70
