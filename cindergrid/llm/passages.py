@@ -1,4 +1,4 @@
-"""Passages that repeat across documents: paragraph MinHash banding, and shared sentences in sequence."""
+"""Passages that repeat across documents: paragraph MinHash banding, runs of words, and shared sentences in sequence."""
 
 from __future__ import annotations
 
@@ -20,6 +20,8 @@ RUN_WORDS = 35  # words in whole shared sentences that make a passage; its ends
 PART_WORDS = 18  # words of a passage that come from one place
 SENTENCE_WORDS = 5  # shorter sentences are shared if those around them are
 LONG_SENTENCE = 48
+PASSAGE_WORDS = 50  # words in a row that make a passage, whatever sentences they are cut from
+ANCHOR_WORDS = 16
 
 BOUNDARY = re.compile(r"(?<=[.!?…])\s+|\s*\n\s*|\s+(?=[A-ZÀ-ÖØ-Þ][a-zß-öø-ÿ])")
 WORD = re.compile(r"\S+")
@@ -94,6 +96,35 @@ def sentences(text: str) -> tuple[list[int], list[int], list[int], list[int]]:
     return starts, ends, counts, keys
 
 
+def runs_of(words: np.ndarray, width: int) -> np.ndarray:
+    """Hashes of all runs of `width` words in order, made from runs half as long; none for a shorter text."""
+    if len(words) < width:
+        return np.zeros(0, np.uint64)
+    found, have = common.mix(words, width), 1
+    while have < width:
+        step = min(have, width - have)
+        found = common.mix(found[: len(found) - step] * np.uint64(0x9E3779B97F4A7C15) + found[step:], have)
+        have += step
+    return found
+
+
+def anchors(words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of all short runs, and for each place the least short run inside the PASSAGE_WORDS from there.
+
+    What is picked depends on these words only, so equal passages have the same anchor.
+    """
+    short = runs_of(words, ANCHOR_WORDS)
+    span = PASSAGE_WORDS - ANCHOR_WORDS + 1
+    if len(short) < span:
+        return short, np.zeros(0, np.int64)
+    return short, np.lib.stride_tricks.sliding_window_view(short, span).argmin(1) + np.arange(len(short) - span + 1)
+
+
+def chunk_hashes(chunks: list[str], hashes: common.WordHashes) -> np.ndarray:
+    """A hash for each white-space separated chunk, so that places are those of the chunks."""
+    return np.fromiter(map(hashes.__getitem__, chunks), np.uint64, len(chunks))
+
+
 def paragraphs(text: str) -> Iterator[tuple[int, int, str]]:
     """Start, end and text of each line with PARAGRAPH_WORDS words or more."""
     at = 0
@@ -142,14 +173,14 @@ def runs(counts: list[int], keys: list[int], shared: dict[int, tuple[int, int]])
 
 TABLE = (
     "k bigint, keys array<bigint>, firsts array<boolean>, starts array<int>, ends array<int>, counts array<int>, "
-    "bands array<bigint>, lines array<int>"
+    "bands array<bigint>, lines array<int>, anchors array<bigint>"
 )
 
 
 def _table(docs: DataFrame, key: str, text: str) -> DataFrame:
     """Sentences and paragraph bands of each document with a key and a text."""
     names = [part.split()[0] for part in TABLE.split(", ")]
-    types = [pa.list_(t) for t in (pa.int64(), pa.bool_(), pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.int32())]
+    types = [pa.list_(t) for t in (pa.int64(), pa.bool_(), pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.int32(), pa.int64())]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = common.WordHashes()
@@ -165,7 +196,9 @@ def _table(docs: DataFrame, key: str, text: str) -> DataFrame:
                     if len(words) >= WIDTH:
                         bands += band_keys(words)
                         lines += [number] * BANDS
-                for column, value in zip(columns, (keys, firsts, starts, ends, counts, bands, lines), strict=True):
+                short, least = anchors(chunk_hashes(t.split(), hashes))
+                picked = np.unique(short[least]).view(np.int64)
+                for column, value in zip(columns, (keys, firsts, starts, ends, counts, bands, lines, picked), strict=True):
                     column.append(value)
             yield pa.RecordBatch.from_arrays([part.column("k"), *[pa.array(c, t) for c, t in zip(columns, types, strict=True)]], names)
 
@@ -205,6 +238,54 @@ def _exact(table: DataFrame) -> DataFrame:
     return joined.mapInArrow(run, "k bigint, a int, b int, words int, keeper bigint").distinct()
 
 
+def _windows(docs: DataFrame, table: DataFrame, key: str, text: str) -> DataFrame:
+    """The same columns for all runs of PASSAGE_WORDS words or more that an earlier document has.
+
+    Every window of that many words has an anchor; only windows whose anchor is in several
+    documents are listed, each with a hash of all its words.
+    """
+    each = table.select("k", F.explode("anchors").alias("key"))
+    several = common.stage(each.groupBy("key").agg(F.min("k").alias("x"), F.max("k").alias("y")).where("x < y").select("key"), "anchors")
+    wanted = common.stage(each.join(several, "key").groupBy("k").agg(F.collect_set("key").alias("wanted")), "anchored")
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashes = common.WordHashes()
+        names, types = ["k", "place", "start", "stop", "key"], (pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int64())
+        for part, own in common.text_rows(batches, "t"):
+            for k, t, keys in zip(part.column("k").to_pylist(), own, part.column("wanted"), strict=True):
+                places = [m.span() for m in WORD.finditer(t or "")]
+                words = chunk_hashes([t[a:b] for a, b in places], hashes)
+                short, least = anchors(words)
+                at = np.flatnonzero(np.isin(short[least], keys.values.to_numpy().view(np.uint64))) if len(least) else least
+                if len(at):
+                    spans = np.array(places, np.int32)
+                    columns = (np.full(len(at), k), at, spans[at, 0], spans[at + PASSAGE_WORDS - 1, 1], runs_of(words, PASSAGE_WORDS)[at].view(np.int64))
+                    yield pa.RecordBatch.from_arrays([pa.array(c, type=y) for c, y in zip(columns, types, strict=True)], names)
+
+    texts = docs.select(F.col(key).cast("bigint").alias("k"), F.col(text).cast("string").alias("t")).join(wanted.hint("merge"), "k")
+    windows = common.stage(texts.mapInArrow(cut, "k bigint, place int, start int, stop int, key bigint"), "windows")
+    first = windows.groupBy("key").agg(F.min("k").alias("keeper"), F.max("k").alias("last")).where("keeper < last").select("key", "keeper")
+    met = windows.join(common.stage(first, "first-windows").hint("merge"), "key").where("k <> keeper")
+    # a document's own words bound this list
+    lists = met.groupBy("k").agg(F.collect_list(F.struct("place", "start", "stop", "keeper")).alias("found"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            for k, found in zip(batch.column("k").to_pylist(), batch.column("found"), strict=True):
+                place, start, stop, keeper = (found.values.field(c).to_numpy() for c in ("place", "start", "stop", "keeper"))
+                order = np.argsort(place, kind="stable")
+                for group in np.split(order, np.flatnonzero(np.diff(place[order]) > PASSAGE_WORDS) + 1):
+                    a, b = group[0], group[-1]
+                    names, often = np.unique(keeper[group], return_counts=True)
+                    out.append((k, start[a], stop[b], place[b] - place[a] + PASSAGE_WORDS, names[often.argmax()]))
+            if out:
+                types = (pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int64())
+                yield pa.RecordBatch.from_arrays([pa.array(c, y) for c, y in zip(zip(*out, strict=True), types, strict=True)], ["k", "a", "b", "words", "keeper"])
+
+    return lists.mapInArrow(run, "k bigint, a int, b int, words int, keeper bigint")
+
+
 def _near(docs: DataFrame, table: DataFrame, key: str, text: str) -> DataFrame:
     """The same columns for paragraphs whose exact Jaccard similarity to another is high enough."""
     each = table.select("k", F.explode(F.arrays_zip("bands", "lines")).alias("u")).select("k", F.col("u.lines").alias("i"), F.col("u.bands").alias("key"))
@@ -263,8 +344,10 @@ def repeated_passages(docs: DataFrame, key: str = "doc_id", text: str = "text")
     Paragraphs (lines of 50 words or more) that share a MinHash band are joined, compared by
     the exact Jaccard similarity of their five-word shingles, and clustered by connected
     components; the least document of a cluster keeps its paragraph. Passages that begin or
-    end inside paragraphs are found by their sentences: paragraphs of one band whose key is
-    the whole sentence. Sentences in the same order as in the first document that has them
+    end anywhere are found word by word: every run of 50 words that an earlier document has,
+    case and outer punctuation ignored, to its true ends. Others are found by their
+    sentences, between which short ones may differ: paragraphs of one band whose key is the
+    whole sentence. Sentences in the same order as in the first document that has them
     make a passage of 35 words or more, less than the 50 that a passage has when its ends
     are cut. Overlapping finds are joined. A key may be shared by any number of documents:
     each is compared with the key's least document, and paragraphs of a band that are then
@@ -275,7 +358,7 @@ def repeated_passages(docs: DataFrame, key: str = "doc_id", text: str = "text")
     in, no rows out. Other columns are ignored.
     """
     table = common.stage(_table(docs, key, text), "sentences")
-    found = _exact(table).unionByName(_near(docs, table, key, text))
+    found = _exact(table).unionByName(_near(docs, table, key, text)).unionByName(_windows(docs, table, key, text))
     lists = found.groupBy("k").agg(F.array_sort(F.collect_set(F.struct("a", "b", "words", "keeper"))).alias("spans"))
 
     def join_spans(spans):

@@ -199,3 +199,29 @@ def test_paragraph_families_against_all_pairs(spark):
     found = {r.k: r.keeper for r in P._near(docs, table, "doc_id", "text").collect()}
     assert found == {k: r for k, r in wanted.items() if k != r}
     assert 25 <= len(found) < 70
+
+
+def test_passages_cut_anywhere_and_of_short_lines(spark):
+    draw = random.Random(8)
+    # sentences of about 25 words, so that a cut passage holds hardly a whole one
+    long = [" ".join(w.lower().strip(".") for w in prose(300 + i, 90).split()) for i in range(8)]
+    listed = "\n".join(" ".join(w.title() for w in prose(400 + i, 3).split()) for i in range(18))
+    texts, spans = {}, {}
+    for n, passage in enumerate([*(" ".join(t.split()[7 : 7 + 50 + 4 * i]) for i, t in enumerate(long)), listed, " ".join(long[0].split()[:49])]):
+        for side in range(2):
+            own = [f"h{n}x{side}x{i}" for i in range(90)]
+            at = draw.randint(10, 80)
+            head = " ".join(own[:at]) + " "
+            texts[2 * n + side + 1] = head + passage + " " + " ".join(own[at:])
+            spans[2 * n + side + 1] = (len(head), len(head) + len(passage), len(passage.split()))
+    docs = spark.createDataFrame([row(k, t) for k, t in texts.items()], DOCS)
+    found = {r.doc_id: (r.start, r.end, r.words, r.keeper_doc_id) for r in P.repeated_passages(docs).collect()}
+    assert found == {k: (*spans[k], k - 1) for k in range(2, 20, 2)}
+
+
+def test_passage_in_an_earlier_text_than_its_longest_copy(spark):
+    """The first text has only a part of the passage; the whole of it is in the second and the third."""
+    passage = [f"p{i}" for i in range(70)]
+    rows = [row(n, " ".join([f"a{n}x{i}" for i in range(40)] + own + [f"b{n}x{i}" for i in range(40)])) for n, own in ((1, passage[20:65]), (2, passage), (3, passage))]
+    found = [(r.doc_id, r.words, r.keeper_doc_id) for r in P.repeated_passages(spark.createDataFrame(rows, DOCS)).collect()]
+    assert found == [(3, 70, 2)]
