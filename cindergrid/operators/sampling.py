@@ -339,7 +339,9 @@ def area_negatives(
     """Uniform negatives in proportion to polygon area and time, outside the buffer.
 
     Draws are generated in chunks spread over the cluster, so the largest
-    country does not become one long task.
+    country does not become one long task. A country whose free draws are too few
+    is drawn again in larger numbers until its quota is met or no new cell-day
+    turns up; free draws are written to the checkpoint folder.
     """
     from cindergrid.functions.cells import KM_PER_DEGREE, cell_key
     from cindergrid.operators.grids import drop_buffered
@@ -361,36 +363,58 @@ def area_negatives(
         F.round(kha * rate_per_kha_year * years).cast("long").alias("want"),
         ((F.array_max(xs) - F.array_min(xs)) * (F.array_max(ys) - F.array_min(ys)) / (F.abs(cross) / 2)).alias("spread"),
     ).filter("want > 0")
+    span = F.datediff(F.lit(end).cast("date"), F.lit(start).cast("date")) + 1
+    want = boxes.groupBy("country").agg(F.sum("want").alias("_all"))
+    cells_of = lambda a, b: F.floor((F.col(b) - F.col(a)) / resolution) + 2
     # narrow polygons fill little of their box and need more draws
     draws = F.ceil(F.col("want") * F.greatest(F.lit(oversample), 2 * F.col("spread")) + 10)
-    parts = boxes.withColumn("_n", draws).withColumn(
-        "_k", F.explode(F.sequence(F.lit(0), F.floor((F.col("_n") - 1) / chunk)))
-    ).repartition("country", "_k")
-    size = F.least(F.lit(chunk), F.col("_n") - F.col("_k") * chunk)
-    pts = parts.withColumn("_i", F.explode(F.sequence(F.lit(1), size))).withColumn(
-        "_i", F.col("_k") * chunk + F.col("_i")
-    )
-    unit = lambda tag: hash_int(f"{seed}:{tag}", "country", "_i") / float(2**32)
-    span = F.datediff(F.lit(end).cast("date"), F.lit(start).cast("date")) + 1
-    pts = pts.select(
-        "country", "want", "_i",
-        (F.col("x0") + (F.col("x1") - F.col("x0")) * unit("x")).alias("longitude"),
-        (F.col("y0") + (F.col("y1") - F.col("y0")) * unit("y")).alias("latitude"),
-        F.date_add(F.lit(start).cast("date"), F.pmod(hash_int(f"{seed}:d", "country", "_i"), span)
-                   .cast("int")).alias("date"),
-    )
-    held = positions_in_polygons(pts, polygons, [name])
-    inside = pts.join(
-        held.withColumnRenamed(name, "country"), ["country", "longitude", "latitude"], "left_semi"
-    ).withColumns(
-        {
-            "lat_key": cell_key("latitude", resolution), "lon_key": cell_key("longitude", resolution),
-            "_h": hash_of(seed, "country", "_i"),
-        }
-    )
-    free = drop_buffered(inside, positives, buffer_cells, buffer_days)
-    want = boxes.groupBy("country").agg(F.sum("want").alias("want"))
-    return take_by_hash(free.drop("want"), ["country"], F.col("want"), quotas=want).select(
+    asked = cut(boxes.join(want, "country").withColumns({
+        "_from": F.lit(0).cast("long"), "_n": draws.cast("long"), "_before": F.lit(0).cast("long"),
+        "_universe": (cells_of("x0", "x1") * cells_of("y0", "y1") * span).cast("long"),
+    }))
+
+    def drawn(asked):
+        """Points number _from + 1 to _from + _n of each polygon's box that are inside and free."""
+        parts = asked.withColumn(
+            "_k", F.explode(F.sequence(F.lit(0), F.floor((F.col("_n") - 1) / chunk)))
+        ).repartition("country", "_k")
+        size = F.least(F.lit(chunk), F.col("_n") - F.col("_k") * chunk)
+        pts = parts.withColumn("_i", F.explode(F.sequence(F.lit(1), size))).withColumn(
+            "_i", F.col("_from") + F.col("_k") * chunk + F.col("_i")
+        )
+        unit = lambda tag: hash_int(f"{seed}:{tag}", "country", "_i") / float(2**32)
+        pts = pts.select(
+            "country", "_i",
+            (F.col("x0") + (F.col("x1") - F.col("x0")) * unit("x")).alias("longitude"),
+            (F.col("y0") + (F.col("y1") - F.col("y0")) * unit("y")).alias("latitude"),
+            F.date_add(F.lit(start).cast("date"), F.pmod(hash_int(f"{seed}:d", "country", "_i"), span)
+                       .cast("int")).alias("date"),
+        )
+        held = positions_in_polygons(pts, polygons, [name])
+        inside = pts.join(
+            held.withColumnRenamed(name, "country"), ["country", "longitude", "latitude"], "left_semi"
+        ).withColumns(
+            {
+                "lat_key": cell_key("latitude", resolution), "lon_key": cell_key("longitude", resolution),
+                "_h": hash_of(seed, "country", "_i"),
+            }
+        )
+        return cut(drop_buffered(inside, positives, buffer_cells, buffer_days))
+
+    free = None
+    while True:
+        more = drawn(asked)
+        free = more if free is None else free.unionByName(more)
+        seen = free.groupBy("country").agg(F.count(F.lit(1)).alias("_got"), F.count_distinct("lat_key", "lon_key", "date").alias("_days"))
+        known = asked.join(seen, "country", "left").fillna(0, ["_got", "_days"])
+        # a country is left when as many draws as its box has cell-days find no further free one
+        short = known.filter("_got < _all and (_days > _before or _n < _universe)")
+        asked = cut(short.withColumns({
+            "_from": F.col("_from") + F.col("_n"), "_n": F.col("_n") * 4, "_before": F.col("_days"),
+        }).select(*asked.columns))
+        if asked.isEmpty():
+            break
+    return take_by_hash(free, ["country"], F.col("_all"), quotas=want).select(
         *CELL_DAY, "longitude", "latitude", F.lit(0).alias("count")
     )
 

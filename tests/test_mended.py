@@ -129,3 +129,17 @@ def test_area_negatives_of_a_sliver(spark):
     kha = 0.05 * 4 * (3.141592653589793 * 6371.0 / 180) ** 2 * 0.99939 / 10
     out = sampling.area_negatives(polygons, fires, 71 / kha, date(2020, 1, 1), date(2020, 12, 31))
     assert 69 <= out.count() <= 73
+
+
+def test_area_negatives_of_a_buffered_polygon(spark):
+    ring = "array(named_struct('x',0D,'y',0D), named_struct('x',2D,'y',0D), named_struct('x',2D,'y',2D), named_struct('x',0D,'y',2D), named_struct('x',0D,'y',0D))"
+    polygons = spark.sql(f"SELECT 'B' AS n_name, {ring} AS ring")
+    # four fifths of the cells, on all days
+    fires = spark.range(17 * 21).selectExpr("'B' AS country", "id % 17 AS lat_key", "floor(id / 17) AS lon_key").withColumn(
+        "date", F.explode(F.expr("sequence(date'2020-01-01', date'2020-12-31')"))
+    )
+    kha = 4 * (3.141592653589793 * 6371.0 / 180) ** 2 * 0.99985 / 10
+    out = sampling.area_negatives(polygons, fires, 300 / kha, date(2020, 1, 1), date(2020, 12, 31), buffer_cells=0, buffer_days=0)
+    rows = out.collect()
+    assert 299 <= len(rows) <= 302
+    assert all(r.lat_key > 16 for r in rows)
