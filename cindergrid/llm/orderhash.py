@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cindergrid.llm import common
+from cindergrid.llm import blocks, common
 from cindergrid.llm.components import components
 
 WIDTH = 5  # words in a shingle
@@ -140,7 +140,8 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     key are compared with the bucket's pivot, the member that shares most keys with others:
     of copies of one original, the original itself. In buckets that then hold several
     components, members outside the next pivot's, drawn by hash, are compared with it, until
-    a round finds no link; no bucket is capped and none is expanded into all pairs. Links
+    a round finds no link; then all pairs of different components that are left in a bucket
+    are compared, in blocks, so that every bucket ends settled and none is capped. Links
     are pairs whose banded alignment keeps at least 0.8 of their five-word shingles; classes
     are their connected components.
 
@@ -164,7 +165,7 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     members = shared.groupBy("id").agg(F.sum("size").alias("degree"), F.collect_list("key").alias("keys"))
     members = common.stage(members.withColumn("root", F.col("id")), "open")
     words = common.stage(_words(docs, key, text, members.select("id")), "words")
-    links, roots, number = None, None, 0
+    links, roots, tried, number = None, None, None, 0
     while True:
         each = members.select("id", "degree", "root", F.explode("keys").alias("key"))
         rank = F.col("degree") if number == 0 else F.xxhash64("id", "key", F.lit(number))
@@ -172,6 +173,8 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
         # a bucket whose members are all in one component is settled and has no pivot
         pivots = each.groupBy("key").agg(top, F.min("root").alias("x"), F.max("root").alias("y")).where("x <> y")
         pivots = common.stage(pivots.select("key", (-F.col("top.minus")).alias("pivot"), F.col("top.root").alias("pivot_root")), "pivots")
+        done = pivots.select("key", F.col("pivot").alias("id"))
+        tried = done if tried is None else tried.union(done)
         met = each.join(pivots, "key").where("root <> pivot_root")
         pairs = met.select(F.least("id", "pivot").alias("a"), F.greatest("id", "pivot").alias("b")).distinct()
         found = common.stage(_verified(pairs, words), "verified")
@@ -181,6 +184,13 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
         roots, number = components(links), number + 1
         members = members.drop("root").join(roots.select(F.col("node").alias("id"), "root"), "id", "left")
         members = common.stage(members.withColumn("root", F.coalesce("root", "id")), "placed")
+    # a pivot has met its whole bucket; what no pivot has joined is compared with each other
+    rest = members.select("id", "root", F.col("id").alias("part"), F.explode("keys").alias("key"))
+    rest = common.stage(rest.join(tried.distinct(), ["key", "id"], "left_anti"), "unsettled")
+    more = blocks.settled(rest, words.withColumnRenamed("words", "w"), labelled, SIMILARITY, aligned)
+    more = common.stage(more, "settled")
+    if not more.isEmpty():
+        roots = components(more if links is None else links.union(more))
     place = F.col("rep")
     members = own.select("k", "rep")
     if roots is not None:

@@ -225,3 +225,23 @@ def test_passage_in_an_earlier_text_than_its_longest_copy(spark):
     rows = [row(n, " ".join([f"a{n}x{i}" for i in range(40)] + own + [f"b{n}x{i}" for i in range(40)])) for n, own in ((1, passage[20:65]), (2, passage), (3, passage))]
     found = [(r.doc_id, r.words, r.keeper_doc_id) for r in P.repeated_passages(spark.createDataFrame(rows, DOCS)).collect()]
     assert found == [(3, 70, 2)]
+
+
+def test_near_copies_in_a_family_against_all_pairs(spark):
+    draw, base = random.Random(34), prose(950, 480).split()
+    # texts at 0.78 to each other and one pair above 0.8, whose buckets all have another pivot
+    chosen = []
+    while len(chosen) < 60:
+        places = set(draw.sample(range(5, 475, 6), 6))
+        if all(len(places & c) < 2 for c in chosen):
+            chosen.append(places)
+    texts = {i + 1: " ".join(f"v{i}x{n}" if n in c else w for n, w in enumerate(base)) for i, c in enumerate(chosen)}
+    same = sorted(chosen[19])[:2]
+    other = draw.sample([p for p in range(5, 475, 6) if p not in chosen[19]], 4)
+    texts[100] = " ".join(f"v19x{n}" if n in same else f"u{n}" if n in other else w for n, w in enumerate(base))
+    hashes = common.WordHashes()
+    words = {k: hashes.of(t) for k, t in texts.items()}
+    keys = {k: set(O.sketches(O.labelled(w)).tolist()) for k, w in words.items()}
+    links = [(a, b) for a, b in combinations(texts, 2) if keys[a] & keys[b] and O.aligned(words[a], words[b]) >= 0.8]
+    found = classes_of(O.near_duplicates(spark.createDataFrame([row(k, t) for k, t in texts.items()], DOCS)).collect())
+    assert links and found == unite(texts, links)
