@@ -7,7 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cindergrid.llm import bestfit, common, fixity, language, matroska, mixing, multiindex, orderhash, packing, passages, quality
+from cindergrid.llm import (
+    bestfit, common, fixity, language, matroska, mixing, multiindex, orderhash, packing, passages, quality, resample, resync, vantage,
+)
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -104,3 +106,24 @@ def op9_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_paragraph_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every passage that repeats a passage of an earlier document."""
     return passages.repeated_passages(common.read(spark, sf_dir, "documents"))
+
+
+@query
+def op11_vantage_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The cluster of every vector after ten rounds from eight centroids."""
+    return vantage.vantage_clusters(common.read(spark, sf_dir, "embeddings"))
+
+
+SQL["op11_vantage_clusters"] = vantage.clusters_sql()
+
+
+@query
+def op12_resync_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The number of tokens of every text."""
+    return resync.count_tokens(common.read(spark, sf_dir, "documents"))
+
+
+@query
+def op13_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A quarter of the longer documents, drawn towards the texts of the benchmark."""
+    return resample.resample(common.read(spark, sf_dir, "documents"), common.read(spark, sf_dir, "benchmark"))
