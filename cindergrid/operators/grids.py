@@ -6,25 +6,27 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cindergrid.functions.cells import cell_coord, spread_to_neighbours
+from cindergrid.operators.polygons import rings, unrolled
 from cindergrid.operators.spatial import positions_in_polygons
 
 
 def candidate_cells(polygons, bounds=None, resolution=0.1, name="n_name") -> DataFrame:
     """Cells whose centre lies in a polygon, clipped to bounds; country = first name.
 
-    Only the cells of each polygon's own box are generated, line by line.
+    Only the cells of each ring's own box are generated, line by line.
     """
-    x = F.transform("ring", lambda v: v["x"])
-    y = F.transform("ring", lambda v: v["y"])
-    box = polygons.select(
-        F.array_min(y).alias("y0"), F.array_max(y).alias("y1"),
-        F.array_min(x).alias("x0"), F.array_max(x).alias("x1"),
+    each = rings(polygons, [name]).withColumn("_xs", unrolled())
+    y = F.transform("_path", lambda v: v["y"].cast("double"))
+    box = each.select(
+        F.array_min(y).alias("y0"), F.array_max(y).alias("y1"), F.array_min("_xs").alias("x0"), F.array_max("_xs").alias("x1"),
     )
     if bounds is not None:
         lat0, lon0, lat1, lon1 = (float(b) for b in bounds)
-        box = box.select(
+        # a box beyond 180 degrees meets the bounds as it lies and a turn away
+        turned = box.withColumn("_t", F.explode(F.array(*[F.lit(t) for t in (-360.0, 0.0, 360.0)])))
+        box = turned.select(
             F.greatest("y0", F.lit(lat0)).alias("y0"), F.least("y1", F.lit(lat1)).alias("y1"),
-            F.greatest("x0", F.lit(lon0)).alias("x0"), F.least("x1", F.lit(lon1)).alias("x1"),
+            F.greatest(F.col("x0") + F.col("_t"), F.lit(lon0)).alias("x0"), F.least(F.col("x1") + F.col("_t"), F.lit(lon1)).alias("x1"),
         ).filter("y0 <= y1 and x0 <= x1")
     # half a step of slack keeps cells whose centre rounds onto the border
     key = lambda c: (F.col(c) / resolution).cast("double")
@@ -34,7 +36,10 @@ def candidate_cells(polygons, bounds=None, resolution=0.1, name="n_name") -> Dat
         F.explode(F.sequence(first("y0"), last("y1"))).alias("lat_key"),
         first("x0").alias("_a"), last("x1").alias("_b"),
     )
-    cells = lines.select("lat_key", F.explode(F.sequence("_a", "_b")).alias("lon_key")).distinct()
+    turn, half = round(360 / resolution), round(180 / resolution)
+    column = F.explode(F.sequence("_a", "_b"))
+    lon = F.when(F.col("_c").between(-half, half), F.col("_c")).otherwise(F.pmod(F.col("_c") + half, F.lit(turn)) - half)
+    cells = lines.select("lat_key", column.alias("_c")).select("lat_key", lon.alias("lon_key")).distinct()
     spots = cells.withColumns(
         {
             "latitude": cell_coord("lat_key", resolution),

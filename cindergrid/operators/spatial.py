@@ -14,69 +14,25 @@ from pyspark.sql import functions as F
 
 from cindergrid.functions.cells import EARTH_RADIUS_KM, haversine_km
 from cindergrid.functions.probability import clip
+from cindergrid.operators.polygons import SHIFT, located, part_lists, polygon_index
 
 XY = ("longitude", "latitude")
 
 # --- polygons -------------------------------------------------------------------
 
 
-def polygon_bands(polygons, attrs, ring="ring", size=0.25) -> DataFrame:
-    """Polygon pieces per (x bucket, y bucket): only the edges crossing that y band.
-
-    A horizontal ray from a point is crossed only by edges of its own y band, so
-    a polygon with very many vertices is never compared as a whole.
-    """
-    # an id built from the whole ring keeps equal-named polygons apart
-    poly = polygons.withColumn("_pid", F.xxhash64(*[a for a in attrs], ring))
-    n = F.size(ring) - 1
-    edge = F.transform(
-        F.sequence(F.lit(1), n),
-        lambda i: F.struct(
-            F.element_at(ring, i)["x"].alias("x1"), F.element_at(ring, i)["y"].alias("y1"),
-            F.element_at(ring, i + 1)["x"].alias("x2"), F.element_at(ring, i + 1)["y"].alias("y2"),
-        ),
-    )
-    box = poly.select(
-        "_pid", *attrs,
-        F.array_min(F.transform(ring, lambda v: v["x"])).alias("_x0"),
-        F.array_max(F.transform(ring, lambda v: v["x"])).alias("_x1"),
-        F.explode(edge).alias("_e"),
-    )
-    lo, hi = F.least("_e.y1", "_e.y2"), F.greatest("_e.y1", "_e.y2")
-    banded = box.filter(lo < hi).withColumn(
-        "_by", F.explode(F.sequence(_bucket(lo, size), _bucket(hi, size)))
-    )
-    pieces = banded.groupBy("_pid", *attrs, "_x0", "_x1", "_by").agg(
-        F.collect_list("_e").alias("_edges")
-    )
-    return pieces.withColumn(
-        "_bx", F.explode(F.sequence(_bucket(F.col("_x0"), size), _bucket(F.col("_x1"), size)))
-    ).drop("_x0", "_x1")
-
-
 def _bucket(x: Column, size: float) -> Column:
     return F.floor(x / F.lit(size)).cast("long")
 
 
-def _crossings(x: Column, y: Column) -> Column:
-    """Number of edges crossed by the ray to the right (half-open in y)."""
-    return F.size(
-        F.filter(
-            "_edges",
-            lambda e: ((e["y1"] > y) != (e["y2"] > y))
-            & (x < (e["x2"] - e["x1"]) * (y - e["y1"]) / (e["y2"] - e["y1"]) + e["x1"]),
-        )
-    )
-
-
 def positions_in_polygons(points, polygons, attrs, x=XY[0], y=XY[1], size=0.25) -> DataFrame:
-    """(x, y, attrs) of every distinct position inside a polygon."""
-    spots = points.select(x, y).distinct().withColumns(
-        {"_bx": _bucket(F.col(x), size), "_by": _bucket(F.col(y), size)}
-    )
-    hits = spots.join(polygon_bands(polygons, attrs, size=size), ["_bx", "_by"])
-    inside = hits.filter(F.pmod(_crossings(F.col(x), F.col(y)), F.lit(2)) == 1)
-    return inside.select(x, y, *attrs)
+    """(x, y, attrs) of every distinct position inside a polygon (`ring`, or `parts` with holes and islands).
+
+    A row per polygon: equal attributes of two polygons come twice. See `polygons` for the
+    index, which is built and written first.
+    """
+    index = polygon_index(polygons, attrs, size)
+    return located(points.select(x, y).distinct(), index, x, y).select(x, y, *attrs)
 
 
 def tag_points(
@@ -102,68 +58,37 @@ def polygon_mean(
     """Mean of `value` over the polygons that meet a circle around each position.
 
     A polygon counts if it holds the position or one of its edges is within the
-    radius (true metres on a local plane).
+    radius (true metres on a local plane). Circles reach across 180 degrees.
     """
-    inside = positions_in_polygons(points, polygons, ["_poly", value], x, y, size) if (
-        "_poly" in polygons.columns
-    ) else positions_in_polygons(
-        points, _with_id(polygons), ["_poly", value], x, y, size
-    )
-    poly = _with_id(polygons)
     per_deg = math.pi * EARTH_RADIUS_KM / 180.0
-    n = F.size("ring") - 1
-    edges = poly.select(
-        "_poly", value,
-        F.explode(
-            F.transform(
-                F.sequence(F.lit(1), n),
-                lambda i: F.struct(
-                    F.element_at("ring", i)["x"].alias("x1"),
-                    F.element_at("ring", i)["y"].alias("y1"),
-                    F.element_at("ring", i + 1)["x"].alias("x2"),
-                    F.element_at("ring", i + 1)["y"].alias("y2"),
-                ),
-            )
-        ).alias("_e"),
-    )
+    index = polygon_index(_with_id(polygons), ["_poly", value], size)
+    spots = points.select(x, y).distinct()
+    inside = located(spots, index, x, y).select(x, y, "_poly", value)
+    # pieces of the coarse buckets that a circle can reach, all the way round near a pole
     pad_lat = radius_km / per_deg
-    # longitude padding for the latitudes an edge can be reached from
-    far = F.least(
-        F.greatest(F.abs(F.col("_e.y1")), F.abs(F.col("_e.y2"))) + pad_lat, F.lit(89.0)
-    )
-    pad_lon = F.lit(pad_lat) / F.cos(F.radians(far))
-    reach = edges.withColumn(
-        "_bx",
-        F.explode(
-            F.sequence(
-                _bucket(F.least("_e.x1", "_e.x2") - pad_lon, size),
-                _bucket(F.greatest("_e.x1", "_e.x2") + pad_lon, size),
-            )
-        ),
-    ).withColumn(
-        "_by",
-        F.explode(
-            F.sequence(
-                _bucket(F.least("_e.y1", "_e.y2") - pad_lat, size),
-                _bucket(F.greatest("_e.y1", "_e.y2") + pad_lat, size),
-            )
-        ),
-    )
-    spots = points.select(x, y).distinct().withColumns(
-        {"_bx": _bucket(F.col(x), size), "_by": _bucket(F.col(y), size)}
-    )
-    px, py = F.col(x), F.col(y)
-    kx = F.cos(F.radians(py)) * per_deg
-    ax, ay = (F.col("_e.x1") - px) * kx, (F.col("_e.y1") - py) * per_deg
-    bx, by = (F.col("_e.x2") - px) * kx, (F.col("_e.y2") - py) * per_deg
-    dx, dy = bx - ax, by - ay
-    along = F.coalesce(
-        F.least(F.greatest(-(ax * dx + ay * dy) / F.nullif(dx * dx + dy * dy, F.lit(0.0)),
-                           F.lit(0.0)), F.lit(1.0)),
-        F.lit(0.0),
-    )
-    gap = F.hypot(ax + along * dx, ay + along * dy)
-    near = spots.join(reach, ["_bx", "_by"]).filter(gap <= radius_km).select(x, y, "_poly", value)
+    far = F.abs(F.col(y)) + pad_lat
+    pad_lon = F.when(far >= 89.0, 180.0).otherwise(F.least(F.lit(pad_lat) / F.cos(F.radians(far)), F.lit(180.0)))
+    ring = round(360 / size)
+    u, v = F.col(x) + (180.0 - SHIFT), F.col(y) + (90.0 - SHIFT)
+    west = _bucket(u - pad_lon, size)
+    east = F.least(_bucket(u + pad_lon, size), west + (ring - 1))
+    reach = spots.filter(F.col(x).isNotNull() & F.col(y).isNotNull()).withColumn(
+        "_ay", F.explode(F.sequence(_bucket(v - pad_lat, size), _bucket(v + pad_lat, size)))
+    ).withColumn("_ax", F.explode(F.transform(F.sequence(west, east), lambda b: F.pmod(b, F.lit(ring)))))
+    px, py = F.pmod(u, F.lit(360.0)), v
+    kx = F.cos(F.radians(F.col(y))) * per_deg
+
+    def gap(e):
+        """Distance of an edge on a local plane, its nearer copy round the globe."""
+        turn = 360.0 * F.round(((e["a1"] + e["a2"]) / 2 - px) / 360.0)
+        ax, ay = (e["a1"] - turn - px) * kx, (e["b1"] - py) * per_deg
+        dx, dy = (e["a2"] - e["a1"]) * kx, (e["b2"] - e["b1"]) * per_deg
+        along = -(ax * dx + ay * dy) / F.nullif(dx * dx + dy * dy, F.lit(0.0))
+        along = F.coalesce(F.least(F.greatest(along, F.lit(0.0)), F.lit(1.0)), F.lit(0.0))
+        return F.hypot(ax + along * dx, ay + along * dy)
+
+    pieces = index.pieces.filter("_edges is not null").select("_ax", "_ay", "_poly", value, "_edges")
+    near = reach.join(pieces, ["_ax", "_ay"]).filter(F.exists("_edges", lambda e: gap(e) <= radius_km)).select(x, y, "_poly", value)
     met = near.unionByName(inside).distinct()
     return met.groupBy(x, y).agg(F.avg(value).alias(value), F.count(F.lit(1)).alias("polygons"))
 
@@ -171,7 +96,7 @@ def polygon_mean(
 def _with_id(polygons) -> DataFrame:
     if "_poly" in polygons.columns:
         return polygons
-    return polygons.withColumn("_poly", F.xxhash64("ring"))
+    return polygons.withColumn("_poly", F.xxhash64(part_lists(polygons)))
 
 
 # --- grids and rasters ----------------------------------------------------------
