@@ -11,11 +11,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cindergrid.llm import common
-from cindergrid.llm.tokens import default_vocabulary
+from cindergrid.llm.tokens import ChunkIds, default_vocabulary
 
-CHUNK = 16_384  # characters encoded at once
+HUGE = 32_768  # characters of the longest text that is one chunk
+CHUNK = 16_384  # characters of a chunk of longer ones
 OVERLAP = 512  # of them shared with the chunk before, at first
-BATCH = 1_000_000  # characters of short texts encoded in one call
 LIMIT = 2048
 
 #: One blank between two other characters. No piece reaches over its left side.
@@ -50,7 +50,7 @@ class Resynchroniser:
     the same id at the same place on each side of it.
     """
 
-    def __init__(self, path: str, chunk: int = CHUNK, overlap: int = OVERLAP):
+    def __init__(self, path: str, chunk: int = CHUNK, overlap: int = OVERLAP, huge: int = HUGE):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
@@ -59,12 +59,18 @@ class Resynchroniser:
         self.margin = max(map(len, added), default=0) + 1
         self.chunk, self.overlap = max(chunk, 4 * self.margin), max(overlap, 2 * self.margin + 2)
         self.chunk = max(self.chunk, 2 * self.overlap)
+        self.huge = max(huge, self.chunk)
         if any(re.search(r"\s", a) for a in added) or any(
             self.whole(one + two) != self.whole(one) + self.whole(two)
             for one, two in (("on", " a"), ("tion.", " 'S'"), ("1", " 2"), ("été", " -x"), ("'", " s"), ("日本", " 語"))
         ):
             raise ValueError("pieces of the vocabulary must not reach from a word over the blank after it")
 
+        try:
+            self.words = ChunkIds(path)
+        except ValueError:  # its pieces hold white space
+            self.words = None
+
     def whole(self, text: str) -> list[int]:
         return self.tokenizer.encode(text, add_special_tokens=False).ids
 
@@ -72,7 +78,10 @@ class Resynchroniser:
         return [i for window, last in self.windows(text) for i in window.ids[window.first : last]]
 
     def count(self, text: str) -> int:
-        return sum(last - window.first for window, last in self.windows(text))
+        """Tokens of a text; one of a single chunk is read through the cache of white-space separated chunks, if the vocabulary has one."""
+        if len(text) > self.huge:
+            return sum(last - window.first for window, last in self.windows(text))
+        return len(self.words.ids(text) if self.words is not None else self.whole(text))
 
     def windows(self, text: str) -> Iterator[tuple[Window, int]]:
         """Chunks in order, each with the number of its last id; ids from `first` to there make up the text.
@@ -114,7 +123,7 @@ class Resynchroniser:
 
 def count_tokens(
     docs: DataFrame, key: str = "doc_id", text: str = "text", vocabulary: str | None = None,
-    limit: int = LIMIT, chunk: int = CHUNK, overlap: int = OVERLAP, with_ids: bool = False,
+    limit: int = LIMIT, chunk: int = CHUNK, overlap: int = OVERLAP, huge: int = HUGE, with_ids: bool = False,
 ) -> DataFrame:
     """doc_id, n_bytes, n_tokens, over_limit of every row (and input_ids, if asked for).
 
@@ -132,27 +141,9 @@ def count_tokens(
     names = ["doc_id", "n_bytes", "n_tokens", "over_limit"] + ["input_ids"] * with_ids
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder = Resynchroniser(path, chunk, overlap)
+        coder = Resynchroniser(path, chunk, overlap, huge)
         for part, texts in common.text_rows(batches, "t"):
-            found: list[int | list[int]] = [0] * len(texts)
-            short, held = [], 0
-
-            def close(short, found):
-                made = coder.tokenizer.encode_batch_fast([t for _, t in short], add_special_tokens=False)
-                for (row, _), encoding in zip(short, made, strict=True):
-                    found[row] = encoding.ids if with_ids else len(encoding)
-
-            for row, own in enumerate(texts):
-                if own is None or len(own) > coder.chunk:
-                    long = own or ""
-                    found[row] = coder.ids(long) if with_ids else coder.count(long) if long else 0
-                    continue
-                short.append((row, own))
-                held += len(own)
-                if held > BATCH:
-                    close(short, found)
-                    short, held = [], 0
-            close(short, found)
+            found = [coder.ids(t or "") if with_ids else coder.count(t or "") for t in texts]
             counts = [len(f) for f in found] if with_ids else found
             columns = [part.column("k"), part.column("b"), pa.array(counts, pa.int64()), pa.array([n > limit for n in counts], pa.bool_())]
             if with_ids:

@@ -19,7 +19,7 @@ LONG = [
 
 @pytest.fixture(scope="module")
 def small():
-    return Resynchroniser(default_vocabulary(), chunk=200, overlap=50)
+    return Resynchroniser(default_vocabulary(), chunk=200, overlap=50, huge=200)
 
 
 @pytest.mark.parametrize("text", LONG + ODD)
@@ -28,12 +28,23 @@ def test_spliced_ids_are_the_whole_texts(small, text):
     assert small.count(text) == len(small.whole(text))
 
 
+@pytest.fixture(scope="module")
+def one_chunk():
+    return Resynchroniser(default_vocabulary(), huge=1_000_000)
+
+
+@pytest.mark.parametrize("text", LONG + ODD)
+def test_counts_of_one_chunk(one_chunk, text):
+    assert one_chunk.count(text) == len(one_chunk.whole(text))
+
+
 @pytest.mark.parametrize("seed", range(30))
-def test_spliced_ids_of_random_texts(small, seed):
+def test_spliced_ids_of_random_texts(small, one_chunk, seed):
     draw = random.Random(seed)
     parts = ["a", "The", "'s", "'", " ", "  ", "\n", ".", "..", "<|endoftext|>", "<|", "|>", "é", "é", "́", "ß", "Σ", "日本", "7", " ", "　", "\x1c", "🙂", "long" * 30]
     text = "".join(draw.choice(parts) + draw.choice(["", " ", " "]) for _ in range(draw.choice([100, 600, 3000])))
     assert small.ids(text) == small.whole(text)
+    assert one_chunk.count(text) == len(small.whole(text))
 
 
 def test_chunks_stay_small_where_blanks_are(small):
@@ -52,13 +63,15 @@ def test_overlaps_widen_and_chunks_double(small):
 def test_other_vocabularies():
     import public_tokenizers
 
-    coder = Resynchroniser(public_tokenizers.path("byte_bpe_50k.json"), chunk=200, overlap=50)
+    coder = Resynchroniser(public_tokenizers.path("byte_bpe_50k.json"), chunk=200, overlap=50, huge=200)
     for text in LONG:
         assert coder.ids(text) == coder.whole(text)
+        assert coder.count(text) == len(coder.whole(text))
+        assert Resynchroniser(public_tokenizers.path("byte_bpe_50k.json")).count(text) == len(coder.whole(text))
 
 
 def test_edge_documents(spark, edge_docs, no_docs, small):
-    rows = count_tokens(edge_docs, chunk=300, overlap=80, limit=100, with_ids=True).collect()
+    rows = count_tokens(edge_docs, chunk=300, overlap=80, huge=300, limit=100, with_ids=True).collect()
     docs = edge_docs.collect()
     assert len(rows) == len(docs)
     expected = [(d.doc_id, len((d.text or "").encode()), small.whole(d.text or "")) for d in docs]
