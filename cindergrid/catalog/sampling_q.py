@@ -8,9 +8,11 @@ from cindergrid.catalog.base import query
 from cindergrid.catalog.reports_q import SPLIT, with_split
 from cindergrid.functions.labels import StaticContext
 from cindergrid.operators import grids, ranking, sampling
+from cindergrid.operators.draws import permutation_sql
 from cindergrid.plans import targets
 
-START, END = "1997-01-01", "1999-12-31"
+START, END = "1995-01-01", "2001-12-31"
+PERIOD = "1997-01-01", "1999-12-31"  # of the jobs whose period is shorter than the table's
 CD = "country lat_key:i lon_key:i date:t"
 
 
@@ -23,7 +25,7 @@ BASE = """ce AS (SELECT DISTINCT country, lat_key, lon_key, CONCAT('E',CAST(lat_
     lon_key%2=0 AS burnable, CONCAT('L',CAST(lon_key%3 AS VARCHAR)) AS landcover_key, (lat_key*7+lon_key)%29=0 AS city FROM predictions),
   po AS (SELECT DISTINCT country, lat_key, lon_key, date, CONCAT('E',CAST(lat_key%4 AS VARCHAR)) AS ecoregion_name,
     lon_key%2=0 AS burnable, CONCAT('L',CAST(lon_key%3 AS VARCHAR)) AS landcover_key FROM predictions
-    WHERE is_fire=1 AND prob_raw>0.97E0 AND date BETWEEN DATE '1997-01-01' AND DATE '1999-12-31')"""
+    WHERE is_fire=1)"""
 
 
 def _strata(df):
@@ -44,51 +46,85 @@ def _cells(t):
 
 
 def _positives(t):
-    hot = t.predictions.filter("is_fire = 1 AND prob_raw > 0.97").filter(
-        F.col("date").between(START, END)
-    )
-    return _strata(hot.select("country", "lat_key", "lon_key", "date").distinct())
+    fires = t.predictions.filter("is_fire = 1")
+    return _strata(fires.select("country", "lat_key", "lon_key", "date").distinct())
+
 
+_DAYS = f"""dy AS (SELECT CAST(x AS DATE) AS date FROM range(DATE '{START}', DATE '{END}'+1, INTERVAL 1 DAY) AS t(x)),
+  dm AS (SELECT MONTH(date) AS m, list_sort(LIST(date)) AS days FROM dy GROUP BY 1)"""
+_BLOCKED = """bl AS (SELECT DISTINCT country, lat_key+a AS lat_key, lon_key+b AS lon_key, date+d AS date FROM po,
+    (VALUES (-1),(0),(1)) AS x(a), (VALUES (-1),(0),(1)) AS y(b), (VALUES (-1),(0),(1)) AS z(d))"""
+_CD = "country, lat_key, lon_key, date"
 
-def _near_sql(draws=4):
-    return f"""nd AS (SELECT country, lat_key, lon_key, date, i FROM po, range(1,{draws + 1}) AS r(i)),
-  rg AS (SELECT ROW_NUMBER() OVER (ORDER BY a,b) AS k, a, b FROM range(-5,6) AS x(a), range(-5,6) AS y(b)
+
+def _near_sql(rounds):
+    """Ring draws of all positives in their first rounds."""
+    return f"""rg AS (SELECT ROW_NUMBER() OVER (ORDER BY a,b) - 1 AS j, a, b FROM range(-5,6) AS x(a), range(-5,6) AS y(b)
     WHERE GREATEST(ABS(a),ABS(b)) BETWEEN 2 AND 5),
-  nk AS (SELECT *, {_hex(f"'42:ring:'||{_KEY}||':'||i")} % 112 + 1 AS k, {_hex(f"'42:day:'||{_KEY}||':'||i")} % 15 - 7 AS dd FROM nd),
-  nm AS (SELECT country, lat_key+a AS lat_key, lon_key+b AS lon_key, date+CAST(dd AS INT) AS date, GREATEST(ABS(a),ABS(b)) AS distance, ABS(dd) AS gap_days
-    FROM nk JOIN rg USING (k)),
-  nr AS (SELECT country, lat_key, lon_key, date, distance, gap_days, ROW_NUMBER() OVER (PARTITION BY country, lat_key, lon_key, date
-    ORDER BY distance, gap_days) AS z FROM nm WHERE date BETWEEN DATE '{START}' AND DATE '{END}'
-    AND (country, lat_key, lon_key) IN (SELECT (country, lat_key, lon_key) FROM ce)),
-  near AS (SELECT country, lat_key, lon_key, date, distance, gap_days, md5('42:near:'||{_KEY}) AS h FROM nr WHERE z=1)"""
+  ni AS (SELECT {_CD}, i, 1680 AS n, {_hex(f"'42:near:'||{_KEY}")} AS k FROM po, range(0,{rounds}) AS r(i)),
+  {permutation_sql("nv", "ni", _CD)},
+  nm AS (SELECT country, lat_key+a AS lat_key, lon_key+b AS lon_key, date+CAST(v%15-7 AS INT) AS date, i AS r, GREATEST(ABS(a),ABS(b)) AS distance,
+    ABS(v%15-7) AS gap_days FROM nv JOIN rg ON j = v//15),
+  near AS (SELECT {_CD}, m.r AS r, m.d AS distance, m.g AS gap_days, md5('42:near:'||{_KEY}) AS h FROM (
+    SELECT {_CD}, MIN({{'r': r, 'd': distance, 'g': gap_days}}) AS m FROM nm WHERE date BETWEEN DATE '{START}' AND DATE '{END}'
+      AND (country, lat_key, lon_key) IN (SELECT (country, lat_key, lon_key) FROM ce) GROUP BY ALL))"""
+
 
+def _city_sql(rounds):
+    return f"""ci AS (SELECT country, lat_key, lon_key, i, (SELECT COUNT(*) FROM dy) AS n, {_hex("'42:city:'||country||':'||lat_key||':'||lon_key")} AS k
+    FROM ce, range(0,{rounds}) AS r(i) WHERE city),
+  {permutation_sql("cv", "ci", "country, lat_key, lon_key")},
+  cm AS (SELECT country, lat_key, lon_key, DATE '{START}' + CAST(v AS INT) AS date, i AS r FROM cv WHERE i < n),
+  city AS (SELECT *, md5('42:city:'||{_KEY}) AS h FROM cm)"""
 
-_DAYS = f"""dy AS (SELECT CAST(x AS DATE) AS date FROM range(DATE '{START}', DATE '{END}'+1, INTERVAL 1 DAY) AS t(x))"""
-_CITY_SQL = f"""cm AS (SELECT country, lat_key, lon_key, date, md5('42:city:'||{_KEY}) AS m FROM ce, dy WHERE city),
-  city AS (SELECT country, lat_key, lon_key, date, CASE WHEN ROW_NUMBER() OVER (PARTITION BY country, lat_key, lon_key ORDER BY m)<=1
-    THEN '0' ELSE '1' END || m AS h FROM cm)"""
+
+#: stratum, short name, columns of the pool, whether months match
+_STRATA_SQL = [
+    ("same_season", "ss", ["country"], True),
+    ("same_ecoregion", "se", ["country", "ecoregion_name"], True),
+    ("same_burnable_landcover", "sl", ["country", "burnable", "landcover_key"], True),
+    ("random_background", "rb", [], False),
+]
 
 
-def _matched_sql(stratum, tag, keys, month, draws):
+def _matched_sql(stratum, tag, keys, month, rounds):
+    """Draws of all groups in their first rounds; every positive's own pool has cells here."""
     name = f"42:{stratum}"
-    part = f"PARTITION BY {keys}" if keys else ""
-    on = " AND ".join(f"p.{k.strip()}=d.{k.strip()}" for k in keys.split(",")) if keys else "TRUE"
-    pick_month = f"""(SELECT COUNT(*) FROM dy WHERE MONTH(dy.date)=MONTH(d.date))"""
-    day = (
-        f"dm.days[{_hex(f'{chr(39)}{name}:date:{chr(39)}||d.country||{chr(39)}:{chr(39)}||d.lat_key||{chr(39)}:{chr(39)}||d.lon_key||{chr(39)}:{chr(39)}||d.date||{chr(39)}:{chr(39)}||i')} % len(dm.days) + 1]"
-        if month
-        else f"DATE '{START}' + CAST({_hex(f'{chr(39)}{name}:date:{chr(39)}||d.country||{chr(39)}:{chr(39)}||d.lat_key||{chr(39)}:{chr(39)}||d.lon_key||{chr(39)}:{chr(39)}||d.date||{chr(39)}:{chr(39)}||i')} % 1095 AS INT)"
-    )
-    del pick_month
-    return f"""{tag}_p AS (SELECT *, ROW_NUMBER() OVER ({part} ORDER BY md5('{name}:pool:'||country||':'||lat_key||':'||lon_key)) AS rk,
-     COUNT(*) OVER ({part}) AS sz FROM ce),
-  {tag}_d AS (SELECT po.*, i, {_hex(f"'{name}:cell:'||{_KEY}||':'||i")} AS u FROM po, range(1,{draws + 1}) AS r(i)),
-  {tag}_o AS (SELECT DISTINCT p.country, p.lat_key, p.lon_key, {day} AS date FROM {tag}_d d JOIN {tag}_p p ON {on} AND p.rk = d.u % p.sz + 1
-     JOIN dm ON dm.m=MONTH(d.date)),
+    pool = "||'|'||".join([f"'{len(keys)}'", *[f"CAST({k} AS VARCHAR)" for k in keys]])
+    m, days = ("MONTH(date)", "len(dm.days)") if month else ("0", "(SELECT COUNT(*) FROM dy)")
+    day = "dm.days[v % ds + 1]" if month else f"DATE '{START}' + CAST(v % ds AS INT)"
+    return f"""{tag}_p AS (SELECT country, lat_key, lon_key, {pool} AS pool, ROW_NUMBER() OVER (PARTITION BY {pool}
+    ORDER BY md5('{name}:pool:'||country||':'||lat_key||':'||lon_key)) - 1 AS cell, COUNT(*) OVER (PARTITION BY {pool}) AS sz FROM ce),
+  {tag}_g AS (SELECT {pool} AS pool, {m} AS mo, COUNT(*) AS c FROM po GROUP BY ALL),
+  {tag}_n AS (SELECT g.pool, g.mo, c, {days} AS ds, p.sz * {days} AS n, {_hex(f"'{name}:perm:'||g.pool||':'||g.mo")} AS k
+    FROM {tag}_g g JOIN {tag}_p p ON p.pool=g.pool AND p.cell=0 LEFT JOIN dm ON dm.m=g.mo),
+  {tag}_i AS (SELECT pool, mo, c, ds, n, k, UNNEST(range(0, LEAST(n, c*{rounds}))) AS i FROM {tag}_n),
+  {permutation_sql(f"{tag}_v", f"{tag}_i", "pool, mo, c, ds")},
+  {tag}_o AS (SELECT p.country, p.lat_key, p.lon_key, {day} AS date, MIN(i // c) AS r FROM {tag}_v v
+    JOIN {tag}_p p ON p.pool=v.pool AND p.cell=v.v//ds LEFT JOIN dm ON dm.m=v.mo GROUP BY ALL),
   {tag} AS (SELECT *, md5('{name}:order:'||{_KEY}) AS h FROM {tag}_o)"""
 
 
-_DM = "dm AS (SELECT MONTH(date) AS m, list_sort(LIST(date)) AS days FROM dy GROUP BY 1)"
+_QUOTAS = """n AS (SELECT CAST(CEIL(ROUND(COUNT(*)*{odds},9)) AS BIGINT) AS t FROM po),
+  w AS (SELECT * FROM (VALUES ('near_fire_hard',0,0.25E0),('large_city_hard',1,0.10E0),('same_season',2,0.20E0),('same_ecoregion',3,0.20E0),
+    ('same_burnable_landcover',4,0.20E0),('random_background',5,0.05E0)) AS v(stratum,p,w)),
+  f AS (SELECT stratum, t, p, w, FLOOR(t*w) AS fl, ROUND(t*w-FLOOR(t*w),9) AS fr FROM n, w),
+  rq AS (SELECT *, ROW_NUMBER() OVER (ORDER BY fr DESC, w DESC, p) AS k, t-SUM(fl) OVER () AS left_over FROM f),
+  q AS (SELECT stratum, p, t, CAST(fl+CASE WHEN k<=left_over THEN 1 ELSE 0 END AS BIGINT) AS quota FROM rq)"""
+
+
+def _first(source, tag, quota, closed, more=""):
+    """The first free rows of a stratum in the order of its rounds."""
+    return f"""{tag} AS (SELECT {_CD}{more}, rn FROM (SELECT *, ROW_NUMBER() OVER (ORDER BY r, h) AS rn FROM {source} s
+    WHERE NOT EXISTS (FROM {closed} x WHERE x.country=s.country AND x.lat_key=s.lat_key AND x.lon_key=s.lon_key AND x.date=s.date)) WHERE rn <= {quota})"""
+
+
+def _quota(stratum):
+    return f"(SELECT quota FROM q WHERE stratum='{stratum}')"
+
+
+def _quotas(t):
+    return {r["stratum"]: r["quota"] for r in sampling.stratum_quotas(_positives(t)).collect()}
 
 
 @query(
@@ -129,103 +165,76 @@ def f5(t):
 
 @query(
     "f6_near_event_negatives", CD + " distance:i gap_days:i",
-    BASE + "," + _near_sql() + """, bl AS (SELECT DISTINCT country, lat_key+a AS lat_key, lon_key+b AS lon_key, date+d AS date FROM po,
-        (VALUES (-1),(0),(1)) AS x(a), (VALUES (-1),(0),(1)) AS y(b), (VALUES (-1),(0),(1)) AS z(d)),
-      fr AS (SELECT * FROM near WHERE (country,lat_key,lon_key,date) NOT IN (SELECT (country,lat_key,lon_key,date) FROM bl))
-      SELECT country, lat_key, lon_key, date, distance, gap_days FROM fr ORDER BY h LIMIT 400""",
+    ",".join([BASE, _QUOTAS.format(odds="9.0E0"), _near_sql(40), _BLOCKED, _first("near", "fr", _quota("near_fire_hard"), "bl", ", distance, gap_days")])
+    + f" SELECT {_CD}, distance, gap_days FROM fr",
     "predictions",
 )
 def f6(t):
-    pos = _positives(t)
-    near = sampling.near_event_candidates(pos, _cells(t), START, END)
-    free = grids.drop_buffered(near, pos).withColumn("_g", F.lit(0))
-    return sampling.take_by_hash(free, ["_g"], F.lit(400))
+    pos = sampling.cut(_positives(t))
+    return sampling.stratum_negatives("near_fire_hard", _quotas(t)["near_fire_hard"], pos, _cells(t), START, END, grids.blocked_keys(pos))
 
 
 @query(
     "f7_city_negatives", CD,
-    BASE + "," + _DAYS + "," + _CITY_SQL + " SELECT country, lat_key, lon_key, date FROM city ORDER BY h LIMIT 300",
+    ",".join([BASE, _DAYS, _QUOTAS.format(odds="9.0E0"), _city_sql(2557), _BLOCKED, _first("city", "fr", _quota("large_city_hard"), "bl")])
+    + f" SELECT {_CD} FROM fr",
     "predictions",
 )
 def f7(t):
-    city = sampling.city_candidates(_cells(t), START, END).withColumn("_g", F.lit(0))
-    return sampling.take_by_hash(city, ["_g"], F.lit(300))
-
-
-_STRATA_SQL = [
-    ("same_season", "ss", "country", True, 8),
-    ("same_ecoregion", "se", "country, ecoregion_name", True, 8),
-    ("same_burnable_landcover", "sl", "country, burnable, landcover_key", True, 8),
-    ("random_background", "rb", "", False, 16),
-]
+    pos = sampling.cut(_positives(t))
+    return sampling.stratum_negatives("large_city_hard", _quotas(t)["large_city_hard"], pos, _cells(t), START, END, grids.blocked_keys(pos))
 
 
 @query(
     "f8_matched_negatives", "stratum " + CD,
-    BASE + "," + _DAYS + "," + _DM + "," + ",".join(_matched_sql(s, g, k, m, 4) for s, g, k, m, _ in _STRATA_SQL)
-    + " " + " UNION ALL ".join(
-        f"SELECT '{s}' AS stratum, country, lat_key, lon_key, date FROM (SELECT * FROM {g} ORDER BY h LIMIT 500)"
-        for s, g, *_ in _STRATA_SQL
-    ),
+    ",".join([BASE, _DAYS, _QUOTAS.format(odds="9.0E0"), _BLOCKED, *[_matched_sql(*row, 24) for row in _STRATA_SQL],
+              *[_first(tag, f"{tag}_f", _quota(name), "bl") for name, tag, *_ in _STRATA_SQL]])
+    + " " + " UNION ALL ".join(f"SELECT '{name}' AS stratum, {_CD} FROM {tag}_f" for name, tag, *_ in _STRATA_SQL),
     "predictions",
 )
 def f8(t):
-    pos, cells = _positives(t), _cells(t)
+    pos, cells, quotas = sampling.cut(_positives(t)), _cells(t), _quotas(t)
     pool = None
     for name, *_ in _STRATA_SQL:
-        c = sampling.matched_candidates(pos, cells, START, END, name).withColumn("stratum", F.lit(name))
+        c = sampling.stratum_negatives(name, quotas[name], pos, cells, START, END, grids.blocked_keys(pos)).withColumn("stratum", F.lit(name))
         pool = c if pool is None else pool.unionByName(c)
-    return sampling.take_by_hash(pool, ["stratum"], F.lit(500))
+    return pool
 
 
 @query(
     "f9_stratum_quotas", "stratum target:i quota:i",
-    BASE + """, n AS (SELECT CAST(CEIL(ROUND(COUNT(*)*9.0E0,9)) AS BIGINT) AS t FROM po),
-      w AS (SELECT * FROM (VALUES ('near_fire_hard',0,0.25E0),('large_city_hard',1,0.10E0),('same_season',2,0.20E0),('same_ecoregion',3,0.20E0),
-        ('same_burnable_landcover',4,0.20E0),('random_background',5,0.05E0)) AS v(stratum,p,w)),
-      f AS (SELECT stratum, t, p, w, FLOOR(t*w) AS fl, ROUND(t*w-FLOOR(t*w),9) AS fr FROM n, w),
-      r AS (SELECT *, ROW_NUMBER() OVER (ORDER BY fr DESC, w DESC, p) AS k, t-SUM(fl) OVER () AS left_over FROM f)
-      SELECT stratum, t AS target, fl+CASE WHEN k<=left_over THEN 1 ELSE 0 END AS quota FROM r""",
+    ",".join([BASE, _QUOTAS.format(odds="9.0E0")]) + " SELECT stratum, t AS target, quota FROM q",
     "predictions",
 )
 def f9_quotas(t):
     return sampling.stratum_quotas(_positives(t))
 
 
-_F9_SQL = (
-    BASE + "," + _DAYS + "," + _DM + "," + _near_sql(8) + "," + _CITY_SQL + ","
-    + ",".join(_matched_sql(*row) for row in _STRATA_SQL)
-    + """, n AS (SELECT CAST(CEIL(ROUND(COUNT(*)*4.0E0,9)) AS BIGINT) AS t FROM po),
-  w AS (SELECT * FROM (VALUES ('near_fire_hard',0,0.25E0),('large_city_hard',1,0.10E0),('same_season',2,0.20E0),('same_ecoregion',3,0.20E0),
-    ('same_burnable_landcover',4,0.20E0),('random_background',5,0.05E0)) AS v(stratum,p,w)),
-  f AS (SELECT stratum, t, p, w, FLOOR(t*w) AS fl, ROUND(t*w-FLOOR(t*w),9) AS fr FROM n, w),
-  r AS (SELECT *, ROW_NUMBER() OVER (ORDER BY fr DESC, w DESC, p) AS k, t-SUM(fl) OVER () AS lo FROM f),
-  q AS (SELECT stratum, p, t, fl+CASE WHEN k<=lo THEN 1 ELSE 0 END AS quota FROM r),
-  al AS (SELECT 0 AS p, country, lat_key, lon_key, date, h, distance, gap_days FROM near UNION ALL
-    SELECT 1, country, lat_key, lon_key, date, h, NULL, NULL FROM city UNION ALL SELECT 2, country, lat_key, lon_key, date, h, NULL, NULL FROM ss UNION ALL
-    SELECT 3, country, lat_key, lon_key, date, h, NULL, NULL FROM se UNION ALL SELECT 4, country, lat_key, lon_key, date, h, NULL, NULL FROM sl UNION ALL
-    SELECT 5, country, lat_key, lon_key, date, h, NULL, NULL FROM rb),
-  bl AS (SELECT DISTINCT country, lat_key+a AS lat_key, lon_key+b AS lon_key, date+d AS date FROM po,
-    (VALUES (-1),(0),(1)) AS x(a), (VALUES (-1),(0),(1)) AS y(b), (VALUES (-1),(0),(1)) AS z(d)),
-  on1 AS (SELECT *, ROW_NUMBER() OVER (PARTITION BY country, lat_key, lon_key, date ORDER BY p, h) AS z FROM al),
-  fr1 AS (SELECT * FROM on1 WHERE z=1 AND (country,lat_key,lon_key,date) NOT IN (SELECT (country,lat_key,lon_key,date) FROM bl)),
-  rk AS (SELECT *, ROW_NUMBER() OVER (PARTITION BY p ORDER BY h) AS rn FROM fr1),
-  hv AS (SELECT p, COUNT(*) AS have FROM fr1 GROUP BY 1),
-  pl AS (SELECT q.*, COALESCE(have,0) AS have, SUM(CASE WHEN q.p<>5 THEN LEAST(quota,COALESCE(have,0)) ELSE 0 END) OVER () AS oth,
-     t-SUM(LEAST(quota,COALESCE(have,0))) OVER () AS short FROM q LEFT JOIN hv USING (p)),
-  tk AS (SELECT rk.*, stratum, quota, short FROM rk JOIN pl USING (p) WHERE rn <= CASE WHEN p=5 THEN t-oth ELSE quota END),
-  nc AS (SELECT COUNT(*) AS al, COUNT(*) FILTER (city) AS ci FROM ce)
-  SELECT country, lat_key, lon_key, date, stratum, distance, gap_days, LEAST((CASE WHEN p=5 AND rn>quota THEN short ELSE quota END)
-    /((CASE WHEN p=1 THEN ci ELSE al END)*1095.0E0),1) AS sampling_probability,
-    1/LEAST((CASE WHEN p=5 AND rn>quota THEN short ELSE quota END)/((CASE WHEN p=1 THEN ci ELSE al END)*1095.0E0),1) AS sample_weight
-  FROM tk, nc"""
-)
+def _f9_sql():
+    """Stratum after stratum; each leaves out what is buffered or taken before."""
+    none = ", CAST(NULL AS DOUBLE) AS distance, CAST(NULL AS DOUBLE) AS gap_days"
+    parts = [BASE, _DAYS, _QUOTAS.format(odds="4.0E0"), _BLOCKED, _near_sql(40), _city_sql(2557), *[_matched_sql(*row, 48) for row in _STRATA_SQL]]
+    closed, held = "bl", []
+    for i, (name, source) in enumerate([("near_fire_hard", "near"), ("large_city_hard", "city"), *[(n, t) for n, t, *_ in _STRATA_SQL]]):
+        quota = _quota(name)
+        if name == "random_background":
+            quota = "(SELECT t FROM n) - " + " - ".join(f"(SELECT COUNT(*) FROM {tag})" for tag in held)
+        parts.append(_first(source, f"t{i}", quota, closed, ", distance, gap_days" if i == 0 else none))
+        parts.append(f"x{i} AS (SELECT {_CD} FROM {closed} UNION ALL SELECT {_CD} FROM t{i})")
+        closed = f"x{i}"
+        held.append(f"t{i}")
+    rows = " UNION ALL ".join(f"SELECT {i} AS p, * FROM {tag}" for i, tag in enumerate(held))
+    short = "(SELECT t FROM n) - " + " - ".join(f"(SELECT COUNT(*) FROM {tag})" for tag in held[:-1]) + " - quota"
+    return ",".join(parts) + f""", al AS ({rows}), nc AS (SELECT COUNT(*) AS al, COUNT(*) FILTER (city) AS ci FROM ce),
+  ch AS (SELECT al.*, stratum, LEAST((CASE WHEN p=5 AND rn>quota THEN {short} ELSE quota END) / ((CASE WHEN p=1 THEN ci ELSE nc.al END)*2557.0E0), 1) AS c
+    FROM al JOIN q USING (p), nc)
+  SELECT {_CD}, stratum, distance, gap_days, c AS sampling_probability, 1/c AS sample_weight FROM ch"""
 
 
 @query(
     "f9_stratified_negatives",
     CD + " stratum distance:d1 gap_days:d1 sampling_probability:d9 sample_weight:d5",
-    _F9_SQL, "predictions",
+    _f9_sql(), "predictions",
 )
 def f9(t):
     out = sampling.stratified_negatives(_positives(t), _cells(t), START, END, positive_fraction=0.2)
@@ -241,10 +250,10 @@ def f9(t):
     "polygons",
 )
 def f10(t):
-    pos = t.predictions.filter("is_fire = 1 AND prob_raw > 0.9").withColumn(
+    pos = t.predictions.filter("is_fire = 1").withColumn(
         "country", F.concat(F.lit("NATION_"), F.pmod("lat_key", F.lit(25)).cast("string"))
     )
-    out = sampling.area_negatives(t.polygons, pos, 0.2, START, END)
+    out = sampling.area_negatives(t.polygons, pos, 0.2, *PERIOD)
     bad = grids.blocked_keys(pos).withColumn("_bad", F.lit(1))
     return out.join(bad, list(sampling.CELL_DAY), "left").groupBy("country").agg(
         F.count(F.lit(1)).alias("rows"), F.count("_bad").alias("blocked")
@@ -253,7 +262,7 @@ def f10(t):
 
 @query("f11_target_job", "country stratum month:i rows:i positives:i soft:d4 history:i")
 def f11(t):
-    target = targets.build_target(t.detections, _cells(t), START, END)
+    target = targets.build_target(t.detections, _cells(t), *PERIOD)
     return target.groupBy("country", "negative_stratum", F.month("date").alias("month")).agg(
         F.count(F.lit(1)).alias("rows"), F.sum("count").alias("positives"),
         F.sum("soft_label").alias("soft"), F.sum("past_event_count_r1_30_365d").alias("history"),
@@ -298,7 +307,7 @@ def f12_plain(t):
     "predictions",
 )
 def f12_lazy(t):
-    out = sampling.lazy_sample(_cells(t), t.predictions.filter("is_fire = 1"), START, END, 0.05)
+    out = sampling.lazy_sample(_cells(t), t.predictions.filter("is_fire = 1"), *PERIOD, 0.05)
     return out.groupBy("country", F.trunc("date", "month").alias("month")).agg(
         F.count(F.lit(1)).alias("rows"), F.sum("is_fire").alias("positives"),
         F.sum("eval_weight").alias("weight"),

@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cindergrid.functions.labels import finite
+from cindergrid.operators.draws import drawn, leading, numbers, with_place
 from cindergrid.operators.ranking import exact_quantiles
 from cindergrid.session import cut
 
@@ -84,124 +85,139 @@ STRATA = {
     "same_burnable_landcover": 0.20,
     "random_background": 0.05,
 }
+ROUNDS = 12  # of draws of points
 CELL_DAY = ("country", "lat_key", "lon_key", "date")
 
 
 def near_event_candidates(
-    positives, cells, start, end, min_cells=2, max_cells=5, day_window=7, draws=4, seed=42
+    positives, cells, start, end, low=0, high=4, min_cells=2, max_cells=5, day_window=7, seed=42
 ) -> DataFrame:
-    """Cell-days drawn from the ring around each positive, with distance and day gap.
+    """Cell-days in the ring around each positive, drawn in rounds `low` .. `high`-1, with distance and day gap.
 
-    Each positive makes `draws` hash draws of a ring offset and a day shift;
-    draws that leave the cells or the period are dropped, as are repeats.
+    In each round every positive draws one of its ring offsets and day shifts, none of them
+    twice; draws that leave the cells or the period are dropped.
     """
-    ring = [
-        (a, b)
-        for a in range(-max_cells, max_cells + 1)
-        for b in range(-max_cells, max_cells + 1)
-        if min_cells <= max(abs(a), abs(b)) <= max_cells
-    ]
-    key = ("country", "lat_key", "lon_key", "date")
-    d = positives.select(*key).distinct().withColumn("_i", F.explode(F.sequence(F.lit(1), F.lit(draws))))
-    pick = F.pmod(hash_int(f"{seed}:ring", *key, "_i"), F.lit(len(ring))) + 1
-    da = F.element_at(F.array(*[F.lit(a) for a, _ in ring]), pick.cast("int"))
-    db = F.element_at(F.array(*[F.lit(b) for _, b in ring]), pick.cast("int"))
-    dd = (F.pmod(hash_int(f"{seed}:day", *key, "_i"), F.lit(2 * day_window + 1)) - day_window)
+    ring = _ring(min_cells, max_cells)
+    shifts = 2 * day_window + 1
+    d = positives.select(*CELL_DAY).distinct().withColumn("_k", hash_int(f"{seed}:near", *CELL_DAY))
+    d = d.withColumn("_round", F.explode(F.sequence(F.lit(low), F.lit(min(high, len(ring) * shifts) - 1))))
+    d = with_place(d, "_round", F.lit(len(ring) * shifts), "_k")
+    pick = (F.floor(F.col("_v") / shifts) + 1).cast("int")
+    da = F.element_at(F.array(*[F.lit(a) for a, _ in ring]), pick)
+    db = F.element_at(F.array(*[F.lit(b) for _, b in ring]), pick)
+    dd = (F.pmod("_v", F.lit(shifts)) - day_window).cast("int")
     moved = d.select(
         "country", (F.col("lat_key") + da).alias("lat_key"), (F.col("lon_key") + db).alias("lon_key"),
-        F.date_add("date", dd.cast("int")).alias("date"),
-        F.greatest(F.abs(da), F.abs(db)).cast("double").alias("distance"),
-        F.abs(dd).cast("double").alias("gap_days"),
+        F.date_add("date", dd).alias("date"), "_round",
+        F.greatest(F.abs(da), F.abs(db)).cast("double").alias("distance"), F.abs(dd).cast("double").alias("gap_days"),
     ).filter(F.col("date").between(F.lit(start).cast("date"), F.lit(end).cast("date")))
     inside = moved.join(
-        cells.select("country", "lat_key", "lon_key"), ["country", "lat_key", "lon_key"], "left_semi"
-    )
-    best = inside.groupBy(*CELL_DAY).agg(F.min(F.struct("distance", "gap_days")).alias("_b"))
-    return best.select(
-        *CELL_DAY, F.col("_b.distance").alias("distance"), F.col("_b.gap_days").alias("gap_days"),
-        hash_of(f"{seed}:near", *CELL_DAY).alias("_h"),
+        cells.select("country", "lat_key", "lon_key").distinct(), ["country", "lat_key", "lon_key"], "left_semi"
     )
+    best = inside.groupBy(*CELL_DAY).agg(F.min(F.struct("_round", "distance", "gap_days")).alias("_b"))
+    return best.select(*CELL_DAY, "_b.*", hash_of(f"{seed}:near", *CELL_DAY).alias("_h"))
 
 
-def city_candidates(cells, start, end, per_cell=1, seed=42) -> DataFrame:
-    """City cell-days: the first `per_cell` days of each cell lead the order."""
-    days = F.explode(F.sequence(F.lit(start).cast("date"), F.lit(end).cast("date")))
-    every = cells.filter("large_city_hard").select("country", "lat_key", "lon_key", days.alias("date"))
-    every = every.withColumn("_m", hash_of(f"{seed}:city", *CELL_DAY))
-    # one cell holds at most one row per calendar day
-    w = Window.partitionBy("country", "lat_key", "lon_key").orderBy("_m")
-    lead = F.when(F.row_number().over(w) <= per_cell, "0").otherwise("1")
-    return every.select(*CELL_DAY, F.concat(lead, "_m").alias("_h"))
+def _ring(min_cells, max_cells) -> list[tuple[int, int]]:
+    span = range(-max_cells, max_cells + 1)
+    return [(a, b) for a in span for b in span if min_cells <= max(abs(a), abs(b)) <= max_cells]
 
 
-def matched_candidates(
-    positives, cells, start, end, stratum, draws=4, match_month=True, seed=42
-) -> DataFrame:
-    """Cell-days drawn to match each positive's season, ecoregion or land cover.
+def city_candidates(cells, start, end, low=0, high=1, seed=42) -> DataFrame:
+    """City cell-days of rounds `low` .. `high`-1: in each round every city cell draws a day it has not had."""
+    first, last = F.lit(start).cast("date"), F.lit(end).cast("date")
+    size = (F.datediff(last, first) + 1).cast("bigint")
+    city = cells.filter("large_city_hard").select("country", "lat_key", "lon_key").distinct()
+    d = city.withColumn("_round", F.explode(F.sequence(F.lit(low), F.least(F.lit(high), size) - 1)))
+    d = with_place(d, "_round", size, hash_int(f"{seed}:city", "country", "lat_key", "lon_key"))
+    d = d.withColumn("date", F.date_add(first, F.col("_v").cast("int")))
+    return d.select(*CELL_DAY, "_round", hash_of(f"{seed}:city", *CELL_DAY).alias("_h"))
+
+
+#: What the cells of a stratum's pool have in common with the positive.
+POOLS = {
+    "same_season": ["country"],
+    "same_ecoregion": ["country", "ecoregion_name"],
+    "same_burnable_landcover": ["country", "burnable", "landcover_key"],
+    "random_background": [],
+}
+
 
-    Every positive makes `draws` draws of a cell from its matching pool (its
-    country's pool if that is empty) and of a date, in the same calendar month
-    where the stratum asks for it. Background draws ignore the positive.
+def matched_groups(positives, cells, start, end, stratum, match_month=True, seed=42) -> tuple[DataFrame, DataFrame]:
+    """Groups of positives that draw from the same cell-days, and the numbered cells of all pools.
+
+    A group has its pool, month (0 for any day), the number of its positives, of its days and
+    of its cell-days, and a key. A positive whose pool has no cells draws from its country's,
+    or else from all cells.
     """
-    pools = {
-        "same_season": ["country"],
-        "same_ecoregion": ["country", "ecoregion_name"],
-        "same_burnable_landcover": ["country", "burnable", "landcover_key"],
-        "random_background": [],
-    }[stratum]
     name = f"{seed}:{stratum}"
-    pos = positives.select(
-        *dict.fromkeys([*CELL_DAY, "ecoregion_name", "burnable", "landcover_key"])
-    ).distinct()
-    d = pos.withColumn("_i", F.explode(F.sequence(F.lit(1), F.lit(draws))))
-    d = d.withColumn("_u", hash_int(f"{name}:cell", *CELL_DAY, "_i"))
-
-    def indexed(keys):
-        src = cells.select(*dict.fromkeys(["country", "lat_key", "lon_key", *keys])).withColumn(
-            "_h", hash_of(f"{name}:pool", "country", "lat_key", "lon_key")
-        )
-        return numbered(src, keys)
-
-    def draw(rows, keys):
-        pool = indexed(keys)
-        sizes = pool.groupBy(*keys).agg(F.max("_total").alias("_size"))
-        sized = rows.join(sizes, keys, "left") if keys else rows.withColumn(
-            "_size", sizes.scalar()
-        )
-        sized = sized.withColumn("_rank", F.pmod("_u", "_size") + 1)
-        spot = pool.select(
-            *[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)], "_rank",
-            F.col("country").alias("_co"), F.col("lat_key").alias("_la"), F.col("lon_key").alias("_lo"),
-        )
-        on = [F.col(k).eqNullSafe(F.col(f"_k{i}")) for i, k in enumerate(keys)]
-        hit = spot.withColumnRenamed("_rank", "_r2")
-        return sized.join(hit, [*on, F.col("_rank") == F.col("_r2")]).drop(
-            "_r2", "_rank", *[f"_k{i}" for i in range(len(keys))]
-        ), sized.filter(F.col("_size").isNull()).drop("_size", "_rank")
-
-    got, missed = draw(d, pools)
-    if len(pools) > 1:
-        again, _ = draw(missed, ["country"])
-        got = got.select(*again.columns).unionByName(again)
-    v = hash_int(f"{name}:date", *CELL_DAY, "_i")
-    first, last = F.lit(start).cast("date"), F.lit(end).cast("date")
-    span = F.datediff(last, first) + 1
-    use_month = stratum == "same_season" or (
-        match_month and stratum in ("same_ecoregion", "same_burnable_landcover")
-    )
-    free = F.date_add(first, F.pmod(v, span).cast("int"))
-    day = free
-    if use_month:
-        days = F.element_at(_days_by_month(start, end), F.month("date"))
-        day = F.when(
-            F.size(days) > 0,
-            F.element_at(days, (F.pmod(v, F.greatest(F.size(days), F.lit(1))) + 1).cast("int")),
-        ).otherwise(free)
-    out = got.select(
-        F.col("_co").alias("country"), F.col("_la").alias("lat_key"), F.col("_lo").alias("lon_key"),
-        day.alias("date"),
-    ).distinct()
-    return out.withColumn("_h", hash_of(f"{name}:order", *CELL_DAY))
+    levels = [POOLS[stratum]] + [keys for keys in (["country"], []) if len(keys) < len(POOLS[stratum])]
+    word = lambda k: F.coalesce(F.col(k).cast("string"), F.lit("\u0000"))
+    tag = lambda keys: F.concat_ws("|", F.lit(str(len(keys))), *[word(k) for k in keys])
+    known = cells.select(*dict.fromkeys(["country", "lat_key", "lon_key", *POOLS[stratum]])).distinct()
+    pools = None
+    for keys in levels:
+        one = known.select("country", "lat_key", "lon_key", tag(keys).alias("_pool"))
+        pools = one if pools is None else pools.unionByName(one)
+    pools = cut(numbered(pools.withColumn("_h", hash_of(f"{name}:pool", "country", "lat_key", "lon_key")), ["_pool"]).select(
+        "_pool", (F.col("_rank") - 1).alias("_cell"), F.col("_total").alias("_cells"), "country", "lat_key", "lon_key"
+    ))
+    sizes = pools.filter("_cell = 0").select("_pool", "_cells")
+    by_month = stratum == "same_season" or (match_month and stratum in ("same_ecoregion", "same_burnable_landcover"))
+    lengths = F.transform(_days_by_month(start, end), lambda d: F.size(d))
+    month = F.when(F.element_at(lengths, F.month("date")) > 0, F.month("date")).otherwise(0) if by_month else F.lit(0)
+    pos = positives.select(*dict.fromkeys([*CELL_DAY, *POOLS[stratum]])).distinct()
+    pos = pos.groupBy(month.alias("_month"), *[tag(keys).alias(f"_p{i}") for i, keys in enumerate(levels)]).agg(F.count(F.lit(1)).alias("_n"))
+    for i in range(len(levels)):
+        pos = pos.join(sizes.select(F.col("_pool").alias(f"_p{i}"), F.col("_cells").alias(f"_c{i}")), f"_p{i}", "left")
+    held = [F.when(F.col(f"_c{i}").isNotNull(), F.col(f"_p{i}")) for i in range(len(levels))]
+    days = F.when(F.col("_month") > 0, F.element_at(lengths, F.greatest("_month", F.lit(1)))).otherwise(
+        F.datediff(F.lit(end).cast("date"), F.lit(start).cast("date")) + 1
+    )
+    groups = pos.groupBy(F.coalesce(*held).alias("_pool"), "_month").agg(F.sum("_n").alias("_n")).filter("_pool is not null")
+    groups = groups.join(sizes, "_pool").withColumn("_days", days.cast("bigint")).filter("_days > 0")
+    return cut(groups.select(
+        "_pool", "_month", "_n", "_days", (F.col("_days") * F.col("_cells")).alias("_size"), hash_int(f"{name}:perm", "_pool", "_month").alias("_k")
+    )), pools
+
+
+def matched_candidates(groups, pools, start, end, stratum, low=0, high=4, seed=42) -> DataFrame:
+    """Cell-days of rounds `low` .. `high`-1: in each round a group draws as many as it has positives, none twice."""
+    d = numbers(groups, F.least(F.col("_n") * low, F.col("_size")), F.least(F.col("_n") * high, F.col("_size")))
+    d = with_place(d, "_i", "_size", "_k").select(
+        "_pool", F.floor(F.col("_v") / F.col("_days")).alias("_cell"), F.pmod("_v", "_days").cast("int").alias("_day"),
+        "_month", F.floor(F.col("_i") / F.col("_n")).cast("int").alias("_round"),
+    )
+    spot = d.join(pools.drop("_cells"), ["_pool", "_cell"])
+    listed = F.element_at(F.element_at(_days_by_month(start, end), F.greatest("_month", F.lit(1))), F.col("_day") + 1)
+    day = F.when(F.col("_month") > 0, listed).otherwise(F.date_add(F.lit(start).cast("date"), F.col("_day")))
+    out = spot.select("country", "lat_key", "lon_key", day.alias("date"), "_round")
+    first = out.groupBy(*CELL_DAY).agg(F.min("_round").alias("_round"))
+    return first.withColumn("_h", hash_of(f"{seed}:{stratum}:order", *CELL_DAY))
+
+
+def stratum_negatives(
+    stratum, want, positives, cells, start, end, blocked=None, near=(2, 5, 7), match_month=True, seed=42
+) -> DataFrame:
+    """The first `want` free cell-days of one stratum, or all there are: CELL_DAY, distance, gap_days, _round, _h."""
+    none = F.lit(None).cast("double")
+    n = positives.count()
+    guess = lambda templates: -(-4 * want // (3 * max(1, templates))) + 1
+    if stratum == "near_fire_hard":
+        rounds = len(_ring(*near[:2])) * (2 * near[2] + 1)
+        draw = lambda a, b: near_event_candidates(positives, cells, start, end, a, b, *near, seed)
+        return drawn(draw, want, rounds, guess(n), CELL_DAY, blocked)
+    if stratum == "large_city_hard":
+        days = (date.fromisoformat(str(end)) - date.fromisoformat(str(start))).days + 1
+        n = cells.filter("large_city_hard").select("country", "lat_key", "lon_key").distinct().count()
+        draw = lambda a, b: city_candidates(cells, start, end, a, b, seed)
+        found = drawn(draw, want, days, guess(n), CELL_DAY, blocked)
+    else:
+        groups, pools = matched_groups(positives, cells, start, end, stratum, match_month, seed)
+        rounds = groups.agg(F.max(F.ceil(F.col("_size") / F.col("_n")))).first()[0] or 1
+        draw = lambda a, b: matched_candidates(groups, pools, start, end, stratum, a, b, seed)
+        found = drawn(draw, want, int(rounds), guess(n), CELL_DAY, blocked)
+    return found.withColumns({"distance": none, "gap_days": none}).select(*CELL_DAY, "_round", "_h", "distance", "gap_days")
 
 
 def _days_by_month(start, end) -> Column:
@@ -247,170 +263,122 @@ def stratum_quotas(positives, positive_fraction=0.10, weights=None) -> DataFrame
     ).drop("_floor", "_frac")
 
 
-def _candidates(positives, cells, start, end, buffer_cells, buffer_days, draws, near, per_city_cell, seed) -> DataFrame:
-    """Free candidate cell-days of all strata, each with the first stratum that drew it."""
-    from cindergrid.operators.grids import drop_buffered
-
-    parts = []
-    none = F.lit(None).cast("double")
-    for i, name in enumerate(STRATA):
-        if name == "near_fire_hard":
-            c = near_event_candidates(positives, cells, start, end, *near, draws, seed)
-        elif name == "large_city_hard":
-            c = city_candidates(cells, start, end, per_city_cell, seed)
-        else:
-            # background also serves the refill, so it draws twice as often
-            n = draws * 2 if name == "random_background" else draws
-            c = matched_candidates(positives, cells, start, end, name, n, True, seed)
-        for col in ("distance", "gap_days"):
-            if col not in c.columns:
-                c = c.withColumn(col, none)
-        parts.append(
-            c.select(*CELL_DAY, "distance", "gap_days", "_h", F.lit(i).alias("_p"),
-                     F.lit(name).alias("stratum"))
-        )
-    pool = parts[0]
-    for p in parts[1:]:
-        pool = pool.unionByName(p)
-    # a cell-day drawn by several strata stays with the first of them
-    row = F.struct("_p", "_h", "stratum", "distance", "gap_days")
-    one = pool.groupBy(*CELL_DAY).agg(F.min(row).alias("_r")).select(*CELL_DAY, "_r.*")
-    # both the quota table and the draw read the candidates
-    return cut(drop_buffered(one, positives, buffer_cells, buffer_days))
-
-
 def stratified_negatives(
     positives, cells, start, end, positive_fraction=0.10, weights=None, buffer_cells=1,
-    buffer_days=1, draws=8, near=(2, 5, 7), per_city_cell=1, seed=42,
+    buffer_days=1, near=(2, 5, 7), match_month=True, seed=42,
 ) -> DataFrame:
-    """Matched negatives: all strata at once, a cell-day belongs to its first stratum.
+    """Matched negatives, stratum after stratum: a cell-day belongs to the first that takes it.
 
-    Candidates inside the positive buffer are removed, quotas are filled in hash
-    order, and what a stratum could not fill comes from the background. The
-    candidates are written once to the checkpoint folder.
+    Every stratum holds its quota or, if they are fewer, all its free cell-days: those that
+    are neither in the positive buffer nor taken before. What the others are short of
+    is added to the background's quota. Draws are written to the checkpoint folder.
     """
-    quotas = stratum_quotas(positives, positive_fraction, weights)
-    want = quotas.agg(F.max("target")).first()[0] or 0
-    before = -1
-    while True:
-        free = _candidates(positives, cells, start, end, buffer_cells, buffer_days, draws, near, per_city_cell, seed)
-        counts = {r["stratum"]: r["_have"] for r in free.groupBy("stratum").agg(F.count(F.lit(1)).alias("_have")).collect()}
-        asked = {r["stratum"]: r["quota"] for r in quotas.collect()}
-        held = sum(min(n, asked.get(s, 0)) for s, n in counts.items() if s != "random_background")
-        # more draws, until the target is met or they find no further cell-day
-        if held + counts.get("random_background", 0) >= want or sum(counts.values()) <= before:
-            break
-        before, draws = sum(counts.values()), draws * 4
-
-    have = free.groupBy("stratum").agg(F.count(F.lit(1)).alias("_have"))
-    plan = quotas.join(have, "stratum", "left").withColumn("_have", F.coalesce("_have", F.lit(0)))
-    filled = F.least("quota", "_have")
-    back = F.col("stratum") == "random_background"
-    whole = Window.partitionBy("target")
-    others = F.sum(F.when(~back, filled).otherwise(0)).over(whole)
-    plan = plan.withColumns(
-        {
-            "take": F.when(back, F.col("target") - others).otherwise(F.col("quota")),
-            "shortfall": F.col("target") - F.sum(filled).over(whole),
-        }
-    )
-    days = F.datediff(F.lit(end).cast("date"), F.lit(start).cast("date")) + 1
-    n_cells = cells.agg(
-        F.struct(F.count(F.lit(1)).alias("all"), F.count_if("large_city_hard").alias("city"))
-    ).scalar()
-    taken = take_by_hash(free, ["stratum"], F.col("take"), quotas=plan.select("stratum", "take"))
-    out = taken.join(plan.select("stratum", "quota", "shortfall"), "stratum").withColumn("_n", n_cells)
-    refill = (F.col("stratum") == "random_background") & (F.col("_rank") > F.col("quota"))
-    asked = F.when(refill, F.col("shortfall")).otherwise(F.col("quota"))
-    cells_in = F.when(F.col("stratum") == "large_city_hard", F.col("_n.city")).otherwise(F.col("_n.all"))
-    chance = F.least(asked / F.greatest(cells_in * days, F.lit(1)), F.lit(1.0))
-    return out.select(
+    from cindergrid.operators.grids import blocked_keys
+
+    positives = cut(positives)
+    quotas = {r["stratum"]: r["quota"] for r in stratum_quotas(positives, positive_fraction, weights).collect()}
+    target = sum(quotas.values())
+    blocked = cut(blocked_keys(positives, buffer_cells, buffer_days).select(*CELL_DAY))
+    n = cells.agg(F.count(F.lit(1)).alias("all"), F.count_if("large_city_hard").alias("city")).first()
+    days = (date.fromisoformat(str(end)) - date.fromisoformat(str(start))).days + 1
+    held, taken = 0, None
+    for stratum in STRATA:
+        quota = quotas.get(stratum, 0)
+        back = stratum == "random_background"
+        want = target - held if back else quota
+        if want <= 0:
+            continue
+        closed = blocked if taken is None else blocked.unionByName(taken.select(*CELL_DAY))
+        found = stratum_negatives(stratum, want, positives, cells, start, end, closed, near, match_month, seed)
+        universe = max(1, (n["city"] if stratum == "large_city_hard" else n["all"]) * days)
+        chance = F.lit(min(1.0, quota / universe))
+        if back and want > quota:
+            # rows beyond the quota stand for what the other strata are short of
+            found = leading(cut(found), quota)
+            chance = F.when(~F.col("_leads"), min(1.0, (want - quota) / universe)).otherwise(chance)
+        part = cut(found.select(*CELL_DAY, F.lit(stratum).alias("stratum"), "distance", "gap_days", chance.alias("sampling_probability")))
+        held += part.count()
+        taken = part if taken is None else taken.unionByName(part)
+    if taken is None:
+        none = F.lit(None).cast("double")
+        taken = blocked.filter("false").select(
+            *CELL_DAY, F.lit("").alias("stratum"), none.alias("distance"), none.alias("gap_days"), none.alias("sampling_probability")
+        )
+    return taken.select(
         *CELL_DAY, "stratum", F.lit(0).alias("count"),
         F.col("distance").alias("nearest_positive_distance_cells"),
         F.col("gap_days").alias("nearest_positive_delta_days"),
-        chance.alias("sampling_probability"), (1.0 / chance).alias("sample_weight"),
+        "sampling_probability", (1.0 / F.col("sampling_probability")).alias("sample_weight"),
     )
 
 
 def area_negatives(
     polygons, positives, rate_per_kha_year, start, end, buffer_cells=1, buffer_days=1,
-    resolution=0.1, oversample=4.0, seed=42, chunk=20_000, name="n_name",
+    resolution=0.1, seed=42, name="n_name",
 ) -> DataFrame:
     """Uniform negatives in proportion to polygon area and time, outside the buffer.
 
-    Draws are generated in chunks spread over the cluster, so the largest
-    country does not become one long task. A country whose free draws are too few
-    is drawn again in larger numbers until its quota is met or no new cell-day
-    turns up; free draws are written to the checkpoint folder.
+    A country without a free cell-day (by its cells' centres) gets no row. For the others
+    the share of their box that lies inside and the share of their cell-days that is free
+    are known, so the first draws nearly always fill the quota; what is missing is drawn
+    in further rounds, ROUNDS at most. Draws are generated in chunks spread over the
+    cluster, so the largest country does not become one long task; polygons may have holes,
+    parts and lie across 180 degrees. Free draws are written to the checkpoint folder.
     """
-    from cindergrid.functions.cells import KM_PER_DEGREE, cell_key
-    from cindergrid.operators.grids import drop_buffered
-    from cindergrid.operators.spatial import positions_in_polygons
-
-    x = lambda i: F.element_at("ring", i)["x"]
-    y = lambda i: F.element_at("ring", i)["y"]
-    cross = F.aggregate(
-        F.sequence(F.lit(1), F.size("ring") - 1), F.lit(0.0),
-        lambda a, i: a + x(i) * y(i + 1) - x(i + 1) * y(i),
-    )
-    xs, ys = F.transform("ring", lambda v: v["x"]), F.transform("ring", lambda v: v["y"])
-    mid = (F.array_min(ys) + F.array_max(ys)) / 2
-    kha = F.abs(cross) / 2 * KM_PER_DEGREE**2 * F.cos(F.radians(mid)) / 10.0
-    years = (F.datediff(F.lit(end).cast("date"), F.lit(start).cast("date")) + 1) / 365.25
-    boxes = polygons.select(
-        F.col(name).alias("country"), F.array_min(xs).alias("x0"), F.array_max(xs).alias("x1"),
-        F.array_min(ys).alias("y0"), F.array_max(ys).alias("y1"),
-        F.round(kha * rate_per_kha_year * years).cast("long").alias("want"),
-        ((F.array_max(xs) - F.array_min(xs)) * (F.array_max(ys) - F.array_min(ys)) / (F.abs(cross) / 2)).alias("spread"),
-    ).filter("want > 0")
+    from cindergrid.functions.cells import cell_key
+    from cindergrid.operators.grids import blocked_keys, candidate_cells, drop_buffered
+    from cindergrid.operators.polygons import area_kha, located, polygon_index
+
+    index = polygon_index(polygons, [name])
     span = F.datediff(F.lit(end).cast("date"), F.lit(start).cast("date")) + 1
+    years = span / 365.25
+    closed = cut(blocked_keys(positives, buffer_cells, buffer_days).filter(
+        F.col("date").between(F.lit(start).cast("date"), F.lit(end).cast("date"))
+    ))
+    cells = candidate_cells(polygons, None, resolution, name)
+    blocked = closed.join(cells, ["country", "lat_key", "lon_key"], "left_semi").groupBy("country").agg(F.count(F.lit(1)).alias("_shut"))
+    sizes = cells.groupBy("country").agg((F.count(F.lit(1)) * span).alias("_every"))
+    shares = sizes.join(blocked, "country", "left").select(
+        "country", (1.0 - F.coalesce("_shut", F.lit(0)) / F.col("_every")).alias("_open")
+    )
+    around = (F.col("x1") - F.col("x0")) * (F.col("y1") - F.col("y0"))
+    boxes = area_kha(polygons, [name]).select(
+        F.col(name).alias("country"), "x0", "x1", "y0", "y1", F.round(F.col("kha") * rate_per_kha_year * years).cast("long").alias("want"),
+        (F.col("square_degrees") / around).alias("_inside"),
+    ).filter("want > 0").join(shares, "country", "left").fillna(1.0, ["_open"]).filter("_open > 0")
     want = boxes.groupBy("country").agg(F.sum("want").alias("_all"))
-    cells_of = lambda a, b: F.floor((F.col(b) - F.col(a)) / resolution) + 2
-    # narrow polygons fill little of their box and need more draws
-    draws = F.ceil(F.col("want") * F.greatest(F.lit(oversample), 2 * F.col("spread")) + 10)
-    asked = cut(boxes.join(want, "country").withColumns({
-        "_from": F.lit(0).cast("long"), "_n": draws.cast("long"), "_before": F.lit(0).cast("long"),
-        "_universe": (cells_of("x0", "x1") * cells_of("y0", "y1") * span).cast("long"),
-    }))
-
-    def drawn(asked):
-        """Points number _from + 1 to _from + _n of each polygon's box that are inside and free."""
-        parts = asked.withColumn(
-            "_k", F.explode(F.sequence(F.lit(0), F.floor((F.col("_n") - 1) / chunk)))
-        ).repartition("country", "_k")
-        size = F.least(F.lit(chunk), F.col("_n") - F.col("_k") * chunk)
-        pts = parts.withColumn("_i", F.explode(F.sequence(F.lit(1), size))).withColumn(
-            "_i", F.col("_from") + F.col("_k") * chunk + F.col("_i")
-        )
-        unit = lambda tag: hash_int(f"{seed}:{tag}", "country", "_i") / float(2**32)
+    # a point is kept with chance inside x open, so about so many draws fill the quota
+    boxes = boxes.join(want, "country").withColumn("_id", F.xxhash64("country", "x0", "x1", "y0", "y1"))
+    needed = lambda short: F.ceil(1.2 * short / F.greatest(F.col("_inside") * F.col("_open"), F.lit(1e-9)) + 20).cast("long")
+    asked = cut(boxes.withColumns({"_from": F.lit(0).cast("long"), "_n": needed(F.col("want"))}))
+
+    def points(asked):
+        """Points number _from to _from + _n - 1 of each polygon's box that are inside and free."""
+        pts = numbers(asked.select("country", "_id", "x0", "x1", "y0", "y1", "_from", "_n"), F.col("_from"), F.col("_from") + F.col("_n"))
+        unit = lambda tag: hash_int(f"{seed}:{tag}", "country", "_id", "_i") / float(2**32)
+        east = F.col("x0") + (F.col("x1") - F.col("x0")) * unit("x")
         pts = pts.select(
-            "country", "_i",
-            (F.col("x0") + (F.col("x1") - F.col("x0")) * unit("x")).alias("longitude"),
+            "country", "_id", "_i", F.when(east.between(-180.0, 180.0), east).otherwise(F.pmod(east + 180.0, F.lit(360.0)) - 180.0).alias("longitude"),
             (F.col("y0") + (F.col("y1") - F.col("y0")) * unit("y")).alias("latitude"),
-            F.date_add(F.lit(start).cast("date"), F.pmod(hash_int(f"{seed}:d", "country", "_i"), span)
-                       .cast("int")).alias("date"),
+            F.date_add(F.lit(start).cast("date"), F.pmod(hash_int(f"{seed}:d", "country", "_id", "_i"), span).cast("int")).alias("date"),
         )
-        held = positions_in_polygons(pts, polygons, [name])
-        inside = pts.join(
-            held.withColumnRenamed(name, "country"), ["country", "longitude", "latitude"], "left_semi"
-        ).withColumns(
+        held = located(pts, index, "longitude", "latitude").filter(F.col(name) == F.col("country")).drop("_pid", name).distinct()
+        inside = held.withColumns(
             {
                 "lat_key": cell_key("latitude", resolution), "lon_key": cell_key("longitude", resolution),
-                "_h": hash_of(seed, "country", "_i"),
+                "_h": hash_of(seed, "country", "_id", "_i"),
             }
         )
         return cut(drop_buffered(inside, positives, buffer_cells, buffer_days))
 
     free = None
-    while True:
-        more = drawn(asked)
+    for _ in range(ROUNDS):
+        more = points(asked)
         free = more if free is None else free.unionByName(more)
-        seen = free.groupBy("country").agg(F.count(F.lit(1)).alias("_got"), F.count_distinct("lat_key", "lon_key", "date").alias("_days"))
-        known = asked.join(seen, "country", "left").fillna(0, ["_got", "_days"])
-        # a country is left when as many draws as its box has cell-days find no further free one
-        short = known.filter("_got < _all and (_days > _before or _n < _universe)")
+        known = asked.join(free.groupBy("country").agg(F.count(F.lit(1)).alias("_got")), "country", "left").fillna(0, ["_got"])
+        short = known.filter("_got < _all")
         asked = cut(short.withColumns({
-            "_from": F.col("_from") + F.col("_n"), "_n": F.col("_n") * 4, "_before": F.col("_days"),
+            "_from": F.col("_from") + F.col("_n"), "_n": needed(F.col("_all") - F.col("_got")),
         }).select(*asked.columns))
         if asked.isEmpty():
             break
