@@ -64,7 +64,7 @@ def _feature_query(name, columns, sql_columns, digits=6):
 
     @query(name, shape, sql, "cube")
     def build(t):
-        return series.add_features(_back(t), columns, {"v": "series"})
+        return series.lookback_features(t.cube.select("lat_key", "lon_key", "date"), {"v": t.cube}, N, columns)
 
     return build
 
@@ -104,7 +104,7 @@ _feature_query(
     "cube",
 )
 def e6(t):
-    return series.add_features(_back(t), ["v_autocorr_1", "v_autocorr_7"], {"v": "series"})
+    return series.lookback_features(t.cube.select("lat_key", "lon_key", "date"), {"v": t.cube}, N, ["v_autocorr_1", "v_autocorr_7"])
 
 
 @query(
@@ -144,7 +144,7 @@ def e8(t):
 )
 def e9(t):
     names = ["v_trend_slope_7", "v_trend_intercept_7", "v_trend_slope_30", "v_trend_intercept_30"]
-    return series.add_features(_back(t), names, {"v": "series"})
+    return series.lookback_features(t.cube.select("lat_key", "lon_key", "date"), {"v": t.cube}, N, names)
 
 
 @query(

@@ -1,7 +1,8 @@
 """Lookback series and the features taken from them.
 
 A series is an array column, oldest value first. Feature expressions are plain
-columns, so only the requested families are computed.
+columns, so only the requested families are computed. Lookbacks come from blocks of
+64 days with running sums, so that a window of any width is two look-ups.
 """
 
 from __future__ import annotations
@@ -12,91 +13,245 @@ import re
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from cindergrid.functions.probability import clip
+from cindergrid.session import cut
 
 CELL = ("lat_key", "lon_key")
 
 # --- lookback -------------------------------------------------------------------
 
 
-def daily_spine(cube, cell=CELL, date="date", value="v") -> DataFrame:
-    """Gap-free daily series of every cell over the whole period of its source.
+BLOCK = 64  # days of a block
 
-    Gaps are interpolated linearly in time; before the first and after the last
-    observation the nearest two points are extrapolated.
+
+def _day(date) -> Column:
+    return F.datediff(date, F.lit("1970-01-01"))
+
+
+def series_store(cubes: dict[str, DataFrame], n_days, needs=None, cell=CELL, date="date", value="v") -> DataFrame:
+    """Blocks of 64 days per cell: one row holds all variables, each with the n_days - 1 days before.
+
+    Columns: cell, _block, and per variable a struct of its first day `t`, the gap-free daily
+    values `h` and what `needs` (variable -> parts, see `_parts`) asks for: running sums,
+    running counts of unusable values, running products and minima or maxima of power-of-two
+    spans. Any window of up to n_days days is then two look-ups.
+
+    Each variable lies gap-free between the first and last day of its source: gaps are
+    interpolated linearly in time between the nearest known days, before the first and
+    after the last known day of a cell the nearest two are extrapolated. A block fills its
+    gaps from its own days and its neighbours' last and first known ones. The cubes are
+    read once; their blocks are written to the checkpoint folder.
     """
-    span = cube.agg(F.struct(F.min(date).alias("a"), F.max(date).alias("b"))).scalar()
-    days = (
-        cube.select(*cell).distinct().withColumn("_s", span)
-        .select(*cell, F.explode(F.sequence("_s.a", "_s.b")).alias(date))
-    )
-    full = days.join(cube.select(*cell, date, value), [*cell, date], "left")
-    point = F.when(F.col(value).isNotNull(), F.struct(
-        F.datediff(date, F.lit("1970-01-01")).alias("t"), F.col(value).alias("v")))
-    full = full.withColumn("_p", point)
-    w = Window.partitionBy(*cell).orderBy(date)
-    past = w.rowsBetween(Window.unboundedPreceding, 0)
-    # looking ahead is looking back in reverse order; a frame that ends at the
-    # partition end would rescan the rest of the series for every day
-    ahead = Window.partitionBy(*cell).orderBy(F.col(date).desc()).rowsBetween(
-        Window.unboundedPreceding, 0
-    )
-    # the known points behind and ahead of every day
-    seen = full.withColumns(
-        {
-            "_p1": F.last("_p", ignorenulls=True).over(past),
-            "_n1": F.last("_p", ignorenulls=True).over(ahead),
-        }
-    )
-    known = full.filter(F.col(value).isNotNull())
-    order = Window.partitionBy(*cell).orderBy(date)
-    ends = known.select(
-        *cell, "_p", F.row_number().over(order).alias("_i"),
-        F.count(F.lit(1)).over(Window.partitionBy(*cell)).alias("_n"),
-    ).groupBy(*cell).agg(
-        F.max(F.when(F.col("_i") == 1, F.col("_p"))).alias("_a1"),
-        F.max(F.when(F.col("_i") == 2, F.col("_p"))).alias("_a2"),
-        F.max(F.when(F.col("_i") == F.col("_n"), F.col("_p"))).alias("_z1"),
-        F.max(F.when(F.col("_i") == F.col("_n") - 1, F.col("_p"))).alias("_z2"),
-    )
-    t = F.datediff(date, F.lit("1970-01-01"))
-
-    def line(p, q):
-        a, b = F.col(p), F.col(q)
-        run = F.nullif(b["t"] - a["t"], F.lit(0))
-        return a["v"] + (b["v"] - a["v"]) * (t - a["t"]) / run
-
-    filled = (
-        F.when(F.col(value).isNotNull(), F.col(value))
-        .when(F.col("_p1").isNotNull() & F.col("_n1").isNotNull(), line("_p1", "_n1"))
-        .when(F.col("_p1").isNull(), line("_a1", "_a2"))
-        .otherwise(line("_z2", "_z1"))
-    )
-    return seen.join(ends, list(cell)).select(*cell, date, filled.alias(value))
+    names = list(cubes)
+    rows = None
+    for i, name in enumerate(names):
+        one = cubes[name].filter(F.col(value).isNotNull() & F.col(date).isNotNull()).select(
+            *cell, F.lit(i).alias("_var"), _day(date).alias("t"), F.col(value).cast("double").alias("v")
+        )
+        rows = one if rows is None else rows.unionByName(one)
+    points = F.array_sort(F.collect_list(F.struct("t", "v")))
+    held = cut(rows.withColumn("_block", F.floor(F.col("t") / BLOCK).cast("int")).groupBy(*cell, "_var", "_block").agg(points.alias("_p")))
+    spans = held.groupBy("_var").agg(F.min(F.col("_p")[0]["t"]).alias("_a"), F.max(F.element_at("_p", -1)["t"]).alias("_b"))
+    own = [*cell, "_var"]
+    ends = held.groupBy(*own).agg(
+        F.slice(F.array_sort(F.flatten(F.collect_list(F.slice("_p", 1, 2)))), 1, 2).alias("_head"),
+        F.slice(F.reverse(F.array_sort(F.flatten(F.collect_list(F.slice(F.reverse("_p"), 1, 2))))), 1, 2).alias("_last"),
+    ).join(F.broadcast(spans), "_var")  # one row per variable
+    every = ends.withColumn("_block", F.explode(F.sequence(F.floor(F.col("_a") / BLOCK).cast("int"), F.floor(F.col("_b") / BLOCK).cast("int"))))
+    full = every.join(held, [*own, "_block"], "left")
+    order = Window.partitionBy(*own).orderBy("_block")
+    # looking ahead is looking back in reverse order
+    ahead = Window.partitionBy(*own).orderBy(F.desc("_block")).rowsBetween(Window.unboundedPreceding, -1)
+    full = full.withColumns({
+        "_before": F.last(F.element_at("_p", -1), ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, -1)),
+        "_after": F.last(F.col("_p")[0], ignorenulls=True).over(ahead),
+        "_from": F.greatest(F.col("_block") * BLOCK, "_a"), "_to": F.least(F.col("_block") * BLOCK + (BLOCK - 1), "_b"),
+    })
+
+    def line(two, t):
+        """The straight line through two points (array, nearest first) at day t; NULL for one point."""
+        p, q = F.get(two, F.lit(0)), F.get(two, F.lit(1))
+        return F.struct(t.alias("t"), (p["v"] + (q["v"] - p["v"]) * (t - p["t"]) / (q["t"] - p["t"])).alias("v"))
+
+    known = F.coalesce("_p", F.array().cast(held.schema["_p"].dataType))
+    left = F.when(F.col("_before").isNotNull(), F.array("_before")).when(
+        F.col("_head")[0]["t"] > F.col("_from"), F.array(line(F.col("_head"), F.col("_from")))
+    ).otherwise(F.array().cast(held.schema["_p"].dataType))
+    right = F.when(F.col("_after").isNotNull(), F.array("_after")).when(
+        F.col("_last")[0]["t"] < F.col("_to"), F.array(line(F.col("_last"), F.col("_to")))
+    ).otherwise(F.array().cast(held.schema["_p"].dataType))
+    full = full.withColumn("_q", F.concat(left, known, right)).select(*own, "_block", "_from", "_to", "_q")
+    start, end = F.col("_from"), F.col("_to")
+
+    def between(p, q):
+        a, b = F.greatest(p["t"], start), F.least(q["t"] - 1, end)
+        steps = F.transform(
+            F.sequence(a, F.greatest(b, a)),
+            lambda t: F.when(t == p["t"], p["v"]).otherwise(p["v"] + (q["v"] - p["v"]) * (t - p["t"]) / (q["t"] - p["t"])),
+        )
+        return F.when(a <= b, steps).otherwise(F.array().cast("array<double>"))
+
+    size = F.size("_q")
+    pairs = F.when(size > 1, F.flatten(F.transform(
+        F.sequence(F.lit(1), F.greatest(size - 1, F.lit(1))), lambda i: between(F.get("_q", i - 1), F.get("_q", i))
+    ))).otherwise(F.array().cast("array<double>"))
+    last = F.element_at("_q", -1)
+    values = F.concat(pairs, F.when(last["t"] <= end, F.array(last["v"])).otherwise(F.array().cast("array<double>")))
+    daily = full.select(*own, "_block", F.col("_from").alias("t"), values.alias("h"))
+    # the days before, from as many blocks as they take
+    depth = -(-(n_days - 1) // BLOCK)
+    before = [F.coalesce(F.lag("h", k).over(order), F.array().cast("array<double>")) for k in range(depth, 0, -1)]
+    if before:
+        daily = daily.withColumn("_halo", F.concat(*before)).withColumn("_over", F.greatest(F.size("_halo") - (n_days - 1), F.lit(0)))
+        daily = daily.select(
+            *own, "_block", (F.col("t") - F.size("_halo") + F.col("_over")).alias("t"),
+            F.concat(F.slice("_halo", F.col("_over") + 1, F.greatest(F.size("_halo"), F.lit(1))), "h").alias("h"),
+        )
+    parts = dict.fromkeys(p for name in names for p in (needs or {}).get(name, ()))
+    usable = lambda x: x.isNotNull() & ~F.isnan(x)
+    # columns of their own: inside an array function they would be worked out for every value
+    daily = daily.withColumn("_x0", F.coalesce(F.get(F.filter("h", usable), F.lit(0)), F.lit(0.0)))
+    daily = daily.withColumn("_x", F.transform("h", lambda x: F.when(usable(x), x - F.col("_x0")).otherwise(0.0)))
+    made = daily.select(*own, "_block", F.struct("t", "h", *[c.alias(p) for p, c in _parts(parts).items()]).alias("_s"))
+    return made.groupBy(*cell, "_block").agg(*[F.first(F.when(F.col("_var") == i, F.col("_s")), ignorenulls=True).alias(f"_s{i}") for i in range(len(names))])
+
+
+def _running(xs) -> Column:
+    """0 and the sums of the first 1, 2, ... values."""
+    zero = F.array(F.lit(0.0))
+    return F.aggregate(xs, zero, lambda acc, x: F.concat(acc, F.array(F.element_at(acc, -1) + x)))
+
+
+def _parts(parts) -> dict[str, Column]:
+    """Columns of a block's arrays over `h`; sums are of values less the block's first, unusable values count as it.
+
+    x0: that first value; bad: running number of NULL and NaN values; s, ss, st: running
+    sums of x, x squared and place times x; p_k: of x times the x of k days before;
+    min_j, max_j: least and largest of 2**j days from each day on.
+    """
+    if not parts:
+        return {}
+    usable = lambda x: x.isNotNull() & ~F.isnan(x)
+    shifted = F.col("_x")
+    out = {"x0": F.col("_x0"), "bad": _running(F.transform("h", lambda x: F.when(usable(x), 0.0).otherwise(1.0)))}
+    made = {
+        "s": lambda: _running(shifted),
+        "ss": lambda: _running(F.transform(shifted, lambda x: x * x)),
+        "st": lambda: _running(F.transform(shifted, lambda x, i: x * (i + 1))),
+    }
+    for part in parts:
+        kind, _, k = part.partition("_")
+        if kind == "p":
+            early = F.concat(F.array_repeat(F.lit(0.0), int(k)), shifted)
+            out[part] = _running(F.zip_with(shifted, F.slice(early, F.lit(1), F.size("h")), lambda a, b: a * b))
+        elif kind in ("min", "max"):
+            pick = F.least if kind == "min" else F.greatest
+            level = F.col("h")
+            for j in range(int(k)):
+                later = F.slice(level, F.lit(2**j + 1), F.greatest(F.size(level), F.lit(1)))
+                level = F.zip_with(level, later, lambda a, b: pick(a, b))
+            out[part] = level
+        elif part in made:
+            out[part] = made[part]()
+    return out
 
 
-def cell_series(spine, cell=CELL, date="date", value="v") -> DataFrame:
-    """One array of daily values per cell (one entry per calendar day of the source)."""
-    pairs = F.array_sort(F.collect_list(F.struct(date, value)))
-    return spine.groupBy(*cell).agg(
-        F.transform(pairs, lambda p: p[value]).alias("_all"), F.min(date).alias("_first")
-    )
+def _needs(family, p, n_days) -> list[str]:
+    """Parts of the store a feature reads."""
+    if family in ("min", "max"):
+        return ["bad", f"{family}_{max(0, p.bit_length() - 1)}"]
+    return {
+        "mean": ["bad", "s"], "std": ["bad", "s", "ss"], "trend_slope": ["bad", "s", "st"], "trend_intercept": ["bad", "s", "st"],
+        "autocorr": ["bad", "s", "ss", f"p_{p}"],
+    }.get(family, [])
+
+
+def _stored(s: Column, at: Column, days: Column, family, p, n_days) -> Column | None:
+    """A feature of the n_days days up to place `at` of a block by two look-ups, or None if the family has none."""
+    run = lambda part, k: F.element_at(s[part], k + 1)
+    over = lambda part, w, back=0: run(part, at - back) - run(part, at - back - w)
+    if family == "lag":
+        return F.element_at(s["h"], at - p + 1) if p <= n_days else F.lit(None).cast("double")
+    if family in ("diff", "pct_change"):
+        if p >= n_days:
+            return F.lit(None).cast("double")
+        new, old = F.element_at(s["h"], at), F.element_at(s["h"], at - p)
+        return new - old if family == "diff" else (new - old) / F.nullif(old, F.lit(0.0))
+    if family not in ("mean", "std", "min", "max", "trend_slope", "trend_intercept", "autocorr"):
+        return None
+    if p > n_days or (p < 1 and family != "autocorr"):
+        return F.lit(None).cast("double")
+    if family == "mean":
+        return over("s", p) / p + s["x0"]
+    if family == "std":
+        # where the sums cancel too far, the days themselves are read
+        spread = over("ss", p) / p - (over("s", p) / p) * (over("s", p) / p)
+        return F.when(spread > 1e-6 * run("ss", at), F.sqrt(spread)).otherwise(std(days, p))
+    if family in ("min", "max"):
+        span = 2 ** (p.bit_length() - 1)
+        first, last = F.element_at(s[f"{family}_{p.bit_length() - 1}"], at - p + 1), F.element_at(s[f"{family}_{p.bit_length() - 1}"], at - span + 1)
+        return F.least(first, last) if family == "min" else F.greatest(first, last)
+    if family.startswith("trend"):
+        middle, sxx = (p - 1) / 2.0, sum((i - (p - 1) / 2.0) ** 2 for i in range(p))
+        if not sxx:
+            return F.lit(None).cast("double")
+        slope = (over("st", p) - (at - p + 1 + middle) * over("s", p)) / sxx
+        return slope if family == "trend_slope" else over("s", p) / p + s["x0"] - slope * middle
+    n = n_days - p
+    if n <= 1:
+        return F.lit(None).cast("double")
+    a, b, aa, bb = over("s", n, p), over("s", n), over("ss", n, p), over("ss", n)
+    va, vb = n * aa - a * a, n * bb - b * b
+    clear = F.least(va, vb) > 1e-6 * n * run("ss", at)
+    return F.when(clear, (n * over(f"p_{p}", n) - a * b) / (F.sqrt(va) * F.sqrt(vb))).otherwise(autocorr(days, p))
+
+
+def _beside(rows, store, date="date", cell=CELL) -> DataFrame:
+    return rows.withColumn("_block", F.floor(_day(date) / BLOCK).cast("int")).join(store, [*cell, "_block"], "left")
+
+
+def _cut_out(s: Column, date, n_days) -> tuple[Column, Column, Column]:
+    """Place of the row's day in its block, whether all n_days lie in the source, and those days."""
+    at = _day(date) - s["t"] + 1
+    whole = (at >= n_days) & (at <= F.size(s["h"]))
+    return at, whole, F.when(whole, F.slice(s["h"], F.greatest(at - n_days + 1, F.lit(1)), F.lit(n_days)))
 
 
 def lookback(rows, cube, n_days, cell=CELL, date="date", value="v", out="series") -> DataFrame:
     """Last n_days daily values up to each row's date; NULL if not fully covered.
 
-    Each distinct (cell, date) is cut once from its cell's series and joined back.
+    One join with the blocks of `series_store`; a row meets one block, never a whole history.
     """
-    series = cell_series(daily_spine(cube, cell, date, value), cell, date, value)
-    wanted = rows.select(*cell, date).distinct()
-    at = F.datediff(date, "_first") - n_days + 2  # 1-based start
-    cut = F.when(
-        (at >= 1) & (at + n_days - 1 <= F.size("_all")),
-        F.slice("_all", F.greatest(at, F.lit(1)), F.lit(n_days)),
-    )
-    arrays = wanted.join(series, list(cell), "left").select(*cell, date, cut.alias(out))
-    return rows.join(arrays, [*cell, date], "left")
+    joined = _beside(rows, series_store({"v": cube}, n_days, None, cell, date, value), date, cell)
+    return joined.select(*[F.col(c) for c in rows.columns], _cut_out(F.col("_s0"), date, n_days)[2].alias(out))
+
+
+def lookback_features(rows, cubes: dict[str, DataFrame], n_days, names, cell=CELL, date="date", value="v") -> DataFrame:
+    """Requested features (var_family[_param]) of the n_days days up to each row's date, for all variables in one join.
+
+    Windows with NULL or NaN days, and families without look-ups, are read from the days themselves.
+    """
+    wanted = parse_request(names, cubes)
+    needs = {v: [p for f in wanted.values() if f[0] == v for p in _needs(f[1], f[2] or 0, n_days)] for v in cubes}
+    joined = _beside(rows, series_store(cubes, n_days, needs, cell, date, value), date, cell)
+    place = {}
+    for i, _ in enumerate(cubes):
+        at, whole, _ = _cut_out(F.col(f"_s{i}"), date, n_days)
+        place[f"_at{i}"] = F.when(whole, at)
+    joined = joined.withColumns(place)
+    out = {}
+    for name, (variable, family, p) in wanted.items():
+        i = list(cubes).index(variable)
+        s, at = F.col(f"_s{i}"), F.col(f"_at{i}")
+        days = F.when(at.isNotNull(), F.slice(s["h"], at - n_days + 1, F.lit(n_days)))
+        slow, fast = feature(days, family, p), _stored(s, at, days, family, p, n_days)
+        if fast is None:
+            out[name] = slow
+        elif family in ("lag", "diff", "pct_change"):
+            out[name] = F.when(at.isNotNull(), fast)
+        else:
+            sound = F.element_at(s["bad"], at + 1) == F.element_at(s["bad"], at - n_days + 1)
+            out[name] = F.when(sound, fast).when(at.isNotNull(), slow)
+    return joined.select(*[F.col(c) for c in rows.columns], *[c.alias(n) for n, c in out.items()])
 
 
 # --- features -------------------------------------------------------------------
@@ -121,14 +276,19 @@ def mean(s, w):
 def std(s, w):
     # one pass, shifted by the newest value so that large levels do not cancel
     x0 = lag(s, 1)
-    t = F.aggregate(
+
+    def finish(acc):
+        spread = acc["b"] / w - (acc["a"] / w) * (acc["a"] / w)
+        # a NaN stays unknown; the fold itself stands in the plan once
+        return F.sqrt(F.when(~F.isnan(spread), F.greatest(spread, F.lit(0.0))))
+
+    return F.aggregate(
         _tail(s, w), F.struct(F.lit(0.0).alias("a"), F.lit(0.0).alias("b")),
         lambda acc, x: F.struct(
             (acc["a"] + (x - x0)).alias("a"), (acc["b"] + (x - x0) * (x - x0)).alias("b")
         ),
-        lambda acc: acc["b"] / w - (acc["a"] / w) * (acc["a"] / w),
+        finish,
     )
-    return F.sqrt(clip(t, 0.0))
 
 
 def minimum(s, w):
@@ -265,8 +425,7 @@ def add_features(df, names, series: dict[str, str]) -> DataFrame:
 def grid_features(cube, on_date, n_days, names, variable, cell=CELL) -> DataFrame:
     """Requested features of every grid cell for one date."""
     cells = cube.select(*cell).distinct().withColumn("date", F.lit(on_date).cast("date"))
-    back = lookback(cells, cube, n_days, cell)
-    return add_features(back, names, {variable: "series"}).drop("series")
+    return lookback_features(cells, {variable: cube}, n_days, names, cell)
 
 
 # --- event history --------------------------------------------------------------
@@ -324,11 +483,9 @@ def event_history(rows, events, radii, windows, days_since_radii=(), min_lag=30,
 
 def channel_tensor(rows, cubes: dict[str, DataFrame], n_days, cell=CELL, date="date") -> DataFrame:
     """One array per variable, stacked as array<array<float>> in the given order."""
-    out = rows
-    for name, cube in cubes.items():
-        out = lookback(out, cube, n_days, cell, date, out=f"_ch_{name}")
-    stack = F.array(*[F.col(f"_ch_{n}").cast("array<float>") for n in cubes])
-    return out.withColumn("tensor", stack).drop(*[f"_ch_{n}" for n in cubes])
+    joined = _beside(rows, series_store(cubes, n_days, None, cell, date), date, cell)
+    days = [_cut_out(F.col(f"_s{i}"), date, n_days)[2].cast("array<float>") for i in range(len(cubes))]
+    return joined.select(*[F.col(c) for c in rows.columns], F.array(*days).alias("tensor"))
 
 
 def spatial_patch(rows, grid, radius, step=1, cell=CELL, date="date", value="v") -> DataFrame:
