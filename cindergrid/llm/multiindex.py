@@ -111,7 +111,7 @@ class MultiIndex:
 
 
 def usable(table: DataFrame, key: str, vector: str) -> DataFrame:
-    """vec_id and vector of the rows that take part, one for each id: the least vector of repeated ones.
+    """vec_id, vector and a row number of the rows that take part, repeated ones as often as they come.
 
     Left out are null keys, null, empty and all-zero vectors, vectors with null or
     non-finite components, and vectors of another length than most have.
@@ -124,13 +124,18 @@ def usable(table: DataFrame, key: str, vector: str) -> DataFrame:
     lengths = good.groupBy(F.size("v").alias("n")).count().orderBy(F.desc("count"), "n").limit(1)
     length = lengths.first()
     if length is None:
-        return good.where("false")
-    return good.where(F.size("v") == length["n"]).groupBy("vec_id").agg(F.min("v").alias("v"))
+        good = good.where("false")
+    else:
+        good = good.where(F.size("v") == length["n"])
+    return good.withColumn("row", F.monotonically_increasing_id())
 
 
 def search(table: DataFrame, key: str = "vec_id", vector: str = "embedding", every: int = 20, k: int = NEAREST) -> DataFrame:
     """query_id, rank, vec_id, score: the k largest inner products for rows whose key is divisible by `every`.
 
+    Every row is a candidate but the query's own; rows that repeat a key are rows of their
+    own, both as candidates and as queries.
+
     Codebooks come from at most SAMPLE vectors, chosen by key hash; all vectors are indexed.
     Cells are cut into blocks of about BLOCK vectors by key hash, so a cell of any size is
     spread; queries meet them in blocks. Scores are computed in double precision from the
@@ -140,7 +145,7 @@ def search(table: DataFrame, key: str = "vec_id", vector: str = "embedding", eve
     spark = table.sparkSession
     rows = common.stage(usable(table, key, vector), "vectors")
     result = "query_id bigint, rank int, vec_id bigint, score double"
-    sample = rows.orderBy(F.xxhash64("vec_id"), "vec_id").limit(SAMPLE).toPandas()
+    sample = rows.orderBy(F.xxhash64("vec_id"), "vec_id", "row").limit(SAMPLE).toPandas()
     if len(sample) == 0:
         return spark.createDataFrame([], result)
     model = MultiIndex(np.stack(sample.v.to_numpy()).astype(np.float64))
@@ -150,9 +155,11 @@ def search(table: DataFrame, key: str = "vec_id", vector: str = "embedding", eve
         for batch in batches:
             if batch.num_rows:
                 data = _matrix(batch.column("v"), batch.num_rows)
-                yield pa.RecordBatch.from_arrays([batch.column("vec_id"), batch.column("v"), pa.array(coded.value.cell(data).astype(np.int32))], ["vec_id", "v", "cell"])
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column("row"), batch.column("vec_id"), batch.column("v"), pa.array(coded.value.cell(data).astype(np.int32))], ["row", "vec_id", "v", "cell"]
+                )
 
-    index = common.stage(rows.mapInArrow(assign, "vec_id bigint, v array<double>, cell int"), "index")
+    index = common.stage(rows.mapInArrow(assign, "row bigint, vec_id bigint, v array<double>, cell int"), "index")
     # at most CODES * CODES rows
     for row in index.groupBy("cell").count().collect():
         model.sizes[row["cell"]] = row["count"]
@@ -168,11 +175,13 @@ def search(table: DataFrame, key: str = "vec_id", vector: str = "embedding", eve
                 for cell in sized.value.follow(query):
                     lines.setdefault(cell // width, []).append(cell % width)
                 followed.append([{"line": line, "columns": columns} for line, columns in lines.items()])
-            yield pa.RecordBatch.from_arrays([batch.column("vec_id"), batch.column("v"), pa.array(followed, kind)], ["query_id", "v", "lines"])
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("row"), batch.column("vec_id"), batch.column("v"), pa.array(followed, kind)], ["asked", "query_id", "v", "lines"]
+            )
 
     width = len(model.books[1])
-    queries = index.where(F.col("vec_id") % every == 0).select("vec_id", "v")
-    probes = common.stage(queries.mapInArrow(probe, "query_id bigint, v array<double>, lines array<struct<line:int,columns:array<int>>>"), "probes")
+    queries = index.where(F.col("vec_id") % every == 0).select("row", "vec_id", "v")
+    probes = common.stage(queries.mapInArrow(probe, "asked bigint, query_id bigint, v array<double>, lines array<struct<line:int,columns:array<int>>>"), "probes")
     # at most CODES rows
     asked = {r["line"]: r["count"] for r in probes.select(F.explode("lines.line").alias("line")).groupBy("line").count().collect()}
 
@@ -183,30 +192,30 @@ def search(table: DataFrame, key: str = "vec_id", vector: str = "embedding", eve
     line = F.floor(F.col("cell") / width).cast("int")
     held = blocks(dict(enumerate(model.sizes.reshape(-1, width).sum(1).tolist())))
     of = lambda sizes: F.element_at(F.lit(sizes), F.col("line") + 1)
-    lined = index.select("vec_id", "v", line.alias("line"), (F.col("cell") % width).alias("column"))
-    entries = lined.groupBy("line", F.pmod(F.xxhash64("vec_id"), of(held)).cast("int").alias("part")).agg(F.collect_list(F.struct("vec_id", "column", "v")).alias("entries"))
-    each = probes.select("query_id", "v", F.explode("lines").alias("l")).select("query_id", "v", F.col("l.line").alias("line"), F.col("l.columns").alias("columns"))
-    groups = each.groupBy("line", F.pmod(F.xxhash64("query_id"), of(blocks(asked))).alias("group")).agg(F.collect_list(F.struct("query_id", "columns", "v")).alias("queries"))
+    lined = index.select("row", "vec_id", "v", line.alias("line"), (F.col("cell") % width).alias("column"))
+    entries = lined.groupBy("line", F.pmod(F.xxhash64("row"), of(held)).cast("int").alias("part")).agg(F.collect_list(F.struct("row", "vec_id", "column", "v")).alias("entries"))
+    each = probes.select("asked", "query_id", "v", F.explode("lines").alias("l")).select("asked", "query_id", "v", F.col("l.line").alias("line"), F.col("l.columns").alias("columns"))
+    groups = each.groupBy("line", F.pmod(F.xxhash64("asked"), of(blocks(asked))).alias("group")).agg(F.collect_list(F.struct("asked", "query_id", "columns", "v")).alias("queries"))
     spread = groups.select("line", "queries", F.explode(F.sequence(F.lit(0), of(held) - 1)).alias("part"))
     met = spread.join(entries, ["line", "part"]).select("queries", "entries")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kind = pa.list_(pa.struct([("minus", pa.float64()), ("vec_id", pa.int64())]))
+        kind = pa.list_(pa.struct([("minus", pa.float64()), ("vec_id", pa.int64()), ("row", pa.int64())]))
         for batch in batches:
             for i in range(batch.num_rows):
                 queries, entries = (batch.column(c)[i].values for c in ("queries", "entries"))
-                ids, place = (entries.field(c).to_numpy(zero_copy_only=False) for c in ("vec_id", "column"))
+                numbers, ids, place = (entries.field(c).to_numpy(zero_copy_only=False) for c in ("row", "vec_id", "column"))
                 data, best = _matrix(entries.field("v"), len(entries)), []
-                asks = queries.field("query_id").to_pylist()
+                asks = queries.field("asked").to_pylist()
                 for ask, columns, vector in zip(asks, queries.field("columns"), _matrix(queries.field("v"), len(queries)), strict=True):
                     open_cells = np.zeros(width, bool)
                     open_cells[columns.values.to_numpy()] = True
-                    best.append(_best(ask, vector, ids, data, open_cells[place], k))
-                yield pa.RecordBatch.from_arrays([pa.array(asks), pa.array(best, kind)], ["query_id", "best"])
+                    best.append(_best(ask, vector, numbers, ids, data, open_cells[place], k))
+                yield pa.RecordBatch.from_arrays([queries.field("asked"), queries.field("query_id"), pa.array(best, kind)], ["asked", "query_id", "best"])
 
-    found = met.mapInArrow(compare, "query_id bigint, best array<struct<minus:double,vec_id:bigint>>")
+    found = met.mapInArrow(compare, "asked bigint, query_id bigint, best array<struct<minus:double,vec_id:bigint,row:bigint>>")
     # k rows from each block that a query met
-    merged = found.groupBy("query_id").agg(F.slice(F.array_sort(F.flatten(F.collect_list("best"))), 1, k).alias("best"))
+    merged = found.groupBy("asked", "query_id").agg(F.slice(F.array_sort(F.flatten(F.collect_list("best"))), 1, k).alias("best"))
     return merged.select("query_id", F.posexplode("best").alias("at", "b")).select(
         "query_id", (F.col("at") + 1).cast("int").alias("rank"), F.col("b.vec_id").alias("vec_id"), (-F.col("b.minus")).alias("score")
     )
@@ -216,15 +225,15 @@ def _matrix(column: pa.Array, rows: int) -> np.ndarray:
     return column.flatten().to_numpy(zero_copy_only=False).reshape(rows, -1)
 
 
-def _best(query: int, vector: np.ndarray, ids: np.ndarray, data: np.ndarray, allowed: np.ndarray, k: int) -> list[dict]:
+def _best(asked: int, vector: np.ndarray, numbers: np.ndarray, ids: np.ndarray, data: np.ndarray, allowed: np.ndarray, k: int) -> list[dict]:
     """The k best of a block's allowed rows, scores summed in one fixed order so that equal vectors tie exactly."""
     rough = data @ vector
-    allowed = allowed & (ids != query)
+    allowed = allowed & (numbers != asked)
     if allowed.sum() > k:
         kept = rough[allowed]
         least = np.partition(kept, len(kept) - k)[len(kept) - k]
         allowed &= rough >= least - 1e-9 * (1 + abs(least))
     near = np.flatnonzero(allowed)
     exact = (np.ascontiguousarray(data[near]) * vector).sum(1)
-    order = np.lexsort((ids[near], -exact))[:k]
-    return [{"minus": -float(exact[i]), "vec_id": int(ids[near][i])} for i in order]
+    order = np.lexsort((numbers[near], ids[near], -exact))[:k]
+    return [{"minus": -float(exact[i]), "vec_id": int(ids[near][i]), "row": int(numbers[near][i])} for i in order]

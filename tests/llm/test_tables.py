@@ -166,6 +166,17 @@ def test_cells_come_in_order():
     assert sorted(cells) == list(range(index.cells)) and np.all(np.diff(score) <= 1e-12)
 
 
+def by_rows(rows, k=20):
+    """query_id, rank, vec_id, score of the nearest other rows of every row whose key is divisible by 20."""
+    data = np.array([v for _, v in rows], np.float32).astype(float)
+    found = []
+    for i, (key, _) in enumerate(rows):
+        if key % 20 == 0:
+            scores = [(-float((data[j] * data[i]).sum()), rows[j][0]) for j in range(len(rows)) if j != i]
+            found += [(key, n + 1, other, -minus) for n, (minus, other) in enumerate(sorted(scores)[:k])]
+    return found
+
+
 def test_search_on_edge_vectors(spark):
     draw = np.random.default_rng(5)
     good = [(i, draw.normal(size=6).round(1).tolist()) for i in range(1, 90)]
@@ -176,14 +187,13 @@ def test_search_on_edge_vectors(spark):
     ]
     table = spark.createDataFrame(good + same + bad, "vec_id bigint, embedding array<float>").selectExpr("*", "1 as v", "2 as cell", "3 as label")
     rows = N.search(table).collect()
-    data = np.array([v for _, v in good + same], np.float32).astype(float)
-    wanted = exact(np.array([i for i, _ in good + same]), data)
-    found = {}
-    for r in sorted(rows, key=lambda r: (r.query_id, r.rank)):
-        found.setdefault(r.query_id, []).append(r.vec_id)
-    assert found == wanted
+    # repeated keys are rows of their own, as candidates and as queries
+    taking = good + same + [good[0], good[19]]
+    assert sorted(rows) == sorted(by_rows(taking))
+    twice = [(5, [9.0] * 6), (5, [-1.0] * 6), (20, [1.0] * 6), (20, [2.0] * 6), (7, [9.0] * 6)]
+    assert sorted(N.search(spark.createDataFrame(twice, "vec_id bigint, embedding array<float>")).collect()) == sorted(by_rows(twice))
     few = N.search(table.where("vec_id in (20, 21, 22)")).collect()
-    assert len(few) == 2 and N.search(table.where("false")).count() == 0 and N.search(table.where("vec_id = 20")).count() == 0
+    assert len(few) == 6 and N.search(table.where("false")).count() == 0 and N.search(table.where("vec_id = 40")).count() == 0
 
 
 def test_search_query_recall(spark):
