@@ -228,7 +228,7 @@ def detect(docs: DataFrame, model: Network, key: str = "doc_id", text: str = "te
         for part, own in common.text_rows(batches, "t"):
             found = [LETTERS.findall(t.lower()) if t else [] for t in own]
             # superscripts and the like are word characters, but no letters
-            found = [w if len(w) > 50 or any(c.isalpha() for x in w for c in x) else [] for w in found]
+            found = [w if any(c.isalpha() for x in w for c in x) else [] for w in found]
             best, score = [NONE] * len(own), np.zeros(len(own))
             if k:
                 for i in range(0, len(found), 500):

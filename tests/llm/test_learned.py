@@ -105,6 +105,13 @@ def test_language_of_edge_documents(edge_docs, no_docs):
     assert {r.lang_pred for r in L.detect(edge_docs, none).collect()} == {"und"}
 
 
+def test_no_letters_no_language(spark, edge_docs):
+    texts = ["² " * 10, "² ³ " * 60, "½ 12 ㊿ " * 80, "² " * 60 + "word"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    found = {r.doc_id: r.lang_pred for r in L.detect(docs, L.train(edge_docs)).collect()}
+    assert found == {0: "und", 1: "und", 2: "und", 3: "en"}
+
+
 def test_language_query_on_held_out_rows(spark):
     rows = QUERIES["op3_byte_gru_language"](spark, SF).toPandas()
     docs = spark.read.parquet(f"{SF}/documents.parquet").toPandas()
