@@ -89,14 +89,19 @@ class Buffer:
         return self.flush(False) if self.tokens >= BUFFER_TOKENS else []
 
     def flush(self, last: bool) -> list[tuple]:
-        rows, rest = [], []
-        for items in best_fit([len(p[2]) for p in self.pieces], self.length):
-            own = [self.pieces[i] for i in items]
-            if not last and sum(len(p[2]) for p in own) < self.fill * self.length:
-                rest += own
+        bins = [[self.pieces[i] for i in items] for items in best_fit([len(p[2]) for p in self.pieces], self.length)]
+        sizes = [sum(len(p[2]) for p in own) for own in bins]
+        least = 0 if last else self.fill * self.length
+        # where more than half of the buffer would wait, the fullest bins go as well
+        waiting, kept = sum(n for n in sizes if n < least), set()
+        for i in sorted((i for i, n in enumerate(sizes) if n < least), key=lambda i: -sizes[i]):
+            if waiting <= BUFFER_TOKENS // 2:
+                kept.add(i)
             else:
-                rows.append(self.row(own))
-        self.pieces, self.tokens = rest, sum(len(p[2]) for p in rest)
+                waiting -= sizes[i]
+        rows = [self.row(own) for i, own in enumerate(bins) if i not in kept]
+        self.pieces = [p for i, own in enumerate(bins) if i in kept for p in own]
+        self.tokens = waiting
         return rows
 
     def row(self, own: list[tuple]) -> tuple:
@@ -125,7 +130,7 @@ def pack_best_fit(
     Documents longer than `length` are split without loss; the pieces are packed longest
     first into the bin with the least room that fits. Each partition packs its own
     documents, BUFFER_TOKENS at a time, without a shuffle; bins filled below `fill` wait for
-    the next round. `input_ids` and `position_ids` hold `length` little-endian unsigned
+    the next round, the emptiest first and half a buffer of them at most. `input_ids` and `position_ids` hold `length` little-endian unsigned
     32-bit numbers, `cu_seqlens` starts at 0 and ends at `n_tokens`.
 
     A null text is an empty one, and an empty text is the end id alone. A null key stays

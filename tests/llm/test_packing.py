@@ -110,6 +110,18 @@ def test_best_fit_is_the_naive_one(seed):
     assert sorted(50 - sum(lengths[i] for i in b) for b in bins) == sorted(room)
 
 
+def test_the_buffer_is_bounded(monkeypatch):
+    """Documents that fill a bin by half leave in good time, and without loss."""
+    monkeypatch.setattr(bestfit, "BUFFER_TOKENS", 50_000)
+    buffer, rows, most = bestfit.Buffer(4096, 0, 0.98), [], 0
+    for i in range(400):
+        rows += buffer.add(i, np.full(2100, 7, "<u4"))
+        most = max(most, buffer.tokens)
+    assert most < 50_000 and len(rows) > 350
+    rows += buffer.flush(True)
+    assert sorted(k for r in rows for k in r[2]) == list(range(400)) and sum(r[1] for r in rows) == 400 * 2100
+
+
 def test_best_fit_rows_are_lossless(edge_docs, no_docs, chunks):
     rows = bestfit.pack_best_fit(edge_docs, length=256)
     for r in rows.collect():
