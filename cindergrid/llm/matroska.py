@@ -285,9 +285,9 @@ def features_of(payload: bytes, rows: list[tuple]) -> str:
     crossings = int(np.count_nonzero((samples[1:] < 0) != (samples[:-1] < 0)))
     energy = int((samples * samples).sum())
     styles = ",".join(f"{s}:{sum(r[7] == s for r in rows)}" for s in LACING)
-    last = max(r[9] for r in rows) // 1_000_000
+    last = max((r[9] for r in rows), default=0) // 1_000_000
     return (
-        f"packets={len(rows)};clusters={rows[-1][2] + 1};cued={sum(r[4] for r in rows)};lacing={styles};last_ms={last};"
+        f"packets={len(rows)};clusters={rows[-1][2] + 1 if rows else 0};cued={sum(r[4] for r in rows)};lacing={styles};last_ms={last};"
         f"sum={int(samples.sum())};energy={energy};crossings={crossings}"
     )
 
@@ -317,7 +317,12 @@ def text_media(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Data
 
 
 def media_features(media: DataFrame) -> DataFrame:
-    """Read stored files back through their packet tables: payload, checksums and features, a row per file."""
+    """Read stored files back through their packet tables: payload, checksums and features, a row per file.
+
+    A null file gives nulls. An empty, foreign or damaged one gives what its readable packets
+    hold; without any, the payload is empty (0 bytes, features of no packets). A null key or
+    n_bytes stays null, repeated rows come as often as they are, no files give no rows.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = [part.split()[0] for part in FEATURES.split(", ")]
@@ -326,6 +331,9 @@ def media_features(media: DataFrame) -> DataFrame:
             out = []
             for key, size, cell in zip(batch.column("doc_id").to_pylist(), batch.column("n_bytes").to_pylist(), batch.column("media"), strict=True):
                 data = cell.as_py()
+                if data is None:
+                    out.append((key, size, *[None] * 6))
+                    continue
                 rows = packets_of(data)
                 payload = b"".join([data[r[10] : r[10] + r[11]] for r in rows if r[0] == 1])
                 out.append(

@@ -103,3 +103,13 @@ def test_query(spark):
     rows = {r.doc_id: r for r in QUERIES["op6_matroska_packets"](spark, sf).collect()}
     for d in spark.read.parquet(f"{sf}/documents.parquet").collect():
         assert rows[d.doc_id].n_bytes == len(d.text.encode())
+
+
+def test_features_of_null_foreign_and_damaged_files(spark):
+    whole = M.store_text("a text of its own " * 8000)[2]
+    files = [(1, 5, None), (2, 5, b""), (3, None, b"no media at all"), (None, 5, whole[: len(whole) // 2]), (5, 144_000, whole), (6, 1, whole[:20])]
+    rows = {r.doc_id: r for r in M.media_features(spark.createDataFrame([(k, n, None if m is None else bytearray(m)) for k, n, m in files], "doc_id bigint, n_bytes bigint, media binary")).collect()}
+    assert tuple(rows[1]) == (1, 5, None, None, None, None, None, None)
+    assert all(rows[k].payload_bytes == 0 and rows[k].feature.startswith("packets=0;clusters=0;") for k in (2, 3, 6))
+    assert rows[5].payload_bytes == 144_000 and 0 < rows[None].payload_bytes < 144_000
+    assert M.media_features(spark.createDataFrame([], "doc_id bigint, n_bytes bigint, media binary")).count() == 0
