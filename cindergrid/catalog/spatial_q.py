@@ -10,8 +10,6 @@ from cindergrid.catalog.base import query
 from cindergrid.operators import grids, layers, raster, spatial
 
 HAV = "2*6371.0E0*ASIN(SQRT(LEAST(1,POWER(SIN(RADIANS(b.y-a.y)/2),2)+COS(RADIANS(a.y))*COS(RADIANS(b.y))*POWER(SIN(RADIANS(b.x-a.x)/2),2))))"
-SPOTS = """sp AS (SELECT DISTINCT longitude AS x, latitude AS y FROM detections),
-  ho AS (SELECT DISTINCT longitude AS x, latitude AS y FROM detections WHERE brightness > 440 AND confidence > 80)"""
 
 
 @query(
@@ -421,30 +419,30 @@ def c23_rows(t):
     return spatial.inside_footprint(t.predictions, box)
 
 
-def _hot(t):
-    return t.detections.filter("brightness > 440 AND confidence > 80")
-
-
 @query(
     "c24_nearest_event", "x:d6 y:d6 nearest_km:d6",
-    SPOTS + f" SELECT a.x, a.y, MIN({HAV}) AS nearest_km FROM sp a, ho b GROUP BY 1,2", "detections",
+    f"""a AS (SELECT 100.013E0 + c*0.05E0 AS x, 50.017E0 + r*0.05E0 AS y FROM raster),
+      b AS (SELECT DISTINCT longitude AS x, latitude AS y FROM detections)
+      SELECT a.x, a.y, MIN({HAV}) AS nearest_km FROM a, b GROUP BY 1,2""",
+    "detections raster",
 )
 def c24(t):
-    return spatial.nearest_event_km(t.detections, _hot(t)).withColumnsRenamed(
-        {"longitude": "x", "latitude": "y"}
-    )
+    spots = t.raster.select((F.lit(100.013) + F.col("c") * 0.05).alias("longitude"), (F.lit(50.017) + F.col("r") * 0.05).alias("latitude"))
+    return spatial.nearest_event_km(spots, t.detections).withColumnsRenamed({"longitude": "x", "latitude": "y"})
 
 
 @query(
     "c25_events_within", "x:d6 y:d6 count_5km:i density_5km:d9 count_25km:i density_25km:d9",
-    SPOTS + f""", h AS (SELECT longitude AS x, latitude AS y, COUNT(*) AS n FROM detections WHERE brightness > 440 AND confidence > 80 GROUP BY 1,2),
-      d AS (SELECT a.x, a.y, b.n, {HAV} AS d FROM sp a, h b),
-      g AS (SELECT x, y, COALESCE(SUM(n) FILTER (d<=5),0) AS a, COALESCE(SUM(n) FILTER (d<=25),0) AS b FROM d GROUP BY 1,2)
-      SELECT x, y, a AS count_5km, a/(PI()*25) AS density_5km, b AS count_25km, b/(PI()*625) AS density_25km FROM g""",
+    # an event within 25 km lies in the place's own bucket or beside it
+    f"""h AS (SELECT longitude AS x, latitude AS y, COUNT(*) AS n, FLOOR(longitude/0.45E0) AS bx, FLOOR(latitude/0.25E0) AS by FROM detections GROUP BY ALL),
+      g AS (SELECT a.x, a.y, b.n, {HAV} AS d FROM h a, (VALUES (-1),(0),(1)) AS u(i), (VALUES (-1),(0),(1)) AS v(j), h b
+        WHERE b.bx=a.bx+i AND b.by=a.by+j),
+      f AS (SELECT x, y, SUM(n) FILTER (d<=5) AS a, SUM(n) FILTER (d<=25) AS b FROM g GROUP BY 1,2)
+      SELECT x, y, a AS count_5km, a/(PI()*25) AS density_5km, b AS count_25km, b/(PI()*625) AS density_25km FROM f""",
     "detections",
 )
 def c25(t):
-    return spatial.counts_within(t.detections, _hot(t), [5.0, 25.0]).withColumnsRenamed(
+    return spatial.counts_within(t.detections, t.detections, [5.0, 25.0]).withColumnsRenamed(
         {"longitude": "x", "latitude": "y"}
     )
 

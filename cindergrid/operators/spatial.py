@@ -12,8 +12,9 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from cindergrid.functions.cells import EARTH_RADIUS_KM, haversine_km
+from cindergrid.functions.cells import EARTH_RADIUS_KM
 from cindergrid.functions.probability import clip
+from cindergrid.operators.event_tree import event_tree, nearest, within
 from cindergrid.operators.polygons import SHIFT, located, part_lists, polygon_index
 
 XY = ("longitude", "latitude")
@@ -233,73 +234,16 @@ def bilinear_sample(points, grid, x0, dx, y0, dy, value="v", x=XY[0], y=XY[1]) -
 # --- radii and nearest events ---------------------------------------------------
 
 
-def _half_diagonal_km(size_deg: float) -> float:
-    half = math.radians(size_deg / 2)
-    return EARTH_RADIUS_KM * math.sqrt(2) * half * 1.0001
-
-
-def counts_within(
-    points, events, radii_km, x=XY[0], y=XY[1], size=0.1, weight=None
-) -> DataFrame:
+def counts_within(points, events, radii_km, x=XY[0], y=XY[1], weight=None) -> DataFrame:
     """Events within each radius of every distinct position, and their density.
 
-    Buckets wholly inside a radius add their pre-summed count; only buckets cut
-    by a circle compare single event positions. Neither side is ever paired
-    with itself: positions and events are collapsed first. Buckets meet across 180
-    degrees, and near a pole a position looks all the way round.
+    Nodes of an adaptive quadtree that lie inside a radius add their pre-summed count; only
+    leaves cut by a circle compare single event positions, and no leaf holds more than
+    a stated number of them. Circles reach across 180 degrees and the poles.
     """
-    top = max(radii_km)
-    per_deg = math.pi * EARTH_RADIUS_KM / 180.0
-    ring = round(360 / size)
-    around = lambda b: F.pmod(b + ring // 2, F.lit(ring)) - ring // 2
-    w = F.sum(weight) if weight else F.count(F.lit(1))
-    spots_ev = events.groupBy(F.col(x).alias("_ex"), F.col(y).alias("_ey")).agg(
-        w.cast("double").alias("_n")
-    ).withColumns({"_bx": around(_bucket(F.col("_ex"), size)), "_by": _bucket(F.col("_ey"), size)})
-    totals = spots_ev.groupBy("_bx", "_by").agg(F.sum("_n").alias("_total"))
-
+    tree = event_tree(events, x, y, F.col(weight) if weight else None)
     spots = points.select(x, y).distinct()
-    pad_lat = top / per_deg
-    lim = F.abs(F.col(y)) + pad_lat
-    pad_lon = F.when(lim >= 89.0, 180.0).otherwise(clip(F.lit(pad_lat) / F.cos(F.radians(lim)), None, 180.0))
-    west = _bucket(F.col(x) - pad_lon, size)
-    east = F.least(_bucket(F.col(x) + pad_lon, size), west + (ring - 1))
-    reach = spots.filter(F.col(x).isNotNull() & F.col(y).isNotNull()).withColumn(
-        "_by",
-        F.explode(F.sequence(_bucket(F.col(y) - pad_lat, size), _bucket(F.col(y) + pad_lat, size))),
-    ).withColumn(
-        "_bx",
-        F.explode(F.transform(F.sequence(west, east), around)),
-    )
-    hd = _half_diagonal_km(size)
-    centre = haversine_km(y, x, (F.col("_by") + 0.5) * size, (F.col("_bx") + 0.5) * size)
-    held = reach.join(totals, ["_bx", "_by"]).withColumn("_d", centre)
-    held = held.filter(F.col("_d") - hd <= top)
-    # farthest and nearest point of a bucket from its centre distance, both conservative
-    whole = held.select(
-        x, y,
-        *[
-            F.when(F.col("_d") + hd <= r, F.col("_total")).otherwise(0.0).alias(f"_r{i}")
-            for i, r in enumerate(radii_km)
-        ],
-    )
-    cut = F.lit(False)
-    for r in radii_km:
-        cut = cut | ((F.col("_d") + hd > r) & (F.col("_d") - hd <= r))
-    edge = held.filter(cut).drop("_total").join(spots_ev, ["_bx", "_by"])
-    dist = haversine_km(y, x, "_ey", "_ex")
-    single = edge.withColumn("_e", dist).select(
-        x, y,
-        *[
-            F.when((F.col("_d") + hd > r) & (F.col("_e") <= r), F.col("_n")).otherwise(0.0)
-            .alias(f"_r{i}")
-            for i, r in enumerate(radii_km)
-        ],
-    )
-    summed = whole.unionByName(single).groupBy(x, y).agg(
-        *[F.sum(f"_r{i}").alias(f"_r{i}") for i in range(len(radii_km))]
-    )
-    out = spots.join(summed, [x, y], "left")
+    out = spots.join(within(spots, tree, radii_km, x, y), [x, y], "left")
     cols = []
     for i, r in enumerate(radii_km):
         n = F.coalesce(F.col(f"_r{i}"), F.lit(0.0))
@@ -307,59 +251,9 @@ def counts_within(
     return out.select(x, y, *cols)
 
 
-LEVELS = 16  # 360 degrees / 2**16 (about 600 m) is the finest bucket
-
-
 def nearest_event_km(points, events, x=XY[0], y=XY[1], out="nearest_km") -> DataFrame:
-    """Great-circle distance from every distinct position to its nearest event.
-
-    A pyramid of doubling buckets: the finest level with an event in the 3x3
-    neighbourhood gives an upper bound (distance to one event of each such
-    bucket); the level whose buckets are at least that wide then holds every
-    candidate in its own 3x3 neighbourhood.
-    """
-    base = 360.0 / (1 << LEVELS)
-    ev = events.select(F.col(x).alias("_ex"), F.col(y).alias("_ey")).distinct()
-    ev = ev.withColumn("_lv", F.explode(F.sequence(F.lit(0), F.lit(LEVELS))))
-
-    def cell(col, level, turn):
-        k = F.floor((F.col(col) + 180.0) / (F.lit(base) * F.pow(F.lit(2.0), level))).cast("long")
-        if not turn:
-            return k
-        return F.pmod(k, F.pow(F.lit(2.0), F.lit(LEVELS) - level).cast("long"))
-
-    lv = F.col("_lv")
-    ev = ev.withColumns({"_bx": cell("_ex", lv, True), "_by": cell("_ey", lv, False)})
-    near = ev.groupBy("_lv", "_bx", "_by").agg(F.min(F.struct("_ex", "_ey")).alias("_one"))
-
-    spots = points.select(x, y).distinct()
-
-    def ring(df, level):
-        around = F.explode(F.sequence(F.lit(-1), F.lit(1)))
-        turn = F.pow(F.lit(2.0), F.lit(LEVELS) - level).cast("long")
-        df = df.withColumn("_dx", around).withColumn("_dy", F.explode(
-            F.sequence(F.lit(-1), F.lit(1))))
-        return df.withColumns(
-            {
-                "_bx": F.pmod(cell(x, level, True) + F.col("_dx"), turn),
-                "_by": cell(y, level, False) + F.col("_dy"),
-            }
-        ).drop("_dx", "_dy").distinct()
-
-    tries = ring(
-        spots.withColumn("_lv", F.explode(F.sequence(F.lit(0), F.lit(LEVELS)))), lv
-    ).join(near, ["_lv", "_bx", "_by"])
-    bound = haversine_km(y, x, F.col("_one._ey"), F.col("_one._ex"))
-    # the tightest bound over all levels: any event at all is a valid upper bound
-    best = tries.groupBy(x, y).agg(F.min(bound).alias("_ub"))
-    lat_r = F.col("_ub") / (math.pi * EARTH_RADIUS_KM / 180.0)
-    lon_r = lat_r / F.cos(F.radians(F.least(F.abs(F.col(y)) + lat_r, F.lit(89.9))))
-    need = F.greatest(lat_r, lon_r) * 1.000001
-    pick = F.greatest(F.ceil(F.log2(F.greatest(need, F.lit(1e-12)) / F.lit(base))), F.lit(0))
-    final = best.withColumn("_lv", F.least(pick, F.lit(LEVELS)).cast("int"))
-    candidates = ring(final, lv).join(ev.drop("_o"), ["_lv", "_bx", "_by"])
-    dist = candidates.groupBy(x, y).agg(F.min(haversine_km(y, x, "_ey", "_ex")).alias(out))
-    return spots.join(dist, [x, y], "left")
+    """Great-circle distance from every distinct position to its nearest event, by branch and bound."""
+    return nearest(points, event_tree(events, x, y), x, y, out)[0]
 
 
 def tolerant_labels(rows, radius_deg, group=(), label="is_fire", lat="lat", lon="lon",

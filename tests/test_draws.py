@@ -80,7 +80,7 @@ def test_strata_hold_their_quota_or_all_there_is(spark, cells, fires, fraction):
     assert all(r.sampling_probability > 0 and r.sample_weight == pytest.approx(1 / r.sampling_probability) for r in rows)
 
 
-@pytest.mark.parametrize("stratum", ["near_fire_hard", "same_ecoregion"])
+@pytest.mark.parametrize("stratum", ["same_ecoregion"])
 def test_one_stratum_to_its_end(spark, cells, fires, stratum):
     free = universe(cells, fires)[stratum]
     blocked = sampling.cut(grids.blocked_keys(fires))
