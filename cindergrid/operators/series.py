@@ -121,10 +121,22 @@ def _running(xs) -> Column:
     return F.aggregate(xs, zero, lambda acc, x: F.concat(acc, F.array(F.element_at(acc, -1) + x)))
 
 
+def _exact(xs) -> Column:
+    """As `_running`, with what each addition rounds off kept beside (a + b), so that differences are those of exact sums."""
+    pair = lambda a, b: F.struct(a.alias("a"), b.alias("b"))
+
+    def add(last, x):
+        total = last["a"] + x
+        part = total - last["a"]
+        return pair(total, last["b"] + ((last["a"] - (total - part)) + (x - part)))
+
+    return F.aggregate(xs, F.array(pair(F.lit(0.0), F.lit(0.0))), lambda acc, x: F.concat(acc, F.array(add(F.element_at(acc, -1), x))))
+
+
 def _parts(parts) -> dict[str, Column]:
     """Columns of a block's arrays over `h`; sums are of values less the block's first, unusable values count as it.
 
-    x0: that first value; bad: running number of NULL and NaN values; s, ss, st: running
+    x0: that first value; m: running sums of the values themselves; bad: running number of NULL and NaN values; s, ss, st: running
     sums of x, x squared and place times x; p_k: of x times the x of k days before;
     min_j, max_j: least and largest of 2**j days from each day on.
     """
@@ -134,6 +146,7 @@ def _parts(parts) -> dict[str, Column]:
     shifted = F.col("_x")
     out = {"x0": F.col("_x0"), "bad": _running(F.transform("h", lambda x: F.when(usable(x), 0.0).otherwise(1.0)))}
     made = {
+        "m": lambda: _exact(F.transform("h", lambda x: F.when(usable(x), x).otherwise(0.0))),
         "s": lambda: _running(shifted),
         "ss": lambda: _running(F.transform(shifted, lambda x: x * x)),
         "st": lambda: _running(F.transform(shifted, lambda x, i: x * (i + 1))),
@@ -160,7 +173,7 @@ def _needs(family, p, n_days) -> list[str]:
     if family in ("min", "max"):
         return ["bad", f"{family}_{max(0, p.bit_length() - 1)}"]
     return {
-        "mean": ["bad", "s"], "std": ["bad", "s", "ss"], "trend_slope": ["bad", "s", "st"], "trend_intercept": ["bad", "s", "st"],
+        "mean": ["bad", "m"], "std": ["bad", "s", "ss"], "trend_slope": ["bad", "s", "st"], "trend_intercept": ["bad", "s", "st"],
         "autocorr": ["bad", "s", "ss", f"p_{p}"],
     }.get(family, [])
 
@@ -181,7 +194,8 @@ def _stored(s: Column, at: Column, days: Column, family, p, n_days) -> Column |
     if p > n_days or (p < 1 and family != "autocorr"):
         return F.lit(None).cast("double")
     if family == "mean":
-        return over("s", p) / p + s["x0"]
+        new, old = run("m", at), run("m", at - p)
+        return ((new["a"] - old["a"]) + (new["b"] - old["b"])) / p
     if family == "std":
         # where the sums cancel too far, the days themselves are read
         spread = over("ss", p) / p - (over("s", p) / p) * (over("s", p) / p)
