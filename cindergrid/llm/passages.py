@@ -1,13 +1,13 @@
-"""Passages that repeat across documents: paragraph MinHash banding, runs of words, and shared sentences in sequence."""
+"""Passages that repeat across documents: paragraph MinHash banding, and runs of words found by anchored blocks."""
 
 from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -15,15 +15,10 @@ from cindergrid.llm import blocks, common
 from cindergrid.llm.components import components
 
 WIDTH, SIMILARITY = 5, 0.8
-PARAGRAPH_WORDS = 50  # shorter paragraphs are compared sentence by sentence only
-RUN_WORDS = 35  # words in whole shared sentences that make a passage; its ends may lie inside sentences
-PART_WORDS = 18  # words of a passage that come from one place
-SENTENCE_WORDS = 5  # shorter sentences are shared if those around them are
-LONG_SENTENCE = 48
+PARAGRAPH_WORDS = 50  # shorter lines are compared as parts of runs only
 PASSAGE_WORDS = 50  # words in a row that make a passage, whatever sentences they are cut from
 ANCHOR_WORDS = 16
 
-BOUNDARY = re.compile(r"(?<=[.!?…])\s+|\s*\n\s*|\s+(?=[A-ZÀ-ÖØ-Þ][a-zß-öø-ÿ])")
 WORD = re.compile(r"\S+")
 
 
@@ -34,20 +29,35 @@ def bands_for(similarity: float, recall: float, rows: int = 3) -> int:
 
 ROWS = 3
 BANDS = bands_for(SIMILARITY, 0.985, ROWS)
-_SEEDS = (np.arange(1, ROWS * BANDS + 1, dtype=np.uint64) * np.uint64(0xD1B54A32D192ED03))[:, None]
+_SEEDS = np.arange(1, ROWS * BANDS + 1, dtype=np.uint64) * np.uint64(0xD1B54A32D192ED03)
+
+
+def bands_of(parts: list[np.ndarray]) -> np.ndarray:
+    """A key for each band of the MinHash signature of each paragraph, WIDTH words or more; one row a paragraph."""
+    sizes = np.array([len(p) for p in parts])
+    stops = np.cumsum(sizes)
+    # runs that cross from one paragraph into the next are left out
+    edges = np.stack([stops - sizes, stops - WIDTH + 1], 1).ravel()
+    marks = common.shingles(np.concatenate(parts), WIDTH)
+    least = np.empty((len(parts), ROWS * BANDS), np.uint64)
+    values = np.empty(len(marks) + 1, np.uint64)
+    values[-1] = 2**64 - 1
+    for n, seed in enumerate(_SEEDS):
+        own = (marks ^ seed) * np.uint64(0xFF51AFD7ED558CCD)
+        own ^= own >> np.uint64(32)
+        values[:-1] = own * np.uint64(0xC4CEB9FE1A85EC53)
+        least[:, n] = np.minimum.reduceat(values, edges)[::2]
+    least = least.reshape(len(parts), BANDS, ROWS)
+    keys = np.broadcast_to(np.arange(1, BANDS + 1, dtype=np.uint64), (len(parts), BANDS))
+    for i in range(ROWS):
+        keys = (keys ^ least[:, :, i]) * np.uint64(0x9E3779B97F4A7C15)
+        keys ^= keys >> np.uint64(31)
+    return keys.view(np.int64)
 
 
 def band_keys(words: np.ndarray) -> list[int]:
     """A key for each band of a paragraph's MinHash signature."""
-    values = (common.shingles(words, WIDTH)[None, :] ^ _SEEDS) * np.uint64(0xFF51AFD7ED558CCD)
-    values ^= values >> np.uint64(32)
-    values *= np.uint64(0xC4CEB9FE1A85EC53)
-    least = values.min(1).reshape(BANDS, ROWS)
-    keys = np.arange(1, BANDS + 1, dtype=np.uint64)
-    for i in range(ROWS):
-        keys = (keys ^ least[:, i]) * np.uint64(0x9E3779B97F4A7C15)
-        keys ^= keys >> np.uint64(31)
-    return keys.view(np.int64).tolist()
+    return bands_of([words])[0].tolist()
 
 
 def jaccard(a: np.ndarray, b: np.ndarray) -> float:
@@ -56,46 +66,6 @@ def jaccard(a: np.ndarray, b: np.ndarray) -> float:
     return shared / max(1, len(one) + len(two) - shared)
 
 
-def sentences(text: str) -> tuple[list[int], list[int], list[int], list[int]]:
-    """Starts, ends, word counts and keys of a text's sentences; key 0 for short ones.
-
-    Sentences end at full stops, line ends and before capitalised words, so that a passage
-    set into other text starts a sentence of its own. Very long ones are cut after words
-    chosen by their hash, which falls at the same places in every copy.
-    """
-    starts, ends, counts, keys = [], [], [], []
-
-    def add(a: int, b: int) -> None:
-        words = text[a:b].split()
-        if words:
-            starts.append(a), ends.append(b), counts.append(len(words))
-            own = " ".join(words).lower().rstrip(".!?…,;")
-            keys.append((xxhash.xxh64_intdigest(own) >> 1 or 1) if len(words) >= SENTENCE_WORDS else 0)
-
-    def part(a: int, b: int) -> None:
-        if b - a > 6 * LONG_SENTENCE:
-            places = list(WORD.finditer(text, a, b))
-            if len(places) > LONG_SENTENCE:
-                since = 0
-                for i, place in enumerate(places):
-                    if i - since >= SENTENCE_WORDS and xxhash.xxh32_intdigest(place.group()) % 12 == 0:
-                        add(places[since].start(), place.end())
-                        since = i + 1
-                if since < len(places):
-                    add(places[since].start(), b)
-                return
-        add(a, b)
-
-    at = 0
-    for place in BOUNDARY.finditer(text):
-        if place.start() > at:
-            part(at, place.start())
-        at = place.end()
-    if at < len(text):
-        part(at, len(text))
-    return starts, ends, counts, keys
-
-
 def runs_of(words: np.ndarray, width: int) -> np.ndarray:
     """Hashes of all runs of `width` words in order, made from runs half as long; none for a shorter text."""
     if len(words) < width:
@@ -120,6 +90,23 @@ def anchors(words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return short, np.lib.stride_tricks.sliding_window_view(short, span).argmin(1) + np.arange(len(short) - span + 1)
 
 
+def blocks_of(words: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(anchors, keys, firsts, lasts, windows): the blocks of a text, and a hash of each window of PASSAGE_WORDS.
+
+    A block is all windows in a row that have their anchor at the same place. Its first and
+    last window together hold all its words, so that blocks with one key are equal word by
+    word. Equal windows have equal anchors, so a window that another text has too lies in
+    blocks with one anchor.
+    """
+    short, least = anchors(words)
+    windows = runs_of(words, PASSAGE_WORDS)
+    firsts = np.flatnonzero(np.diff(least, prepend=-1))
+    lasts = np.append(firsts[1:], len(least))[: len(firsts)] - 1
+    shape = ((lasts - firsts) * 64 + least[firsts] - firsts).astype(np.uint64)
+    keys = common.mix(windows[firsts] * np.uint64(0x9E3779B97F4A7C15) + windows[lasts], 1) ^ common.mix(shape, 2)
+    return short[least[firsts]], keys, firsts, lasts, windows
+
+
 def chunk_hashes(chunks: list[str], hashes: common.WordHashes) -> np.ndarray:
     """A hash for each white-space separated chunk, so that places are those of the chunks."""
     return np.fromiter(map(hashes.__getitem__, chunks), np.uint64, len(chunks))
@@ -134,151 +121,161 @@ def paragraphs(text: str) -> Iterator[tuple[int, int, str]]:
         at += len(line) + 1
 
 
-def runs(counts: list[int], keys: list[int], shared: dict[int, tuple[int, int]]) -> list[tuple[int, int, int]]:
-    """(first, last, keeper) of the passages of one text.
+TABLE = "k bigint, bands array<bigint>, lines array<int>, anchors array<bigint>, blocks array<bigint>"
+ROW = "k bigint, i int, a int, b int, words int, w binary, key bigint, keeper bigint"
 
-    `shared` gives, for sentences that an earlier text has, that text and the place there.
-    Sentences that keep their distance to their places form a part; parts of PART_WORDS
-    that touch form a passage, if they hold RUN_WORDS.
-    """
-    found = []
-    order = sorted(shared)
-    segment: list[int] = []
-
-    def words(a: int, b: int) -> int:
-        return sum(counts[a : b + 1])
-
-    def close() -> None:
-        by: dict[tuple[int, int], list[int]] = {}
-        for i in segment:
-            keeper, place = shared[i]
-            by.setdefault((keeper, place - i), []).append(i)
-        parts = sorted((min(v), max(v), k[0]) for k, v in by.items() if words(min(v), max(v)) >= PART_WORDS)
-        merged: list[tuple[int, int, int]] = []
-        for a, b, keeper in parts:
-            if merged and all(keys[i] == 0 for i in range(merged[-1][1] + 1, a)):
-                merged[-1] = (merged[-1][0], max(b, merged[-1][1]), merged[-1][2])
-            else:
-                merged.append((a, b, keeper))
-        found.extend(m for m in merged if words(m[0], m[1]) >= RUN_WORDS)
-
-    for i in order:
-        if segment and any(keys[j] for j in range(segment[-1] + 1, i)):
-            close()
-            segment = []
-        segment.append(i)
-    close()
-    return found
+
+def _names(schema: str) -> list[str]:
+    return [part.split()[0] for part in schema.split(", ")]
 
 
-TABLE = (
-    "k bigint, keys array<bigint>, firsts array<boolean>, starts array<int>, ends array<int>, counts array<int>, "
-    "bands array<bigint>, lines array<int>, anchors array<bigint>"
-)
+def _narrow(docs: DataFrame, key: str, text: str) -> DataFrame:
+    return docs.select(F.col(key).cast("bigint").alias("k"), F.col(text).cast("string").alias("t")).where("k is not null and t is not null")
 
 
 def _table(docs: DataFrame, key: str, text: str) -> DataFrame:
-    """Sentences and paragraph bands of each document with a key and a text."""
-    names = [part.split()[0] for part in TABLE.split(", ")]
-    types = [pa.list_(t) for t in (pa.int64(), pa.bool_(), pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.int32(), pa.int64())]
+    """Paragraph bands and blocks of each document with a key and a text."""
+    types = [pa.list_(t) for t in (pa.int64(), pa.int32(), pa.int64(), pa.int64())]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = common.WordHashes()
         for part, own in common.text_rows(batches, "t"):
             columns: list[list] = [[] for _ in types]
             for t in own:
-                starts, ends, counts, keys = sentences(t)
-                seen: set[int] = set()
-                firsts = [not (k in seen or seen.add(k)) for k in keys]
-                bands, lines = [], []
-                for number, (_, _, line) in enumerate(paragraphs(t)):
-                    words = hashes.of(line)
-                    if len(words) >= WIDTH:
-                        bands += band_keys(words)
-                        lines += [number] * BANDS
-                short, least = anchors(chunk_hashes(t.split(), hashes))
-                picked = np.unique(short[least]).view(np.int64)
-                for column, value in zip(columns, (keys, firsts, starts, ends, counts, bands, lines, picked), strict=True):
+                chunks = [line.split() for line in t.split("\n")]
+                sizes = [len(line) for line in chunks]
+                words = np.fromiter(map(hashes.__getitem__, chain.from_iterable(chunks)), np.uint64, sum(sizes))
+                long, numbers, number, at = [], [], 0, 0
+                for size in sizes:
+                    if size >= PARAGRAPH_WORDS:
+                        line = words[at : at + size]
+                        line = line[line != 0]
+                        if len(line) >= WIDTH:
+                            long.append(line), numbers.append(number)
+                        number += 1
+                    at += size
+                bands = bands_of(long).ravel() if long else np.zeros(0, np.int64)
+                found = blocks_of(words)
+                blocks, once = np.unique(found[1], return_index=True)
+                for column, value in zip(columns, (bands, np.repeat(np.array(numbers, np.int32), BANDS), found[0][once].view(np.int64), blocks.view(np.int64)), strict=True):
                     column.append(value)
-            yield pa.RecordBatch.from_arrays([part.column("k"), *[pa.array(c, t) for c, t in zip(columns, types, strict=True)]], names)
+            yield pa.RecordBatch.from_arrays([part.column("k"), *[pa.array(c, t) for c, t in zip(columns, types, strict=True)]], _names(TABLE))
 
-    narrow = docs.select(F.col(key).cast("bigint").alias("k"), F.col(text).cast("string").alias("t"))
-    return narrow.where("k is not null and t is not null").mapInArrow(run, TABLE)
+    return _narrow(docs, key, text).mapInArrow(run, TABLE)
 
 
-def _leaders(rows: DataFrame) -> DataFrame:
-    """For each key in several documents: the least document and the place there."""
-    return rows.groupBy("key").agg(F.min("k").alias("keeper"), F.max("k").alias("last"), F.min_by("i", "k").alias("place")).where("keeper < last").drop("last")
+def _met(table: DataFrame) -> DataFrame:
+    """key, k, i, keeper, place: the paragraphs of each band that several documents have, and the least of them."""
+    each = table.select("k", F.explode(F.arrays_zip("bands", "lines")).alias("u")).select("k", F.col("u.lines").alias("i"), F.col("u.bands").alias("key"))
+    least = each.groupBy("key").agg(F.min("k").alias("keeper"), F.max("k").alias("last"), F.min(F.struct("k", "i")).alias("p"))
+    least = common.stage(least.where("keeper < last").select("key", "keeper", F.col("p.i").alias("place")), "bands")
+    met = common.stage(each.join(least, "key").select("key", "k", "i", "keeper", "place"), "met")
+    common.discard(least)
+    return met
 
 
-def _exact(table: DataFrame) -> DataFrame:
-    """k, a, b, words, keeper of the passages found sentence by sentence."""
-    each = table.select("k", F.posexplode(F.arrays_zip("keys", "firsts")).alias("i", "u")).select("k", "i", F.col("u.keys").alias("key"), F.col("u.firsts").alias("first")).where("key <> 0")
-    leaders = common.stage(_leaders(each.where("first").drop("first")), "leaders")
-    shared = each.drop("first").join(leaders, "key").where("k <> keeper").select("k", "i", "keeper", "place")
-    # a document's own sentences bound this list
-    lists = shared.groupBy("k").agg(F.collect_set(F.struct("i", "keeper", "place")).alias("shared"))
+def _wanted(table: DataFrame) -> DataFrame:
+    """k and its blocks that matter: the least document that has the block, or null where its windows are to be listed.
+
+    A block that an earlier document has is repeated as a whole. Of the documents with one
+    block only the least lists its windows, if its anchor has other blocks too: as any
+    window's first document is the least one with its block, no match is lost.
+    """
+    each = table.select("k", F.explode(F.arrays_zip("anchors", "blocks")).alias("u")).select("k", F.col("u.anchors").alias("anchor"), F.col("u.blocks").alias("block"))
+    blocks = common.stage(each.groupBy("anchor", "block").agg(F.min("k").alias("keeper"), F.max("k").alias("last")), "blocks")
+    several = blocks.groupBy("anchor").agg(F.count("*").alias("n"), F.min("keeper").alias("x"), F.max("last").alias("y")).where("n > 1 and x < y")
+    marked = blocks.join(several.select("anchor", F.lit(True).alias("several")), "anchor", "left").where("several or keeper < last")
+    marked = common.stage(marked.select("block", "keeper", F.coalesce("several", F.lit(False)).alias("several")), "marked")
+    common.discard(blocks)
+    found = each.select("k", "block").join(marked, "block").where("k <> keeper or several")
+    # a document's own blocks bound this list
+    lists = found.groupBy("k").agg(F.collect_set(F.struct("block", F.when(F.col("k") != F.col("keeper"), F.col("keeper")).alias("keeper"))).alias("wanted"))
+    lists = common.stage(lists, "wanted")
+    common.discard(marked)
+    return lists
+
+
+def _cut(docs: DataFrame, key: str, text: str, met: DataFrame, wanted: DataFrame) -> DataFrame:
+    """One more reading of the texts that have candidates: their paragraphs (w), repeated runs (keeper) and listed windows (key)."""
+    places = met.groupBy("k").agg(F.collect_set("i").alias("places"))
+    lists = common.stage(places.join(wanted, "k", "full"), "lists")
+    types = (pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.binary(), pa.int64(), pa.int64())
+
+    def rows(n: int, *columns) -> pa.RecordBatch:
+        arrays = [pa.nulls(n, t) if c is None else pa.array(c, t) for c, t in zip(columns, types, strict=True)]
+        return pa.RecordBatch.from_arrays(arrays, _names(ROW))
+
+    def lines(k: int, t: str, places: list, hashes: common.WordHashes) -> Iterator[pa.RecordBatch]:
+        chosen, out = set(places), []
+        for number, (a, b, line) in enumerate(paragraphs(t)):
+            if number in chosen:
+                words = (hashes.of(line) >> np.uint64(32)).astype("<u4")
+                out.append((number, a, b, len(line.split()), words.tobytes()))
+        if out:
+            yield rows(len(out), np.full(len(out), k), *zip(*out, strict=True), None, None)
+
+    def windows(k: int, t: str, wanted: pa.Array, hashes: common.WordHashes) -> Iterator[pa.RecordBatch]:
+        spans = np.array([m.span() for m in WORD.finditer(t)], np.int32).reshape(-1, 2)
+        _, keys, firsts, lasts, whole = blocks_of(chunk_hashes(t.split(), hashes))
+        given, keeper = wanted.field("block").to_numpy().view(np.uint64), wanted.field("keeper")
+        order = np.argsort(given)
+        known = np.isin(keys, given)
+        own = order[np.searchsorted(given, keys[known], sorter=order)]
+        firsts, lasts = firsts[known], lasts[known]
+        listed = keeper.is_null().to_numpy(zero_copy_only=False)[own]
+        # blocks one after the other that the same document has are one run
+        a, b, of = firsts[~listed], lasts[~listed], keeper.fill_null(0).to_numpy()[own[~listed]]
+        if len(a):
+            start = np.flatnonzero(np.append(True, (a[1:] != b[:-1] + 1) | (of[1:] != of[:-1])))
+            a, b, of = a[start], b[np.append(start[1:], len(a)) - 1], of[start]
+            yield rows(len(a), np.full(len(a), k), a, spans[a, 0], spans[b + PASSAGE_WORDS - 1, 1], b - a + 1, None, None, of)
+        if listed.any():
+            at = np.concatenate([np.arange(x, y + 1) for x, y in zip(firsts[listed], lasts[listed], strict=True)])
+            yield rows(len(at), np.full(len(at), k), at, spans[at, 0], spans[at + PASSAGE_WORDS - 1, 1], np.ones(len(at), np.int32), None, whole[at].view(np.int64), None)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            out = []
-            for row in batch.to_pylist():
-                own = {s["i"]: (s["keeper"], s["place"]) for s in sorted(row["shared"], key=lambda s: (s["i"], s["keeper"], s["place"]), reverse=True)}
-                for first, last, keeper in runs(row["counts"], row["keys"], own):
-                    out.append((row["k"], row["starts"][first], row["ends"][last], sum(row["counts"][first : last + 1]), keeper))
-            if out:
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(c, t) for c, t in zip(zip(*out, strict=True), ("int64", "int32", "int32", "int32", "int64"), strict=True)],
-                    ["k", "a", "b", "words", "keeper"],
-                )
+        hashes = common.WordHashes()
+        for part, own in common.text_rows(batches, "t"):
+            held, size = [], 0
+            for k, t, places, wanted in zip(part.column("k").to_pylist(), own, part.column("places").to_pylist(), part.column("wanted"), strict=True):
+                for found in chain(lines(k, t, places or [], hashes), windows(k, t, wanted.values, hashes) if wanted.is_valid else ()):
+                    held.append(found)
+                    size += found.nbytes
+                if size > 4_000_000:
+                    yield from pa.Table.from_batches(held).combine_chunks().to_batches()
+                    held, size = [], 0
+            if held:
+                yield from pa.Table.from_batches(held).combine_chunks().to_batches()
 
-    enough = lists.where(F.size("shared") >= 1)
     # the lists grow with the corpus, so they are merged, not broadcast
-    joined = table.select("k", "keys", "starts", "ends", "counts").join(enough.hint("merge"), "k")
-    return joined.mapInArrow(run, "k bigint, a int, b int, words int, keeper bigint").distinct()
-
+    out = common.stage(_narrow(docs, key, text).join(lists.hint("merge"), "k").mapInArrow(run, ROW), "cut")
+    common.discard(lists)
+    return out
 
-def _windows(docs: DataFrame, table: DataFrame, key: str, text: str) -> DataFrame:
-    """The same columns for all runs of PASSAGE_WORDS words or more that an earlier document has.
-
-    Every window of that many words has an anchor; only windows whose anchor is in several
-    documents are listed, each with a hash of all its words.
-    """
-    each = table.select("k", F.explode("anchors").alias("key"))
-    several = common.stage(each.groupBy("key").agg(F.min("k").alias("x"), F.max("k").alias("y")).where("x < y").select("key"), "anchors")
-    wanted = common.stage(each.join(several, "key").groupBy("k").agg(F.collect_set("key").alias("wanted")), "anchored")
 
-    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes = common.WordHashes()
-        names, types = ["k", "place", "start", "stop", "key"], (pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int64())
-        for part, own in common.text_rows(batches, "t"):
-            for k, t, keys in zip(part.column("k").to_pylist(), own, part.column("wanted"), strict=True):
-                places = [m.span() for m in WORD.finditer(t or "")]
-                words = chunk_hashes([t[a:b] for a, b in places], hashes)
-                short, least = anchors(words)
-                at = np.flatnonzero(np.isin(short[least], keys.values.to_numpy().view(np.uint64))) if len(least) else least
-                if len(at):
-                    spans = np.array(places, np.int32)
-                    columns = (np.full(len(at), k), at, spans[at, 0], spans[at + PASSAGE_WORDS - 1, 1], runs_of(words, PASSAGE_WORDS)[at].view(np.int64))
-                    yield pa.RecordBatch.from_arrays([pa.array(c, type=y) for c, y in zip(columns, types, strict=True)], names)
-
-    texts = docs.select(F.col(key).cast("bigint").alias("k"), F.col(text).cast("string").alias("t")).join(wanted.hint("merge"), "k")
-    windows = common.stage(texts.mapInArrow(cut, "k bigint, place int, start int, stop int, key bigint"), "windows")
+def _repeated(cut: DataFrame) -> DataFrame:
+    """k, a, b, words, keeper of all runs of PASSAGE_WORDS words or more that an earlier document has."""
+    windows = cut.where("key is not null").select("k", "i", "a", "b", "words", "key")
     first = windows.groupBy("key").agg(F.min("k").alias("keeper"), F.max("k").alias("last")).where("keeper < last").select("key", "keeper")
-    met = windows.join(common.stage(first, "first-windows").hint("merge"), "key").where("k <> keeper")
+    single = windows.join(common.stage(first, "first-windows").hint("merge"), "key").where("k <> keeper")
+    met = single.select("k", "i", "a", "b", "words", "keeper").unionByName(cut.where("keeper is not null").select("k", "i", "a", "b", "words", "keeper"))
     # a document's own words bound this list
-    lists = met.groupBy("k").agg(F.collect_list(F.struct("place", "start", "stop", "keeper")).alias("found"))
+    lists = met.groupBy("k").agg(F.collect_list(F.struct("i", "a", "b", "words", "keeper")).alias("found"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = []
             for k, found in zip(batch.column("k").to_pylist(), batch.column("found"), strict=True):
-                place, start, stop, keeper = (found.values.field(c).to_numpy() for c in ("place", "start", "stop", "keeper"))
+                place, start, stop, number, keeper = (found.values.field(c).to_numpy() for c in ("i", "a", "b", "words", "keeper"))
                 order = np.argsort(place, kind="stable")
-                for group in np.split(order, np.flatnonzero(np.diff(place[order]) > PASSAGE_WORDS) + 1):
-                    a, b = group[0], group[-1]
-                    names, often = np.unique(keeper[group], return_counts=True)
-                    out.append((k, start[a], stop[b], place[b] - place[a] + PASSAGE_WORDS, names[often.argmax()]))
+                # each row holds `number` windows from its place on
+                after = np.maximum.accumulate((place + number)[order])
+                for group in np.split(order, np.flatnonzero(place[order][1:] >= after[:-1] + PASSAGE_WORDS) + 1):
+                    end = group[np.argmax((place + number)[group])]
+                    names, where = np.unique(keeper[group], return_inverse=True)
+                    often = np.bincount(where, number[group])
+                    words = place[end] + number[end] - 1 - place[group[0]] + PASSAGE_WORDS
+                    out.append((k, start[group[0]], stop[end], words, names[often.argmax()]))
             if out:
                 types = (pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int64())
                 yield pa.RecordBatch.from_arrays([pa.array(c, y) for c, y in zip(zip(*out, strict=True), types, strict=True)], ["k", "a", "b", "words", "keeper"])
@@ -286,33 +283,11 @@ def _windows(docs: DataFrame, table: DataFrame, key: str, text: str) -> DataFram
     return lists.mapInArrow(run, "k bigint, a int, b int, words int, keeper bigint")
 
 
-def _near(docs: DataFrame, table: DataFrame, key: str, text: str) -> DataFrame:
+def _near(met: DataFrame, cut: DataFrame) -> DataFrame:
     """The same columns for paragraphs whose exact Jaccard similarity to another is high enough."""
-    each = table.select("k", F.explode(F.arrays_zip("bands", "lines")).alias("u")).select("k", F.col("u.lines").alias("i"), F.col("u.bands").alias("key"))
-    leaders = common.stage(_leaders(each), "bands")
-    met = common.stage(each.join(leaders, "key"), "met")
     pairs = met.where("k <> keeper").select("k", "i", "keeper", F.col("place").alias("j")).distinct()
     pairs = common.stage(pairs, "paragraph-pairs")
-    places = met.groupBy("k").agg(F.collect_set("i").alias("wanted"))
-    places = common.stage(places, "places")
-
-    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes = common.WordHashes()
-        for part, own in common.text_rows(batches, "t"):
-            out = []
-            for k, t, wanted in zip(part.column("k").to_pylist(), own, part.column("wanted").to_pylist(), strict=True):
-                wanted = set(wanted)
-                for number, (a, b, line) in enumerate(paragraphs(t or "")):
-                    if number in wanted:
-                        words = (hashes.of(line) >> np.uint64(32)).astype("<u4")
-                        out.append((k, number, a, b, len(line.split()), words.tobytes()))
-            if out:
-                types = ("int64", "int32", "int32", "int32", "int32", "binary")
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), types, strict=True)], ["k", "i", "a", "b", "words", "w"])
-
-    texts = docs.select(F.col(key).cast("bigint").alias("k"), F.col(text).cast("string").alias("t")).join(places.hint("merge"), "k")
-    lines = texts.mapInArrow(cut, "k bigint, i int, a int, b int, words int, w binary").dropDuplicates(["k", "i"])
-    lines = common.stage(lines, "paragraphs")
+    lines = common.stage(cut.where("w is not null").select("k", "i", "a", "b", "words", "w").dropDuplicates(["k", "i"]), "paragraphs")
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -322,6 +297,7 @@ def _near(docs: DataFrame, table: DataFrame, key: str, text: str) -> DataFrame:
 
     both = pairs.join(lines.select("k", "i", "w"), ["k", "i"]).join(lines.select(F.col("k").alias("keeper"), F.col("i").alias("j"), F.col("w").alias("x")), ["keeper", "j"])
     links = common.stage(both.select("k", "i", "keeper", "j", "w", "x").mapInArrow(verify, "k bigint, i int, keeper bigint, j int"), "paragraph-links")
+    common.discard(pairs)
     node = F.xxhash64("k", "i")
     links = links.select(node.alias("a"), F.xxhash64("keeper", "j").alias("b"))
     # the leader has met all others of its bucket; those are compared with each other where they are not joined
@@ -334,6 +310,7 @@ def _near(docs: DataFrame, table: DataFrame, key: str, text: str) -> DataFrame:
     # the roots themselves are members of their components too
     held = named.join(roots, "node").unionByName(named.join(roots.select(F.col("root").alias("node")).distinct(), "node").withColumn("root", F.col("node")))
     held = common.stage(held.select("k", "i", "a", "b", "words", "root"), "classes")
+    common.discard(lines)
     keepers = common.stage(held.groupBy("root").agg(F.min("k").alias("keeper")), "keepers")
     return held.join(keepers, "root").where("k <> keeper").select("k", "a", "b", "words", "keeper")
 
@@ -345,20 +322,24 @@ def repeated_passages(docs: DataFrame, key: str = "doc_id", text: str = "text")
     the exact Jaccard similarity of their five-word shingles, and clustered by connected
     components; the least document of a cluster keeps its paragraph. Passages that begin or
     end anywhere are found word by word: every run of 50 words that an earlier document has,
-    case and outer punctuation ignored, to its true ends. Others are found by their
-    sentences, between which short ones may differ: paragraphs of one band whose key is the
-    whole sentence. Sentences in the same order as in the first document that has them
-    make a passage of 35 words or more, less than the 50 that a passage has when its ends
-    are cut. Overlapping finds are joined. A key may be shared by any number of documents:
-    each is compared with the key's least document, and paragraphs of a band that are then
-    in several components are all compared with each other.
+    case and outer punctuation ignored, to its true ends. Overlapping finds are joined. A
+    key may be shared by any number of documents: each is compared with the key's least
+    document, and paragraphs of a band that are then in several components are all compared
+    with each other. Ties go to the least document, and there to the first paragraph.
 
     Null, empty and short texts have no passages, and rows with a null key are left out.
     Rows that repeat a key count as one document; repeats inside a document stay. No rows
     in, no rows out. Other columns are ignored.
     """
-    table = common.stage(_table(docs, key, text), "sentences")
-    found = _exact(table).unionByName(_near(docs, table, key, text)).unionByName(_windows(docs, table, key, text))
+    table = common.stage(_table(docs, key, text), "blocks")
+    met = _met(table)
+    wanted = _wanted(table)
+    common.discard(table)
+    cut = _cut(docs, key, text, met, wanted)
+    common.discard(wanted)
+    near = _near(met, cut)
+    common.discard(met)
+    found = near.unionByName(_repeated(cut))
     lists = found.groupBy("k").agg(F.array_sort(F.collect_set(F.struct("a", "b", "words", "keeper"))).alias("spans"))
 
     def join_spans(spans):
