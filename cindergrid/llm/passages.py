@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 from itertools import chain
 
@@ -19,7 +18,9 @@ PARAGRAPH_WORDS = 50  # shorter lines are compared as parts of runs only
 PASSAGE_WORDS = 50  # words in a row that make a passage, whatever sentences they are cut from
 ANCHOR_WORDS = 16
 
-WORD = re.compile(r"\S+")
+#: Which characters are white space; none is beyond the ideographic space, and the last entry stands for all beyond.
+SPACES = np.array([chr(c).isspace() for c in range(0x3002)])
+GROUP_WORDS = 200_000  # of texts whose blocks are made together
 
 
 def bands_for(similarity: float, recall: float, rows: int = 3) -> int:
@@ -90,23 +91,34 @@ def anchors(words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return short, np.lib.stride_tricks.sliding_window_view(short, span).argmin(1) + np.arange(len(short) - span + 1)
 
 
-def blocks_of(words: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(anchors, keys, firsts, lasts, windows): the blocks of a text, and a hash of each window of PASSAGE_WORDS.
+def blocks_of(words: np.ndarray, sizes: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(anchors, keys, firsts, lasts, windows): the blocks of texts that follow each other, and a hash of each window of PASSAGE_WORDS.
 
     A block is all windows in a row that have their anchor at the same place. Its first and
     last window together hold all its words, so that blocks with one key are equal word by
     word. Equal windows have equal anchors, so a window that another text has too lies in
-    blocks with one anchor.
+    blocks with one anchor. `sizes` are the numbers of words of the texts; windows that
+    cross into the next text are in no block.
     """
     short, least = anchors(words)
     windows = runs_of(words, PASSAGE_WORDS)
-    firsts = np.flatnonzero(np.diff(least, prepend=-1))
-    lasts = np.append(firsts[1:], len(least))[: len(firsts)] - 1
+    at = np.arange(len(least))
+    if sizes is not None:
+        at = at[at + PASSAGE_WORDS <= np.repeat(np.cumsum(sizes), sizes)[: len(at)]]
+    new = np.flatnonzero(np.diff(least[at], prepend=-1))
+    firsts, lasts = at[new], at[np.append(new[1:], len(at))[: len(new)] - 1]
     shape = ((lasts - firsts) * 64 + least[firsts] - firsts).astype(np.uint64)
     keys = common.mix(windows[firsts] * np.uint64(0x9E3779B97F4A7C15) + windows[lasts], 1) ^ common.mix(shape, 2)
     return short[least[firsts]], keys, firsts, lasts, windows
 
 
+def word_spans(text: str) -> np.ndarray:
+    """Start and end of each white-space separated chunk of a text."""
+    codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), "<u4")
+    inside = ~SPACES[np.minimum(codes, len(SPACES) - 1)]
+    return np.flatnonzero(np.diff(inside, prepend=False, append=False)).astype(np.int32).reshape(-1, 2)
+
+
 def chunk_hashes(chunks: list[str], hashes: common.WordHashes) -> np.ndarray:
     """A hash for each white-space separated chunk, so that places are those of the chunks."""
     return np.fromiter(map(hashes.__getitem__, chunks), np.uint64, len(chunks))
@@ -137,29 +149,39 @@ def _table(docs: DataFrame, key: str, text: str) -> DataFrame:
     """Paragraph bands and blocks of each document with a key and a text."""
     types = [pa.list_(t) for t in (pa.int64(), pa.int32(), pa.int64(), pa.int64())]
 
+    def lists(values: np.ndarray, counts: np.ndarray, kind: pa.DataType) -> pa.Array:
+        offsets = np.concatenate([[0], np.cumsum(counts)]).astype(np.int32)
+        return pa.ListArray.from_arrays(pa.array(offsets), pa.array(values, kind.value_type), type=kind)
+
+    def group(keys: pa.Array, words: list[np.ndarray], sizes: list[np.ndarray]) -> pa.RecordBatch:
+        long, lines, paragraph = [], [], np.zeros(len(words), np.int64)
+        for n, (own, lengths) in enumerate(zip(words, sizes, strict=True)):
+            stops = np.cumsum(lengths)
+            for number, stop in enumerate(np.flatnonzero(lengths >= PARAGRAPH_WORDS)):
+                line = own[stops[stop] - lengths[stop] : stops[stop]]
+                line = line[line != 0]
+                if len(line) >= WIDTH:
+                    long.append(line), lines.append(number)
+                    paragraph[n] += BANDS
+        bands = bands_of(long).ravel() if long else np.zeros(0, np.int64)
+        totals = np.array([len(own) for own in words])
+        marks, blocks, firsts, _, _ = blocks_of(np.concatenate(words), totals)
+        held = np.bincount(np.searchsorted(np.cumsum(totals), firsts, "right"), minlength=len(words))
+        columns = (lists(bands, paragraph, types[0]), lists(np.repeat(np.array(lines, np.int32), BANDS), paragraph, types[1]))
+        return pa.RecordBatch.from_arrays([keys, *columns, lists(marks.view(np.int64), held, types[2]), lists(blocks.view(np.int64), held, types[3])], _names(TABLE))
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = common.WordHashes()
         for part, own in common.text_rows(batches, "t"):
-            columns: list[list] = [[] for _ in types]
-            for t in own:
+            words, sizes, held, start = [], [], 0, 0
+            for n, t in enumerate(own):
                 chunks = [line.split() for line in t.split("\n")]
-                sizes = [len(line) for line in chunks]
-                words = np.fromiter(map(hashes.__getitem__, chain.from_iterable(chunks)), np.uint64, sum(sizes))
-                long, numbers, number, at = [], [], 0, 0
-                for size in sizes:
-                    if size >= PARAGRAPH_WORDS:
-                        line = words[at : at + size]
-                        line = line[line != 0]
-                        if len(line) >= WIDTH:
-                            long.append(line), numbers.append(number)
-                        number += 1
-                    at += size
-                bands = bands_of(long).ravel() if long else np.zeros(0, np.int64)
-                found = blocks_of(words)
-                blocks, once = np.unique(found[1], return_index=True)
-                for column, value in zip(columns, (bands, np.repeat(np.array(numbers, np.int32), BANDS), found[0][once].view(np.int64), blocks.view(np.int64)), strict=True):
-                    column.append(value)
-            yield pa.RecordBatch.from_arrays([part.column("k"), *[pa.array(c, t) for c, t in zip(columns, types, strict=True)]], _names(TABLE))
+                sizes.append(np.fromiter(map(len, chunks), np.int64, len(chunks)))
+                words.append(np.fromiter(map(hashes.__getitem__, chain.from_iterable(chunks)), np.uint64, int(sizes[-1].sum())))
+                held += len(words[-1])
+                if held >= GROUP_WORDS or n == len(own) - 1:
+                    yield group(part.column("k").slice(start, n + 1 - start), words, sizes)
+                    words, sizes, held, start = [], [], 0, n + 1
 
     return _narrow(docs, key, text).mapInArrow(run, TABLE)
 
@@ -215,7 +237,7 @@ def _cut(docs: DataFrame, key: str, text: str, met: DataFrame, wanted: DataFrame
             yield rows(len(out), np.full(len(out), k), *zip(*out, strict=True), None, None)
 
     def windows(k: int, t: str, wanted: pa.Array, hashes: common.WordHashes) -> Iterator[pa.RecordBatch]:
-        spans = np.array([m.span() for m in WORD.finditer(t)], np.int32).reshape(-1, 2)
+        spans = word_spans(t)
         _, keys, firsts, lasts, whole = blocks_of(chunk_hashes(t.split(), hashes))
         given, keeper = wanted.field("block").to_numpy().view(np.uint64), wanted.field("keeper")
         order = np.argsort(given)
