@@ -84,14 +84,22 @@ def settled(members: DataFrame, words: DataFrame, marks: Callable, least: float,
     bucket every pair of different roots and parts is compared: by the Jaccard similarity of
     the values that `marks` gives for the words, which must bound the one of `confirm`, and
     by that, if it is given. Links join what is linked, not all pairs of it are listed.
-    Buckets are dealt into blocks and each pair of blocks is a group of its own, so that no
-    task holds a bucket. The number of pairs grows with the square of an open bucket.
+    Members of the root that holds most of a bucket only meet the others. Buckets are dealt
+    into blocks and each pair of blocks that may hold links is a group of its own, so that no
+    task holds a bucket. The number of pairs grows with the members times those outside the
+    largest root.
     """
-    sizes = members.groupBy("key").agg(
-        F.count("*").alias("n"), F.min("root").alias("r"), F.max("root").alias("s"), F.min("part").alias("t"), F.max("part").alias("u")
-    ).where("r <> s and t <> u").select("key", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"))
-    placed = members.join(sizes, "key").withColumn("p", F.pmod(F.xxhash64("id", "key"), F.col("blocks")).cast("int"))
-    each = placed.withColumn("q", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    roots = members.groupBy("key", "root").agg(F.count("*").alias("n"), F.min("part").alias("t"), F.max("part").alias("u"))
+    sizes = roots.groupBy("key").agg(
+        F.sum("n").alias("n"), F.max(F.struct("n", "root")).alias("top"), F.count("*").alias("roots"), F.min("t").alias("t"), F.max("u").alias("u")
+    ).where("roots > 1 and t <> u").select(
+        "key", F.col("top.root").alias("main"), F.ceil(F.col("top.n") / BLOCK).cast("int").alias("mains"),
+        F.ceil((F.col("n") - F.col("top.n")) / BLOCK).cast("int").alias("others"),
+    )
+    placed = members.join(sizes, "key").withColumn("h", F.xxhash64("id", "key")).withColumn("own", F.col("root") == F.col("main"))
+    # blocks of the largest root are numbered after those of the others
+    placed = placed.withColumn("p", F.when(F.col("own"), F.col("others") + F.pmod("h", "mains")).otherwise(F.pmod("h", "others")).cast("int"))
+    each = placed.withColumn("q", F.explode(F.sequence(F.lit(0), F.col("others") + F.when(F.col("own"), 0).otherwise(F.col("mains")) - 1)))
     cells = each.select("key", F.least("p", "q").alias("x"), F.greatest("p", "q").alias("y"), "p", "id", "root", "part")
     full = cells.join(words.select("id", "w").hint("merge"), "id").select("key", "x", "y", "p", "id", "root", "part", "w")
 

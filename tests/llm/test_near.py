@@ -9,7 +9,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from samples import DOCS, WORDS, prose, row
 
-from cindergrid.llm import common
+from cindergrid.llm import blocks, common
 from cindergrid.llm import orderhash as O
 from cindergrid.llm import passages as P
 from cindergrid.llm.components import components
@@ -277,3 +277,25 @@ def test_runs_of_words_against_every_window(spark):
     assert {(r.k, len(texts[r.k][: r.a].split()), r.words) for r in found} == wanted and len(found) == len(wanted)
     assert all(r.keeper < r.k and len(texts[r.k][r.a : r.b].split()) == r.words for r in found)
     assert len(wanted) > 60
+
+
+def test_open_buckets_against_all_pairs(spark, monkeypatch):
+    """Three buckets over several blocks: one large root and a few others, roots of one member, one root alone."""
+    monkeypatch.setattr(blocks, "BLOCK", 8)
+    draw = np.random.default_rng(9)
+    base, sets, members = np.arange(100, dtype=np.uint32), {}, []
+    for n in range(90):
+        own = base.copy()
+        own[draw.choice(100, 13, replace=False)] = 1000 * n + 500 + np.arange(13)
+        sets[n] = own
+        root = 0 if n < 40 else 1000 if n < 45 else n
+        members += [(key, n, root, n // 2) for key in (1, 2) if key == 1 or n >= 45] + ([(3, n, 0, n)] if n < 40 else [])
+    for n in range(40, 90, 6):
+        sets[n + 100] = np.concatenate([sets[n][:95], np.arange(5, dtype=np.uint32) + 200_000 + 10 * n])
+        members += [(1, n + 100, n + 100, n + 100), (2, n + 100, n + 100, n + 100)]
+    rows = spark.createDataFrame(members, "key long, id long, root long, part long")
+    words = spark.createDataFrame([(n, bytearray(w.astype("<u4").tobytes())) for n, w in sets.items()], "id long, w binary")
+    found = blocks.settled(rows, words, lambda w: w, 0.8).collect()
+    root, part = {m[1]: m[2] for m in members}, {m[1]: m[3] for m in members}
+    near = [(a, b) for a, b in combinations(sets, 2) if root[a] != root[b] and part[a] != part[b] and len(np.intersect1d(sets[a], sets[b])) / len(np.union1d(sets[a], sets[b])) >= 0.8]
+    assert near and unite(sets, near) == unite(sets, [(r.a, r.b) for r in found])
