@@ -12,7 +12,8 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-CACHE_ENTRIES = 400_000  # a cache is emptied at this size, which changes no result
+CACHE_BYTES = 64_000_000  # a cache is emptied at about this size, which changes no result
+ENTRY_BYTES = 170  # of an entry, without the letters of its key
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -72,16 +73,21 @@ def text_rows(batches: Iterator[pa.RecordBatch], text: str) -> Iterator[tuple[pa
         if start < batch.num_rows:
             part = batch.slice(start)
             yield part, part.column(text).to_pylist()
+    # workers are used again, perhaps by a stage that needs little
+    pa.default_memory_pool().release_unused()
 
 
 class WordHashes(dict):
     """64-bit hashes of white-space separated chunks, case and outer punctuation ignored; 0 for none."""
 
+    held = 0
     EDGE = "".join(chr(c) for c in range(33, 127) if not chr(c).isalnum()) + "«»“”„‘’…–—¿¡·"
 
     def __missing__(self, chunk: str) -> int:
-        if len(self) >= CACHE_ENTRIES:
+        self.held += ENTRY_BYTES + len(chunk)
+        if self.held > CACHE_BYTES:
             self.clear()
+            self.held = ENTRY_BYTES + len(chunk)
         word = chunk.strip(self.EDGE).lower()
         value = self[chunk] = (xxhash.xxh64_intdigest(word) | 1) if word else 0
         return value

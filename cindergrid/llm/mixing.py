@@ -121,6 +121,12 @@ def rates(members: DataFrame, targets: dict[str, float], domains: tuple[str, ...
         vector = {i: v / norm for i, v in vector.items()}
     step = 1.0 / max(norm, 1e-9)
     rate, last, before = F.col("rate"), F.col("rate"), now
+
+    def dot(values: list[Column], factors: list[float]) -> Column:
+        # factors in one array are data to the generated code, which then is compiled once for all steps
+        products = F.zip_with(F.array(*values), F.array(*map(F.lit, factors)), lambda x, y: x * y)
+        return F.aggregate(products, F.lit(0.0), lambda a, b: a + b)
+
     least, best, pace = float("inf"), float("inf"), 1.0
     for number in range(1, ROUNDS + 1):
         least = min(least, sum((now[i] - goal[i]) ** 2 / goal[i] for i in used))
@@ -134,8 +140,7 @@ def rates(members: DataFrame, targets: dict[str, float], domains: tuple[str, ...
         quicker = (1 + (1 + 4 * pace * pace) ** 0.5) / 2
         ahead, pace = (pace - 1) / quicker, quicker
         slope = {i: (now[i] + ahead * (now[i] - before[i]) - goal[i]) / goal[i] for i in used}
-        start = rate + F.lit(ahead) * (rate - last)
-        moved = start - F.lit(step) * sum((p[i] * F.lit(slope[i]) for i in used), F.lit(0.0))
+        moved = rate + dot([rate - last, *[p[i] for i in used]], [float(ahead), *[-step * slope[i] for i in used]])
         last, rate = rate, F.greatest(F.lit(float(floor)), moved)
         if number % BLOCK == 0:
             table = common.stage(table.withColumns({"rate": rate, "last": last}), "rates")

@@ -44,13 +44,13 @@ class ChunkIds(dict):
     checked once. The ids of a text are then those of its chunks, joined.
     """
 
-    def __init__(self, path: str, entries: int = 800_000):
+    def __init__(self, path: str, most: int = 96_000_000):
         super().__init__()
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.entries = entries
+        self.most, self.held = most, 0  # bytes, about
         self.forms = ByteForms(self.tokenizer.pre_tokenizer)
         if self.whole("on a \n tion.") != self.whole("on") + self.whole("a") + self.whole("tion."):
             raise ValueError("the vocabulary must drop white space")
@@ -59,8 +59,9 @@ class ChunkIds(dict):
         return self.tokenizer.encode(text, add_special_tokens=False).ids
 
     def __missing__(self, chunk: str) -> bytes:
-        if len(self) >= self.entries:
+        if self.held > self.most:
             self.clear()
+            self.held = 0
         word = chunk if any(letter in chunk for letter in CASES) else chunk.lower()
         base = word.rstrip(PUNCTUATION)
         if base != chunk and base.isalpha():
@@ -73,6 +74,7 @@ class ChunkIds(dict):
         else:
             found = np.array(self.whole(chunk), "<u4").tobytes()
         self[chunk] = found
+        self.held += 200 + len(chunk) + len(found)
         return found
 
     def ids(self, text: str | None) -> np.ndarray:
