@@ -20,7 +20,7 @@ ANCHOR_WORDS = 16
 
 #: Which characters are white space; none is beyond the ideographic space, and the last entry stands for all beyond.
 SPACES = np.array([chr(c).isspace() for c in range(0x3002)])
-GROUP_WORDS = 200_000  # of texts whose blocks are made together
+GROUP_WORDS = 50_000  # of texts whose blocks are made together
 
 
 def bands_for(similarity: float, recall: float, rows: int = 3) -> int:
