@@ -20,6 +20,7 @@ LANGUAGES = 500  # more distinct values are refused
 PIECE = 24  # most bytes that the network reads at once
 LETTERS = re.compile(r"[^\W\d_]+")
 NONE = "und"
+CACHE_WORDS = 400_000  # words are letters of one run; the table of their labels is emptied at this size, which changes no result
 
 
 def pieces(word: str) -> list[bytes]:
@@ -153,7 +154,7 @@ class WordLabels(dict):
 
     def learn(self, words: set[str]) -> None:
         new = sorted(w for w in words if w not in self)
-        if len(self) + len(new) > common.CACHE_ENTRIES:
+        if len(self) + len(new) > CACHE_WORDS:
             self.clear()
             self.table = self.table[:0]
             new = sorted(words)

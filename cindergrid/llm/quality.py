@@ -35,9 +35,13 @@ PLAIN = re.compile(r"[^\W\d_]+[.,;:?!]?")
 class Buckets(dict):
     """chunk -> bucket of its word, case and outer punctuation ignored, plus WORDS if it is letters only."""
 
+    held = 0
+
     def __missing__(self, chunk: str) -> int:
-        if len(self) >= common.CACHE_ENTRIES:
+        self.held += common.ENTRY_BYTES + len(chunk)
+        if self.held > common.CACHE_BYTES:
             self.clear()
+            self.held = common.ENTRY_BYTES + len(chunk)
         word = chunk.strip(common.WordHashes.EDGE).lower()
         code = self[chunk] = xxhash.xxh32_intdigest(word) % WORDS + WORDS * bool(PLAIN.fullmatch(chunk))
         return code
