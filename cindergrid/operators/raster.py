@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cindergrid.functions.probability import clip
+from cindergrid.session import cut
 
 
 def _line(axis, order, lo, hi, group=()):
@@ -326,52 +327,61 @@ def coast_distance(grid, res_r, res_c, value="landseamask", threshold=70.0, km=1
     return out
 
 
-def fill_from_nearest(grid, value="v", levels=20) -> DataFrame:
+def fill_from_nearest(grid, value="v") -> DataFrame:
     """NULL cells take the value of the nearest known cell (ties: lowest row, then column).
 
-    A pyramid of doubling buckets: known cells near an unknown cell at some level
-    bound its distance, and the level whose buckets are at least that wide holds
-    every candidate in its 3x3 neighbourhood.
+    Buckets double in width round by round, for the cells that are still open: a known cell
+    in the 3x3 buckets around a cell bounds its distance, and the 7x7 around it hold every
+    nearer one. Each round joins the known cells once, at its own width; the number of
+    rounds follows the widest hole.
     """
     r, c = F.col("r").cast("long"), F.col("c").cast("long")
-    known = grid.filter(F.col(value).isNotNull()).select(
-        r.alias("_kr"), c.alias("_kc"), F.col(value).alias("_kv")
-    ).withColumn("_lv", F.explode(F.sequence(F.lit(0), F.lit(levels))))
-    known = known.withColumns(
-        {
-            "_br": F.floor(F.col("_kr") / F.pow(F.lit(2.0), "_lv")).cast("long"),
-            "_bc": F.floor(F.col("_kc") / F.pow(F.lit(2.0), "_lv")).cast("long"),
-        }
-    )
-    one = known.groupBy("_lv", "_br", "_bc").agg(F.min(F.struct("_kr", "_kc")).alias("_one"))
-    gaps = grid.filter(F.col(value).isNull()).select(r.alias("r"), c.alias("c"))
-    around = F.explode(F.sequence(F.lit(-1), F.lit(1)))
-
-    def ring(df):
-        df = df.withColumn("_i", around).withColumn("_j", F.explode(F.sequence(F.lit(-1), F.lit(1))))
-        return df.withColumns(
-            {
-                "_br": F.floor(F.col("r") / F.pow(F.lit(2.0), "_lv")).cast("long") + F.col("_i"),
-                "_bc": F.floor(F.col("c") / F.pow(F.lit(2.0), "_lv")).cast("long") + F.col("_j"),
-            }
-        ).drop("_i", "_j")
+    known = grid.filter(F.col(value).isNotNull()).groupBy(r.alias("_kr"), c.alias("_kc")).agg(F.min(value).alias("_kv"))
+    gaps = grid.filter(F.col(value).isNull()).select(r.alias("r"), c.alias("c")).distinct()
+    # at the width of the whole raster all buckets are neighbours
+    held = F.col(value).isNotNull()
+    span = grid.agg(
+        F.greatest(F.max(r) - F.min(r), F.max(c) - F.min(c)).alias("width"), F.count_if(held).alias("known"), F.count_if(~held).alias("gaps")
+    ).first()
+    if not span["known"] or not span["gaps"]:
+        return grid
 
     def d2(a, b):
-        return (F.col("r") - F.col(a)) * (F.col("r") - F.col(a)) + (F.col("c") - F.col(b)) * (
-            F.col("c") - F.col(b)
-        )
+        return (F.col("r") - F.col(a)) * (F.col("r") - F.col(a)) + (F.col("c") - F.col(b)) * (F.col("c") - F.col(b))
 
-    tries = ring(gaps.withColumn("_lv", F.explode(F.sequence(F.lit(0), F.lit(levels)))))
-    bound = tries.join(one, ["_lv", "_br", "_bc"]).groupBy("r", "c").agg(
-        F.min(d2("_one._kr", "_one._kc")).alias("_d2")
-    )
-    level = F.ceil(F.log2(F.sqrt("_d2"))).cast("int")
-    final = ring(bound.withColumn("_lv", F.least(F.greatest(level, F.lit(0)), F.lit(levels))))
-    near = final.join(known, ["_lv", "_br", "_bc"]).groupBy("r", "c").agg(
-        F.min(F.struct(d2("_kr", "_kc").alias("d"), "_kr", "_kc", "_kv")).alias("_n")
-    )
-    return grid.join(near.select("r", "c", F.col("_n._kv").alias("_fill")), ["r", "c"], "left") \
-        .withColumn(value, F.coalesce(value, "_fill")).drop("_fill")
+    def ring(cells, level, reach):
+        steps = F.sequence(F.lit(-reach), F.lit(reach))
+        cells = cells.withColumn("_i", F.explode(steps)).withColumn("_j", F.explode(steps))
+        return cells.withColumns(
+            {"_br": F.shiftright("r", level) + F.col("_i"), "_bc": F.shiftright("c", level) + F.col("_j")}
+        ).drop("_i", "_j")
+
+    def short(x, bucket, level):
+        """Distance from a cell to the nearest cell of a bucket, along one axis."""
+        first = F.shiftleft(bucket, level)
+        return F.greatest(F.lit(0), first - F.col(x), F.col(x) - (first + ((1 << level) - 1)))
+
+    at, found, level = ["_br", "_bc"], None, 0
+    while True:
+        placed = known.withColumns({"_br": F.shiftright("_kr", level), "_bc": F.shiftright("_kc", level)})
+        one = placed.groupBy(*at).agg(F.min(F.struct("_kr", "_kc")).alias("_one"))
+        # merged: the size of a grown side is not known from the files it comes from
+        bound = ring(gaps, level, 1).join(one.hint("merge"), at).groupBy("r", "c").agg(F.min(d2("_one._kr", "_one._kc")).alias("_d2"))
+        bound = cut(bound)
+        dr, dc = short("r", F.col("_br"), level), short("c", F.col("_bc"), level)
+        wide = ring(bound, level, 3).filter(dr * dr + dc * dc <= F.col("_d2"))
+        near = wide.join(placed.hint("merge"), at).groupBy("r", "c").agg(
+            F.min(F.struct(d2("_kr", "_kc").alias("d"), "_kr", "_kc", "_kv")).alias("_n")
+        )
+        found = near if found is None else found.unionByName(near)
+        if (1 << level) > span["width"]:
+            break
+        gaps = cut(gaps.join(bound.hint("merge"), ["r", "c"], "left_anti"))
+        if gaps.isEmpty():
+            break
+        level += 1
+    fill = found.select("r", "c", F.col("_n._kv").alias("_fill"))
+    return grid.join(fill.hint("merge"), ["r", "c"], "left").withColumn(value, F.coalesce(value, "_fill")).drop("_fill")
 
 
 # --- presence, quality, lines, upsampling ---------------------------------------
