@@ -168,8 +168,8 @@ _PERIODS = _WIN + """, sc AS (SELECT region, st, p AS s, SUM(w*y) AS pos, SUM(w*
     average_precision, roc_auc, brier_score, max_probability FROM ag JOIN rm USING (region, st))"""
 
 
-def _periods(t, radius=0.0):
-    return periods.period_metrics(t.predictions, t.regions, 7, radius, p="prob_raw")
+def _periods(t, radius=0.0, rankings=("exact",)):
+    return periods.period_metrics(t.predictions, t.regions, 7, radius, p="prob_raw", rankings=rankings)
 
 
 @query(
@@ -197,7 +197,7 @@ def m18(t):
     "predictions regions",
 )
 def m18_tolerant(t):
-    return _periods(t, 0.115)
+    return _periods(t, 0.115, rankings=())
 
 
 _GREEDY = """c1 AS (SELECT *, ROW_NUMBER() OVER (PARTITION BY region ORDER BY {order}, period_start) AS k FROM {src}),

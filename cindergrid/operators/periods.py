@@ -2,8 +2,7 @@
 
 from __future__ import annotations
 
-
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cindergrid.functions.cells import cell_area_kha, cell_coord
@@ -11,93 +10,126 @@ from cindergrid.functions.probability import ratio
 from cindergrid.operators import ranking, spatial
 from cindergrid.operators.columns import lead_days
 from cindergrid.operators.regions import region_rows
+from cindergrid.session import cut
+
+
+BLOCKS_OF = 4  # windows: a block of starts, with the days that its windows reach into, is at most 5/4 of its own days
+TASKS = 96
+
+
+def _starts(date, span, window_days) -> Column:
+    """The window starts that cover a date; `span` holds the region's first and last start."""
+    first = F.greatest(F.date_sub(date, window_days - 1), span["_first"])
+    last = F.least(date, span["_last"])
+    # an empty span would count backwards
+    return F.when(first <= last, F.sequence(first, last))
 
 
-def _window_starts(rows, region_days, window_days) -> DataFrame:
+def _window_starts(rows, spans, window_days) -> DataFrame:
     """Each dated row once per window start that covers it.
 
-    region_days has one row per region; it is folded into a map, because joining
-    on the region would put a third of all rows behind one key.
+    `spans` maps regions to their first and last start: a join on the region would put
+    a third of all rows behind one key.
     """
-    spans = region_days.agg(
-        F.map_from_entries(F.collect_list(F.struct("region", F.struct("_first", "_last"))))
-    ).scalar()
     at = rows.withColumn("_m", spans).withColumn("_s", F.element_at("_m", F.col("region"))).drop("_m")
-    first = F.greatest(F.date_sub("date", window_days - 1), F.col("_s._first"))
-    last = F.least(F.col("date"), F.col("_s._last"))
-    return at.filter(first <= last).withColumn(
-        "period_start", F.explode(F.sequence(first, last))
-    ).drop("_s")
+    return at.withColumn("period_start", F.explode(_starts(F.col("date"), F.col("_s"), window_days))).drop("_s")
+
+
+def _window_ranking(rows, regions, spans, window_days, label) -> DataFrame:
+    """Average precision and ROC-AUC of every window, from rows with _p, _w and a label.
+
+    Rows go once to each block of window starts that can see them; copies per region and
+    window are made, merged by score and ranked inside the block's task, so only the rows
+    themselves are exchanged and nothing but one window's scores is in order at once.
+    `label` is a column that may look at `period_start`. Rows may carry their region.
+    """
+    size = BLOCKS_OF * window_days
+    day = F.unix_date("date")
+    blocks = F.sequence(F.floor((day - (window_days - 1)) / size), F.floor(day / size))
+    dealt = rows.withColumn("_block", F.explode(blocks)).repartition(TASKS, "_block")
+    held = dealt if "region" in rows.columns else region_rows(dealt, regions, include_global=True)
+    win = _window_starts(held, spans, window_days).filter(F.floor(F.unix_date("period_start") / size) == F.col("_block"))
+    g = ["_block", "region", "period_start"]
+    scores = ranking.collapse(win.withColumn("_l", label), "_l", "_p", "_w", g)
+    above = Window.partitionBy(*g).orderBy(F.col("score").desc()).rowsBetween(Window.unboundedPreceding, 0)
+    ranked = scores.withColumns({f"cum_{m}": F.sum(m).over(above) for m in ("pos", "neg")})
+    totals = ranked.withColumns({"tot_pos": F.col("cum_pos"), "tot_neg": F.col("cum_neg")})
+    return ranking.ranking_from_prefix(totals, g).drop("_block")
 
 
 def period_metrics(
     df, regions, window_days, radius_deg=0.0, full_periods=True, p="prob", y="is_fire",
-    w="eval_weight", resolution=0.1,
+    w="eval_weight", resolution=0.1, rankings=("exact", "tolerant"),
 ) -> DataFrame:
-    """Every window of `window_days` starting on every day, per region.
+    """Every window of `window_days` starting on every day, per region; the result is written.
 
-    Rows are merged per (region, day, cell, label, score) before they are copied
-    into the windows that hold them.
+    Sums of a window are sums of its days; labels are tolerant by cell and window, so
+    tolerant sums come from cell-days. Only scores are ranked window by window.
+    `rankings` names the labels whose average precision and ROC-AUC are wanted.
     """
-    lean = df.groupBy("date", "lat_key", "lon_key", F.col(y).alias("_y"), F.col(p).alias("_p")).agg(
-        F.sum(w).alias("_w"), F.count(F.lit(1)).alias("_n")
-    )
-    rows = region_rows(lean, regions, include_global=True)
+    base = df.select("date", "lat_key", "lon_key", F.col(y).alias("_y"), F.col(p).alias("_p"), F.col(w).alias("_w"))
     last_day = df.agg(F.max("date")).scalar()
-    days = rows.groupBy("region").agg(F.min("date").alias("_first"), F.max("date").alias("_last"))
+    pp, ww, yy = F.col("_p"), F.col("_w"), F.col("_y")
+    known = base.filter(F.col("lat_key").isNotNull() & F.col("lon_key").isNotNull())
+    seen = region_rows(base.select("date", "lat_key", "lon_key"), regions, include_global=True)
+    days = seen.groupBy("region").agg(F.min("date").alias("_first"), F.max("date").alias("_last"))
     if full_periods:
         days = days.withColumn("_max", last_day).withColumn(
             "_last", F.least("_last", F.date_sub("_max", window_days - 1))
         ).drop("_max")
+    # one row per region; read back, so that every use of it costs nothing
+    spans = cut(days).agg(F.map_from_entries(F.collect_list(F.struct("region", F.struct("_first", "_last"))))).scalar()
     g = ["region", "period_start"]
-    win = _window_starts(rows, days, window_days).groupBy(
-        *g, "lat_key", "lon_key", "_y", "_p"
-    ).agg(F.sum("_w").alias("_w"), F.sum("_n").alias("_n"))
 
-    spots = win.groupBy(*g, "lat_key", "lon_key").agg(F.max("_y").alias("is_fire")).withColumns(
-        {"lat": cell_coord("lat_key", resolution), "lon": cell_coord("lon_key", resolution)}
+    daily = region_rows(known, regions, include_global=True).groupBy("region", "date").agg(
+        F.count(F.lit(1)).alias("support"), F.sum(ww).alias("weighted_support"), F.sum(yy).alias("positive_rows"),
+        F.sum(pp * ww).alias("expected"), F.sum(yy * ww).alias("observed"), F.max("_p").alias("max_probability"),
+        F.sum(ww * (pp - yy) * (pp - yy)).alias("_b"),
+    )
+    sums = _window_starts(daily, spans, window_days).groupBy(*g).agg(
+        *[F.sum(c).alias(c) for c in ("support", "weighted_support", "positive_rows", "expected", "observed", "_b")],
+        F.max("max_probability").alias("max_probability"),
     )
+
+    scored = F.when(pp.isNotNull(), ww)
+    cells = known.groupBy("date", "lat_key", "lon_key").agg(
+        F.max("_y").alias("_y"), F.count(F.lit(1)).alias("_n"), F.sum(scored).alias("_w"),
+        F.sum(pp * ww).alias("_wp"), F.sum(pp * pp * ww).alias("_wpp"),
+    )
+    in_region = region_rows(cells, regions, include_global=True)
+    measures = ("_n", "_w", "_wp", "_wpp")
+    spots = _window_starts(in_region, spans, window_days).groupBy(*g, "lat_key", "lon_key").agg(
+        F.max("_y").alias("is_fire"), *[F.sum(c).alias(c) for c in measures]
+    ).withColumns({"lat": cell_coord("lat_key", resolution), "lon": cell_coord("lon_key", resolution)})
     if radius_deg > 0:
-        spots = spatial.tolerant_labels(spots, radius_deg, g)
+        spots = spatial.tolerant_labels(cut(spots), radius_deg, g)
     else:
         spots = spots.withColumn("tolerant", F.col("is_fire"))
+    t = F.col("tolerant")
     places = spots.groupBy(*g).agg(
         F.count_if(F.col("is_fire") > 0).alias("observed_positive_locations"),
-        F.count_if(F.col("tolerant") > 0).alias("tolerant_positive_locations"),
-    )
-    win = win.join(spots.select(*g, "lat_key", "lon_key", "tolerant"), [*g, "lat_key", "lon_key"])
-    win = win.withColumn("_t", F.greatest("_y", "tolerant"))
-
-    pp, ww = F.col("_p"), F.col("_w")
-    sums = win.groupBy(*g).agg(
-        F.sum("_n").alias("support"), F.sum(ww).alias("weighted_support"),
-        F.sum(F.col("_n") * F.col("_y")).alias("positive_rows"),
-        F.sum(F.col("_n") * F.col("_t")).alias("tolerant_positive_rows"),
-        F.sum(pp * ww).alias("expected"), F.sum(F.col("_y") * ww).alias("observed"),
-        F.max("_p").alias("max_probability"),
-        F.sum(ww * (pp - F.col("_y")) * (pp - F.col("_y"))).alias("_b"),
-        F.sum(ww * (pp - F.col("_t")) * (pp - F.col("_t"))).alias("_bt"),
-    )
-    both = F.explode(
-        F.array(
-            F.struct(F.lit("exact").alias("k"), F.col("_y").alias("y")),
-            F.struct(F.lit("tolerant").alias("k"), F.col("_t").alias("y")),
-        )
-    )
-    flat = win.select(*g, "_p", "_w", both.alias("_k")).select(
-        *g, "_p", "_w", F.col("_k.k").alias("kind"), F.col("_k.y").alias("label")
-    )
-    rank = ranking.ranking_metrics(flat, "label", "_p", "_w", [*g, "kind"])
-    pick = lambda kind, c: F.max(F.when(F.col("kind") == kind, F.col(c)))
-    wide = rank.groupBy(*g).agg(
-        pick("exact", "average_precision").alias("average_precision"),
-        pick("exact", "roc_auc").alias("roc_auc"),
-        pick("tolerant", "average_precision").alias("tolerant_average_precision"),
-        pick("tolerant", "roc_auc").alias("tolerant_roc_auc"),
+        F.count_if(t > 0).alias("tolerant_positive_locations"),
+        F.sum(F.col("_n") * t).alias("tolerant_positive_rows"),
+        F.sum(F.col("_wpp") - 2 * t * F.col("_wp") + t * t * F.col("_w")).alias("_bt"),
     )
+    out = sums.join(places, g)
+    if "exact" in rankings:
+        exact = _window_ranking(known, regions, spans, window_days, F.col("_y"))
+        out = out.join(exact, g)
+    if "tolerant" in rankings:
+        # the starts whose windows make a cell-day's cell positive travel with its rows
+        spread = F.explode(F.sequence(F.col("period_start"), F.date_add("period_start", window_days - 1)))
+        marked = spots.filter(t > 0).select("region", "lat_key", "lon_key", "period_start", t.alias("t"), spread.alias("date"))
+        on = ["region", "date", "lat_key", "lon_key"]
+        marked = marked.groupBy(*on).agg(F.map_from_entries(F.collect_list(F.struct("period_start", "t"))).alias("_t"))
+        merged = known.groupBy("date", "lat_key", "lon_key", "_y", "_p").agg(F.sum("_w").alias("_w"))
+        rows = region_rows(merged, regions, include_global=True).join(marked, on, "left")
+        label = F.coalesce(F.try_element_at("_t", F.col("period_start")), F.greatest("_y", F.lit(0)))
+        tolerant = _window_ranking(rows, regions, spans, window_days, label)
+        out = out.join(tolerant.withColumnsRenamed({c: f"tolerant_{c}" for c in ("average_precision", "roc_auc")}), g)
     e, o = F.col("expected"), F.col("observed")
     some = (e > 0) & (o > 0)
-    return sums.join(places, g).join(wide, g).withColumns(
+    return cut(out.withColumns(
         {
             "period_end": F.date_add("period_start", window_days - 1),
             "window_days": F.lit(window_days),
@@ -108,7 +140,7 @@ def period_metrics(
             "brier_score": ratio("_b", "weighted_support"),
             "tolerant_brier_score": ratio("_bt", "weighted_support"),
         }
-    ).drop("_b", "_bt")
+    ).drop("_b", "_bt"))
 
 
 def greedy_periods(candidates, order, top, extra=(), overlap=False) -> DataFrame:
@@ -163,7 +195,7 @@ def season_filter(metrics, excluded_months) -> DataFrame:
 
 def activity_shape(metrics, df, regions, y="is_fire", w="eval_weight") -> DataFrame:
     """Peak day, centre of mass and concentration of the observed counts of each period."""
-    seen = df.groupBy("date", "lat_key", "lon_key").agg(F.sum(F.col(y) * F.col(w)).alias("_o"))
+    seen = df.select("date", "lat_key", "lon_key", (F.col(y) * F.col(w)).alias("_o"))
     daily = region_rows(seen, regions, include_global=True).groupBy("region", "date").agg(
         F.sum("_o").alias("_o")
     )

@@ -1,6 +1,11 @@
 """Steps that failed on larger tables."""
 
-from cindergrid.operators import raster
+import random
+from datetime import date, timedelta
+
+import pytest
+
+from cindergrid.operators import periods, raster
 from cindergrid.session import cut
 
 
@@ -20,3 +25,63 @@ def test_fill_from_nearest_broadcasts_nothing(spark):
 def test_fill_from_nearest_without_known_cells(spark):
     none = spark.createDataFrame([(0, 0, None)], "r int, c int, v double")
     assert raster.fill_from_nearest(none).first().v is None
+
+
+def _ranked(rows):
+    """Average precision and ROC-AUC of (label, score, weight), by definition."""
+    pos, neg = (sum(w for y, _, w in rows if y == k) for k in (1, 0))
+    if not pos or not neg:
+        return None, None
+    ap = auc = 0.0
+    for y, s, w in rows:
+        tp, fp = (sum(v for x, q, v in rows if x == k and q >= s) for k in (1, 0))
+        if y:
+            ap += w * tp / (tp + fp)
+        else:
+            auc += w * sum(v * (1.0 if q > s else 0.5) for x, q, v in rows if x and q >= s)
+    return ap / pos, auc / (pos * neg)
+
+
+def test_periods_match_their_definition(spark):
+    luck, first = random.Random(3), date(2001, 1, 1)
+    rows = [
+        (first + timedelta(days=luck.randrange(17)), luck.randrange(3), luck.randrange(4), int(luck.random() < 0.2), luck.randrange(9) / 10 + 0.05, float(luck.randrange(1, 5)))
+        for _ in range(90)
+    ]
+    df = spark.createDataFrame(rows, "date date, lat_key int, lon_key int, is_fire int, prob double, eval_weight double")
+    boxes = spark.createDataFrame([(0, "A", 0, 1, 0, 3), (1, "B", 1, 2, 0, 2)], "r_regionkey int, r_name string, lat_min int, lat_max int, lon_min int, lon_max int")
+    got = {(r.region, r.period_start): r for r in periods.period_metrics(df, boxes, 3, 0.105).collect()}
+    inside = {"A": lambda a, o: a <= 1, "B": lambda a, o: a >= 1 and o <= 2, "global": lambda a, o: True}
+    last, wanted = max(r[0] for r in rows), 0
+    for region, held in inside.items():
+        own = [r for r in rows if held(r[1], r[2])]
+        start = min(r[0] for r in own)
+        while start <= min(max(r[0] for r in own), last - timedelta(days=2)):
+            win = [r for r in own if start <= r[0] <= start + timedelta(days=2)]
+            if win:
+                wanted += 1
+                fires = {(r[1], r[2]) for r in win if r[3]}
+                near = lambda r: int(any((r[1] - a) ** 2 + (r[2] - o) ** 2 <= 1 for a, o in fires))  # noqa: B023, E731
+                soft = [(near(r), r[4], r[5]) for r in win]
+                found = got[region, start]
+                assert found.support == len(win) and found.observed_positive_locations == len(fires)
+                assert found.tolerant_positive_rows == sum(s[0] for s in soft)
+                brier = sum(w * (p - y) ** 2 for y, p, w in soft) / sum(w for _, _, w in soft)
+                for value, want in zip(
+                    (found.average_precision, found.roc_auc, found.tolerant_average_precision, found.tolerant_roc_auc, found.tolerant_brier_score),
+                    (*_ranked([(r[3], r[4], r[5]) for r in win]), *_ranked(soft), brier), strict=True,
+                ):
+                    assert value == (None if want is None else pytest.approx(want))
+            start += timedelta(days=1)
+    assert wanted == len(got)
+
+
+def test_windows_are_ranked_where_their_days_lie(spark, monkeypatch):
+    plans = []
+    monkeypatch.setattr(periods, "cut", lambda df: plans.append(_plan(df)) or df)
+    df = spark.createDataFrame([(date(2001, 1, 1), 0, 0, 1, 0.5, 1.0)], "date date, lat_key int, lon_key int, is_fire int, prob double, eval_weight double")
+    boxes = spark.createDataFrame([(0, "A", 0, 1, 0, 3)], "r_regionkey int, r_name string, lat_min int, lat_max int, lon_min int, lon_max int")
+    periods.period_metrics(df, boxes, 7, full_periods=False, rankings=("exact",))
+    # no exchange has the scores of windows among its keys
+    assert "_block" in plans[-1]
+    assert not [line for line in plans[-1].splitlines() if "Exchange hashpartitioning" in line and "score" in line]
