@@ -113,10 +113,12 @@ def h5(t):
     ).select("id", F.transform("p", lambda p: p["v"]).alias("series"))
     train = rows.filter(F.pmod("id", F.lit(4)) != 0)
     out = prep.scale_channel(rows, prep.channel_statistics(train))
+    # a position that no training series reaches has no statistics and no part in the total
+    known = F.filter("scaled", lambda x: x.isNotNull())
     return out.withColumns(
         {
             "days": F.size("scaled"), "first": F.element_at("scaled", 1),
-            "total": F.aggregate("scaled", F.lit(0.0), lambda a, x: a + x),
+            "total": F.when(F.size(known) > 0, F.aggregate(known, F.lit(0.0), lambda a, x: a + x)),
         }
     )
 

@@ -85,3 +85,18 @@ def test_windows_are_ranked_where_their_days_lie(spark, monkeypatch):
     # no exchange has the scores of windows among its keys
     assert "_block" in plans[-1]
     assert not [line for line in plans[-1].splitlines() if "Exchange hashpartitioning" in line and "score" in line]
+
+
+def test_total_leaves_out_positions_without_statistics(spark, tmp_path):
+    import duckdb
+
+    import __spark_entry__ as entry
+
+    # the second line of order 4 lies beyond every training series
+    lines = [(1, 1, 1, 1, 10.0), (2, 1, 1, 1, 20.0), (4, 1, 1, 1, 30.0), (4, 2, 1, 2, 40.0)]
+    shape = "l_orderkey long, l_partkey long, l_suppkey long, l_linenumber int, l_quantity double"
+    spark.createDataFrame(lines, shape).write.parquet(f"{tmp_path}/lineitem.parquet")
+    got = sorted(map(tuple, entry.queries()["h5_channel_scaler"](spark, str(tmp_path)).collect()))
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW lineitem AS SELECT * FROM '{tmp_path}/lineitem.parquet/*.parquet'")
+    assert got == sorted(con.execute(entry.oracle_sql()["h5_channel_scaler"]).fetchall())
