@@ -84,6 +84,7 @@ def numbers(groups: DataFrame, low, high, out="_i") -> DataFrame:
 
 def drawn(
     candidates: Callable[[int, int], DataFrame], want: int, rounds: int, first: int, key, blocked: DataFrame | None = None,
+    narrow: Callable[[DataFrame, int], bool] | None = None,
 ) -> DataFrame:
     """The first `want` free candidates in the order of their rounds, then of `_h`.
 
@@ -91,7 +92,8 @@ def drawn(
     others; one that comes several times keeps its first round and its least other values.
     Rounds are opened from `first` on, four times as many each time, up to `rounds`; rows of
     `blocked` (by key) are left out. What is found is written to the checkpoint folder; the
-    driver sees the number of free candidates per round.
+    driver sees the number of free candidates per round. `narrow(found, rounds left)` may
+    drop templates that can find nothing more; it tells whether any are left.
     """
     found, low, high = None, 0, max(1, min(first, rounds))
     while True:
@@ -103,6 +105,8 @@ def drawn(
         found = cut(every.groupBy(*key).agg(F.min(F.struct("_round", "_h", *rest)).alias("_s")).select(*key, "_s.*"))
         if found.count() >= want or high >= rounds:
             return leading(found, want).filter("_leads").drop("_leads")
+        if narrow is not None and not narrow(found, rounds - high):
+            return found
         low, high = high, min(rounds, high * 4)
 
 

@@ -5,7 +5,7 @@ from datetime import date, timedelta
 
 import pytest
 
-from cindergrid.operators import periods, raster
+from cindergrid.operators import periods, raster, sampling
 from cindergrid.session import cut
 
 
@@ -100,3 +100,13 @@ def test_total_leaves_out_positions_without_statistics(spark, tmp_path):
     con = duckdb.connect()
     con.execute(f"CREATE VIEW lineitem AS SELECT * FROM '{tmp_path}/lineitem.parquet/*.parquet'")
     assert got == sorted(con.execute(entry.oracle_sql()["h5_channel_scaler"]).fetchall())
+
+
+def test_only_positives_near_undrawn_cell_days_go_on(spark):
+    shape = "country string, lat_key int, lon_key int, date date"
+    day = date(2001, 1, 10)
+    cells = spark.createDataFrame([("A", 0, 0), ("A", 0, 30)], "country string, lat_key int, lon_key int")
+    positives = spark.createDataFrame([("A", 0, 2, day), ("A", 0, 28, day), ("B", 0, 28, day), ("A", 0, 36, day)], shape)
+    found = spark.createDataFrame([("A", 0, 0, day + timedelta(days=k)) for k in range(-7, 8)], shape)
+    left = sampling.near_undrawn(positives, cells, "2001-01-01", "2001-01-31", found)
+    assert [tuple(r) for r in left.collect()] == [("A", 0, 28, day)]
