@@ -423,7 +423,7 @@ def f16_fraction(t):
 def f17(t):
     return sampling.bootstrap_error(
         t.predictions, "row_id",
-        lambda rows, g: ranking.ranking_metrics(rows, p="prob_raw", group=g),
+        lambda rows, g: ranking.ranking_from_prefix(ranking.ranked_once(rows, p="prob_raw", group=g), g),
         trials=10, group=["model_name"], p="prob_raw",
     )
 

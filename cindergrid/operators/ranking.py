@@ -14,13 +14,15 @@ many tasks.
 from __future__ import annotations
 
 import math
+import sys
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from cindergrid.functions.labels import finite
-from cindergrid.functions.probability import EPS, clip, clip_probability, logit, ratio, ratio_or_zero
+from cindergrid.functions.probability import EPS, clip, logit, ratio, ratio_or_zero
+from cindergrid.session import cut
 
 BUCKET_BITS = 10
 ROWS_PER_BUCKET = 250_000
@@ -32,21 +34,27 @@ def _over(group, *more):
 
 
 def metric_rows(df, y="is_fire", p="prob", w="eval_weight", group=(), keep=()) -> DataFrame:
-    """Rows fit for a metric: finite label, probability and positive weight."""
-    weight = finite(w) if w else F.lit(1.0)
-    return (
-        df.select(
-            *group,
-            *keep,
-            finite(y).alias("_y"),
-            clip_probability(finite(p), EPS).alias("_p"),
-            weight.alias("_w"),
-        )
-        .filter(F.col("_y").isNotNull() & F.col("_w").isNotNull() & (F.col("_w") > 0))
-        .filter(F.col("_p").isNotNull())
+    """Rows fit for a metric: finite label, probability and positive weight.
+
+    The filter names each value once: it moves below the projection that makes the
+    score, and every mention there computes the score anew. NaN is above all numbers.
+    """
+    yy, pp = _double(y), _double(p)
+    ww = _double(w) if w else F.lit(1.0)
+    top = F.lit(sys.float_info.max)
+    fit = (F.abs(yy) <= top) & (F.abs(pp) <= top)
+    if w:
+        fit = fit & (ww > 0) & (ww <= top)
+    held = F.least(F.greatest(pp, F.lit(EPS)), F.lit(1.0 - EPS))
+    return df.filter(fit).select(
+        *group, *keep, yy.alias("_y"), held.alias("_p"), ww.alias("_w")
     )
 
 
+def _double(column) -> Column:
+    return (F.col(column) if isinstance(column, str) else column).cast("double")
+
+
 def collapse(df, y="is_fire", p="prob", w="eval_weight", group=()) -> DataFrame:
     """One row per (group, score): positive weight, negative weight, rows."""
     rows = metric_rows(df, y, p, w, group)
@@ -215,15 +223,44 @@ def ranking_metrics(df, y="is_fire", p="prob", w="eval_weight", group=()) -> Dat
     return ranking_from_prefix(ranked_scores(df, y, p, w, group), group)
 
 
+def ranked_once(df, y="is_fire", p="prob", w="eval_weight", group=()) -> DataFrame:
+    """Ranked scores whose collapsed rows are written once to the checkpoint folder.
+
+    For scores that cost work (models, scaled indices) or rankings read by several
+    tables: cut points, bucket sums and running sums each read the collapsed rows.
+    """
+    return running_sums(cut(collapse(df, y, p, w, group)), "score", ["pos", "neg", "n"], group)
+
+
+def score_table(df, y="is_fire", p="prob", w="eval_weight", group=()) -> DataFrame:
+    """The columns of weighted_scores and ranking_metrics, from one ranking written once."""
+    ranked = ranked_once(df, y, p, w, group)
+    s, pos, neg = F.col("score"), F.col("pos"), F.col("neg")
+    total = F.sum(pos + neg)
+    return ranked.groupBy(*group).agg(
+        F.sum("n").cast("long").alias("support"),
+        total.alias("weighted_support"),
+        (F.sum(pos * (1 - s) * (1 - s) + neg * s * s) / total).alias("brier_score"),
+        (-F.sum(pos * F.log(s) + neg * F.log1p(-s)) / total).alias("log_loss"),
+        (F.sum((pos + neg) * s) / total).alias("mean_probability"),
+        (F.sum(pos) / total).alias("prevalence"),
+        *_ranking_sums(),
+    )
+
+
 def ranking_from_prefix(ranked: DataFrame, group=()) -> DataFrame:
+    return ranked.groupBy(*group).agg(*_ranking_sums())
+
+
+def _ranking_sums() -> list[Column]:
     tp, fp = F.col("cum_pos"), F.col("cum_neg")
     both = (F.max("tot_pos") > 0) & (F.max("tot_neg") > 0)
     step = F.col("pos") * tp / (tp + fp)
     above = F.col("neg") * (tp - F.col("pos") / 2)
-    return ranked.groupBy(*group).agg(
+    return [
         F.when(both, F.sum(step) / F.max("tot_pos")).alias("average_precision"),
         F.when(both, F.sum(above) / (F.max("tot_pos") * F.max("tot_neg"))).alias("roc_auc"),
-    )
+    ]
 
 
 def threshold_metrics(
@@ -567,7 +604,8 @@ def calibration_line(
         if not live:
             break
         coef = spark.createDataFrame([(*k, *b) for k, b in live.items()], schema)
-        j = base.join(coef, g) if g else base.withColumns(
+        # one row per group: a sorted join would lay a whole group into one task
+        j = base.join(F.broadcast(coef), g) if g else base.withColumns(
             {"b0": F.lit(live[()][0]), "b1": F.lit(live[()][1])}
         )
         x, total = F.col("_x"), F.col("pos") + F.col("neg")
