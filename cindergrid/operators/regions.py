@@ -28,12 +28,18 @@ def _membership(rows, regions, name):
     return rows.withColumn("_boxes", boxes).withColumn("_in", held).drop("_boxes")
 
 
-def region_rows(rows, regions, name="r_name", include_global=False) -> DataFrame:
-    """One copy of each row per closed box holding it, plus `global` if asked."""
+def region_names(rows, regions, name="r_name", include_global=False, out="_regions") -> DataFrame:
+    """The names of the closed boxes holding each row, plus `global` if asked, as one array."""
     names = F.transform("_in", lambda b: b["name"])
     if include_global:
         names = F.concat(names, F.array(F.lit("global")))
-    return _membership(rows, regions, name).withColumn("region", F.explode(names)).drop("_in")
+    return _membership(rows, regions, name).withColumn(out, names).drop("_in")
+
+
+def region_rows(rows, regions, name="r_name", include_global=False) -> DataFrame:
+    """One copy of each row per closed box holding it, plus `global` if asked."""
+    named = region_names(rows, regions, name, include_global)
+    return named.withColumn("region", F.explode("_regions")).drop("_regions")
 
 
 def first_region(rows, regions, name="r_name", default="other") -> DataFrame:
