@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -101,6 +103,20 @@ def positive_key_counts(df, resolution=0.1) -> DataFrame:
     )
 
 
+def label_flags(rows, key_sets, on=("country", "lat_key", "lon_key", "date")) -> DataFrame:
+    """One 0/1 column per set of positive keys, all from one join. key_sets: column -> keys."""
+    parts = [
+        keys.select(*on, *[F.lit(int(c == name)).alias(c) for c in key_sets])
+        for name, keys in key_sets.items()
+    ]
+    marked = reduce(lambda a, b: a.unionByName(b), parts).groupBy(*on).agg(
+        *[F.max(c).alias(c) for c in key_sets]
+    )
+    return rows.join(marked, list(on), "left").withColumns(
+        {c: F.coalesce(c, F.lit(0)) for c in key_sets}
+    )
+
+
 def relabel(rows, keys, on=("country", "lat_key", "lon_key", "date")) -> DataFrame:
     """is_fire = 1 where the row's key is in the positive key set."""
     marked = keys.select(*on).distinct().withColumn("_hit", F.lit(1))

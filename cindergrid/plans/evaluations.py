@@ -121,26 +121,31 @@ def label_sensitivity(features, label_sets, numeric, train, test, key="row_id",
     """One logistic run per label definition and negative ratio, same features.
 
     label_sets: name -> table of positive keys. train / test: filter expressions.
+    The rows are labelled by all sets in one join and written once, with what the runs need.
     """
-    from cindergrid.operators.detections import relabel
+    from cindergrid.operators.detections import label_flags
 
+    flags = {name: f"_hit_{i}" for i, name in enumerate(label_sets)}
+    rows = label_flags(features, {flags[n]: keys for n, keys in label_sets.items()}, on)
+    rows = cut(
+        rows.withColumns({"_train": F.expr(train), "_test": F.expr(test)}).filter("_train or _test"),
+        *dict.fromkeys([*numeric, key, "eval_weight", "_train", "_test", *flags.values()]),
+    )
     tables = []
-    for name, keys in label_sets.items():
-        rows = relabel(features, keys, on)
+    for name, flag in flags.items():
         for ratio in ratios:
-            fit_rows = rows.filter(train)
+            named = rows.withColumn("is_fire", F.col(flag))
+            fit_rows = named.filter("_train").select(*dict.fromkeys([*numeric, key, "is_fire"]))
             if ratio is not None:
-                fit_rows = sampling.negative_ratio_rows(fit_rows, ratio, key)
+                # a fit reads its rows several times
+                fit_rows = cut(sampling.negative_ratio_rows(fit_rows, ratio, key), *numeric, "is_fire")
             model = models.fit_logistic(fit_rows, numeric)
-            scored = model.score(rows.filter(test)).withColumn(
+            scored = model.score(named.filter("_test")).withColumn(
                 "variant", F.lit(f"{name}:{'all' if ratio is None else ratio}")
             )
             tables.append(scored.select("variant", "is_fire", "prob_raw", "eval_weight"))
     both = reduce(lambda a, b: a.unionByName(b), tables)
-    g = ["variant"]
-    return ranking.weighted_scores(both, p="prob_raw", group=g).join(
-        ranking.ranking_metrics(both, p="prob_raw", group=g), g
-    )
+    return ranking.score_table(both, p="prob_raw", group=["variant"])
 
 
 def lead_sensitivity(features, by_lead, train, test) -> DataFrame:
@@ -154,10 +159,7 @@ def lead_sensitivity(features, by_lead, train, test) -> DataFrame:
             )
         )
     both = reduce(lambda a, b: a.unionByName(b), tables)
-    g = ["lead_days"]
-    return ranking.weighted_scores(both, p="prob_raw", group=g).join(
-        ranking.ranking_metrics(both, p="prob_raw", group=g), g
-    )
+    return ranking.score_table(both, p="prob_raw", group=["lead_days"])
 
 
 def source_comparison(rows, cube_a, cube_b, n_days, features, numeric, train, test) -> DataFrame:
@@ -194,10 +196,7 @@ def source_comparison(rows, cube_a, cube_b, n_days, features, numeric, train, te
                 )
             )
     every = reduce(lambda x, y: x.unionByName(y), tables)
-    g = ["trained_on", "tested_on"]
-    return ranking.weighted_scores(every, p="prob_raw", group=g).join(
-        ranking.ranking_metrics(every, p="prob_raw", group=g), g
-    )
+    return ranking.score_table(every, p="prob_raw", group=["trained_on", "tested_on"])
 
 
 def timelines(df, regions, window_days=7, radius_deg=0.0, top=2, p="prob_raw") -> dict:
