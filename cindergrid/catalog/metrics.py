@@ -230,7 +230,8 @@ def m8_equations(t):
     x = logit("prob_raw")
     mu = sigmoid(F.col("calibration_intercept") + F.col("calibration_slope") * x)
     r = F.col("eval_weight") * (F.col("is_fire") - mu)
-    return t.predictions.join(line, "model_name").groupBy("model_name").agg(
+    # one row per model: a sorted join would lay all rows of a model into one task
+    return t.predictions.join(F.broadcast(line), "model_name").groupBy("model_name").agg(
         F.sum(r).alias("residual"), F.sum(r * x).alias("residual_x"),
         F.sum(F.col("is_fire") * F.col("eval_weight")).alias("observed"),
     )

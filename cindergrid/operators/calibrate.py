@@ -126,7 +126,8 @@ def fit_offsets(df, group=(), raw=None, score="prob_raw", label="is_fire", weigh
         state = state.withColumnsRenamed(names)
         on = [F.col(k).eqNullSafe(F.col(n)) for k, n in names.items()]
         step = (F.col("hi") - F.col("lo")) / fanout
-        sums = rows.join(state, on).groupBy(*keys).agg(
+        # one row per group: a sorted join would lay a whole group into one task
+        sums = rows.join(F.broadcast(state), on).groupBy(*keys).agg(
             *[
                 F.sum(F.col("_w") * sigmoid(F.col("_s") + F.col("lo") + step * j)).alias(f"e{j}")
                 for j in range(1, fanout)
@@ -160,7 +161,7 @@ def apply_offsets(df, offsets, group=(), raw=None, score="prob_raw", out="prob_c
     s = F.coalesce(finite(raw), F.lit(0.0)) if raw else logit(score)
     joined = df
     if g:
-        joined = df.join(offsets.filter("not _all").select(*g, "offset"), g, "left")
+        joined = df.join(F.broadcast(offsets.filter("not _all").select(*g, "offset")), g, "left")
     else:
         joined = df.withColumn("offset", F.lit(None).cast("double"))
     return joined.withColumn("_whole", whole).withColumn(
