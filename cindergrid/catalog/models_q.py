@@ -468,11 +468,11 @@ _MODEL_SHAPE = "model_name average_precision:d6 roc_auc:d6"
 def _model_query(name, fit):
     @query(name, _MODEL_SHAPE)
     def build(t):
-        from cindergrid.operators.ranking import ranking_metrics
+        from cindergrid.operators.ranking import ranked_once, ranking_from_prefix
 
         rows = _features(t)
         scored = fit(rows.filter(TRAIN)).score(rows.filter(TEST))
-        return ranking_metrics(scored, p="prob_raw", group=G)
+        return ranking_from_prefix(ranked_once(scored, p="prob_raw", group=G), G)
 
     return build
 
@@ -513,11 +513,11 @@ def n2_equations(t):
 
 @query("m29_permutation_importance", "feature_group mean_drop:d6 std_drop:d6 trials:i")
 def m29(t):
-    rows = _features(t)
+    rows = _features(t).select("row_id", "date", *NUMERIC, "is_fire", "eval_weight")
     model = models.fit_logistic(rows.filter(TRAIN), NUMERIC)
     groups = {"hint": ["hint"], "place": ["lat_key", "lon_key"], "season": ["month"]}
     return evaluation.permutation_importance(
-        rows.filter(TEST), model.score, groups, "row_id", trials=2, p="prob_raw"
+        rows.filter(TEST).drop("date"), model.score, groups, "row_id", trials=2, p="prob_raw"
     )
 
 
