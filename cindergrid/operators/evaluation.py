@@ -2,14 +2,21 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from cindergrid.functions.labels import finite
 from cindergrid.functions.probability import clip, logit, ratio
 from cindergrid.operators import ranking, sampling, spatial, summaries
 from cindergrid.operators.columns import minmax_scores
 from cindergrid.operators.regions import region_names, region_rows
+from cindergrid.session import cut, discard, shuffles_dropped
+
+POSITIONS = 200_000  # of a permutation, in one block of rows and values, up to 512 blocks
 
 
 def _join(tables, keys) -> DataFrame:
@@ -193,46 +200,101 @@ def index_coverage(df, index, date="date") -> DataFrame:
     )
 
 
-def permuted(df, columns, key, seed) -> DataFrame:
-    """The table with a block of columns moved between rows by a fixed permutation.
+#: Where a row stands, where its values come from.
+SIDES = ("a", "b")
+
+
+def permutation_slices(df, key, seeds) -> DataFrame:
+    """Counts of hash slices for `permuted`, all seeds in one pass, written to the checkpoint folder.
+
+    A slice knows its positions from the counts before it, so it knows its block of positions: two
+    or more, where it lies across a border. `_off` is where a side's rows of a block begin, from
+    the block's first position; `_size` the positions of a block.
+    """
+    at = [
+        F.struct(F.lit(seed).alias("_seed"), F.lit(i).alias("_side"), F.substring(sampling.hash_of(f"{seed}:{side}", key), 1, sampling.DIGITS).alias("_slice"))
+        for seed in seeds
+        for i, side in enumerate(SIDES)
+    ]
+    counts = df.select(F.inline(F.array(*at))).groupBy("_seed", "_side", "_slice").agg(F.count(F.lit(1)).alias("_n"))
+    own = Window.partitionBy("_seed", "_side")
+    # a border doubles a slice of each side, so blocks are far fewer than slices
+    blocks = F.least(F.ceil(F.sum("_n").over(own) / POSITIONS), F.lit(16**sampling.DIGITS // 8))
+    before = F.coalesce(F.sum("_n").over(own.orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    table = counts.withColumns({"_before": before, "_size": F.ceil(F.sum("_n").over(own) / blocks), "_slice": F.conv("_slice", 16, 10).cast("int")})
+    reach = F.sequence(F.floor(F.col("_before") / F.col("_size")), F.floor((F.col("_before") + F.col("_n") - 1) / F.col("_size")))
+    table = table.withColumn("_block", F.explode(reach))
+    off = F.min("_before").over(Window.partitionBy("_seed", "_side", "_block")) - F.col("_block") * F.col("_size")
+    return cut(table.select("_seed", "_side", "_slice", F.col("_block").cast("int").alias("_block"), off.alias("_off"), "_size"))
+
+
+def permuted(df, columns, key, seed, slices=None) -> DataFrame:
+    """The table, without its key, with a block of columns moved between rows by a fixed permutation.
 
     Every row gets two positions, by two different hashes of its key; values move
-    from one position to the other. Positions come from hash slices, so no task
-    orders the whole table.
+    from one position to the other. Rows and values go once, straight to their block of
+    positions (`permutation_slices`), where both are put in order; no task orders the whole table.
     """
-    a = sampling.numbered(
-        df.withColumns({"_h": sampling.hash_of(f"{seed}:a", key), "_g": F.lit(0)}), ["_g"]
-    ).drop("_h", "_g", "_total")
-    b = sampling.numbered(
-        df.select(*columns, sampling.hash_of(f"{seed}:b", key).alias("_h"), F.lit(0).alias("_g")),
-        ["_g"],
-    ).select("_rank", *[F.col(c).alias(f"_p_{c}") for c in columns])
-    joined = a.join(b, "_rank").drop("_rank")
-    return joined.withColumns({c: F.col(f"_p_{c}") for c in columns}).drop(
-        *[f"_p_{c}" for c in columns]
-    ).select(*df.columns)
+    moved, kept = set(columns), [f for f in df.schema.fields if f.name != key]
+    names = [f.name for f in kept]
+    table = (permutation_slices(df, key, [seed]) if slices is None else slices).filter(F.col("_seed") == seed)
+    # at most 512 blocks a side
+    starts = {(r["_block"], r["_side"]): (r["_off"], r["_size"]) for r in table.select("_block", "_side", "_off", "_size").distinct().collect()}
+    # 60 bits of the hash, the slice first
+    short = lambda side: F.conv(F.substring(sampling.hash_of(f"{seed}:{side}", key), 1, 15), 16, 10).cast("long")
+    at = [F.struct(F.lit(i).alias("_side"), short(side).alias("_h")) for i, side in enumerate(SIDES)]
+    both = df.select("*", F.inline(F.array(*at)))
+    both = both.withColumn("_slice", F.shiftright("_h", 60 - 4 * sampling.DIGITS).cast("int"))
+    # one row per side and slice, and a few for borders
+    spread = both.join(F.broadcast(table.select("_side", "_slice", "_block")), ["_side", "_slice"])
+    spread = spread.select("_block", "_side", "_h", *[F.when(F.col("_side") == int(c in moved), F.col(c)).alias(c) for c in names])
+
+    def matched(number: tuple, block: pa.Table) -> pa.Table:
+        """Rows of one block with the values of the rows that have their positions."""
+        block = block.combine_chunks()
+        side, h = block["_side"].to_numpy(), block["_h"].to_numpy()
+
+        def in_order(i):
+            start, size = starts[number[0].as_py(), i]
+            rows = np.flatnonzero(side == i)
+            rows = rows[np.argsort(h[rows], kind="stable")]
+            if (np.diff(h[rows]) == 0).any():
+                # rows of one hash are told apart by their columns
+                rows = rows[pc.sort_indices(block.take(rows), sort_keys=[(c, "ascending") for c in ("_h", *names)]).to_numpy()]
+            return block.take(rows[-start : size - start])
+
+        rows, values = in_order(0), in_order(1)
+        return pa.table([(values if c in moved else rows)[c] for c in names], names=names)
+
+    schema = T.StructType([T.StructField(f.name, f.dataType) for f in kept])
+    return spread.groupBy("_block").applyInArrow(matched, schema)
 
 
 def permutation_importance(df, score, groups, key, trials=3, seed=42, y="is_fire", p="prob",
                            w="eval_weight") -> DataFrame:
     """Mean and std of the average-precision drop when a feature group is shuffled.
 
-    score: function(DataFrame) -> DataFrame with probability column `p`.
+    score: function(DataFrame) -> DataFrame with probability column `p`; it does not see the key
+    of shuffled rows. Trials run one after the other, and what one has written goes before the
+    next; one number of each reaches the driver.
     """
-    whole = ranking.ranking_from_prefix(ranking.ranked_once(score(df), y, p, w))
-    base = whole.agg(F.max("average_precision")).scalar()
-    parts = None
-    for name, columns in groups.items():
-        for trial in range(trials):
-            rows = score(permuted(df, columns, key, f"{seed}:{name}:{trial}")).select(y, p, w)
-            rows = rows.withColumns({"feature_group": F.lit(name), "trial": F.lit(trial)})
-            parts = rows if parts is None else parts.unionByName(rows)
-    g = ["feature_group", "trial"]
-    got = ranking.ranking_from_prefix(ranking.ranked_once(parts, y, p, w, g), g).withColumn("_b", base)
-    drop = F.col("_b") - F.col("average_precision")
-    return got.groupBy("feature_group").agg(
+    spark = df.sparkSession
+
+    def precision(rows):
+        scores = cut(ranking.collapse(rows, y, p, w))
+        found = ranking.ranking_from_prefix(ranking.running_sums(scores, "score", ["pos", "neg", "n"])).first()
+        discard(scores)
+        return found["average_precision"]
+
+    runs = [(name, columns, f"{seed}:{name}:{trial}") for name, columns in groups.items() for trial in range(trials)]
+    with shuffles_dropped(spark):
+        base = precision(score(df))
+        slices = permutation_slices(df, key, [own for *_, own in runs])
+        got = [(name, precision(score(permuted(df, columns, key, own, slices)))) for name, columns, own in runs]
+        discard(slices)
+    one = [F.struct(F.lit(name).alias("feature_group"), F.lit(value).cast("double").alias("average_precision")) for name, value in got]
+    drop = F.lit(base).cast("double") - F.col("average_precision")
+    return spark.range(1).select(F.inline(F.array(*one))).groupBy("feature_group").agg(
         F.avg(drop).alias("mean_drop"), F.stddev_samp(drop).alias("std_drop"),
         F.count(F.lit(1)).alias("trials"),
     )
-
-

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -29,4 +30,26 @@ def cut(df: DataFrame, *columns: str) -> DataFrame:
     kept = df.select(*columns) if columns else df
     path = f"{shared_folder(spark)}/stage-{uuid.uuid4().hex}"
     kept.write.parquet(path)
-    return spark.read.schema(kept.schema).parquet(path)
+    out = spark.read.schema(kept.schema).parquet(path)
+    out.cut_path = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete results of `cut` that nothing lazy reads any more."""
+    for table in tables:
+        context = table.sparkSession.sparkContext
+        path = context._jvm.org.apache.hadoop.fs.Path(table.cut_path)
+        path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)
+
+
+@contextmanager
+def shuffles_dropped(spark: SparkSession):
+    """Shuffle files of the actions inside go when their action ends, not when the driver collects garbage."""
+    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    kept = spark.conf.get(name, None)
+    spark.conf.set(name, "true")
+    try:
+        yield
+    finally:
+        spark.conf.unset(name) if kept is None else spark.conf.set(name, kept)
